@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -275,7 +276,7 @@ def load(path: str) -> BPE:
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE_BYTES of text."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     first, total = 0, 0
     for k, n in enumerate(sizes):
         if total and total + n > SLICE_BYTES:
