@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from trackloom.llm.bpe import op7_bpe
+from trackloom.llm.chat import OP6_SQL, op6_chat
 from trackloom.llm.decontaminate import OP4_SQL, op4_decontaminate
 from trackloom.llm.linededup import OP5_SQL, op5_line_dedup
+from trackloom.llm.quality import op8_quality
+from trackloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
+    "op6_chat": op6_chat,
     "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
+    "op10_warc": op10_warc,
 }
-ORACLES = {"op4_decontaminate": OP4_SQL, "op5_line_dedup": OP5_SQL}
+ORACLES = {"op4_decontaminate": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op10_warc": OP10_SQL}
