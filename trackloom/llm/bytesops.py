@@ -131,9 +131,9 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     value, row = mix(out[keep]), words.doc[: len(out)][keep]
     if len(short):
         extra = np.zeros(len(short), dtype=U64)
-        for k, r in enumerate(short):
-            for x in h[words.first[r] : words.first[r + 1]]:
-                extra[k] = extra[k] * U64(0x100000001B3) + x
+        for j in range(size - 1):  # the j-th word of each text that has one
+            own = counts[short] > j
+            extra[own] = extra[own] * U64(0x100000001B3) + h[words.first[short[own]] + j]
         value = np.concatenate([value, mix(extra ^ counts[short].astype(U64))])
         row = np.concatenate([row, short])
         order = np.argsort(row, kind="stable")

@@ -1,8 +1,9 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Grades 0 (clean) to 3 are ordered: P(grade > k) = sigmoid(w.x - threshold_k), one weight vector for all thresholds. The
-labels tell clean from toxic only; a toxic training row's grade is the third, by density of marker features, to
-which it belongs among the toxic rows. Features are words and beginnings of words, each log(1 + occurrences).
+labels tell clean from toxic only; a toxic training row's grade is the third, by its sum of marker features, to
+which it belongs among the toxic rows. Features are words and beginnings of words; a feature's value is
+log(1 + occurrences in SCALE words), so that it tells how dense it is in the whole text.
 """
 
 from __future__ import annotations
@@ -27,12 +28,17 @@ FEATURES = 1500
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 400_000
+SCALE = 100
 
 
 def word_features(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
 
 
+def density(count: int, words: int) -> float:
+    return math.log1p(SCALE * count / max(words, 1))
+
+
 class OrdinalModel:
     """Weights by feature, and thresholds in increasing order."""
 
@@ -52,13 +58,14 @@ class OrdinalModel:
         """w.x of a whole text; 0 for a null or an empty one."""
         counts: Counter[int] = Counter()
         get = self.cache.get
-        for word in WORD.findall((text or "").lower()):
+        words = WORD.findall((text or "").lower())
+        for word in words:
             own = get(word)
             if own is None:
                 own = self._of(word)
             if own:
                 counts.update(own)
-        return float(sum(self.weights[k] * math.log1p(n) for k, n in counts.items()))
+        return float(sum(self.weights[k] * density(n, len(words)) for k, n in counts.items()))
 
     def grades(self, logits: np.ndarray) -> np.ndarray:
         """Probabilities of the grades, by row."""
@@ -67,7 +74,7 @@ class OrdinalModel:
         return edges[:, :-1] - edges[:, 1:]
 
 
-def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, steps: int = 300, l2: float = 2e-3) -> OrdinalModel:
+def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, steps: int = 300, l2: float = 2e-4) -> OrdinalModel:
     """The model of labelled texts; without both labels it calls no text toxic (or every one, if all are)."""
     bags = [Counter(f for w in WORD.findall(t.lower()) for f in word_features(w)) for t in texts]
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
@@ -88,20 +95,20 @@ def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, steps: in
 
     strength = 2 * (part(a, n1, a + b) + part(b, n0, a + b) + part(n1 - a, n1, total - a - b) + part(n0 - b, n0, total - a - b))
     order = np.lexsort((np.arange(len(seen)), -strength))[:features]
-    order = order[strength[order] > 6.6]  # a chance of 1 in 100 for a feature on its own
+    order = order[strength[order] > 10.8]  # a chance of 1 in 1,000 for a feature on its own
     names = [seen[k] for k in order]
     index = {f: k for k, f in enumerate(names)}
+    words = [sum(c for f, c in bag.items() if f[0] != "^") for bag in bags]
     x = np.zeros((len(texts), len(names)), np.float32)
     for r, bag in enumerate(bags):
         for f, c in bag.items():
             if (k := index.get(f)) is not None:
-                x[r, k] = math.log1p(c)
+                x[r, k] = density(c, words[r])
     marker = (a / n1 > 5 * (b + 0.5) / n0)[order]
-    words = np.array([max(1, sum(c for f, c in bag.items() if f[0] != "^")) for bag in bags])
-    density = x @ marker.astype(np.float32) / np.sqrt(words)
+    load = x @ marker.astype(np.float32)
     grade = np.zeros(len(texts), int)
-    cuts = np.quantile(density[toxic > 0], [1 / 3, 2 / 3])
-    grade[toxic > 0] = 1 + (density[toxic > 0, None] > cuts).sum(axis=1)
+    cuts = np.quantile(load[toxic > 0], [1 / 3, 2 / 3])
+    grade[toxic > 0] = 1 + (load[toxic > 0, None] > cuts).sum(axis=1)
     return OrdinalModel(names, *_descend(x, grade, steps, l2))
 
 
