@@ -8,12 +8,14 @@ from trackloom.llm.decontaminate import OP4_SQL, op4_decontaminate
 from trackloom.llm.linededup import OP5_SQL, op5_line_dedup
 from trackloom.llm.ngramjoin import op2_ngram_join
 from trackloom.llm.quality import op8_quality
+from trackloom.llm.repeats import op3_repeats
 from trackloom.llm.toxicity import op1_toxicity
 from trackloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
+    "op3_repeats": op3_repeats,
     "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_chat": op6_chat,
