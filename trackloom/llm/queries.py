@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from trackloom.llm.bpe import op7_bpe
 from trackloom.llm.chat import OP6_SQL, op6_chat
+from trackloom.llm.chroma import op9_chroma
 from trackloom.llm.decontaminate import OP4_SQL, op4_decontaminate
 from trackloom.llm.linededup import OP5_SQL, op5_line_dedup
 from trackloom.llm.ngramjoin import op2_ngram_join
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_chat": op6_chat,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
+    "op9_chroma": op9_chroma,
     "op10_warc": op10_warc,
 }
 ORACLES = {"op4_decontaminate": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op10_warc": OP10_SQL}
