@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import table
+from trackloom.llm.common import arrow_batches, table
 
 #: Ids above the vocabulary's own (50,257 of them), and the strings that stand for them in the formatted text.
 OPEN, TEXT, CLOSE = 50257, 50258, 50259
@@ -27,7 +27,9 @@ MARKS = {OPEN: "<|turn|>", TEXT: "<|text|>", CLOSE: "<|end|>"}
 CONTROL = [*MARKS.values(), "<|endoftext|>", "<|startoftext|>", "<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 _ESCAPE = re.compile("\\\\|" + "|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
 #: tokens of a row of output
-PART_TOKENS = 1 << 16
+PART_TOKENS = 1 << 13
+#: Texts that the tokenizer gets at once.
+SLICE_ROWS = 100
 
 
 def escape(text: str) -> str:
@@ -71,7 +73,7 @@ def encode_turns(df: DataFrame, path: str) -> DataFrame:
             roles = [escape(r) for r in batch.column(2).to_pylist()]
             texts = [escape(t) for t in batch.column(3).to_pylist()]
             heads = [encode(r) for r in roles]
-            bodies = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+            bodies = [e.ids for k in range(0, len(texts), SLICE_ROWS) for e in tok.encode_batch_fast(texts[k : k + SLICE_ROWS], add_special_tokens=False)]
             ids = [np.array([OPEN, *h, TEXT, *b, CLOSE], "<u4").tobytes() for h, b in zip(heads, bodies)]
             mine = [r == "assistant" for r in roles]
             first = [len(h) + 2 for h in heads]
@@ -210,6 +212,7 @@ def read_back(parts: DataFrame, path: str) -> DataFrame:
 def op6_chat(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """All conversations and conversation -7, formatted and read back."""
     path = path or vocabulary_path()
+    arrow_batches(spark)
     says = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
     return read_back(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra), path), path)
