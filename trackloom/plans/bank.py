@@ -1 +1,218 @@
-"""Queries."""
+"""Queries over the identity bank."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackloom.functions import boxes
+from trackloom.operators import bank as B
+from trackloom.registry import query
+from trackloom.sources.fixtures import view
+
+
+def entries(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "v_bank").withColumnRenamed("vec_id", "exemplar_id")
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth vector asks for its own object."""
+    q = view(spark, sf, "v_bank").where("vec_id % 5 = 0")
+    return q.select(F.col("vec_id").alias("query_id"), F.col("object_id").alias("q_object_id"), F.col("episode_id").alias("q_episode_id"), F.col("camera").alias("q_camera"), F.col("embedding").alias("q_embedding"), F.col("detector_score").alias("q_detector"))
+
+
+_SIM = """sims AS (SELECT q.vec_id AS query_id, q.object_id AS q_object_id, q.camera AS q_camera, q.detector_score, b.vec_id AS exemplar_id, b.object_id, b.camera = q.camera AS same, b.object_id = q.object_id AS positive,
+  round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM v_bank q JOIN v_bank b ON q.episode_id <> b.episode_id AND b.bank_status = 'active' WHERE q.vec_id % 5 = 0)"""
+
+
+def _retrieved(camera: bool) -> str:
+    own = "CASE WHEN bool_or(positive AND same) OVER (PARTITION BY query_id) THEN same ELSE true END" if camera else "true"
+    rival = "CASE WHEN bool_or(NOT positive AND same) OVER (PARTITION BY query_id) THEN same ELSE true END" if camera else "true"
+    return f"""{_SIM},
+pools AS (SELECT *, {own} AS in_own, {rival} AS in_rival FROM sims),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, exemplar_id) AS n FROM pools WHERE positive AND in_own),
+rivals AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, exemplar_id) AS n FROM pools WHERE NOT positive AND in_rival),
+best AS (SELECT query_id, max(sim) AS similarity, string_agg(CAST(exemplar_id AS VARCHAR), ',' ORDER BY sim DESC, exemplar_id) FILTER (n <= 3) AS nearest, bool_and(same) AS same_, count(*) AS references_, any_value(detector_score) AS detector_score, any_value(q_object_id) AS object_id, any_value(q_camera) AS camera FROM near GROUP BY query_id),
+retrieved AS (SELECT b.*, round(b.similarity - r.sim, 6) AS margin, r.object_id AS competitor_id FROM best b LEFT JOIN (SELECT * FROM rivals WHERE n = 1) r ON b.query_id = r.query_id)"""
+
+
+@query("j13_retrieval", f"WITH {_retrieved(True)} SELECT q.vec_id AS query_id, CASE WHEN r.query_id IS NULL THEN 'no_reference' ELSE 'retrieved' END AS status, similarity, margin, nearest, competitor_id, coalesce(references_, 0) AS \"references\" FROM v_bank q LEFT JOIN retrieved r ON q.vec_id = r.query_id WHERE q.vec_id % 5 = 0")
+def j13(spark: SparkSession, sf: str) -> DataFrame:
+    return B.retrieve(asked(spark, sf), entries(spark, sf)).drop("camera_scope")
+
+
+@query("j14_gallery_match", f"WITH {_retrieved(False)} SELECT query_id, similarity, margin, competitor_id, margin >= 0 AS accepted FROM retrieved")
+def j14(spark: SparkSession, sf: str) -> DataFrame:
+    out = B.retrieve(asked(spark, sf), entries(spark, sf), same_camera=False).where("status = 'retrieved'")
+    return out.select("query_id", "similarity", "margin", "competitor_id", (F.col("margin") >= 0).alias("accepted"))
+
+
+@query("f7_cosine", "SELECT object_id, camera, round(avg(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM v_bank GROUP BY ALL")
+def f7(spark: SparkSession, sf: str) -> DataFrame:
+    return entries(spark, sf).groupBy("object_id", "camera").agg(F.round(F.avg(boxes.cosine(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))
+
+
+@query("f8_rank_score", f"WITH {_retrieved(True)} SELECT query_id, round(CASE WHEN similarity IS NULL THEN detector_score ELSE 0.25::DOUBLE * detector_score + 0.75::DOUBLE * similarity + 0.25::DOUBLE * coalesce(margin, 0) END, 5) AS score FROM retrieved")
+def f8(spark: SparkSession, sf: str) -> DataFrame:
+    q = asked(spark, sf)
+    x = B.retrieve(q, entries(spark, sf)).where("status = 'retrieved'").join(q.select("query_id", "q_detector"), "query_id")
+    return x.select("query_id", F.round(boxes.rank_score(F.col("q_detector"), F.col("similarity"), F.col("margin")), 5).alias("score"))
+
+
+@query("w18_top3_exemplars", f"WITH {_SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, exemplar_id) AS place FROM sims WHERE positive) SELECT query_id, exemplar_id, sim, place FROM r WHERE place <= 3")
+def w18(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = B.similarities(asked(spark, sf), entries(spark, sf).drop("detector_score"), F.col("object_id") == F.col("q_object_id"))
+    return B.top(pairs, 3).select("query_id", "exemplar_id", "sim", "place")
+
+
+_MODES = "modes AS (SELECT query_id, object_id, camera, m.mode, CASE m.mode WHEN 'detector' THEN detector_score WHEN 'similarity' THEN similarity WHEN 'margin' THEN margin ELSE round(0.25::DOUBLE * detector_score + 0.75::DOUBLE * similarity + 0.25::DOUBLE * coalesce(margin, 0), 5) END AS score FROM retrieved, (VALUES ('detector'), ('similarity'), ('margin'), ('hybrid')) AS m(mode))"
+
+
+def by_mode(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, object_id, camera, mode, score) of four ways to score the same candidates, scored once."""
+    q = asked(spark, sf)
+    x = B.retrieve(q, entries(spark, sf)).where("status = 'retrieved'").join(q.select("query_id", "q_detector", F.col("q_object_id").alias("object_id"), F.col("q_camera").alias("camera")), "query_id")
+    hybrid = F.round(boxes.rank_score(F.col("q_detector"), F.col("similarity"), F.col("margin")), 5)
+    modes = F.array(*[F.struct(F.lit(n).alias("mode"), c.alias("score")) for n, c in (("detector", F.col("q_detector")), ("similarity", F.col("similarity")), ("margin", F.col("margin")), ("hybrid", hybrid))])
+    return x.select("query_id", "object_id", "camera", F.inline(modes))
+
+
+@query("w17_candidate_ranking", f"WITH {_retrieved(True)}, {_MODES}, r AS (SELECT *, row_number() OVER (PARTITION BY mode, object_id, camera ORDER BY score DESC, query_id) AS n FROM modes) SELECT mode, object_id, camera, query_id AS candidate_id, score FROM r WHERE n = 1 AND score >= 0.30")
+def w17(spark: SparkSession, sf: str) -> DataFrame:
+    c = by_mode(spark, sf).withColumnRenamed("query_id", "candidate_id")
+    return B.ranked(c, ["mode", "object_id", "camera"], F.col("score"), F.col("score") >= 0.30).select("mode", "object_id", "camera", "candidate_id", "score")
+
+
+@query("w17_eligible_first", f"WITH {_retrieved(True)}, {_MODES}, r AS (SELECT *, row_number() OVER (PARTITION BY mode, object_id, camera ORDER BY score DESC, query_id) AS n FROM modes WHERE score >= 0.30 AND query_id % 3 <> 0) SELECT mode, object_id, camera, query_id AS candidate_id, score FROM r WHERE n = 1")
+def w17b(spark: SparkSession, sf: str) -> DataFrame:
+    c = by_mode(spark, sf).withColumnRenamed("query_id", "candidate_id")
+    return B.ranked(c, ["mode", "object_id", "camera"], F.col("score"), (F.col("score") >= 0.30) & (F.col("candidate_id") % 3 != 0), True).select("mode", "object_id", "camera", "candidate_id", "score")
+
+
+_TRUTH = "t AS (SELECT *, score >= 0.5 AS valid, score >= 0.6 AS accepted, query_id % 4 = 0 AS absent, max(score) OVER (PARTITION BY query_id) >= 0.5 AS oracle, coalesce(max(CASE WHEN mode = 'detector' THEN score END) OVER (PARTITION BY query_id), 0) < 0.5 AS weak FROM modes)"
+_PILOT = "count(*) AS queries, count(*) FILTER (oracle) AS oracle_valid, count(*) FILTER (valid) AS top1_valid, count(*) FILTER (weak AND valid) AS rescued, count(*) FILTER (NOT weak AND NOT valid) AS regressed, count(*) FILTER (accepted) AS accepted_, count(*) FILTER (accepted AND absent) AS absent_false_accepts"
+
+
+def _truth(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    own = W.partitionBy("query_id")
+    x = by_mode(spark, sf)
+    return (
+        x.withColumn("valid", F.col("score") >= 0.5).withColumn("accepted", F.col("score") >= 0.6).withColumn("absent", F.col("query_id") % 4 == 0).withColumn("oracle", F.max("score").over(own) >= 0.5)
+        .withColumn("weak", F.coalesce(F.max(F.when(F.col("mode") == "detector", F.col("score"))).over(own), F.lit(0.0)) < 0.5).withColumn("grp", F.when(F.col("object_id") < 8, "objects").otherwise("robot_parts"))
+    )
+
+
+def _pilot() -> list:
+    weak, valid = F.col("weak"), F.coalesce("valid", F.lit(False))
+    return [F.count("*").alias("queries"), F.count_if("oracle").alias("oracle_valid"), F.count_if("valid").alias("top1_valid"), F.count_if(weak & valid).alias("rescued"), F.count_if(~weak & ~F.col("valid")).alias("regressed"), F.count_if("accepted").alias("accepted_"), F.count_if(F.col("accepted") & F.col("absent")).alias("absent_false_accepts")]
+
+
+@query("a11_pilot_table", f"WITH {_retrieved(True)}, {_MODES}, {_TRUTH} SELECT mode, CASE WHEN object_id < 8 THEN 'objects' ELSE 'robot_parts' END AS grp, coalesce(camera, 'all') AS camera, {_PILOT} FROM t GROUP BY GROUPING SETS ((mode, CASE WHEN object_id < 8 THEN 'objects' ELSE 'robot_parts' END, camera), (mode, CASE WHEN object_id < 8 THEN 'objects' ELSE 'robot_parts' END))")
+def a11(spark: SparkSession, sf: str) -> DataFrame:
+    out = _truth(spark, sf).groupingSets([["mode", "grp", "camera"], ["mode", "grp"]], "mode", "grp", "camera").agg(*_pilot())
+    return out.withColumn("camera", F.coalesce("camera", F.lit("all")))
+
+
+@query("a12_denominators", f"WITH {_retrieved(True)}, {_MODES}, {_TRUTH} SELECT mode, count(*) AS covered, count(*) FILTER (oracle) AS possible, round(count(*) FILTER (valid) / count(*), 6) AS of_covered, round(count(*) FILTER (valid) / nullif(count(*) FILTER (oracle), 0), 6) AS of_possible FROM t GROUP BY ALL")
+def a12(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.count_if("valid")
+    return _truth(spark, sf).groupBy("mode").agg(F.count("*").alias("covered"), F.count_if("oracle").alias("possible"), F.round(n / F.count("*"), 6).alias("of_covered"), F.round(n / F.nullif(F.count_if("oracle"), F.lit(0)), 6).alias("of_possible"))
+
+
+@query("a13_camera_mode_summary", f"WITH {_retrieved(True)}, {_MODES} SELECT coalesce(camera, 'all') AS camera, mode, count(*) AS n, round(avg(score), 5) AS mean_score FROM modes GROUP BY GROUPING SETS ((camera, mode), (mode))")
+def a13(spark: SparkSession, sf: str) -> DataFrame:
+    out = by_mode(spark, sf).groupingSets([["camera", "mode"], ["mode"]], "camera", "mode").agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean_score"))
+    return out.withColumn("camera", F.coalesce("camera", F.lit("all")))
+
+
+@query("a25_candidate_ceiling", f"WITH {_retrieved(True)}, {_MODES} SELECT query_id, max(score) AS raw_ceiling, max(CASE WHEN mode <> 'detector' THEN score END) AS eligible_ceiling, arg_max(mode, (score, mode)) AS best_mode FROM modes GROUP BY ALL")
+def a25(spark: SparkSession, sf: str) -> DataFrame:
+    return by_mode(spark, sf).groupBy("query_id").agg(F.max("score").alias("raw_ceiling"), F.max(F.when(F.col("mode") != "detector", F.col("score"))).alias("eligible_ceiling"), F.max_by("mode", F.struct("score", "mode")).alias("best_mode"))
+
+
+@query("pf4_quality_gate", "SELECT CASE WHEN vec_id % 11 = 0 THEN 'ignored_reference' WHEN detector_score < 0.05 THEN 'not_visible' WHEN vec_id % 40 = 7 THEN 'derived_union_not_identity' WHEN mask_area < 128 OR vec_id % 19 < 2 THEN 'too_small_for_identity_embedding' ELSE 'kept' END AS reason, count(*) AS n FROM v_bank GROUP BY ALL")
+def pf4(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("exemplar_id")
+    reason = B.quality_reason(i % 11 == 0, F.col("detector_score") >= 0.05, F.when(i % 40 == 7, 1000).otherwise(F.col("object_id")), F.col("mask_area"), F.when(i % 19 < 2, 4).otherwise(20))
+    return entries(spark, sf).groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("pf5_aliases", "SELECT w.range AS wanted, count(*) FILTER (CASE WHEN vec_id % 6 = 0 THEN object_id = w.range OR (object_id + 1) % 10 = w.range ELSE object_id = w.range END) AS compatible FROM v_bank, range(10) AS w GROUP BY ALL")
+def pf5(spark: SparkSession, sf: str) -> DataFrame:
+    merged = F.when(F.col("exemplar_id") % 6 == 0, F.array(F.col("object_id"), (F.col("object_id") + 1) % 10))
+    x = entries(spark, sf).withColumn("merged", merged).join(spark.range(10).select(F.col("id").cast("int").alias("wanted")).hint("broadcast"))
+    return x.groupBy(F.col("wanted").cast("long").alias("wanted")).agg(F.count_if(B.compatible(F.col("object_id"), F.col("merged"), F.col("wanted"))).alias("compatible"))
+
+
+@query("pf6_layers", "SELECT CASE WHEN id >= 1100 THEN 'robot_parts' WHEN id >= 1000 THEN 'robot' ELSE 'objects' END AS layer, count(*) AS n FROM (SELECT CASE object_id WHEN 9 THEN 1100 WHEN 8 THEN 1000 ELSE object_id END AS id FROM v_bank) AS x GROUP BY ALL")
+def pf6(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.when(F.col("object_id") == 9, 1100).when(F.col("object_id") == 8, 1000).otherwise(F.col("object_id"))
+    return entries(spark, sf).groupBy(F.when(i >= 1100, "robot_parts").when(i >= 1000, "robot").otherwise("objects").alias("layer")).agg(F.count("*").alias("n"))
+
+
+_COVER = "o.range AS object_id, c.camera, count(b.vec_id) AS exemplars, count(DISTINCT b.episode_id) AS episodes, CASE WHEN count(b.vec_id) >= 18 THEN 'target_met' WHEN count(b.vec_id) > 0 THEN 'sparse' ELSE 'missing' END AS state FROM range(12) AS o CROSS JOIN (VALUES ('head'), ('left_wrist'), ('right_wrist')) AS c(camera)"
+
+
+def _cover(spark: SparkSession, bank: DataFrame) -> DataFrame:
+    cameras = spark.createDataFrame([("head",), ("left_wrist",), ("right_wrist",)], "camera string")
+    return B.coverage(bank, spark.range(12).select(F.col("id").alias("object_id")), cameras, 18)
+
+
+@query("a17_bank_coverage", f"SELECT {_COVER} LEFT JOIN v_bank b ON b.object_id = o.range AND b.camera = c.camera AND b.bank_status = 'active' GROUP BY o.range, c.camera")
+def a17(spark: SparkSession, sf: str) -> DataFrame:
+    return _cover(spark, entries(spark, sf))
+
+
+@query("r9_curation", f"SELECT {_COVER} LEFT JOIN v_bank b ON b.object_id = o.range AND b.camera = c.camera AND b.bank_status = 'active' AND b.vec_id % 7 <> 3 GROUP BY o.range, c.camera")
+def r9(spark: SparkSession, sf: str) -> DataFrame:
+    bank = entries(spark, sf)
+    decisions = bank.where("exemplar_id % 7 = 3").select("exemplar_id", F.lit("blurred").alias("reason"), F.array(F.lit("blur")).alias("tags"))
+    return _cover(spark, B.curated(bank, decisions))
+
+
+@query("w14_diverse_exemplars")
+def w14(spark: SparkSession, sf: str) -> DataFrame:
+    return B.diverse(entries(spark, sf), ["object_id", "camera"])
+
+
+@query("w16_ordinals", "SELECT vec_id AS exemplar_id, 'SB' || lpad(CAST(row_number() OVER (ORDER BY object_id, camera, vec_id) - 1 AS VARCHAR), 4, '0') AS ordinal FROM v_bank WHERE bank_status = 'active'")
+def w16(spark: SparkSession, sf: str) -> DataFrame:
+    return B.ordinals(entries(spark, sf).where("bank_status = 'active'").select("object_id", "camera", "exemplar_id"), ["object_id", "camera", "exemplar_id"]).select("exemplar_id", "ordinal")
+
+
+@query("w15_even_sample", "WITH n AS (SELECT vec_id, object_id, count(*) OVER (PARTITION BY object_id) AS n, row_number() OVER (PARTITION BY object_id ORDER BY vec_id) - 1 AS i FROM v_bank), p AS (SELECT DISTINCT object_id, CAST(floor(j.range * (n - 1) / 5) AS BIGINT) AS i FROM n, range(6) AS j) SELECT n.object_id, n.vec_id AS exemplar_id FROM n JOIN p ON n.object_id = p.object_id AND n.i = p.i")
+def w15(spark: SparkSession, sf: str) -> DataFrame:
+    from trackloom.operators.sequences import evenly
+
+    return evenly(entries(spark, sf), ["object_id"], ["exemplar_id"], 6).select("object_id", "exemplar_id")
+
+
+@query("st5_admission", f"""WITH {_retrieved(True)},
+x AS (SELECT *, 0.75::DOUBLE + (query_id % 40) / 100::DOUBLE AS sam, query_id % 23 = 0 AS collided, lag(query_id) OVER (PARTITION BY object_id ORDER BY query_id) AS before, (query_id % 9) / 10::DOUBLE AS agree FROM retrieved)
+SELECT query_id, CASE WHEN similarity IS NULL OR margin IS NULL THEN 'no_identity_reference' WHEN similarity < 0.50 OR margin < 0.05 THEN 'identity_evidence_low' WHEN sam < 0.80 THEN 'sam_boundary_confidence_low' WHEN collided THEN 'cross_identity_collision'
+ WHEN before IS NULL OR query_id - before > 15 THEN 'await_second_observation' WHEN agree < 0.30 THEN 'short_window_disagreement' ELSE 'admitted' END AS reason FROM x""")
+def st5(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    q = asked(spark, sf)
+    x = B.retrieve(q, entries(spark, sf)).where("status = 'retrieved'").join(q.select("query_id", "q_object_id"), "query_id")
+    i = F.col("query_id")
+    gap = i - F.lag("query_id").over(W.partitionBy("q_object_id").orderBy("query_id"))
+    reason = B.admission(F.col("similarity"), F.col("margin"), 0.75 + (i % 40) / 100, i % 23 == 0, gap, (i % 9) / 10, F.lit(True))
+    return x.select("query_id", reason.alias("reason"))
+
+
+@query("j23_split_disjoint", "SELECT count(*) AS shared FROM (SELECT DISTINCT episode_id FROM v_bank WHERE vec_id % 2 = 0 INTERSECT SELECT DISTINCT episode_id FROM v_bank WHERE vec_id % 2 = 1 AND vec_id % 20 > 10) AS x")
+def j23(spark: SparkSession, sf: str) -> DataFrame:
+    b = entries(spark, sf)
+    return b.where("exemplar_id % 2 = 0").select("episode_id").intersect(b.where("exemplar_id % 2 = 1 AND exemplar_id % 20 > 10").select("episode_id")).agg(F.count("*").alias("shared"))
+
+
+@query("src13_accepted_union", "SELECT CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source_set, count(*) AS labels FROM v_bank GROUP BY ALL")
+def src13(spark: SparkSession, sf: str) -> DataFrame:
+    from trackloom.sources.episodes import accepted
+
+    rows = entries(spark, sf).select("exemplar_id", "episode_id", "camera", F.col("exemplar_id").alias("frame_idx"), "object_id", F.lit(True).alias("human_confirmed"))
+    return accepted(("even", rows.where("exemplar_id % 2 = 0")), ("odd", rows.where("exemplar_id % 2 = 1"))).groupBy("source_set").agg(F.count("*").alias("labels"))
