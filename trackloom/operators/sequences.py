@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Rows of a fold's output in a batch.
+FOLD_ROWS = 5000
 STREAM = ["episode_id", "camera"]
 
 
@@ -95,13 +99,21 @@ def evenly(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFram
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Iterator[dict]], Iterator[dict]], schema: StructType | str) -> DataFrame:
     """Folds each group's rows in order with a Python function of dicts; for rules whose state no window can hold.
 
-    A group is one object of one stream, so it fits a task. An empty table gives no rows.
+    Groups are streamed through sorted partitions: a group's rows are never held at once, and many small groups share
+    a batch. An empty table gives no rows.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").astype(object).where(pdf.notna(), None).to_dict("records")
-        return pd.DataFrame(list(fold(iter(rows))), columns=names)
-
-    out = df.sparkSession.createDataFrame([], schema)
-    names = out.columns
-    return df.groupBy(*keys).applyInPandas(run, out.schema)
+    out = df.sparkSession.createDataFrame([], schema).schema
+    kinds = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        held: list[dict] = []
+        for _, group in groupby(rows, key=lambda r: [r[k] for k in keys]):
+            for row in fold(group):
+                held.append(row)
+                if len(held) >= FOLD_ROWS:
+                    yield pa.RecordBatch.from_pylist(held, schema=kinds)
+                    held = []
+        yield pa.RecordBatch.from_pylist(held, schema=kinds)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)

@@ -1 +1,203 @@
-"""Queries."""
+"""Queries over jobs, review queues and selections."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from trackloom.functions.boxes import stable_seed
+from trackloom.operators import queues as Q
+from trackloom.operators import sequences as S
+from trackloom.registry import query
+from trackloom.sources.fixtures import view
+
+
+@query("a18_status", "SELECT status, count(*) AS jobs FROM v_jobs GROUP BY ALL")
+def a18(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.status_rollup(view(spark, sf, "v_jobs"))
+
+
+@query("a18_tasks", "SELECT task_id, count(*) AS jobs, count(*) FILTER (status = 'done') AS done FROM v_jobs GROUP BY ALL")
+def a18b(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.task_progress(view(spark, sf, "v_jobs"))
+
+
+@query("a18_finished_episodes", "SELECT episode_id FROM v_jobs GROUP BY ALL HAVING bool_and(status = 'done')")
+def a18c(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.finished_episodes(view(spark, sf, "v_jobs"))
+
+
+@query("a18_latest", "SELECT job_id, status FROM v_jobs ORDER BY updated DESC, job_id LIMIT 100")
+def a18d(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.latest(view(spark, sf, "v_jobs")).select("job_id", "status")
+
+
+@query("a3_throughput", "SELECT coalesce(CAST(task_id AS VARCHAR), 'all') AS task, count(*) AS jobs, round(sum(seconds), 3) AS seconds, round(count(*) / sum(seconds), 6) AS rate, round(max(seconds), 5) AS peak FROM v_jobs GROUP BY ROLLUP (task_id)")
+def a3(spark: SparkSession, sf: str) -> DataFrame:
+    out = view(spark, sf, "v_jobs").rollup("task_id").agg(F.count("*").alias("jobs"), F.round(F.sum("seconds"), 3).alias("seconds"), F.round(F.count("*") / F.sum("seconds"), 6).alias("rate"), F.round(F.max("seconds"), 5).alias("peak"))
+    return out.select(F.coalesce(F.col("task_id").cast("string"), F.lit("all")).alias("task"), "jobs", "seconds", "rate", "peak")
+
+
+@query("w25_next_jobs", "SELECT job_id, priority FROM v_jobs WHERE status = 'pending' ORDER BY priority, job_id LIMIT 8")
+def w25(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.next_jobs(view(spark, sf, "v_jobs"), 8).select("job_id", "priority")
+
+
+@query("r12_job_priority", "SELECT job_id, CASE WHEN episode_id % 10 = 0 THEN 0 WHEN row_number() OVER (PARTITION BY task_id, priority % 2 ORDER BY episode_id, job_id) = 1 THEN 10 ELSE 20 END AS rank FROM v_jobs")
+def r12(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.priorities(view(spark, sf, "v_jobs").withColumn("side", F.col("priority") % 2), F.col("episode_id") % 10 == 0).select("job_id", "rank")
+
+
+@query("st13_queue_lifecycle", """
+WITH RECURSIVE e AS (SELECT l_orderkey AS job_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS seq, CASE l_partkey % 5 WHEN 0 THEN 'finish' WHEN 1 THEN 'fail' WHEN 2 THEN 'dead' ELSE 'claim' END AS kind FROM lineitem WHERE l_orderkey % 10 = 0),
+fold AS (SELECT job_id, 0::BIGINT AS seq, 'pending' AS status, 0 AS attempts FROM v_jobs WHERE job_id % 10 = 0
+ UNION ALL SELECT f.job_id, e.seq, CASE WHEN kind = 'claim' AND status = 'pending' THEN 'running' WHEN kind = 'finish' AND status = 'running' THEN 'done' WHEN kind IN ('fail', 'dead') AND status = 'running' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE status END,
+  CASE WHEN kind = 'claim' AND status = 'pending' THEN attempts + 1 ELSE attempts END FROM fold f JOIN e ON e.job_id = f.job_id AND e.seq = f.seq + 1)
+SELECT job_id, arg_max(status, seq) AS status, arg_max(attempts, seq) AS attempts FROM fold GROUP BY ALL""")
+def st13(spark: SparkSession, sf: str) -> DataFrame:
+    li = view(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    seq = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
+    kind = F.when(F.col("l_partkey") % 5 == 0, "finish").when(F.col("l_partkey") % 5 == 1, "fail").when(F.col("l_partkey") % 5 == 2, "dead").otherwise("claim")
+    events = li.select(F.col("l_orderkey").alias("job_id"), seq.cast("long").alias("seq"), kind.alias("kind"))
+    jobs = view(spark, sf, "v_jobs").where("job_id % 10 = 0").select("job_id", F.lit("pending").alias("status"), F.lit(0).alias("attempts"))
+    return Q.applied(jobs, events)
+
+
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples that ask for review: unknown predictions and wrong ones."""
+    x = view(spark, sf, "v_vis")
+    reason = F.when(F.col("pred_visible").isNull(), "unknown_prediction").when(F.col("pred_visible") != F.col("gt_visibility").isin("visible", "partial_occlusion"), "visibility_disagreement")
+    return x.withColumn("reason", reason).where("reason IS NOT NULL").select("clip_id", "object_id", "frame_idx", "reason")
+
+
+_REQ = "req AS (SELECT clip_id, object_id, frame_idx, CASE WHEN pred_visible IS NULL THEN 'unknown_prediction' ELSE 'visibility_disagreement' END AS reason FROM v_vis WHERE pred_visible IS NULL OR pred_visible <> (gt_visibility IN ('visible', 'partial_occlusion')))"
+
+
+@query("w10_review_cooldown", f"""
+WITH RECURSIVE {_REQ}, r AS (SELECT clip_id, object_id, reason, frame_idx, row_number() OVER (PARTITION BY clip_id, object_id, reason ORDER BY frame_idx) AS n FROM (SELECT DISTINCT * FROM req) AS d),
+fold AS (SELECT clip_id, object_id, reason, frame_idx, n, frame_idx AS last, true AS kept FROM r WHERE n = 1
+ UNION ALL SELECT r.clip_id, r.object_id, r.reason, r.frame_idx, r.n, CASE WHEN r.frame_idx - f.last >= 90 THEN r.frame_idx ELSE f.last END, r.frame_idx - f.last >= 90 FROM fold f JOIN r ON f.clip_id = r.clip_id AND f.object_id = r.object_id AND f.reason = r.reason AND r.n = f.n + 1)
+SELECT clip_id, object_id, reason, frame_idx FROM fold WHERE kept""")
+def w10(spark: SparkSession, sf: str) -> DataFrame:
+    return S.cooldown(requests(spark, sf), ["clip_id", "object_id", "reason"], "frame_idx", 90)
+
+
+@query("w11_dense_cooldown", f"""
+WITH RECURSIVE {_REQ}, r AS (SELECT clip_id, object_id, chunk, frame_idx, row_number() OVER (PARTITION BY clip_id, object_id, chunk ORDER BY frame_idx) AS n FROM (SELECT DISTINCT clip_id, object_id, frame_idx // 120 AS chunk, frame_idx FROM req) AS d),
+fold AS (SELECT clip_id, object_id, chunk, frame_idx, n, frame_idx AS last, true AS kept FROM r WHERE n = 1
+ UNION ALL SELECT r.clip_id, r.object_id, r.chunk, r.frame_idx, r.n, CASE WHEN r.frame_idx - f.last >= 30 THEN r.frame_idx ELSE f.last END, r.frame_idx - f.last >= 30 FROM fold f JOIN r ON f.clip_id = r.clip_id AND f.object_id = r.object_id AND f.chunk = r.chunk AND r.n = f.n + 1)
+SELECT clip_id, object_id, chunk, frame_idx FROM fold WHERE kept""")
+def w11(spark: SparkSession, sf: str) -> DataFrame:
+    x = requests(spark, sf).withColumn("chunk", F.floor(F.col("frame_idx") / 120).cast("long"))
+    return S.cooldown(x, ["clip_id", "object_id", "chunk"], "frame_idx", 30)
+
+
+@query("w12_spaced_choice")
+def w12(spark: SparkSession, sf: str) -> DataFrame:
+    x = requests(spark, sf).groupBy("clip_id", "frame_idx").agg(F.sum(F.when(F.col("reason") == "unknown_prediction", 2).otherwise(1)).alias("weight"))
+    return S.spaced(x, ["clip_id"], "frame_idx", [-F.col("weight")])
+
+
+@query("w13_riskiest_frame", f"WITH {_REQ}, s AS (SELECT clip_id, frame_idx, CASE WHEN bool_or(reason = 'unknown_prediction') THEN 3 ELSE 1 END AS score FROM req GROUP BY ALL) SELECT clip_id, frame_idx, score FROM s QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY score DESC, abs(frame_idx - 150), frame_idx) = 1")
+def w13(spark: SparkSession, sf: str) -> DataFrame:
+    s = requests(spark, sf).groupBy("clip_id", "frame_idx").agg(F.max(F.when(F.col("reason") == "unknown_prediction", 3).otherwise(1)).alias("score"))
+    w = W.partitionBy("clip_id").orderBy(F.desc("score"), F.abs(F.col("frame_idx") - 150), "frame_idx")
+    return s.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+@query("w26_review_bundles", f"""WITH {_REQ} SELECT clip_id, frame_idx // 90 AS bundle, count(*) AS triggers, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons, greatest(0, min(frame_idx) - 15) AS "start", max(frame_idx) + 15 AS stop, 'pending' AS status FROM req GROUP BY ALL""")
+def w26(spark: SparkSession, sf: str) -> DataFrame:
+    return S.bundle(requests(spark, sf), ["clip_id"], "frame_idx", 90)
+
+
+@query("f12_stable_seed", "SELECT doc_id, CAST(('0x' || substr(sha256('cal64/' || doc_id), 1, 8)) AS BIGINT) AS seed FROM documents")
+def f12(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "documents").select("doc_id", stable_seed(F.col("doc_id"), "cal64").alias("seed"))
+
+
+def episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as episodes of thirty tasks, left or right; two tasks' sides are partly unknown."""
+    k = F.col("c_custkey")
+    return view(spark, sf, "customer").select((k % 30).alias("task_id"), k.alias("episode_id"), F.when((k % 30 > 1) | (k % 7 > 0), F.when(k % 4 < 2, "left").otherwise("right")).alias("side"))
+
+
+_EP = "ep AS (SELECT c_custkey % 30 AS task_id, c_custkey AS episode_id, CASE WHEN c_custkey % 30 > 1 OR c_custkey % 7 > 0 THEN CASE WHEN c_custkey % 4 < 2 THEN 'left' ELSE 'right' END END AS side, CAST(('0x' || substr(sha256('select/' || c_custkey), 1, 8)) AS BIGINT) AS h FROM customer)"
+
+
+@query("r1_episode_selection", f"WITH {_EP}, s AS (SELECT *, bool_and(side IS NOT NULL) OVER (PARTITION BY task_id) AS sided FROM ep), n AS (SELECT *, row_number() OVER (PARTITION BY task_id, CASE WHEN sided THEN side ELSE 'any' END ORDER BY h, episode_id) AS n FROM s) SELECT task_id, episode_id, side FROM n WHERE n <= CASE WHEN NOT sided THEN 5 WHEN side = 'left' THEN 3 ELSE 2 END")
+def r1(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.select_episodes(episodes(spark, sf), 5, "select").drop("h")
+
+
+def clips(spark: SparkSession, sf: str) -> DataFrame:
+    x = view(spark, sf, "supplier").select(F.col("s_suppkey").alias("clip_id"), (F.col("s_suppkey") % 60).alias("episode_id"), (F.col("s_suppkey") % 20).alias("task_id"))
+    i = F.col("clip_id") % 3
+    return x.withColumn("camera", F.when(i == 0, "head").when(i == 1, "left_wrist").otherwise("right_wrist")).withColumn("horizon", F.col("clip_id") % 4).withColumn("h", stable_seed(F.col("clip_id"), "clip"))
+
+
+@query("r2_balanced_clips")
+def r2(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.balanced_clips(clips(spark, sf), 24)
+
+
+@query("r3_diagnostic_split", "WITH c AS (SELECT s_suppkey AS clip_id, s_suppkey % 20 AS task_id, CAST(('0x' || substr(sha256('clip/' || s_suppkey), 1, 8)) AS BIGINT) AS h FROM supplier), f AS (SELECT *, count(*) OVER (PARTITION BY task_id) AS n, row_number() OVER (PARTITION BY task_id ORDER BY h, clip_id) AS i FROM c) SELECT task_id, clip_id FROM f WHERE n >= 2 AND i = 1 ORDER BY h, clip_id LIMIT 16")
+def r3(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.diagnostic_split(clips(spark, sf))
+
+
+@query("r4_least_counted")
+def r4(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.least_counted(clips(spark, sf), 16)
+
+
+@query("r5_horizon_windows", "SELECT clip_id, sample_id, frame_idx AS anchor, [8, 16, 32][CAST(sample_id % 3 AS INT) + 1] AS horizon, greatest(0, least(frame_idx - 16 - [8, 16, 32][CAST(sample_id % 3 AS INT) + 1] // 2, 300 - 64)) AS \"start\" FROM v_vis")
+def r5(spark: SparkSession, sf: str) -> DataFrame:
+    x = view(spark, sf, "v_vis").select("clip_id", "sample_id", F.col("frame_idx").alias("anchor"), F.col("sample_id").alias("ordinal"), F.lit(300).alias("frames"))
+    return Q.windows(x).select("clip_id", "sample_id", "anchor", "horizon", "start")
+
+
+@query("r11_task_objects", "SELECT t.range AS task_id, CASE WHEN t.range = 22 THEN 8 WHEN t.range = 23 THEN 5 ELSE o.range END AS object_id FROM range(30) AS t, range(3) AS o GROUP BY ALL")
+def r11(spark: SparkSession, sf: str) -> DataFrame:
+    own = F.when(F.col("task_id") == 22, F.array(F.lit(8))).when(F.col("task_id") == 23, F.array(F.lit(5))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    return spark.range(30).select(F.col("id").alias("task_id")).select("task_id", F.explode(own.cast("array<bigint>")).alias("object_id"))
+
+
+@query("src2_dataset_paths", "SELECT doc_id AS episode_index, doc_id // 100 AS chunk, printf('data/chunk-%03d/episode_%06d.parquet', doc_id // 100, doc_id) AS path FROM documents")
+def src2(spark: SparkSession, sf: str) -> DataFrame:
+    from trackloom.sources.episodes import chunked_paths
+
+    return chunked_paths(view(spark, sf, "documents").select(F.col("doc_id").alias("episode_index")), chunks_size=100)
+
+
+@query("src7_layer_completeness", "SELECT clip_id, count(*) AS rows_, count(DISTINCT frame_idx) AS frames FROM v_vis WHERE frame_idx BETWEEN 50 AND 100 GROUP BY ALL")
+def src7(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "v_vis").where("frame_idx BETWEEN 50 AND 100").groupBy("clip_id").agg(F.count("*").alias("rows_"), F.count_distinct("frame_idx").alias("frames"))
+
+
+@query("pf14_safe_names", "SELECT count(*) AS names, count(*) FILTER (regexp_matches(url, '^(/|[A-Za-z]:)|(^|[/\\\\])\\.\\.([/\\\\]|$)')) AS unsafe, count(*) FILTER (regexp_matches(url, '^[A-Za-z0-9][A-Za-z0-9_.-]*$')) AS ids FROM pages")
+def pf14(spark: SparkSession, sf: str) -> DataFrame:
+    from trackloom.sources.episodes import safe_id, safe_path
+
+    return view(spark, sf, "pages").agg(F.count("*").alias("names"), F.count_if(~safe_path(F.col("url"))).alias("unsafe"), F.count_if(safe_id(F.col("url"))).alias("ids"))
+
+
+@query("f15_natural_order", "SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part")
+def f15(spark: SparkSession, sf: str) -> DataFrame:
+    from trackloom.functions.boxes import natural_key
+
+    name = F.concat(F.lit("frame_"), F.col("p_partkey"), F.lit(".png"))
+    return view(spark, sf, "part").select("p_partkey", "p_name", F.row_number().over(W.partitionBy("p_brand").orderBy(natural_key(name))).alias("place"))
+
+
+@query("f22_json_access", "SELECT event_type, count(*) AS rows_, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL")
+def f22(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("rows_"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
+
+
+@query("snk4_report", "SELECT gt_visibility, coalesce(format('{:.3f}', avg(iou) FILTER (pred_visible AND gt_visibility <> 'unknown')), 'N/A') AS iou FROM v_vis GROUP BY ALL")
+def snk4(spark: SparkSession, sf: str) -> DataFrame:
+    from trackloom.sources.sinks import shown
+
+    x = view(spark, sf, "v_vis").groupBy("gt_visibility").agg(F.avg(F.when(F.col("pred_visible") & (F.col("gt_visibility") != "unknown"), F.col("iou"))).alias("v"))
+    return x.select("gt_visibility", shown(F.col("v"), 3).alias("iou"))

@@ -98,4 +98,7 @@ def duck(body: str) -> str:
     if not parts:
         return body
     inner = body.lstrip()
-    return f"WITH {parts}{',' + inner[4:] if inner[:5].upper() == 'WITH ' else chr(10) + inner}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if inner.startswith(start):
+            return f"{start}{parts},\n{inner[len(start):]}"
+    return f"WITH {parts}\n{inner}"
