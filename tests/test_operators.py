@@ -208,3 +208,17 @@ def test_empty_tables(spark):
     assert detections.choose(detections.best(none, ["t"])).count() == 0
     assert detections.suppress(none, ["frame_idx"], ["t"]).count() == 0
     assert audit.assign(spark.createDataFrame([], "k long, gt long, pred long, iou double"), ["k"]).count() == 0
+
+
+def test_plug_points(spark):
+    from trackloom.functions import plugs
+
+    frames = spark.createDataFrame([(1, "head", f) for f in range(3)], "episode_id long, camera string, frame_idx long")
+
+    def stub():  # stands in for a detector; it finds one box a frame
+        return lambda rows: [{**r, "object_id": 1, "confidence": 0.5, "x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0} for r in rows]
+
+    assert plugs.detect(frames, stub).count() == 3
+    spans = spark.createDataFrame([("c", 1, 0, f) for f in (2, 0, 1)], "clip_id string, object_id long, seed_frame long, frame_idx long")
+    got = plugs.propagate(spans, lambda: lambda rows: ({**r, "n": k} for k, r in enumerate(rows)), "clip_id string, object_id long, seed_frame long, frame_idx long, n long").collect()
+    assert {(r["frame_idx"], r["n"]) for r in got} == {(0, 0), (1, 1), (2, 2)}

@@ -121,9 +121,9 @@ def a12(spark: SparkSession, sf: str) -> DataFrame:
     return _truth(spark, sf).groupBy("mode").agg(F.count("*").alias("covered"), F.count_if("oracle").alias("possible"), F.round(n / F.count("*"), 6).alias("of_covered"), F.round(n / F.nullif(F.count_if("oracle"), F.lit(0)), 6).alias("of_possible"))
 
 
-@query("a13_camera_mode_summary", f"WITH {_retrieved(True)}, {_MODES} SELECT coalesce(camera, 'all') AS camera, mode, count(*) AS n, round(avg(score), 5) AS mean_score FROM modes GROUP BY GROUPING SETS ((camera, mode), (mode))")
+@query("a13_camera_mode_summary", f"WITH {_retrieved(True)}, {_MODES} SELECT coalesce(camera, 'all') AS camera, mode, count(*) AS n, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS BIGINT) AS score_millionths FROM modes GROUP BY GROUPING SETS ((camera, mode), (mode))")
 def a13(spark: SparkSession, sf: str) -> DataFrame:
-    out = by_mode(spark, sf).groupingSets([["camera", "mode"], ["mode"]], "camera", "mode").agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean_score"))
+    out = by_mode(spark, sf).groupingSets([["camera", "mode"], ["mode"]], "camera", "mode").agg(F.count("*").alias("n"), F.sum(F.round(F.col("score") * 1_000_000).cast("long")).alias("score_millionths"))
     return out.withColumn("camera", F.coalesce("camera", F.lit("all")))
 
 
