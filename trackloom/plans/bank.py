@@ -52,11 +52,11 @@ def f7(spark: SparkSession, sf: str) -> DataFrame:
     return entries(spark, sf).groupBy("object_id", "camera").agg(F.round(F.avg(boxes.cosine(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))
 
 
-@query("f8_rank_score", f"WITH {_retrieved(True)} SELECT query_id, round(CASE WHEN similarity IS NULL THEN detector_score ELSE 0.25::DOUBLE * detector_score + 0.75::DOUBLE * similarity + 0.25::DOUBLE * coalesce(margin, 0) END, 5) AS score FROM retrieved")
+@query("f8_rank_score", f"WITH {_retrieved(True)} SELECT query_id, round(CASE WHEN similarity IS NULL THEN detector_score ELSE 0.25::DOUBLE * detector_score + 0.75::DOUBLE * similarity + 0.25::DOUBLE * coalesce(margin, 0) END, 8) AS score FROM retrieved")
 def f8(spark: SparkSession, sf: str) -> DataFrame:
     q = asked(spark, sf)
     x = B.retrieve(q, entries(spark, sf)).where("status = 'retrieved'").join(q.select("query_id", "q_detector"), "query_id")
-    return x.select("query_id", F.round(boxes.rank_score(F.col("q_detector"), F.col("similarity"), F.col("margin")), 5).alias("score"))
+    return x.select("query_id", F.round(boxes.rank_score(F.col("q_detector"), F.col("similarity"), F.col("margin")), 8).alias("score"))
 
 
 @query("w18_top3_exemplars", f"WITH {_SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, exemplar_id) AS place FROM sims WHERE positive) SELECT query_id, exemplar_id, sim, place FROM r WHERE place <= 3")
@@ -65,14 +65,14 @@ def w18(spark: SparkSession, sf: str) -> DataFrame:
     return B.top(pairs, 3).select("query_id", "exemplar_id", "sim", "place")
 
 
-_MODES = "modes AS (SELECT query_id, object_id, camera, m.mode, CASE m.mode WHEN 'detector' THEN detector_score WHEN 'similarity' THEN similarity WHEN 'margin' THEN margin ELSE round(0.25::DOUBLE * detector_score + 0.75::DOUBLE * similarity + 0.25::DOUBLE * coalesce(margin, 0), 5) END AS score FROM retrieved, (VALUES ('detector'), ('similarity'), ('margin'), ('hybrid')) AS m(mode))"
+_MODES = "modes AS (SELECT query_id, object_id, camera, m.mode, CASE m.mode WHEN 'detector' THEN detector_score WHEN 'similarity' THEN similarity WHEN 'margin' THEN margin ELSE round(0.25::DOUBLE * detector_score + 0.75::DOUBLE * similarity + 0.25::DOUBLE * coalesce(margin, 0), 8) END AS score FROM retrieved, (VALUES ('detector'), ('similarity'), ('margin'), ('hybrid')) AS m(mode))"
 
 
 def by_mode(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, object_id, camera, mode, score) of four ways to score the same candidates, scored once."""
     q = asked(spark, sf)
     x = B.retrieve(q, entries(spark, sf)).where("status = 'retrieved'").join(q.select("query_id", "q_detector", F.col("q_object_id").alias("object_id"), F.col("q_camera").alias("camera")), "query_id")
-    hybrid = F.round(boxes.rank_score(F.col("q_detector"), F.col("similarity"), F.col("margin")), 5)
+    hybrid = F.round(boxes.rank_score(F.col("q_detector"), F.col("similarity"), F.col("margin")), 8)
     modes = F.array(*[F.struct(F.lit(n).alias("mode"), c.alias("score")) for n, c in (("detector", F.col("q_detector")), ("similarity", F.col("similarity")), ("margin", F.col("margin")), ("hybrid", hybrid))])
     return x.select("query_id", "object_id", "camera", F.inline(modes))
 
@@ -121,9 +121,9 @@ def a12(spark: SparkSession, sf: str) -> DataFrame:
     return _truth(spark, sf).groupBy("mode").agg(F.count("*").alias("covered"), F.count_if("oracle").alias("possible"), F.round(n / F.count("*"), 6).alias("of_covered"), F.round(n / F.nullif(F.count_if("oracle"), F.lit(0)), 6).alias("of_possible"))
 
 
-@query("a13_camera_mode_summary", f"WITH {_retrieved(True)}, {_MODES} SELECT coalesce(camera, 'all') AS camera, mode, count(*) AS n, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS BIGINT) AS score_millionths FROM modes GROUP BY GROUPING SETS ((camera, mode), (mode))")
+@query("a13_camera_mode_summary", f"WITH {_retrieved(True)}, {_MODES} SELECT coalesce(camera, 'all') AS camera, mode, count(*) AS n, CAST(sum(CAST(round(score * 100000000) AS BIGINT)) AS BIGINT) AS score_units FROM modes GROUP BY GROUPING SETS ((camera, mode), (mode))")
 def a13(spark: SparkSession, sf: str) -> DataFrame:
-    out = by_mode(spark, sf).groupingSets([["camera", "mode"], ["mode"]], "camera", "mode").agg(F.count("*").alias("n"), F.sum(F.round(F.col("score") * 1_000_000).cast("long")).alias("score_millionths"))
+    out = by_mode(spark, sf).groupingSets([["camera", "mode"], ["mode"]], "camera", "mode").agg(F.count("*").alias("n"), F.sum(F.round(F.col("score") * 100_000_000).cast("long")).alias("score_units"))
     return out.withColumn("camera", F.coalesce("camera", F.lit("all")))
 
 

@@ -125,9 +125,9 @@ def episodes(spark: SparkSession, sf: str) -> DataFrame:
 _EP = "ep AS (SELECT c_custkey % 30 AS task_id, c_custkey AS episode_id, CASE WHEN c_custkey % 30 > 1 OR c_custkey % 7 > 0 THEN CASE WHEN c_custkey % 4 < 2 THEN 'left' ELSE 'right' END END AS side, CAST(('0x' || substr(sha256('select/' || c_custkey), 1, 8)) AS BIGINT) AS h FROM customer)"
 
 
-@query("r1_episode_selection", f"WITH {_EP}, s AS (SELECT *, bool_and(side IS NOT NULL) OVER (PARTITION BY task_id) AS sided FROM ep), n AS (SELECT *, row_number() OVER (PARTITION BY task_id, CASE WHEN sided THEN side ELSE 'any' END ORDER BY h, episode_id) AS n FROM s) SELECT task_id, episode_id, side FROM n WHERE n <= CASE WHEN NOT sided THEN 5 WHEN side = 'left' THEN 3 ELSE 2 END")
+@query("r1_episode_selection", f"WITH {_EP}, s AS (SELECT *, bool_and(side IS NOT NULL) OVER (PARTITION BY task_id) AS sided FROM ep), n AS (SELECT *, row_number() OVER (PARTITION BY task_id, CASE WHEN sided THEN side ELSE 'any' END ORDER BY h, episode_id) AS n FROM s) SELECT task_id, episode_id, side FROM n WHERE n <= CASE WHEN NOT sided THEN 2 ELSE 1 END")
 def r1(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.select_episodes(episodes(spark, sf), 5, "select").drop("h")
+    return Q.select_episodes(episodes(spark, sf), 2, "select").drop("h")
 
 
 def clips(spark: SparkSession, sf: str) -> DataFrame:
