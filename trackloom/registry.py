@@ -29,4 +29,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return enter
 
 
-from trackloom.plans import audit, bank, detection, intervals, masks, queues, sequences  # noqa: E402, F401
+from trackloom.plans import audit, bank, detection, intervals, masks, more, queues, sequences  # noqa: E402, F401
