@@ -108,28 +108,25 @@ def temporal(dense: DataFrame, width: int = 640, height: int = 360) -> DataFrame
 
 
 def by_threshold(frames: DataFrame, objects: DataFrame, detections: DataFrame, ties: list[str], thresholds: tuple[float, ...] = SWEEP) -> DataFrame:
-    """Dense rows for every threshold: the box counts as found where its confidence reaches it; ``hits`` counts those that do.
+    """Dense rows with ``levels``: for every threshold the number of hits that reach it.
 
     The best detection is the same at every threshold that it reaches, so it is picked once.
     """
     w = W.partitionBy(*FRAME, "object_id").orderBy(F.desc("confidence"), *ties)
     counts = [F.sum((F.col("confidence") >= t).cast("int")).over(W.partitionBy(*FRAME, "object_id")).alias(f"n{k}") for k, t in enumerate(thresholds)]
     top = detections.select(*FRAME, "object_id", "confidence", "x0", "y0", "x1", "y1", F.row_number().over(w).alias("place"), *counts).where("place = 1").drop("place")
-    dense = skeleton(frames, objects, top)
     levels = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.coalesce(F.col(f"n{k}"), F.lit(0)).alias("hits")) for k, t in enumerate(thresholds)])
-    dense = dense.withColumn("level", F.explode(levels)).select("*", "level.threshold", F.col("level.hits").alias("hits")).drop("level", *[f"n{k}" for k in range(len(thresholds))])
-    for c in ("x0", "y0", "x1", "y1"):
-        dense = dense.withColumn(c, F.when(F.col("confidence") >= F.col("threshold"), F.col(c)))
-    return dense
+    return skeleton(frames, objects, top).withColumn("levels", levels).drop(*[f"n{k}" for k in range(len(thresholds))])
 
 
 def rollup(dense: DataFrame, width: int = 640, height: int = 360) -> DataFrame:
     """By task, camera, object and threshold: frames, detections, transitions, flags, their shares, and quantiles of motion."""
-    w = W.partitionBy(*STREAM, "object_id", "threshold").orderBy("frame_idx")
-    for c in ("x0", "y0", "x1", "y1"):
+    w = W.partitionBy(*STREAM, "object_id").orderBy("frame_idx")
+    for c in ("confidence", "x0", "y0", "x1", "y1"):
         dense = dense.withColumn(f"p_{c}", F.lag(c).over(w))
-    dense = dense.withColumn("later", F.row_number().over(w) > 1)
-    now, before = F.col("x0").isNotNull(), F.col("p_x0").isNotNull()
+    # rows are multiplied by thresholds after the sort, on their way into the aggregate
+    dense = dense.withColumn("later", F.row_number().over(w) > 1).select("*", F.inline("levels"))
+    now, before = F.coalesce(F.col("confidence") >= F.col("threshold"), F.lit(False)), F.coalesce(F.col("p_confidence") >= F.col("threshold"), F.lit(False))
     m = {k: F.when(now & before & F.col("later"), v) for k, v in boxes.motion(boxes.box("p_"), boxes.box(), width, height).items()}
     flags = {
         "low_iou": m["iou"] < 0.05,
