@@ -227,3 +227,19 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: class_id, copy_id, n_links."""
     arrow_batches(spark)
     return join(docs_table(spark, sf_dir))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y, c = a.n AND c = b.n AS equal FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.8::DOUBLE * (a.n + b.n - c) - 1e-9::DOUBLE),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+classes AS (SELECT x, min(y) AS low FROM reach GROUP BY x),
+own AS (SELECT x, count(*) AS n_links, min(CASE WHEN equal THEN y END) AS copy FROM links GROUP BY x)
+SELECT d.doc_id, least(d.doc_id, coalesce(low, d.doc_id)) AS class_id, least(d.doc_id, coalesce(copy, d.doc_id)) AS copy_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN classes c ON d.doc_id = c.x LEFT JOIN own o ON d.doc_id = o.x
+"""

@@ -7,7 +7,7 @@ from trackloom.llm.chat import OP6_SQL, op6_chat
 from trackloom.llm.chroma import op9_chroma
 from trackloom.llm.decontaminate import OP4_SQL, op4_decontaminate
 from trackloom.llm.linededup import OP5_SQL, op5_line_dedup
-from trackloom.llm.ngramjoin import op2_ngram_join
+from trackloom.llm.ngramjoin import OP2_SQL, op2_ngram_join
 from trackloom.llm.quality import op8_quality
 from trackloom.llm.repeats import op3_repeats
 from trackloom.llm.toxicity import op1_toxicity
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_chroma": op9_chroma,
     "op10_warc": op10_warc,
 }
-ORACLES = {"op4_decontaminate": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op2_ngram_join": OP2_SQL, "op4_decontaminate": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op10_warc": OP10_SQL}
