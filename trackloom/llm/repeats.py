@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,7 +238,7 @@ class Suffixes:
 
     def send(self, name: int) -> pa.Table:
         """Third pass: distinct suffixes by shard, each with the least document that has it."""
-        rows = [(s, name, self.rows[a:b].tobytes(), self.least[a:b].astype("<i8").tobytes()) for s, a, b in _by_shard(self.shard)]
+        rows = [(s, name, zstandard.compress(self.rows[a:b].tobytes(), 1), self.least[a:b].astype("<i8").tobytes()) for s, a, b in _by_shard(self.shard)]
         return _table(rows, shard=pa.int32(), block=pa.int32(), suffixes=pa.binary(), least=pa.binary())
 
 
@@ -246,7 +247,7 @@ class Shard:
 
     def __init__(self, t: pa.Table) -> None:
         self.blocks = t["block"].to_pylist()
-        parts = [np.frombuffer(x, np.uint8).reshape(-1, WIDTH) for x in t["suffixes"].to_pylist()]
+        parts = [np.frombuffer(zstandard.decompress(x), np.uint8).reshape(-1, WIDTH) for x in t["suffixes"].to_pylist()]
         least = np.concatenate([np.frombuffer(x, "<i8") for x in t["least"].to_pylist()])
         self.sizes = [len(p) for p in parts]
         rows = np.concatenate(parts)
