@@ -170,6 +170,22 @@ def test_chroma_search_equals_brute_force(spark):
     assert chroma.search(prints.limit(0)).count() == 0
 
 
+def test_chroma_search_all_has_every_pair_of_queries(spark):
+    r = np.random.default_rng(5)
+    song = r.normal(0, 0.125, 64)
+    rows = [(k, [float(x) for x in song + 0.002 * r.normal(0, 1, 64)]) for k in range(12)] + [(13, [float(x) for x in r.normal(0, 0.125, 64)]), (14, None)]
+    rows += [(16, rows[1][1]), (17, rows[5][1])]
+    prints = chroma.fingerprints(chroma.recordings(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), "vec_id", "pcm")
+    held = {x["k"]: np.array(x["prints"], np.int64) for x in prints.collect()}
+    first = {k: min(j for j in held if np.array_equal(held[j], own)) for k, own in held.items()}
+    want = sorted((k, q, *m) for q in (0, 5, 10) if q == min(x for x in (0, 5, 10) if first[x] == first[q]) for k in set(first.values()) for _, *m in chroma.Index([held[k]]).matches(held[q]))
+    got = chroma.search_all(prints, every=5).collect()
+    assert sorted((x["k"], x["query"], x["offset"], x["overlap"], x["bit_errors"]) for x in got if x["query"] is not None) == want
+    assert {(x["k"], x["class_id"]) for x in got} == set(first.items())
+    assert {(0, 0), (0, 5), (10, 0)} <= {(x[0], x[1]) for x in want}
+    assert chroma.search_all(prints.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_zip_ranges(zip64):
     import io

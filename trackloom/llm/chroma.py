@@ -28,7 +28,7 @@ LEVELS, GRAY = np.array([-0.1, 0.0, 0.1]), np.array([0, 1, 3, 2], np.int64)
 #: Largest share of unequal bits of a match, least frames of overlap, least integers shared at its offset.
 MAX_BIT_ERRORS, MIN_OVERLAP, MIN_VOTES = 0.20, 16, 2
 #: Queries that a task compares at once, and classes in a bucket of the index.
-QUERY_BLOCK, BUCKET = 4096, 2000
+QUERY_BLOCK, BUCKET = 1024, 2000
 NOTES = np.array([220.0 * 2 ** (k / 12) for k in range(24)])
 
 
@@ -158,18 +158,15 @@ def recordings(embeddings: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "vec_id long, pcm binary")
 
 
-def search(prints: DataFrame, every: int = 100) -> DataFrame:
-    """(k, class_id, query, offset, overlap, bit_errors): for each recording the query that it matches best.
-
-    Queries are the recordings whose id is divisible by ``every``, all against all rows. Equal fingerprints are one class, whose
-    id is its smallest; classes are compared, blocks of queries with buckets of classes, and every recording gets its class's result.
-    A match shares MIN_VOTES integers at its offset, overlaps by MIN_OVERLAP frames (or the shorter recording) and has at most
-    MAX_BIT_ERRORS unequal bits; the fewest errors win, then the smallest query. A recording without a match, or without
-    frames, has nulls; one with a null id is no query. Repeated rows stay repeated.
-    """
+def _classed(prints: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their code, classes of equal fingerprints: code, class_id, the smallest query in it, prints)."""
     keyed = prints.withColumn("code", F.sha2(F.array_join("prints", ","), 256))
     classes = keyed.groupBy("code").agg(F.min("k").alias("class_id"), F.min(F.when(F.col("k") % every == 0, F.col("k"))).alias("query"), F.first("prints").alias("prints"))
-    classes = checkpointed(classes)
+    return keyed, checkpointed(classes)
+
+
+def _found(classes: DataFrame) -> DataFrame:
+    """(code, query, offset, overlap, bit_errors): every match of a class of queries with a class."""
     asked, total = classes.agg(F.count("query"), F.count("*")).first()
     parts, buckets = max(1, -(-asked // QUERY_BLOCK)), max(1, -(-total // BUCKET))
 
@@ -177,31 +174,54 @@ def search(prints: DataFrame, every: int = 100) -> DataFrame:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     # a stated set of queries against all classes, in blocks
-    queries = classes.where("query is not null and size(prints) > 0").select("query", "prints", F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int").alias("part"), numbers(buckets).alias("bucket"))
+    queries = classes.where("query is not null and size(prints) > 0").select("query", F.col("prints").alias("own"), F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int").alias("part"), numbers(buckets).alias("bucket"))
     targets = classes.where("size(prints) > 0").select("code", "prints", F.pmod(F.xxhash64("code"), F.lit(buckets)).cast("int").alias("bucket"), numbers(parts).alias("part"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        best: dict[int, tuple] = {}
-        codes = left["code"].to_pylist()
         index = Index([np.array(p, np.int64) for p in left["prints"].to_pylist()])
-        for query, own in zip(right["query"].to_pylist(), right["prints"].to_pylist()):
-            for k, offset, overlap, errors in index.matches(np.array(own, np.int64)):
-                entry = (errors, query, offset, overlap)
-                if k not in best or entry < best[k]:
-                    best[k] = entry
-        rows = [(codes[k], *e) for k, e in best.items()]
-        kinds = [("code", pa.string()), ("bit_errors", pa.float64()), ("query", pa.int64()), ("offset", pa.int32()), ("overlap", pa.int32())]
-        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds)})
-
-    found = targets.groupBy("bucket", "part").cogroup(queries.groupBy("bucket", "part")).applyInArrow(compare, "code string, bit_errors double, query long, offset int, overlap int")
-    best = found.groupBy("code").agg(F.min(F.struct("bit_errors", "query", "offset", "overlap")).alias("m")).select("code", "m.*")
+        names, kinds = ("at", "query", "offset", "overlap", "bit_errors"), (np.int64, np.int64, np.int32, np.int32, np.float64)
+        parts = [tuple(np.zeros(0, kind) for kind in kinds)]
+        for query, own in zip(right["query"].to_pylist(), right["own"].to_pylist()):
+            rows = [(k, query, *m) for k, *m in index.matches(np.array(own, np.int64))]
+            parts += [tuple(np.array(c, kind) for c, kind in zip(zip(*rows), kinds))] if rows else []
+        found = {name: np.concatenate(c) for name, c in zip(names, zip(*parts))}
+        codes = left["code"].combine_chunks().take(pa.array(found.pop("at")))
+        return pa.table({"code": codes, **{name: pa.array(c) for name, c in found.items()}})
+
+    return targets.groupBy("bucket", "part").cogroup(queries.groupBy("bucket", "part")).applyInArrow(compare, "code string, query long, offset int, overlap int, bit_errors double")
+
+
+def search(prints: DataFrame, every: int = 100) -> DataFrame:
+    """(k, class_id, query, offset, overlap, bit_errors): for each recording the query that it matches best.
+
+    The matches are those of search_all(); the fewest errors win, then the smallest query, and every recording gets its
+    class's result. A recording without a match, or without frames, has nulls. Repeated rows stay repeated.
+    """
+    keyed, classes = _classed(prints, every)
+    best = _found(classes).groupBy("code").agg(F.min(F.struct("bit_errors", "query", "offset", "overlap")).alias("m")).select("code", "m.*")
     result = classes.select("code", "class_id").join(best, "code", "left")
     return keyed.select("k", "code").join(result, "code").select("k", "class_id", "query", "offset", "overlap", "bit_errors")
 
 
+def search_all(prints: DataFrame, every: int = 100) -> DataFrame:
+    """(k, class_id, query, offset, overlap, bit_errors): each recording's class, and every match of a class.
+
+    Queries are the recordings whose id is divisible by ``every``, all against all rows. Equal fingerprints are one class, whose
+    id is its smallest; classes are compared, blocks of queries with buckets of classes. The representative, whose id is
+    the class's, has a row for each class of queries that the class matches, ``query`` being the smallest query there; the
+    other recordings of a class have one row, with nulls, and its matches by class_id. A match shares MIN_VOTES integers at
+    its offset, overlaps by MIN_OVERLAP frames (or the shorter recording) and has at most MAX_BIT_ERRORS unequal bits. A class
+    without a match, or without frames, has nulls; a row with a null id is no query. Repeated rows stay repeated.
+    """
+    keyed, classes = _classed(prints, every)
+    found = _found(classes).withColumn("rep", F.lit(True))
+    members = keyed.select("k", "code").join(classes.select("code", "class_id"), "code").withColumn("rep", F.col("k").eqNullSafe(F.col("class_id")))
+    return members.join(found, ["code", "rep"], "left").select("k", "class_id", "query", "offset", "overlap", "bit_errors")
+
+
 def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per recording of an embedding: its class, frames' number, and the best matching query."""
+    """Per recording of an embedding its class, and per class, at its smallest id, every matching query."""
     arrow_batches(spark)
     prints = checkpointed(fingerprints(recordings(table(spark, sf_dir, "embeddings")), "vec_id", "pcm"))
-    out = search(prints)
+    out = search_all(prints)
     return out.select(F.col("k").alias("vec_id"), "class_id", "query", "offset", "overlap", "bit_errors")
