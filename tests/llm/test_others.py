@@ -170,6 +170,30 @@ def test_chroma_search_equals_brute_force(spark):
     assert chroma.search(prints.limit(0)).count() == 0
 
 
+def test_chroma_align_finds_all_that_brute_force_finds():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**24, 62)
+
+    def noisy(own, share):
+        flips = (r.random((len(own), 24)) < share) @ (1 << np.arange(24))
+        return own ^ flips
+
+    prints = [noisy(base, x) for x in (0.05, 0.12, 0.15, 0.17, 0.19, 0.25)] + [noisy(base[20:50], 0.15), np.tile(base[:9], 6), base[:5], r.integers(0, 2**24, 40), np.zeros(0, np.int64)]
+    queries = [base, np.concatenate([r.integers(0, 2**24, 7), base]), np.tile(base[:9], 3), base[2:4], np.zeros(0, np.int64)]
+    want = []
+    for q, a in enumerate(queries):
+        for t, b in enumerate(prints):
+            least, tries = min(chroma.MIN_OVERLAP, len(a), len(b)), []
+            for d in range(least - len(b), len(a) - least + 1) if least else ():
+                start, stop = max(d, 0), min(len(a), len(b) + d)
+                tries.append((chroma.bit_errors(a[start:stop], b[start - d : stop - d]), start - stop, d))
+            if tries and min(tries)[0] <= chroma.MAX_BIT_ERRORS:
+                e, n, d = min(tries)
+                want.append((q, t, d, -n, e))
+    got = sorted(zip(*(x.tolist() for x in chroma.align(queries, prints))))
+    assert got == want and {(0, k) for k in range(5)} <= {x[:2] for x in want}
+
+
 def test_chroma_search_all_has_every_pair_of_queries(spark):
     r = np.random.default_rng(5)
     song = r.normal(0, 0.125, 64)

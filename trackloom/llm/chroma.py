@@ -2,8 +2,7 @@
 
 PCM is cut into overlapping frames; each frame's spectrum is folded into twelve pitch classes. Filters over the
 chroma image, evaluated on its integral image, compare sums of rectangles; each gives two bits, and a frame's bits make one
-packed integer. Recordings that share integers are aligned by the histogram of the offsets at which they do,
-and judged by the share of unequal bits at the best offset.
+packed integer. Two recordings are compared at every offset and judged by the share of unequal bits at the best one.
 """
 
 from __future__ import annotations
@@ -25,10 +24,12 @@ FILTERS = [(kind, c, n, w) for (kind, n, w), starts in {("time", 4, 8): (0, 4, 8
 SPAN = max(w for *_, w in FILTERS)
 #: Two bits a filter from its value, Gray-coded so that neighbouring levels differ in one.
 LEVELS, GRAY = np.array([-0.1, 0.0, 0.1]), np.array([0, 1, 3, 2], np.int64)
-#: Largest share of unequal bits of a match, least frames of overlap, least integers shared at its offset.
-MAX_BIT_ERRORS, MIN_OVERLAP, MIN_VOTES = 0.20, 16, 2
-#: Queries that a task compares at once, and classes in a bucket of the index.
-QUERY_BLOCK, BUCKET = 1024, 2000
+#: Bytes of a frame's bits, and a word of ones.
+FRAME_BYTES, ALL_BITS = -(-2 * len(FILTERS) // 8), np.uint64(2**64 - 1)
+#: Largest share of unequal bits of a match, least frames of overlap.
+MAX_BIT_ERRORS, MIN_OVERLAP = 0.20, 16
+#: Queries and classes that a task compares, and queries at once.
+QUERY_BLOCK, BUCKET, ALIGNED = 1024, 2000, 16
 NOTES = np.array([220.0 * 2 ** (k / 12) for k in range(24)])
 
 
@@ -89,40 +90,80 @@ def bit_errors(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.bitwise_count(a ^ b).sum()) / (2 * len(FILTERS) * max(len(a), 1))
 
 
+def _bytes(prints: np.ndarray) -> np.ndarray:
+    """The bits of fingerprints of one length, a row of bytes each."""
+    return np.ascontiguousarray(prints.astype("<i8").view(np.uint8).reshape(len(prints), -1, 8)[:, :, :FRAME_BYTES]).reshape(len(prints), -1)
+
+
+def _aligned(queries: np.ndarray, targets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, np.ndarray]]:
+    """(query rows, target rows, offset, overlap, unequal bits) of the pairs that match, at each offset at which some do.
+
+    Fingerprints of one length in each table. Targets are packed once into words of 64 bits, queries are shifted below them.
+    """
+    (_, m), (_, n) = queries.shape, targets.shape
+    words = -(-n * FRAME_BYTES // 8)
+    held = np.zeros((len(targets), words * 8), np.uint8)
+    held[:, : n * FRAME_BYTES] = _bytes(targets)
+    held, asked = np.ascontiguousarray(held.view(np.uint64).T), _bytes(queries)
+    least = min(MIN_OVERLAP, m, n)
+    for offset in range(least - n, m - least + 1):
+        start, stop = max(offset, 0), min(m, n + offset)
+        low, high = (start - offset) * FRAME_BYTES, (stop - offset) * FRAME_BYTES
+        own, mask = np.zeros((len(queries), words * 8), np.uint8), np.zeros(words * 8, np.uint8)
+        own[:, low:high], mask[low:high] = asked[:, start * FRAME_BYTES : stop * FRAME_BYTES], 255
+        own, mask = own.view(np.uint64), mask.view(np.uint64)
+        unequal = np.zeros((len(queries), len(targets)), np.uint16)
+        for w in range(low // 8, -(-high // 8)):
+            whole = held[w] if mask[w] == ALL_BITS else held[w] & mask[w]
+            unequal += np.bitwise_count(own[:, w, None] ^ whole)
+        bits = 2 * len(FILTERS) * (stop - start)
+        at = np.nonzero(unequal <= int(MAX_BIT_ERRORS * bits) + 1)
+        good = unequal[at] / bits <= MAX_BIT_ERRORS
+        if good.any():
+            yield at[0][good], at[1][good], offset, stop - start, unequal[at][good]
+
+
+def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, target, offset, overlap, bit errors), arrays with the best offset of each pair that matches.
+
+    Frame t of a target lies at t + offset of the query. Every offset with an overlap of MIN_OVERLAP frames (or the shorter fingerprint)
+    is tried; the least share of unequal bits wins, then the longest overlap, then the least offset.
+    """
+    kinds = (np.int64, np.int64, np.int32, np.int32, np.float64)
+    out = [tuple(np.zeros(0, kind) for kind in kinds)]
+    lengths = [np.array([len(x) for x in side], np.int64) for side in (queries, targets)]
+    for m in np.unique(lengths[0][lengths[0] > 0]):
+        mine = np.flatnonzero(lengths[0] == m)
+        for n in np.unique(lengths[1][lengths[1] > 0]):
+            theirs = np.flatnonzero(lengths[1] == n)
+            held = np.stack([targets[k] for k in theirs])
+            for a in range(0, len(mine), ALIGNED):
+                part = mine[a : a + ALIGNED]
+                best: np.ndarray | None = None  # share, overlap and offset of each pair so far
+                for q, t, offset, overlap, unequal in _aligned(np.stack([queries[k] for k in part]), held):
+                    if best is None:
+                        best = np.zeros((3, len(part), len(theirs)))
+                        best[0] = 2
+                    share = unequal / (2 * len(FILTERS) * overlap)
+                    better = (share < best[0, q, t]) | (share == best[0, q, t]) & (overlap > best[1, q, t])
+                    best[:, q[better], t[better]] = share[better], np.full(better.sum(), overlap), np.full(better.sum(), offset)
+                if best is not None:
+                    q, t = np.nonzero(best[0] <= 1)
+                    out.append(tuple(x.astype(kind) for x, kind in zip((part[q], theirs[t], best[2, q, t], best[1, q, t], best[0, q, t]), kinds)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 class Index:
-    """The integers of several fingerprints, and where they are."""
+    """Several fingerprints to be searched."""
 
     def __init__(self, prints: list[np.ndarray]) -> None:
         self.prints = prints
-        self.sizes = np.array([len(p) for p in prints], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *prints])
-        order = np.argsort(flat, kind="stable")
-        self.flat = flat[order]
-        self.owner = np.repeat(np.arange(len(prints)), self.sizes)[order]
-        self.place = (np.arange(len(flat)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes))[order]
 
     def matches(self, query: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(fingerprint, offset, overlap, bit errors) of those that match: frame t of one lies at t + offset of the query.
-
-        The offset is that at which most integers are shared, ties to the least.
-        """
-        low, high = np.searchsorted(self.flat, query, side="left"), np.searchsorted(self.flat, query, side="right")
-        n = high - low
-        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        offset = np.repeat(np.arange(len(query)), n) - self.place[at]
-        base = int(self.sizes.max(initial=0)) + 1
-        keys, votes = np.unique(self.owner[at] * (base + len(query)) + offset + base, return_counts=True)
-        owner, offset = keys // (base + len(query)), keys % (base + len(query)) - base
-        order = np.lexsort((offset, -votes, owner))
-        order = order[np.concatenate([[True], np.diff(owner[order]) > 0])] if len(order) else order
-        for k, d, v in zip(owner[order].tolist(), offset[order].tolist(), votes[order].tolist()):
-            own, least = self.prints[k], min(len(query), int(self.sizes[k]))
-            if v < min(MIN_VOTES, least):
-                continue
-            start, stop = max(d, 0), min(len(query), len(own) + d)
-            errors = bit_errors(query[start:stop], own[start - d : stop - d])
-            if stop - start >= min(MIN_OVERLAP, least) and errors <= MAX_BIT_ERRORS:
-                yield k, d, stop - start, errors
+        """(fingerprint, offset, overlap, bit errors) of those that match, each at its best offset."""
+        _, k, offset, overlap, errors = align([query], self.prints)
+        order = np.argsort(k)
+        yield from zip(k[order].tolist(), offset[order].tolist(), overlap[order].tolist(), errors[order].tolist())
 
 
 def render(vector: np.ndarray, rate: int = RATE, seconds: float = 0.08) -> np.ndarray:
@@ -178,15 +219,9 @@ def _found(classes: DataFrame) -> DataFrame:
     targets = classes.where("size(prints) > 0").select("code", "prints", F.pmod(F.xxhash64("code"), F.lit(buckets)).cast("int").alias("bucket"), numbers(parts).alias("part"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        index = Index([np.array(p, np.int64) for p in left["prints"].to_pylist()])
-        names, kinds = ("at", "query", "offset", "overlap", "bit_errors"), (np.int64, np.int64, np.int32, np.int32, np.float64)
-        parts = [tuple(np.zeros(0, kind) for kind in kinds)]
-        for query, own in zip(right["query"].to_pylist(), right["own"].to_pylist()):
-            rows = [(k, query, *m) for k, *m in index.matches(np.array(own, np.int64))]
-            parts += [tuple(np.array(c, kind) for c, kind in zip(zip(*rows), kinds))] if rows else []
-        found = {name: np.concatenate(c) for name, c in zip(names, zip(*parts))}
-        codes = left["code"].combine_chunks().take(pa.array(found.pop("at")))
-        return pa.table({"code": codes, **{name: pa.array(c) for name, c in found.items()}})
+        ids, code = right["query"].to_numpy(), left["code"].combine_chunks()
+        q, t, *rest = align(*([np.array(p, np.int64) for p in side.to_pylist()] for side in (right["own"], left["prints"])))
+        return pa.table([code.take(pa.array(t)), pa.array(ids[q]), *map(pa.array, rest)], names=["code", "query", "offset", "overlap", "bit_errors"])
 
     return targets.groupBy("bucket", "part").cogroup(queries.groupBy("bucket", "part")).applyInArrow(compare, "code string, query long, offset int, overlap int, bit_errors double")
 
@@ -209,8 +244,8 @@ def search_all(prints: DataFrame, every: int = 100) -> DataFrame:
     Queries are the recordings whose id is divisible by ``every``, all against all rows. Equal fingerprints are one class, whose
     id is its smallest; classes are compared, blocks of queries with buckets of classes. The representative, whose id is
     the class's, has a row for each class of queries that the class matches, ``query`` being the smallest query there; the
-    other recordings of a class have one row, with nulls, and its matches by class_id. A match shares MIN_VOTES integers at
-    its offset, overlaps by MIN_OVERLAP frames (or the shorter recording) and has at most MAX_BIT_ERRORS unequal bits. A class
+    other recordings of a class have one row, with nulls, and its matches by class_id. A match overlaps by MIN_OVERLAP
+    frames (or the shorter recording) and has at most MAX_BIT_ERRORS unequal bits at some offset; all are tried. A class
     without a match, or without frames, has nulls; a row with a null id is no query. Repeated rows stay repeated.
     """
     keyed, classes = _classed(prints, every)
