@@ -208,6 +208,16 @@ def test_ngram_join_equals_brute_force(spark):
         assert got == want
 
 
+def test_ngram_join_keeps_links_at_the_threshold(spark):
+    r = random.Random(8)
+    docs = []
+    for k in range(8000):  # pairs of similarity 0.8 that no third document joins
+        w = [f"w{r.randrange(10**9)}" for _ in range(40)]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:36], *(f"x{r.randrange(10**9)}" for _ in range(4))]))]
+    got = ngramjoin.join(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect()
+    assert [x["doc_id"] for x in got if x["n_links"] != 1 or x["class_id"] != x["doc_id"] // 2 * 2] == []
+
+
 def test_ngram_join_edges(spark):
     got = ngramjoin.join(edge(spark)).collect()
     assert len(got) == len(EDGE)

@@ -21,7 +21,8 @@ from trackloom.llm.graph import connected_components
 
 WORDS = 5
 SIMILARITY = 0.8
-RECALL = 0.999
+#: Chance of a pair at just SIMILARITY to be a candidate: of a thousand million such links one is lost.
+RECALL = 1 - 1e-9
 #: Classes in a block of a large cluster.
 BLOCK = 512
 
