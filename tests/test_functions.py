@@ -79,12 +79,13 @@ def test_columns_agree_with_kernels(spark):
     r = np.random.default_rng(3)
     images = [r.random((9, 13)) < d for d in (0, 0.05, 0.3, 0.9, 1)]
     df = spark.createDataFrame([(k, [int(v) for v in runs.of_raster(m)]) for k, m in enumerate(images)] + [(9, None)], "k long, runs array<long>")
-    got = df.select("k", runs.area(F.col("runs")).alias("a"), runs.bounds(F.col("runs"), 9).alias("b"), runs.rle_decode(runs.rle_encode("runs")).alias("back"), "runs", runs.mask_inter("runs", "runs").alias("i")).collect()
+    got = df.select("k", runs.area(F.col("runs")).alias("a"), runs.bounds(F.col("runs"), 9).alias("b"), runs.rle_decode(runs.rle_encode("runs")).alias("back"), "runs", runs.mask_inter("runs", "runs").alias("i"), runs.mask_geometry("runs", F.lit(9)).alias("g")).collect()
     for row in got:
         if row["k"] == 9:
-            assert row["a"] is None and row["b"] is None and row["back"] is None and row["i"] is None
+            assert list(row["g"]) == [None] * 5 and row["a"] is None and row["b"] is None and row["back"] is None and row["i"] is None
         else:
             m = images[row["k"]]
+            assert list(row["g"]) == [m.sum(), *(runs.box(np.array(row["runs"]), 9) or [None] * 4)]
             assert row["a"] == row["i"] == m.sum() and (list(row["b"]) if row["b"] else None) == runs.box(np.array(row["runs"]), 9) and row["back"] == row["runs"]
 
 
@@ -110,3 +111,57 @@ def test_robot_parts():
     assert not moved[1103].any() and moved[1100].sum() == 4 and moved[1101].sum() == 8
     split = runs.flange(np.ones((4, 9), bool), (4, 0), (1, 0), 1)
     assert split["unknown"].sum() == 12 and split["arm"].sum() == 12 and split["effector"].sum() == 12
+
+
+def random_masks(n, h, w, seed):
+    r = np.random.default_rng(seed)
+    return [None if k % 7 == 3 else r.random((h, w)) < r.choice([0, 0.05, 0.5, 1]) for k in range(n)]
+
+
+def as_runs(image):
+    return None if image is None else [int(v) for v in runs.of_raster(image)]
+
+
+def test_batches_agree_with_rasters(spark):
+    a, b = random_masks(60, 7, 11, 1), random_masks(60, 7, 11, 2)
+    a[5], b[6] = None, None
+    df = spark.createDataFrame([(k, as_runs(x), as_runs(y)) for k, (x, y) in enumerate(zip(a, b))], "k long, a array<long>, b array<long>").coalesce(1)
+    got = df.select(
+        "k", runs.mask_inter("a", "b").alias("inter"), runs.mask_and("a", "b").alias("both"), runs.mask_or("a", "b").alias("either"), runs.mask_minus("a", "b").alias("minus"), runs.mask_spans("a").alias("spans"),
+        runs.mask_union(F.array("a", "b")).alias("union"), runs.mask_dilate("a", F.lit(7), F.lit(2)).alias("grown"), runs.mask_pool("a", F.lit(7), F.lit(3), F.lit(4)).alias("cells"), runs.rle_encode("a").alias("text"),
+        runs.runs_of_spans(runs.mask_spans("a"), 77).alias("again"), runs.mask_pool_frames(F.array("a", "b"), F.lit(7), F.lit(3), F.lit(4)).alias("mean")).collect()
+    for r in got:
+        x, y = a[r["k"]], b[r["k"]]
+        if x is None or y is None:
+            assert r["inter"] is r["both"] is r["either"] is r["minus"] is None
+        else:
+            assert r["inter"] == (x & y).sum() and r["both"] == as_runs(x & y) and r["either"] == as_runs(x | y) and r["minus"] == as_runs(x & ~y)
+        known = [m for m in (x, y) if m is not None]
+        assert r["union"] == (as_runs(np.logical_or.reduce(known)) if known else None)
+        zero = np.zeros((7, 11), bool)
+        mean = runs.pool(np.stack([zero if m is None else m for m in (x, y)]), np.ones((2, 7, 11), bool), 3, 4)
+        assert np.allclose(r["mean"], mean.ravel())
+        if x is None:
+            assert r["spans"] is r["grown"] is r["cells"] is r["text"] is r["again"] is None
+        else:
+            assert r["grown"] == as_runs(runs.dilate(x, 2)) and np.allclose(r["cells"], runs.pool(x[None], np.ones_like(x)[None], 3, 4).ravel())
+            assert runs.decode(r["text"]) == as_runs(x) == r["again"]
+            on = {p for s in r["spans"] for p in range(s["s"], s["e"])}
+            assert on == set(np.flatnonzero(x.T.ravel()).tolist())
+    assert df.limit(0).select(runs.mask_or("a", "b"), runs.mask_dilate("a", F.lit(7), F.lit(2)), runs.rle_encode("a")).count() == 0
+
+
+def test_spans_that_overlap_or_touch(spark):
+    df = spark.createDataFrame([(1, [(5, 9), (2, 5), (8, 12), (20, 24)]), (2, []), (3, None), (4, [(0, 24)])], "k long, spans array<struct<s:long,e:long>>")
+    got = {r["k"]: r["runs"] for r in df.select("k", runs.runs_of_spans(F.col("spans"), 24).alias("runs")).collect()}
+    assert got == {1: [2, 10, 8, 4], 2: [24], 3: None, 4: [0, 24]}
+
+
+def test_functions_by_name(spark):
+    runs.register(spark)
+    spark.createDataFrame([(1, [2, 3, 5]), (1, [4, 4, 2]), (1, None), (2, [10])], "g long, m array<long>").createOrReplaceTempView("masks_by_name")
+    got = {r["g"]: r for r in spark.sql("SELECT g, mask_union_agg(m) AS u FROM masks_by_name GROUP BY g").collect()}
+    assert got[1]["u"] == [2, 6, 2] and got[2]["u"] == [10]
+    one = spark.sql("SELECT mask_inter(m, array(0L, 10L)) AS n, mask_spans(m) AS s, rle_decode(rle_encode(m)) AS back, mask_union(array(m, array(10L))) AS u, mask_and(m, m) AS same, mask_minus(m, m) AS none, mask_or(m, m) AS too FROM masks_by_name WHERE m[0] = 2").first()
+    assert one["n"] == 3 and [tuple(x) for x in one["s"]] == [(2, 5)] and one["back"] == one["u"] == one["same"] == one["too"] == [2, 3, 5] and one["none"] == [10]
+    assert spark.sql("SELECT mask_dilate(array(4L, 1L, 4L), 3, 1) AS g, mask_pool(array(0L, 9L), 3, 1, 1) AS p").first()["p"] == [1.0]

@@ -5,10 +5,9 @@ Visibility has three values: an unknown label isn't scored, an unknown predictio
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import permutations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +19,8 @@ from trackloom.operators.sequences import islands
 VISIBILITY = ["visible", "partial_occlusion", "fully_occluded", "out_of_view", "unknown"]
 VISIBLE = ["visible", "partial_occlusion"]
 INVISIBLE = ["fully_occluded", "out_of_view"]
+#: Sums that differ by less are equal.
+TIED = 1e-9
 
 
 def micros(name: str) -> Column:
@@ -89,22 +90,86 @@ def reentries(samples: DataFrame, keys: list[str], stride: int = 5, window: int
     return x.select(*keys, "frame_idx", "eligible", "success", "latency_seconds")
 
 
+def matching(weight: list[list[float]]) -> list[int]:
+    """The column of each row of a square table of weights in the matching of the largest sum, by shortest augmenting paths.
+
+    Of matchings whose sums are equal but for rounding, the first in order of the rows' columns.
+    """
+    n = len(weight)
+    row_price, price = [0.0] * n, [0.0] * n
+    row_of, column_of = [-1] * n, [-1] * n
+    for start in range(n):
+        least, came, done = [math.inf] * n, [-1] * n, [False] * n
+        row, column = start, -1
+        while True:
+            step, ahead = math.inf, -1
+            for j in range(n):
+                if not done[j]:
+                    slack = -weight[row][j] - row_price[row] - price[j]
+                    if slack < least[j]:
+                        least[j], came[j] = slack, column
+                    if least[j] < step:
+                        step, ahead = least[j], j
+            row_price[start] += step
+            for j in range(n):
+                if done[j]:
+                    row_price[row_of[j]] += step
+                    price[j] -= step
+                else:
+                    least[j] -= step
+            column, done[ahead] = ahead, True
+            if row_of[column] < 0:
+                break
+            row = row_of[column]
+        while column >= 0:
+            before = came[column]
+            row_of[column] = row_of[before] if before >= 0 else start
+            column = before
+    for j, i in enumerate(row_of):
+        column_of[i] = j
+    # every best matching uses edges without slack only: move each row, in order, to the first column that still allows one
+    free = [[j for j in range(n) if -weight[i][j] - row_price[i] - price[j] < TIED] for i in range(n)]
+
+    def moved(i: int, above: int, seen: set[int]) -> bool:
+        for j in free[i]:
+            if j not in seen and (row_of[j] >= above or row_of[j] < 0):
+                seen.add(j)
+                if row_of[j] < 0 or moved(row_of[j], above, seen):
+                    row_of[j], column_of[i] = i, j
+                    return True
+        return False
+
+    for i in range(n):
+        for j in free[i]:
+            if j == column_of[i]:
+                break
+            if row_of[j] > i:  # give it to this row, and let its own row seek another column
+                other, mine, kept = row_of[j], column_of[i], (row_of[:], column_of[:])
+                row_of[mine], row_of[j], column_of[i] = -1, i, j
+                if moved(other, i + 1, {j}):
+                    break
+                row_of[:], column_of[:] = kept
+    return column_of
+
+
 def assign(pairs: DataFrame, keys: list[str], least: float = 0.1) -> DataFrame:
     """(keys, gt, pred, iou) of the one-to-one matching of a frame with the largest total IoU, pairs of ``least`` or more.
 
-    ``pairs`` (keys, gt, pred, iou). A frame has a handful of objects, so all matchings of the smaller side are tried; ties
-    go to the first in order of ids. Frames are streamed through sorted partitions, many in a batch.
+    ``pairs`` (keys, gt, pred, iou). Ties go to the first in order of ids, from the side with fewer of them. Frames are
+    streamed through sorted partitions, many in a batch; a frame takes the third power of its objects.
     """
 
     def solve(rows: list[tuple]) -> list[tuple]:
         gts, preds = sorted({r[-3] for r in rows}), sorted({r[-2] for r in rows})
-        m = np.zeros((len(gts), len(preds)))
-        for *_, g, p, value in rows:
-            m[gts.index(g), preds.index(p)] = max(m[gts.index(g), preds.index(p)], value or 0.0)
         flip = len(gts) > len(preds)
-        m = m.T if flip else m
-        best = max(permutations(range(m.shape[1]), m.shape[0]), key=lambda p: round(sum(m[i, j] for i, j in enumerate(p)), 12))
-        return [(*rows[0][:-3], *((gts[j], preds[i]) if flip else (gts[i], preds[j])), float(m[i, j])) for i, j in enumerate(best) if m[i, j] >= least]
+        small, large = (preds, gts) if flip else (gts, preds)
+        at = {x: k for k, x in enumerate(small)}, {x: k for k, x in enumerate(large)}
+        m = [[0.0] * len(large) for _ in large]  # rows beyond the smaller side take what is left
+        for *_, g, p, value in rows:
+            i, j = at[0][p if flip else g], at[1][g if flip else p]
+            m[i][j] = max(m[i][j], value or 0.0)
+        best = matching(m)[: len(small)]
+        return [(*rows[0][:-3], *((large[j], small[i]) if flip else (small[i], large[j])), m[i][j]) for i, j in enumerate(best) if m[i][j] >= least]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []

@@ -19,8 +19,8 @@ def from_spans(spans: DataFrame, pixels: int) -> DataFrame:
 
 def described(masks: DataFrame, h: int) -> DataFrame:
     """Adds area, box (null if empty), visible and mask_status; an unknown mask has nulls and the status unknown."""
-    out = masks.withColumn("mask_area", R.area(F.col("runs"))).withColumn("b", R.bounds(F.col("runs"), h))
-    out = out.select("*", *[F.col(f"b.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")]).drop("b")
+    out = masks.withColumn("b", R.mask_geometry("runs", F.lit(h)))
+    out = out.select("*", F.col("b.area").alias("mask_area"), *[F.col(f"b.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")]).drop("b")
     status = F.when(F.col("runs").isNull(), "unknown").when(F.col("mask_area") == 0, "predicted_empty").otherwise("predicted")
     return out.withColumn("visible", F.col("mask_area") > 0).withColumn("mask_status", status)
 

@@ -68,13 +68,13 @@ def w8(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Three instances against three tracks in each sampled frame of a clip, with an IoU that ids determine."""
-    frames = view(spark, sf, "v_vis").where("clip_id < 40").select("clip_id", "frame_idx", "sample_id")
+    frames = view(spark, sf, "v_vis").select("clip_id", "frame_idx", "sample_id")
     trio = spark.range(3)
     x = frames.join(trio.select(F.col("id").alias("gt")).hint("broadcast")).join(trio.select(F.col("id").alias("pred")).hint("broadcast"))
     return x.withColumn("iou", ((F.col("sample_id") * 7 + F.col("gt") * 31 + F.col("pred") * 17 + F.col("gt") * F.col("pred") * 5) % 97) / F.lit(97.0))
 
 
-_PAIRS = "p AS (SELECT clip_id, frame_idx, sample_id, g.range AS gt, t.range AS pred, ((sample_id * 7 + g.range * 31 + t.range * 17 + g.range * t.range * 5) % 97) / 97::DOUBLE AS iou FROM v_vis, range(3) AS g, range(3) AS t WHERE clip_id < 40)"
+_PAIRS = "p AS (SELECT clip_id, frame_idx, sample_id, g.range AS gt, t.range AS pred, ((sample_id * 7 + g.range * 31 + t.range * 17 + g.range * t.range * 5) % 97) / 97::DOUBLE AS iou FROM v_vis, range(3) AS g, range(3) AS t)"
 _BEST = f"""{_PAIRS},
 tries AS (SELECT a.clip_id, a.frame_idx, a.pred AS p0, b.pred AS p1, c.pred AS p2, a.iou AS i0, b.iou AS i1, c.iou AS i2, row_number() OVER (PARTITION BY a.clip_id, a.frame_idx ORDER BY round(a.iou + b.iou + c.iou, 12) DESC, a.pred, b.pred, c.pred) AS n
   FROM p a JOIN p b ON a.clip_id = b.clip_id AND a.frame_idx = b.frame_idx AND a.gt = 0 AND b.gt = 1 AND a.pred <> b.pred JOIN p c ON a.clip_id = c.clip_id AND a.frame_idx = c.frame_idx AND c.gt = 2 AND c.pred NOT IN (a.pred, b.pred)),
@@ -87,7 +87,7 @@ def j21(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("w9_id_switches", f"""WITH {_BEST},
-parts AS (SELECT clip_id, frame_idx, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT DISTINCT clip_id, frame_idx, coalesce(frame_idx - lag(frame_idx) OVER (PARTITION BY clip_id ORDER BY frame_idx) <> 5, false) AS brk FROM v_vis WHERE clip_id < 40) AS q),
+parts AS (SELECT clip_id, frame_idx, sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT DISTINCT clip_id, frame_idx, coalesce(frame_idx - lag(frame_idx) OVER (PARTITION BY clip_id ORDER BY frame_idx) <> 5, false) AS brk FROM v_vis) AS q),
 x AS (SELECT m.*, lag(pred) OVER (PARTITION BY m.clip_id, part, gt ORDER BY m.frame_idx) AS before FROM m JOIN parts p ON m.clip_id = p.clip_id AND m.frame_idx = p.frame_idx)
 SELECT clip_id, count(*) AS matches, count(before) AS comparisons, count(*) FILTER (before <> pred) AS switches, round(count(*) FILTER (before <> pred) / nullif(count(before), 0), 6) AS switch_rate FROM x GROUP BY ALL""")
 def w9(spark: SparkSession, sf: str) -> DataFrame:

@@ -33,7 +33,7 @@ SELECT episode_id, task_id, camera, frame_idx, object_id, confidence, x0, y0, x1
     # runs of foreground pixels in a 36 x 64 raster, column-major; a box is one run a column
     "v_spans": """
 SELECT episode_id, camera, frame_idx, object_id, x * 36 + CAST(floor(y0 / 10) AS BIGINT) AS s, x * 36 + least(36, CAST(floor(y1 / 10) AS BIGINT) + 1) AS e FROM (
-  SELECT episode_id, camera, frame_idx, object_id, y0, y1, {explode} AS x FROM v_top WHERE frame_idx < 20 AND floor(x0 / 10) < 64) AS columns_""",
+  SELECT episode_id, camera, frame_idx, object_id, y0, y1, {explode} AS x FROM v_top WHERE floor(x0 / 10) < 64) AS columns_""",
     # audited samples of a clip
     "v_vis": """
 SELECT user_id AS clip_id, event_id AS sample_id, event_id % 5 AS object_id, CASE user_id % 3 WHEN 0 THEN 'head' WHEN 1 THEN 'left_wrist' ELSE 'right_wrist' END AS camera,
