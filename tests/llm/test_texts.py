@@ -119,7 +119,7 @@ def line_docs():
 
 def test_line_dedup_equals_brute_force(spark):
     docs = line_docs()
-    got = linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), blocks=3).collect()
+    got = linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), shards=3).collect()
     assert sorted(map(str, ((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got))) == sorted(map(str, deduped(docs)))
 
 
@@ -145,31 +145,68 @@ def test_cuckoo_filter_inserts_and_deletes():
     assert not small.overflow and not small.slots.any()
 
 
-def test_shard_is_reversible():
-    keys = np.zeros(3, linededup.KEY)
-    keys["hi"] = [1, 1, 2]
-    keys["lo"] = [5, 9, 5]
-    s = linededup.Shard(min_docs=3)
-    s.put(0, keys, np.array([2, 1, 3]), np.array([7, 8, 9]))
-    assert s.verdict(0)[1].tolist() == [9]
-    s.put(1, keys[:2], np.array([1, 1]), np.array([70, 80]))
-    assert s.verdict(0)[1].tolist() == [70, 9]
-    s.put(1, keys[:0], np.array([]), np.array([]))
-    assert s.verdict(0)[1].tolist() == [9]
-
-
-def test_line_store_is_reversible(spark, tmp_path):
-    docs = spark.createDataFrame(line_docs(), "doc_id long, text string")
-    store = linededup.LineStore(spark, f"file://{tmp_path}/lines", blocks=3)
-    assert store.dropped().count() == 0
-    store.insert(docs)
-    first = sorted(map(tuple, store.dropped().collect()))
-    extra = spark.createDataFrame([(100 + k, "line 0 " + "x" * 40) for k in range(9)], "doc_id long, text string")
-    store.insert(extra)
-    more = sorted(map(tuple, store.dropped().collect()))
-    assert more != first and max(x[2] for x in more) == 108
-    store.delete(extra)
-    assert sorted(map(tuple, store.dropped().collect())) == first
+def test_filter_survives_being_written():
+    keys = np.zeros(300, linededup.KEY)
+    keys["lo"] = np.arange(300)
+    for capacity in (400, 1):
+        f = linededup.CuckooFilter(capacity)
+        f.insert(keys[:200])
+        again = linededup.CuckooFilter.loads(f.dumps())
+        assert (again.contains(keys) == f.contains(keys)).all() and again.overflow == f.overflow
+        again.delete(keys[:100])
+        assert again.contains(keys[100:200]).all()
+
+
+def kept(df):
+    return sorted(map(str, ((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in df.collect())))
+
+
+@pytest.mark.parametrize("shard_keys", [200_000, 2])
+def test_line_store_is_reversible(spark, tmp_path, shard_keys):
+    """Insertions and deletions, each against brute force over the documents held, by the query's own path."""
+    def frame(rows):
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    docs = line_docs()
+    store = linededup.LineStore(spark, f"file://{tmp_path}/lines", shard_keys=shard_keys)
+    store.delete(frame(docs))  # an empty store holds nothing to delete
+    store.insert(frame(docs))
+    first = kept(store.dedup(frame(docs)))
+    assert first == sorted(map(str, deduped(docs)))
+    line = "line 0 " + "x" * 40
+    extra = [(100 + k, f"{line}\nnew line {k // 6} " + "y" * 40) for k in range(12)] + [(None, "null " + "z" * 40), (36, line)]
+    store.insert(frame(extra))
+    assert kept(store.dedup(frame(docs + extra))) == sorted(map(str, deduped(docs + extra)))
+    store.insert(frame(extra[:3]))  # once more changes nothing
+    assert kept(store.dedup(frame(docs + extra))) == sorted(map(str, deduped(docs + extra)))
+    part = [x for x in extra if x[0] in (111, 110, 106)]
+    store.delete(frame(part))
+    left = docs + [x for x in extra if x not in part]
+    assert kept(store.dedup(frame(left))) == sorted(map(str, deduped(left)))
+    store.delete(frame([x for x in extra if x[0] is not None and x[0] >= 100] + [(999, None)]))
+    store.insert(frame([]))
+    ids = {None, 36}
+    again = docs + [x for x in extra if x[0] in ids]
+    assert kept(store.dedup(frame(again))) == sorted(map(str, deduped(again)))
+    reopened = linededup.LineStore(spark, store.path, shards=store.shards, version=store.version)
+    assert kept(reopened.dedup(frame(again))) == sorted(map(str, deduped(again)))
+
+
+def test_line_lookups_are_screened_by_filters(spark, tmp_path):
+    """The filters settle all but the frequent keys and some false alarms before the counts are read; without them the result is the same."""
+    docs = [(k, "\n".join([f"rare line number {k} {j} " + "x" * 30 for j in range(30)] + ["a frequent line, found in every document"])) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    store = linededup.LineStore(spark, f"file://{tmp_path}/lines")
+    store.insert(df)
+    passed = linededup.unpacked(store.screened(df)).count()
+    assert 40 <= passed < 60 and store.counts().count() == 1201 and store.frequent().count() == 1
+    want = kept(store.dedup(df))
+    assert want == sorted(map(str, deduped(docs)))
+    old, linededup.FILTER_BYTES = linededup.FILTER_BYTES, 0
+    try:
+        assert linededup.unpacked(store.screened(df)).count() == 40 * 31 and kept(store.dedup(df)) == want
+    finally:
+        linededup.FILTER_BYTES = old
 
 
 def near(docs, least=0.8, n=5):

@@ -1,15 +1,17 @@
 """Line dedup over sharded cuckoo filters that exact reference-count tables back.
 
-Documents are dealt to blocks by id. Each block counts, for every line key, its documents and the largest
-id among them; those counts go to the key's shard. A shard's table holds one entry for each key and block,
-so a line of a third of all documents costs one entry a block, wherever its documents lie. A shard's
-cuckoo filter holds the keys found in enough documents: blocks' keys are screened by it, and what passes is looked
-up in the table. Replacing a block's entries inserts and deletes documents, so dedup is reversible.
+A store holds, in tables of the shared folder, the line keys of every document (references), for every key the number of
+its documents and the largest id among them (counts), and for every shard of keys a cuckoo filter of those found in
+enough documents. An insertion or deletion writes what it changes as a new version: the documents' references, the
+touched keys' new counts, and the filters of shards in which keys became frequent or ceased to be. So dedup is reversible.
+
+Dedup asks the filters first. They are small enough to be sent to every task, so a line that isn't frequent is
+settled there; only keys that pass are looked up in the counts, and what was a false alarm is found out by them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.bytesops import U64, mix
-from trackloom.llm.common import block_count, block_of, docs_table, pack, text_bytes, unpack
+from trackloom.llm.common import arrow_batches, docs_table, shared_dir
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BLANK = b" \t\n\x0b\x0c\r"
 NO_ID = np.iinfo(np.int64).min
 
-KEY = np.dtype([("hi", "<u8"), ("lo", "<u8")])
+KEY = np.dtype([("hi", "<i8"), ("lo", "<i8")])
+#: Frequent keys of a shard, at some 2.5 bytes each in its filter.
+SHARD_KEYS = 200_000
+#: All filters are sent to the tasks up to so many bytes; beyond them every key is looked up.
+FILTER_BYTES = 64 << 20
+#: A frequent key's documents meet its count in so many places.
+SALTS = 16
 
 
 class CuckooFilter:
@@ -43,8 +51,24 @@ class CuckooFilter:
         self.overflow: list[tuple[int, int]] = []
         self._random = np.random.default_rng(7)
 
+    def dumps(self) -> bytes:
+        """The filter as bytes: the overflow's size, the overflow, the slots."""
+        return np.int64(len(self.overflow)).tobytes() + np.array(self.overflow, "<i8").tobytes() + self.slots.tobytes()
+
+    @classmethod
+    def loads(cls, blob: bytes) -> CuckooFilter:
+        out, k = cls(0), int(np.frombuffer(blob, np.int64, 1)[0])
+        out.overflow = [tuple(x) for x in np.frombuffer(blob, "<i8", 2 * k, 8).reshape(-1, 2).tolist()]
+        out.slots = np.frombuffer(blob, np.uint16, offset=8 + 16 * k).reshape(-1, cls.SLOTS).copy()
+        out.n = len(out.slots)
+        return out
+
+    def has_room(self, keys: int) -> bool:
+        """Whether so many keys leave the table loose enough."""
+        return keys <= 0.9 * self.n * self.SLOTS
+
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = mix(keys["hi"] ^ (keys["lo"] * U64(0x9E3779B97F4A7C15)))
+        h = mix(keys["hi"].astype(U64) ^ (keys["lo"].astype(U64) * U64(0x9E3779B97F4A7C15)))
         print_ = ((h >> U64(48)).astype(np.uint16)) | np.uint16(0)
         print_ = np.where(print_ == 0, np.uint16(1), print_)
         a = (h & U64(self.n - 1)).astype(np.int64)
@@ -102,68 +126,6 @@ class CuckooFilter:
                         break
 
 
-class Shard:
-    """A share of the keys: exact counts by key and block, and the filter of keys in at least ``min_docs`` documents."""
-
-    def __init__(self, min_docs: int = MIN_DOCS) -> None:
-        self.min_docs = min_docs
-        self.blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self._settled = False
-        self.filter = CuckooFilter(0)
-        self._hot = np.zeros(0, KEY)
-
-    def put(self, block: int, keys: np.ndarray, counts: np.ndarray, largest: np.ndarray) -> None:
-        """A block's entries in place of those it had; no keys take the block away."""
-        if len(keys):
-            self.blocks[block] = keys, counts, largest
-        else:
-            self.blocks.pop(block, None)
-        self._settled = False
-
-    def settle(self) -> None:
-        """Sums the table and brings the filter up to date: newly frequent keys enter, others leave."""
-        if self._settled:
-            return
-        parts = list(self.blocks.values())
-        keys = np.concatenate([np.zeros(0, KEY), *(p[0] for p in parts)])
-        order = np.lexsort((keys["lo"], keys["hi"]))
-        keys = keys[order]
-        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        counts = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])[order]
-        largest = np.concatenate([np.zeros(0, np.int64), *(p[2] for p in parts)])[order]
-        self.keys = keys[heads]
-        self.counts = np.add.reduceat(counts, heads) if len(heads) else counts
-        self.largest = np.maximum.reduceat(largest, heads) if len(heads) else largest
-        hot = self.keys[self.counts >= self.min_docs]
-        come, go = np.setdiff1d(hot, self._hot), np.setdiff1d(self._hot, hot)
-        if len(hot) > 0.8 * self.filter.n * CuckooFilter.SLOTS:
-            self.filter = CuckooFilter(2 * len(hot))
-            self.filter.insert(hot)
-        else:
-            self.filter.delete(go)
-            self.filter.insert(come)
-        self._hot, self._settled = hot, True
-
-    def verdict(self, block: int) -> tuple[np.ndarray, np.ndarray]:
-        """The block's frequent keys, each with the largest id that holds it."""
-        self.settle()
-        mine = self.blocks[block][0]
-        mine = mine[self.filter.contains(mine)]
-        at = _find(self.keys, mine)
-        good = self.counts[at] >= self.min_docs
-        return mine[good], self.largest[at[good]]
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Positions of keys that a sorted table holds."""
-    order = np.searchsorted(table["hi"], keys["hi"])
-    wrong = np.flatnonzero(table[order] != keys) if len(keys) else []
-    for k in wrong:  # keys that share their first half
-        while table["lo"][order[k]] != keys["lo"][k]:
-            order[k] += 1
-    return order
-
-
 def line_key(line: bytes) -> bytes:
     return line.strip(BLANK).lower()
 
@@ -177,155 +139,267 @@ def _digest(key: bytes) -> bytes:
     return xxhash.xxh3_128_digest(key)
 
 
-def _block_keys(ids: list, texts: list, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of a block with their documents' number and largest id."""
-    seen: dict[bytes, set] = {}
-    for i, t in zip(ids, texts):
-        if t:
-            own = NO_ID if i is None else i
-            for line in t.encode().split(b"\n"):
-                if len(line) >= least and _long(key := line_key(line), least):
-                    seen.setdefault(_digest(key), set()).add(own)
-    keys = np.frombuffer(b"".join(seen), KEY)
-    return keys, np.fromiter(map(len, seen.values()), np.int64, len(seen)), np.fromiter(map(max, seen.values()), np.int64, len(seen))
-
-
-def _kept(doc: int | None, text: str | None, hot: dict[bytes, int], least: int) -> tuple[str, int, int]:
-    """(text left, lines, lines dropped) of one document."""
-    lines = (text or "").encode().split(b"\n")
-    own = NO_ID if doc is None else doc
-    left = [x for x in lines if not (len(x) >= least and _long(key := line_key(x), least) and hot.get(_digest(key), own) != own)]
+def keys_of(text: str | None, least: int) -> set[bytes]:
+    """The distinct keys of a text's lines that are long enough."""
+    if not text:
+        return set()
+    return {_digest(key) for line in text.encode().split(b"\n") if len(line) >= least and _long(key := line_key(line), least)}
+
+
+def without(text: str | None, gone: bytes | None, least: int) -> tuple[str, int, int]:
+    """(text left, lines, lines dropped) of one document whose keys ``gone``, end to end, lose their lines."""
+    if not gone:
+        return text or "", (text or "").count("\n") + 1, 0
+    lines, bad = text.encode().split(b"\n"), {gone[k : k + 16] for k in range(0, len(gone), 16)}
+    left = [x for x in lines if not (len(x) >= least and _long(key := line_key(x), least) and _digest(key) in bad)]
     return b"\n".join(left).decode(), len(lines), len(lines) - len(left)
 
 
-def counts_by_block(blocks: DataFrame, id_col: str, text_col: str, shards: int, least: int) -> DataFrame:
-    """(shard, block, entries) of documents with a column __block."""
+def packed(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(doc, keys): each row's distinct keys end to end; rows without any are left out."""
+    src = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.col(f"`{text_col}`").alias("t"))
 
-    def count(t: pa.Table) -> pa.Table:
-        keys, n, largest = _block_keys(t[id_col].to_pylist(), t[text_col].to_pylist(), least)
-        shard = (mix(keys["lo"].astype(U64)) % U64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        keys, n, largest, shard = keys[order], n[order], largest[order], shard[order]
-        heads = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-        rows = [(int(shard[a]), pack(keys[a:b], n[a:b], largest[a:b])) for a, b in zip(heads, [*heads[1:], len(shard)])]
-        block = t["__block"][0].as_py()
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "entries": pa.array([r[1] for r in rows], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [b"".join(keys_of(t, least)) for t in batch.column(1).to_pylist()]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["doc", "keys"])
+            yield out.filter(pa.array([bool(x) for x in own], pa.bool_()))
 
-    return blocks.groupBy("__block").applyInArrow(count, "shard int, block int, entries binary")
+    return src.mapInArrow(run, "doc long, keys binary")
 
 
-def verdicts(counts: DataFrame, min_docs: int) -> DataFrame:
-    """(block, hot) by block and shard: keys that reach ``min_docs`` and the largest id of each."""
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(doc, hi, lo) of rows (doc, keys)."""
 
-    def judge(t: pa.Table) -> pa.Table:
-        shard = Shard(min_docs)
-        for block, entries in zip(t["block"].to_pylist(), t["entries"].to_pylist()):
-            shard.put(block, *unpack(entries, KEY, np.int64, np.int64))
-        rows = [(b, *shard.verdict(b)) for b in shard.blocks]
-        rows = [(b, pack(k, m)) for b, k, m in rows if len(k)]
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "hot": pa.array([r[1] for r in rows], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column(1).to_pylist()
+            keys = np.frombuffer(b"".join(blobs), KEY)
+            doc = np.repeat(batch.column(0).to_numpy(), [len(x) // 16 for x in blobs])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(keys["hi"].copy()), pa.array(keys["lo"].copy())], names=["doc", "hi", "lo"])
 
-    return counts.groupBy("shard").applyInArrow(judge, "block int, hot binary")
+    return rows.select("doc", "keys").mapInArrow(run, "doc long, hi long, lo long")
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, blocks: int | None = None) -> DataFrame:
-    """``df`` with lines of frequent keys taken out of ``text_col``, and with n_lines and n_dropped.
+def _keys(t: pa.Table) -> np.ndarray:
+    out = np.empty(len(t), KEY)
+    out["hi"], out["lo"] = t["hi"].to_numpy(), t["lo"].to_numpy()
+    return out
 
-    A line's key is the line without blanks at its ends, A-Z lower-cased, compared by a 128-bit hash. Keys of at
-    least ``min_chars`` code points in at least ``min_docs`` documents stay in the largest id only. A null or empty
-    text is one empty line and comes back empty. Rows that share an id are one document. A null id is the smallest
-    one. Columns n_lines and n_dropped of ``df`` are replaced; other columns are carried. One row per input row.
-    """
-    blocks = blocks or block_count(text_bytes(df, text_col))
-    carried = [c for c in df.columns if c not in ("n_lines", "n_dropped", "__block")]
-    src = df.select(*[F.col(f"`{c}`") for c in carried]).withColumn("__block", block_of(blocks, F.col(f"`{id_col}`")))
-    hot = verdicts(counts_by_block(src, id_col, text_col, blocks, min_chars), min_docs)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__block")
-
-    def clean(left: pa.Table, right: pa.Table) -> pa.Table:
-        table: dict[bytes, int] = {}
-        for blob in right["hot"].to_pylist():
-            keys, largest = unpack(blob, KEY, np.int64)
-            raw = keys.tobytes()
-            table.update((raw[16 * k : 16 * k + 16], m) for k, m in enumerate(largest.tolist()))
-        out = [_kept(i, t, table, min_chars) for i, t in zip(left[id_col].to_pylist(), left[text_col].to_pylist())]
-        left = left.drop_columns(["__block"])
-        left = left.set_column(carried.index(text_col), text_col, pa.array([o[0] for o in out], pa.string()))
-        return left.append_column("n_lines", pa.array([o[1] for o in out], pa.int64())).append_column("n_dropped", pa.array([o[2] for o in out], pa.int64()))
-
-    return src.groupBy("__block").cogroup(hot.groupBy("block")).applyInArrow(clean, f"{fields}, n_lines long, n_dropped long")
+
+def settled(changes: pa.Table, filters: pa.Table) -> pa.Table:
+    """A shard's new filter: changes (come, go) entered into its filter, or one of all its frequent keys (every)."""
+    kind = changes["kind"].to_pylist()
+    of = {k: _keys(changes.filter(pa.array([x == k for x in kind], pa.bool_()))) for k in ("come", "go", "every")}
+    shard = changes["shard"][0].as_py()
+    if "every" in kind or not len(filters):
+        own, hot = CuckooFilter(2 * len(of["every"])), len(of["every"])
+        own.insert(of["every"])
+    else:
+        own = CuckooFilter.loads(filters["filter"][0].as_py())
+        own.delete(of["go"])
+        own.insert(of["come"])
+        hot = filters["hot"][0].as_py() + len(of["come"]) - len(of["go"])
+    return pa.table({"shard": pa.array([shard], pa.int32()), "hot": pa.array([hot], pa.int64()), "slots": pa.array([own.n * own.SLOTS], pa.int64()), "filter": pa.array([own.dumps()], pa.binary())})
 
 
 class LineStore:
-    """Incremental dedup: documents by block, kept as a table of their line keys at ``path`` in versions.
+    """Incremental dedup: references, counts and filters at ``path``, a folder that all executors share, in versions.
 
-    ``insert`` and ``delete`` write a new version (doc_id, keys) and leave the others; ``dropped`` gives the keys
-    frequent now. Deleting what was inserted brings back the state before, since counts are exact.
+    Rows that share an id are one document; inserting an id again adds to its document. A version is complete when
+    insert() or delete() returns, and ``version`` names it; one that was broken off is written over by the next.
     """
 
-    def __init__(self, spark: SparkSession, path: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, blocks: int = 64) -> None:
-        self.spark, self.path, self.min_chars, self.min_docs, self.blocks, self.version = spark, path, min_chars, min_docs, blocks, 0
-
-    def _rows(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}") if self.version else None
-
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+    def __init__(self, spark: SparkSession, path: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None, version: int = 0, shard_keys: int = SHARD_KEYS) -> None:
+        self.spark, self.path, self.min_chars, self.min_docs = spark, path, min_chars, min_docs
+        self.shards, self.version, self.shard_keys = shards, version, shard_keys
+
+    # tables
+
+    def _read(self, name: str, version: int | None = None) -> DataFrame:
+        """Rows of all versions with their number v."""
+        last = self.version if version is None else version
+        out = None
+        for v in range(1, last + 1):
+            part = self.spark.read.parquet(f"{self.path}/{name}/v{v}").withColumn("v", F.lit(v))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def _write(self, name: str, df: DataFrame, version: int) -> DataFrame:
+        path = f"{self.path}/{name}/v{version}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def references(self) -> DataFrame:
+        """(doc, keys) inserted and not deleted since."""
+        rows = self._read("references")
+        if self.version < 2:
+            return rows.select("doc", "keys")
+        gone = rows.where("keys IS NULL").groupBy("doc").agg(F.max("v").alias("until"))
+        return rows.where("keys IS NOT NULL").join(gone, "doc", "left").where("until IS NULL OR v > until").select("doc", "keys")
+
+    def counts(self, version: int | None = None) -> DataFrame:
+        """(hi, lo, docs, largest) of the keys: the latest version's row of each."""
+        last = self.version if version is None else version
+        rows = self._read("counts", last)
+        if last < 2:
+            return rows.select("hi", "lo", "docs", "largest")
+        newest = rows.groupBy("hi", "lo").agg(F.max_by(F.struct("docs", "largest"), "v").alias("x"))
+        return newest.select("hi", "lo", "x.docs", "x.largest").where("docs > 0")
+
+    def filters(self) -> DataFrame:
+        """(shard, hot, slots, filter): the latest version's row of each shard."""
+        rows = self._read("filters")
+        if self.version < 2:
+            return rows.drop("v")
+        return rows.groupBy("shard").agg(F.max_by(F.struct("hot", "slots", "filter"), "v").alias("x")).select("shard", "x.*")
+
+    # changes
 
     def insert(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        least = self.min_chars
-
-        def keys(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            for b in batches:
-                own = [b"".join(sorted({_digest(k) for x in (t or "").encode().split(b"\n") if _long(k := line_key(x), least)})) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], names=["doc_id", "keys"])
-
-        new = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(keys, "doc_id long, keys binary")
-        old = self._rows()
-        self._write(new if old is None else old.unionByName(new))
+        """Adds documents."""
+        v, there = self.version + 1, self.version > 0
+        rows = self._write("references", packed(df, id_col, text_col, self.min_chars), v)
+        pairs = unpacked(rows)
+        if there:  # what these documents have already doesn't count again
+            old = unpacked(self.references().join(rows.select("doc").distinct(), "doc", "left_semi"))
+            pairs = pairs.distinct().join(old, ["doc", "hi", "lo"], "left_anti")
+        new = pairs.groupBy("hi", "lo").agg(F.count_distinct("doc").alias("docs"), F.max("doc").alias("largest"))
+        if there:
+            before = self.counts().withColumnsRenamed({"docs": "old", "largest": "old_largest"})
+            new = new.join(before, ["hi", "lo"], "left").select("hi", "lo", (F.col("docs") + F.coalesce("old", F.lit(0))).alias("docs"), F.greatest("largest", "old_largest").alias("largest"), F.coalesce("old", F.lit(0)).alias("old"))
+        else:
+            new = new.withColumn("old", F.lit(0).cast("long"))
+        self._finish(new, v)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
-        old = self._rows()
-        if old is not None:
-            gone = ids.select(F.col(id_col).cast("long").alias("gone")).distinct()
-            self._write(old.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti"))
-
-    def dropped(self) -> DataFrame:
-        """(key, docs, largest) of keys in at least ``min_docs`` documents."""
-        rows = self._rows()
-        shards, min_docs = self.blocks, self.min_docs
-
-        def count(t: pa.Table) -> pa.Table:
-            seen: dict[bytes, set] = {}
-            for i, raw in zip(t["doc_id"].to_pylist(), t["keys"].to_pylist()):
-                for k in range(0, len(raw), 16):
-                    seen.setdefault(raw[k : k + 16], set()).add(NO_ID if i is None else i)
-            keys = np.frombuffer(b"".join(seen), KEY)
-            shard = (mix(keys["lo"].astype(U64)) % U64(shards)).astype(np.int64)
-            n, m = np.fromiter(map(len, seen.values()), np.int64, len(seen)), np.fromiter(map(max, seen.values()), np.int64, len(seen))
-            block = t["__block"][0].as_py()
-            own = np.unique(shard)
-            return pa.table({"shard": pa.array(own, pa.int32()), "block": pa.array([block] * len(own), pa.int32()), "entries": pa.array([pack(keys[shard == s], n[shard == s], m[shard == s]) for s in own], pa.binary())})
-
-        def settle(t: pa.Table) -> pa.Table:
-            shard = Shard(min_docs)
-            for block, entries in zip(t["block"].to_pylist(), t["entries"].to_pylist()):
-                shard.put(block, *unpack(entries, KEY, np.int64, np.int64))
-            shard.settle()
-            hot = shard.counts >= min_docs
-            raw = shard.keys[hot].tobytes()
-            return pa.table({"key": pa.array([raw[16 * k : 16 * k + 16] for k in range(int(hot.sum()))], pa.binary()), "docs": pa.array(shard.counts[hot]), "largest": pa.array(shard.largest[hot])})
-
-        empty = "key binary, docs long, largest long"
-        if rows is None:
-            return self.spark.createDataFrame([], empty)
-        counts = rows.withColumn("__block", block_of(self.blocks, F.col("doc_id"))).groupBy("__block").applyInArrow(count, "shard int, block int, entries binary")
-        return counts.groupBy("shard").applyInArrow(settle, empty)
+        """Takes documents out; ids that the store doesn't hold change nothing."""
+        if not self.version:
+            return
+        v = self.version + 1
+        gone = ids.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc")).distinct()
+        self._write("references", gone.select("doc", F.lit(None).cast("binary").alias("keys")), v)
+        held = self.references()
+        lost = unpacked(held.join(gone, "doc", "left_semi")).groupBy("hi", "lo").agg(F.count_distinct("doc").alias("lost"), F.max("doc").alias("lost_largest"))
+        touched = lost.join(self.counts(), ["hi", "lo"])
+        # where the largest document goes, the next one is sought among the references that stay
+        bare = touched.where("docs > lost AND largest = lost_largest").select("hi", "lo")
+        next_ = unpacked(held.join(gone, "doc", "left_anti")).join(bare, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.max("doc").alias("next"))
+        new = touched.join(next_, ["hi", "lo"], "left").select("hi", "lo", (F.col("docs") - F.col("lost")).alias("docs"), F.coalesce("next", "largest").alias("largest"), F.col("docs").alias("old"))
+        self._finish(new, v)
+
+    def _finish(self, new: DataFrame, v: int) -> None:
+        """Writes the touched keys' counts (hi, lo, docs, largest, old) and the filters that change with them."""
+        new = self._write("counts", new, v)
+        now, old = F.col("docs") >= self.min_docs, F.col("old") >= self.min_docs
+        if self.shards is None:
+            self.shards = max(1, -(-new.where(now).count() // self.shard_keys))
+        shard = F.pmod(F.col("lo"), F.lit(self.shards)).cast("int").alias("shard")
+        kind = F.when(now & ~old, "come").when(old & ~now, "go")
+        changes = new.where(now != old).select(shard, "hi", "lo", kind.alias("kind"))
+        empty = self.spark.createDataFrame([], "shard int, hot long, slots long, filter binary")
+        filters = self.filters() if self.version else empty
+        grown = changes.groupBy("shard").agg(F.sum(F.when(F.col("kind") == "come", 1).otherwise(-1)).alias("more")).join(filters.drop("filter"), "shard", "left")
+        full = grown.where("hot IS NULL OR hot + more > 0.9D * slots").select("shard")
+        if self.version:
+            every = self.counts(v).where(F.col("docs") >= self.min_docs).select(shard, "hi", "lo", F.lit("every").alias("kind")).join(F.broadcast(full), "shard", "left_semi")
+            changes = changes.unionByName(every)
+        else:
+            changes = changes.withColumn("kind", F.lit("every"))
+        self._write("filters", changes.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(_changed, "shard int, hot long, slots long, filter binary"), v)
+        self.version = v
+
+    # questions
+
+    def frequent(self) -> DataFrame:
+        """(hi, lo, docs, largest) of keys in at least ``min_docs`` documents."""
+        return self.counts().where(F.col("docs") >= self.min_docs)
+
+    def screened(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc, keys) of rows: the keys that pass the filters, or all keys where the filters are too large to be sent to every task."""
+        rows = packed(df, id_col, text_col, self.min_chars)
+        filters = self.filters()
+        if (filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) > FILTER_BYTES:
+            return rows
+        shards, shared = self.shards or 1, self.spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.select("shard", "filter").collect()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = {k: CuckooFilter.loads(x) for k, x in shared.value.items()}
+            for batch in batches:
+                blobs = batch.column(1).to_pylist()
+                keys = np.frombuffer(b"".join(blobs), KEY)
+                row, shard = np.repeat(np.arange(len(blobs)), [len(x) // 16 for x in blobs]), keys["lo"] % shards
+                hit = np.zeros(len(keys), bool)
+                for k, f in own.items():
+                    mine = np.flatnonzero(shard == k)
+                    hit[mine] = f.contains(keys[mine])
+                row, keys = row[hit], keys[hit]
+                some, sizes = np.unique(row, return_counts=True)
+                ends = np.cumsum(sizes)
+                left = pa.array([keys[a:b].tobytes() for a, b in zip(ends - sizes, ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), left], names=["doc", "keys"])
+
+        return rows.mapInArrow(run, "doc long, keys binary")
+
+    def gone(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc, gone): the keys whose lines a document loses, end to end; documents that lose none are left out."""
+        asked = unpacked(self.screened(df, id_col, text_col)).distinct().withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+        exact = self.frequent().select("hi", "lo", "largest").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        lost = asked.join(exact, ["hi", "lo", "salt"]).where("doc <> largest")
+        rows = lost.groupBy("doc").agg(F.collect_list(F.struct("hi", "lo")).alias("k"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(1)
+                keys = np.empty(len(lists.flatten()), KEY)
+                keys["hi"], keys["lo"] = lists.flatten().field("hi").to_numpy(), lists.flatten().field("lo").to_numpy()
+                ends = np.cumsum([0, *(len(x) for x in lists)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([keys[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["doc", "gone"])
+
+        return rows.mapInArrow(run, "doc long, gone binary")
+
+    def dedup(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``df`` without the lines that the store's documents make frequent, as dedup() gives it."""
+        carried = [c for c in df.columns if c not in ("n_lines", "n_dropped", "__doc", "__gone")]
+        src = df.select(*[F.col(f"`{c}`") for c in carried])
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
+        lost = self.gone(df, id_col, text_col).withColumnsRenamed({"doc": "__doc", "gone": "__gone"})
+        joined = src.join(lost, F.coalesce(src[f"`{id_col}`"].cast("long"), F.lit(NO_ID)) == lost["__doc"], "left").drop("__doc")
+        at, least = carried.index(text_col), self.min_chars
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                *own, gone = batch.columns
+                out = [without(t, g, least) for t, g in zip(own[at].to_pylist(), gone.to_pylist())]
+                own[at] = pa.array([o[0] for o in out], pa.string())
+                yield pa.RecordBatch.from_arrays([*own, pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())], names=[*carried, "n_lines", "n_dropped"])
+
+        return joined.mapInArrow(clean, f"{fields}, n_lines long, n_dropped long")
+
+
+def _changed(changes: pa.Table, filters: pa.Table) -> pa.Table:
+    if not len(changes):
+        return pa.table({"shard": pa.array([], pa.int32()), "hot": pa.array([], pa.int64()), "slots": pa.array([], pa.int64()), "filter": pa.array([], pa.binary())})
+    return settled(changes, filters)
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int | None = None) -> DataFrame:
+    """``df`` with lines of frequent keys taken out of ``text_col``, and with n_lines and n_dropped.
+
+    A line's key is the line without blanks at its ends, A-Z lower-cased, compared by a 128-bit hash. Keys of at
+    least ``min_chars`` code points in at least ``min_docs`` documents stay in the largest id only. A null or empty
+    text is one empty line and comes back empty. Ids are whole numbers; rows that share an id are one document, and a null
+    id is the smallest one. Columns n_lines and n_dropped of ``df`` are replaced, __doc and __gone dropped; other columns are
+    carried. One row per input row. The store of the documents is written to the shared folder.
+    """
+    store = LineStore(df.sparkSession, shared_dir(df.sparkSession), min_chars, min_docs, shards)
+    store.insert(df, id_col, text_col)
+    return store.dedup(df, id_col, text_col)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_lines, n_dropped and the digest of what is kept."""
+    arrow_batches(spark)
     out = dedup(docs_table(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
