@@ -74,11 +74,22 @@ def test_decontamination_equals_brute_force(spark):
     items = [(k, " ".join(r.choice(vocab) for _ in range(r.randint(0, 20)))) for k in range(12)] + [(None, "b b b"), (3, "only one")]
     docs = [(k, " ".join(r.choice([*vocab, "zz"]) for _ in range(r.randint(0, 80))) + r.choice(["", " " + r.choice(items)[1], "!"])) for k in range(60)]
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for most in (decontaminate.AUTOMATON_WORDS, 30):  # one automaton, and several
-        got = decontaminate.find(d, i, most=most).collect()
+    for most, pass_bytes in ((decontaminate.AUTOMATON_WORDS, decontaminate.PASS_BYTES), (30, decontaminate.PASS_BYTES), (30, 4000)):  # one automaton, several, and several passes
+        got = decontaminate.find(d, i, most=most, pass_bytes=pass_bytes).collect()
         assert sorted((x["doc_id"], x["n_words"], x["n_hit"], x["item_ids"]) for x in got) == sorted(contaminated(docs, items))
 
 
+def test_automata_are_bounded_by_words(spark):
+    """Items without spaces between words and items longer than a share come in shares of bounded words and bytes, no window lost."""
+    items = [(1, ",".join(f"w{k}" for k in range(1000))), (2, "a" * 50), (3, None)] + [(10 + k, " ".join(f"x{k} y{k} {j}" for j in range(20))) for k in range(100)]
+    i = spark.createDataFrame(items, "item_id long, text string")
+    blobs = [bytes(r[0]) for r in decontaminate.automata(i, "item_id", "text", 13, 200).collect()]
+    assert len(blobs) > 10 and max(map(len, blobs)) < 200_000
+    docs = [(1, " ".join(f"w{k}" for k in range(1000))), (2, "x7 y7 3 x7 y7 4 x7 y7 5 x7 y7 6 x7 stop"), (3, "a" * 50)]
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), i, most=200, pass_bytes=300_000).collect()
+    assert sorted((x["doc_id"], x["n_words"], x["n_hit"], x["item_ids"]) for x in got) == sorted(contaminated(docs, items))
+
+
 def test_decontamination_removes(spark):
     item = " ".join(f"w{k}" for k in range(13))
     docs = [(1, item), (2, "clean " * 40), (3, "x " * 300 + item + " y" * 300), (4, None)]

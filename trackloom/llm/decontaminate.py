@@ -1,7 +1,7 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-The automaton of all items' words is built once and sent to every task; documents are streamed through
-it, following the longest match that ends at each word. Words are compared by 64-bit hashes. Only runs
+Tasks build automata of shares of the items' words, one for a usual benchmark; they are sent to every task, up to a bound of bytes at once, and
+documents are streamed through them, following the longest match that ends at each word. Words are compared by 64-bit hashes. Only runs
 of words that all occur in some item can hold a window, so other words end a match without a step.
 """
 
@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.bytesops import U64, Words, chunks
-from trackloom.llm.common import arrow_batches, docs_table, table
+from trackloom.llm.common import arrow_batches, checkpointed, docs_table, table
 
 WINDOW = 13
 #: A document is contaminated if at least 1 in so many of its words is hit.
 COVERAGE = 20
 #: Words of the items that one automaton may hold (some 100 bytes each); more items make more automata.
 AUTOMATON_WORDS = 1_000_000
+#: Automata that are sent to every task, and documents that meet several automata, at once.
+PASS_BYTES, TEXT_BYTES = 256 << 20, 32 << 20
 
 
 class SuffixAutomaton:
@@ -187,57 +189,117 @@ class Items:
                 yield int(w.first[doc + 1] - base), words, [(int(w.start[base + a]) - byte0, int(w.end[base + b - 1]) - byte0) for a, b in words], sorted(i for i in found if i is not None)
 
 
-def _automata(items: DataFrame, id_col: str, text_col: str, window: int, most: int) -> list[bytes]:
-    """Pickled automata, each of items with at most ``most`` words and so of a bounded size."""
-    out, rows, words = [], [], 0
-    ordered = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    for r in ordered.toLocalIterator():
-        n = len((r["t"] or "").split()) + 1
-        if rows and words + n > most:
-            out.append(pickle.dumps(Items(rows, window)))
-            rows, words = [], 0
-        rows.append((r["i"], r["t"]))
-        words += n
-    out.append(pickle.dumps(Items(rows, window)))
-    return out
+def pieces(words_from: pa.Array, ids: list, window: int, most: int) -> Iterator[tuple[int | None, str]]:
+    """Items as (id, text); one of more than ``most`` words in pieces that overlap by a word less than a window, so that each window lies in one."""
+    for row, raw, offsets in chunks(words_from):
+        w = Words(raw, offsets)
+        for k in range(len(offsets) - 1):
+            a, b = int(w.first[k]), int(w.first[k + 1])
+            for start in range(a, b, most):
+                stop = min(start + most + window - 1, b)
+                yield ids[row + k], raw[w.start[start] : w.end[stop - 1]].tobytes().decode()
+                if stop == b:
+                    break
 
 
-def find(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most: int = AUTOMATON_WORDS) -> DataFrame:
-    """Rows of ``df`` with n_words, n_hit, spans (bytes [start, end) of merged hit runs) and item_ids (sorted).
+def automata(items: DataFrame, id_col: str, text_col: str, window: int, most: int) -> DataFrame:
+    """(automaton): pickled automata, built by tasks from shares of the items; a share has about ``most`` words, and ``most`` at least in one piece.
 
-    A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one. No
-    shuffle with one automaton; the items are read in order through the driver, ``most`` words at a time, and every
-    further automaton makes another pass. Null or empty texts have no words. Items with a null id hit words but
-    aren't listed. Columns of ``df`` with the names of results are replaced; a null id and repeated rows stay.
+    Items are cut into pieces of at most ``most`` words first and dealt by a running count of words, so no share depends on how texts are spaced.
     """
-    carried = [c for c in df.columns if c not in ("n_words", "n_hit", "spans", "item_ids")]
-    src = df.select(*[F.col(f"`{c}`") for c in carried])
-    at = carried.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
-    blobs = [df.sparkSession.sparkContext.broadcast(b) for b in _automata(items, item_id, item_text, window, most)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [pickle.loads(b.value) for b in blobs] if len(blobs) == 1 else None
+    most = max(most, window)
+    src = items.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = None
-            for k, b in enumerate(blobs):  # one at a time in memory if there are several
-                got = list((automata[k] if automata else pickle.loads(b.value)).match(batch.column(at)))
-                if every is None:
-                    every = got
-                else:
-                    every = [(n, _merged(w1 + w2), _merged(b1 + b2), sorted({*i1, *i2})) for (n, w1, b1, i1), (_, w2, b2, i2) in zip(every, got)]
+            rows = list(pieces(batch.column(1), batch.column(0).to_pylist(), window, most))
+            sizes = [len(Words(np.frombuffer(raw := t.encode(), np.uint8), np.array([0, len(raw)])).hash) for _, t in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string()), pa.array(sizes, pa.int64())], names=["i", "t", "n"])
+
+    cuts = src.mapInArrow(cut, "i long, t string, n long").distinct()
+    total = cuts.agg(F.sum("n")).first()[0] or 0
+    shares = max(1, -(-total // most))
+
+    def build(t: pa.Table) -> pa.Table:
+        return pa.table({"automaton": pa.array([pickle.dumps(Items(zip(t["i"].to_pylist(), t["t"].to_pylist()), window))], pa.binary())})
+
+    return cuts.withColumn("share", F.pmod(F.xxhash64("i", "t"), F.lit(shares))).groupBy("share").applyInArrow(build, "automaton binary")
+
+
+def _passes(blobs: Iterator[bytes], most: int) -> Iterator[list[bytes]]:
+    """Runs of automata of at most ``most`` bytes, or one that is larger."""
+    held: list[bytes] = []
+    for blob in blobs:
+        if held and sum(map(len, held)) + len(blob) > most:
+            yield held
+            held = []
+        held.append(blob)
+    yield held
+
+
+def _stream(batches: Iterator[pa.RecordBatch], blobs: list[bytes], at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches with what all automata find in their texts, added to what earlier passes found.
+
+    Several automata are loaded one after the other for some TEXT_BYTES of documents at once, so none is loaded for each batch.
+    """
+    one = pickle.loads(blobs[0]) if len(blobs) == 1 else None
+    held: list[pa.RecordBatch] = []
+
+    def found(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [[(0, [], [], [])] * b.num_rows for b in part]
+        for blob in blobs:
+            own = one or pickle.loads(blob)
+            for k, b in enumerate(part):
+                got = own.match(b.column(at))
+                every[k] = [(n, w, y, i) if not (w1 or i1) else (n, _merged(w1 + w), _merged(y1 + y), sorted({*i1, *i})) for (_, w1, y1, i1), (n, w, y, i) in zip(every[k], got)]
+        for b, rows in zip(part, every):
+            if b.num_columns > len(names):  # an earlier pass's columns
+                *own_columns, words, places, ids = b.columns
+                rows = [(n, _merged(w + [(s["start"], s["end"]) for s in w0]), _merged(y + [(s["start"], s["end"]) for s in y0]), sorted({*i, *i0})) for (n, w, y, i), w0, y0, i0 in zip(rows, words.to_pylist(), places.to_pylist(), ids.to_pylist())]
+            else:
+                own_columns = b.columns
+            spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            as_spans = lambda x: [{"start": a, "end": e} for a, e in x]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns,
-                    pa.array([n for n, *_ in every], pa.int64()),
-                    pa.array([sum(b - a for a, b in w) for _, w, _, _ in every], pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in s] for _, _, s, _ in every], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([i for *_, i in every], pa.list_(pa.int64())),
-                ],
-                names=[*carried, "n_words", "n_hit", "spans", "item_ids"],
-            )
-
-    return src.mapInArrow(run, f"{fields}, n_words long, n_hit long, spans array<struct<start: long, end: long>>, item_ids array<long>")
+                    *own_columns, pa.array([n for n, *_ in rows], pa.int64()), pa.array([as_spans(w) for _, w, _, _ in rows], spans),
+                    pa.array([as_spans(y) for _, _, y, _ in rows], spans), pa.array([i for *_, i in rows], pa.list_(pa.int64()))],
+                names=[*names, "n_words", "__words", "spans", "item_ids"])
+
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if one or size >= TEXT_BYTES:
+            yield from found(held)
+            held, size = [], 0
+    if held:
+        yield from found(held)
+
+
+def find(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most: int = AUTOMATON_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """Rows of ``df`` with n_words, n_hit, spans (bytes [start, end) of merged hit runs) and item_ids (sorted).
+
+    A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one. No
+    shuffle of ``df``. Automata of ``most`` words each are built by tasks; those of up to ``pass_bytes`` are sent to all tasks at once, and where
+    there are more, the documents with what was found so far are written to the shared folder between passes. Ids are whole numbers. Null
+    or empty texts have no words. Items with a null id hit words but aren't listed. Columns of ``df`` with the
+    names of results are replaced; a null id and repeated rows stay.
+    """
+    carried = [c for c in df.columns if c not in ("n_words", "n_hit", "__words", "spans", "item_ids")]
+    out = df.select(*[F.col(f"`{c}`") for c in carried])
+    at, context = carried.index(text_col), df.sparkSession.sparkContext
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    span = "array<struct<start: long, end: long>>"
+    built = checkpointed(automata(items, item_id, item_text, window, most))
+    blobs = (bytes(r[0]) for r in built.toLocalIterator())
+    for number, group in enumerate(_passes(blobs, pass_bytes)):
+        if number:
+            out = checkpointed(out).drop("n_words")
+        shared = context.broadcast(group or [pickle.dumps(Items([], window))])
+        out = out.mapInArrow(lambda it, shared=shared: _stream(it, shared.value, at, carried), f"{fields}, n_words long, __words {span}, spans {span}, item_ids array<long>")
+    hit = F.aggregate("__words", F.lit(0).cast("long"), lambda n, w: n + w["end"] - w["start"])
+    return out.select(*[F.col(f"`{c}`") for c in carried], "n_words", hit.alias("n_hit"), "spans", "item_ids")
 
 
 def judged(found: DataFrame, coverage: int = COVERAGE) -> DataFrame:
