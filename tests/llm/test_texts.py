@@ -41,6 +41,42 @@ def test_bpe_speculation_needs_verification():
         assert own.encode_words([word])[0] == exact
 
 
+def test_bpe_merges_long_words_in_time():
+    import time
+
+    from tokenizers import Tokenizer
+
+    lib, own, r = Tokenizer.from_file(str(VOCAB)), bpe.BPE(str(VOCAB)), random.Random(3)
+    words_ = ["".join(r.choice(a) for _ in range(n)) for a in ("ab", "aehilnorst", "abcdefghijklmnopqrstuvwxyz", "éèü日") for n in (65, 66, 200, 3000)] + ["a" * 5000, "ab" * 2000]
+    for w in words_:
+        assert own.encode_batch([w])[0][0].tolist() == lib.encode(w, add_special_tokens=False).ids
+        assert own._merge_long(own.symbols(own._bytes(w[:150]))) == own.merge(own.symbols(own._bytes(w[:150])))
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    began = time.time()
+    ids, decoded = own.encode_batch([long])
+    assert time.time() - began < 60 and "".join(decoded[0].replace("</w>", "").split()) == long
+
+
+def test_bpe_equals_the_library_on_every_code_point():
+    import sys
+    import unicodedata
+
+    import regex
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(str(VOCAB)), bpe.BPE(str(VOCAB))
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and c < 0x20000]
+    odd = [c for c in points if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{N}]", c)]  # of which the tables' versions disagree
+    every = [f"x{c}!" for c in points] + [f"{form[0]}{c}{form[1]}" for form in ("  ", " 1", "! ") for c in odd]
+    differ = []
+    for a in range(0, len(every), 20_000):
+        texts = every[a : a + 20_000]
+        want = lib.encode_batch_fast(texts, add_special_tokens=False)
+        got = own.encode_batch(texts)[0]
+        differ += [texts[k] for k, (w, g) in enumerate(zip(want, got)) if w.ids != g.tolist()]
+    assert differ == []
+
+
 def test_bpe_edges(spark):
     out = bpe.encode(edge(spark), str(VOCAB)).collect()
     assert len(out) == len(EDGE)

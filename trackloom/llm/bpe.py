@@ -11,7 +11,9 @@ suffix, whose normaliser is NFC, white space to a space, lower case. Its path is
 from __future__ import annotations
 
 import functools
+import heapq
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -26,11 +28,22 @@ from trackloom.llm.common import arrow_batches, docs_table
 
 #: Fixed values of the public vocabulary file: its pre-tokeniser pattern.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed values of Unicode 16: letters and numbers that it added, as ranges.
+UNICODE_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA)]
+#: Fixed values of Unicode 16 and 17: (first, last, lower case of the first) of capitals that they added.
+CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+NEW_LOWER = {a + k: low + k for a, b, low in CAPITALS for k in range(b - a + 1)}
+NEW_CAPITAL = regex.compile("[" + "".join(map(chr, NEW_LOWER)) + "]")
 #: Python counts these as white space, the vocabulary's pattern doesn't.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 CACHE_ENTRIES = 400_000
 NO_RANK = 1 << 30
+#: Symbols up to which a list is searched for the best pair; beyond, a heap is kept.
+SHORT = 64
 SLICE_BYTES = 2 << 20
 
 
@@ -41,6 +54,15 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
+@functools.lru_cache(maxsize=1)
+def newer_letters() -> str:
+    """Code points that the regular expressions here take for letters or numbers, though the vocabulary library's older Unicode tables have them
+    unassigned: those that Python's tables, older still, don't know, but for what Unicode 16 added."""
+    known = {c for a, b in UNICODE_16 for c in range(a, b + 1)}
+    unassigned = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn" and c not in known)
+    return "".join(f"\\U{ord(c):08X}" for c in regex.findall(r"[\p{L}\p{N}]", unassigned)) or "\\U0010FFFF"
+
+
 class BPE:
     """Encoder and decoder of one vocabulary file; caches are cleared when they reach CACHE_ENTRIES."""
 
@@ -60,6 +82,12 @@ class BPE:
             raise ValueError("a vocabulary of more than 65,536 tokens")
         self.table = dict(enumerate(byte_symbols()))
         self.word = regex.compile(WORD_PATTERN.replace(r"\s", SPACES.pattern[1:-2]))
+        new = "[" + newer_letters() + "]"
+        self.newer = regex.compile(new)
+        pattern = self.word.pattern.replace(r"[\p{L}]+", rf"(?:(?!{new})\p{{L}})+").replace(r"[\p{N}]|", rf"(?!{new})\p{{N}}|")
+        others = pattern[pattern.rindex("[^") :]
+        #: the same pattern where newer letters are none
+        self.old_word = regex.compile(pattern[: -len(others)] + f"(?:{new}|{others[:-1]})+")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         inner = {t: i for t, i in self.vocab.items() if not t.endswith(self.suffix)} if self.suffix else dict(self.vocab)
         final = {t[: -len(self.suffix)]: i for t, i in self.vocab.items() if t.endswith(self.suffix)} if self.suffix else inner
@@ -83,6 +111,8 @@ class BPE:
 
     def merge(self, ids: list[int]) -> tuple[int, ...]:
         """Exact merging of symbol ids: always the pair of lowest rank, from the left."""
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
         rank, result = self.rank.get, self.result
         ranks = [rank(x << 16 | y, NO_RANK) for x, y in zip(ids, ids[1:])]
         while ranks:
@@ -98,6 +128,32 @@ class BPE:
                 ranks[k] = rank(new << 16 | ids[k + 1], NO_RANK)
         return tuple(ids)
 
+    def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
+        """The same for long words: a heap of pairs by rank and place, over symbols linked to their neighbours.
+
+        A pair in the heap may have been overtaken by a merge beside it; it counts only if its left symbol still has that rank.
+        """
+        rank, result, n = self.rank.get, self.result, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [rank(x << 16 | y, NO_RANK) for x, y in zip(ids, ids[1:])] + [NO_RANK]
+        heap = [(r, k) for k, r in enumerate(now) if r != NO_RANK]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            if now[k] != r:
+                continue
+            gone = after[k]
+            ids[k], now[gone], ids[gone] = result[r], NO_RANK, -1
+            after[k] = end = after[gone]
+            if end < n:
+                before[end] = k
+            for left, right in ((before[k], k), (k, end)):
+                if left >= 0:
+                    now[left] = own = rank(ids[left] << 16 | ids[right], NO_RANK) if right < n else NO_RANK
+                    if own != NO_RANK:
+                        heapq.heappush(heap, (own, left))
+        return tuple(i for i in ids if i >= 0)
+
     def symbols(self, word: str, closed: bool = True) -> list[int]:
         """Ids of the byte symbols of a word given as byte-level characters."""
         out = [self.inner[c] for c in word]
@@ -196,6 +252,8 @@ class BPE:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 text = text.replace("Σ", "σ")
+            if NEW_CAPITAL.search(text):
+                text = text.translate(NEW_LOWER)
         return text.lower()
 
     def _pieces(self, text: str) -> list[str]:
@@ -213,6 +271,11 @@ class BPE:
             return [x for x in SPACES.split(text) if x]
         return text.split()
 
+    def _words(self, piece: str) -> list[str]:
+        """A piece's words by the pattern."""
+        old = not piece.isascii() and self.newer.search(piece)
+        return (self.old_word if old else self.word).findall(piece)
+
     def _bytes(self, word: str) -> str:
         """A word's bytes as byte-level characters; printable ASCII stands for itself."""
         if word.isascii() and word.isprintable():
@@ -221,7 +284,7 @@ class BPE:
 
     def _learn(self, pieces: Sequence[str]) -> None:
         """Enters pieces that aren't in the cache."""
-        find, spell, words, names, special = self.word.findall, self._bytes, self.words, self.names.__getitem__, self.special
+        find, spell, words, names, special = self._words, self._bytes, self.words, self.names.__getitem__, self.special
         cut = [[p] if p.isascii() and p.isalpha() else [] if p[0] == "\udfff" else list(map(spell, find(p))) for p in pieces]
         fresh = list({w for ws in cut for w in ws if w not in words})
         words.update((w, (ids, " ".join(map(names, ids)))) for w, ids in zip(fresh, self.encode_words(fresh)))
