@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from trackloom.llm.bytesops import chunks
 from trackloom.llm.common import arrow_batches, docs_table, table
 
-#: Bound of the training sample: labelled rows, taken in the order of a hash of their ids.
-TRAIN_ROWS = 2000
+#: Bound of the training sample: labelled rows, taken in the order of a hash of their ids, and the bytes of a row; longer texts are scored
+#: as a whole like all others, but teach nothing.
+TRAIN_ROWS, TRAIN_TEXT_BYTES = 2000, 1 << 20
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -27,6 +28,8 @@ class ByteNet:
     """Filters, their training and scoring; always one score in (0, 1), for an empty text too."""
 
     WIDTH, FILTERS, EMBED, CHUNK = 6, 12, 6, 256
+    #: Chunks that are expanded at once, however long a text is.
+    SLICE = 64
     LOWEST = np.float32(-1e9)
 
     def __init__(self, seed: int = 11) -> None:
@@ -40,19 +43,27 @@ class ByteNet:
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def chunked(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes by chunk, valid window starts by chunk, first chunk of each text)."""
-        sizes = np.maximum(np.diff(offsets), 1)
-        counts = -(-sizes // self.CHUNK)
+    def layout(self, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text of each chunk, where it begins in it, first chunk of each text); an empty text has one chunk."""
+        counts = -(-np.maximum(np.diff(offsets), 1) // self.CHUNK)
         first = np.cumsum(counts) - counts
-        doc = np.repeat(np.arange(len(sizes)), counts)
-        inside = (np.arange(len(doc)) - first[doc]) * self.CHUNK
-        left = np.minimum(sizes[doc] - inside, self.CHUNK)
-        place = inside[:, None] + np.arange(self.CHUNK + self.WIDTH - 1)
-        real = place < np.diff(offsets)[doc][:, None]
-        at = np.where(real, place + offsets[doc][:, None], 0)
-        raw = np.where(real, data[at], 0) if len(data) else np.zeros(at.shape, np.uint8)
-        return raw.astype(np.intp), np.arange(self.CHUNK) < left[:, None], first
+        doc = np.repeat(np.arange(len(counts)), counts)
+        return doc, (np.arange(len(doc)) - first[doc]) * self.CHUNK, first
+
+    @staticmethod
+    def bytes_at(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Bytes at places of texts, 0 beyond their ends."""
+        real = place < np.diff(offsets)[doc]
+        at = np.where(real, place + offsets[doc], 0)
+        return np.where(real, data[at], 0).astype(np.intp) if len(data) else np.zeros(at.shape, np.intp)
+
+    def slices(self, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first chunk, bytes by chunk, valid window starts by chunk) of SLICE chunks at a time."""
+        for a in range(0, len(doc), self.SLICE):
+            own, start = doc[a : a + self.SLICE], inside[a : a + self.SLICE]
+            raw = self.bytes_at(data, offsets, own[:, None], start[:, None] + np.arange(self.CHUNK + self.WIDTH - 1))
+            left = np.maximum(np.diff(offsets), 1)[own] - start
+            yield a, raw, np.arange(self.CHUNK) < left[:, None]
 
     def tables(self) -> np.ndarray:
         return np.einsum("be,wef->wbf", self.p["embed"], self.p["filter"]).astype(np.float32)
@@ -72,10 +83,10 @@ class ByteNet:
     def score(self, texts: pa.Array) -> np.ndarray:
         tables, out = self.tables(), []
         for _, data, offsets in chunks(texts, 1 << 17):
-            raw, valid, first = self.chunked(data, offsets)
-            pooled = np.empty((len(raw), self.FILTERS), np.float32)
-            for a in range(0, len(raw), 64):
-                pooled[a : a + 64] = self.convolve(raw[a : a + 64], valid[a : a + 64], tables).max(axis=1)
+            doc, inside, first = self.layout(offsets)
+            pooled = np.empty((len(doc), self.FILTERS), np.float32)
+            for at, raw, valid in self.slices(data, offsets, doc, inside):
+                pooled[at : at + len(raw)] = self.convolve(raw, valid, tables).max(axis=1)
             pooled = np.maximum(pooled + self.p["bias"], 0)
             z = self._features(pooled, first) @ self.p["out"] + self.p["base"]
             out.append(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))))
@@ -108,17 +119,16 @@ class ByteNet:
     def _gradient(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         data = np.frombuffer(b"".join(texts), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        raw, valid, first = self.chunked(data, offsets)
-        n = len(raw)
-        won, best, tables = np.empty((n, self.FILTERS), np.intp), np.empty((n, self.FILTERS), np.float32), self.tables()
-        for a in range(0, n, 64):
-            acc = self.convolve(raw[a : a + 64], valid[a : a + 64], tables)
-            won[a : a + 64] = acc.argmax(axis=1)
-            best[a : a + 64] = np.take_along_axis(acc, won[a : a + 64, None, :], axis=1)[:, 0]
+        doc, inside, first = self.layout(offsets)
+        n, tables = len(doc), self.tables()
+        won, best = np.empty((n, self.FILTERS), np.intp), np.empty((n, self.FILTERS), np.float32)
+        for at, raw, valid in self.slices(data, offsets, doc, inside):
+            acc = self.convolve(raw, valid, tables)
+            won[at : at + len(raw)] = acc.argmax(axis=1)
+            best[at : at + len(raw)] = np.take_along_axis(acc, won[at : at + len(raw), None, :], axis=1)[:, 0]
         live = best + self.p["bias"] > 0
         pooled = np.where(live, best + self.p["bias"], 0).astype(np.float32)
         counts = np.diff(np.append(first, n))
-        doc = np.repeat(np.arange(len(texts)), counts)
         x = self._features(pooled, first)
         z = np.clip(x @ self.p["out"] + self.p["base"], -30, 30)
         dz = (1 / (1 + np.exp(-z)) - y) * weight
@@ -126,9 +136,9 @@ class ByteNet:
         top = pooled == x[doc, : self.FILTERS]
         ties = np.add.reduceat(top.astype(np.float32), first)
         dpool = (dx[doc, : self.FILTERS] * top / ties[doc] + dx[doc, self.FILTERS :] / counts[doc][:, None]) * live
-        windows = raw[np.arange(n)[:, None, None], won[:, :, None] + np.arange(self.WIDTH)]
         chunk, which = np.nonzero(dpool)
-        g, seen = dpool[chunk, which], windows[chunk, which]
+        g = dpool[chunk, which]
+        seen = self.bytes_at(data, offsets, doc[chunk, None], (inside[chunk] + won[chunk, which])[:, None] + np.arange(self.WIDTH))
         dfilter, dembed = np.zeros_like(self.p["filter"]), np.zeros_like(self.p["embed"])
         for j in range(self.WIDTH):
             e = self.p["embed"][seen[:, j]] * g[:, None]
@@ -143,10 +153,13 @@ def fold(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ByteNet:
-    """A net fitted to the labelled rows outside the held-out fold, at most ``rows`` of them."""
+    """A net fitted to the labelled rows outside the held-out fold, at most ``rows`` of them with texts of at most TRAIN_TEXT_BYTES.
+
+    Rows without a label, or without a document, teach nothing; a null text is an empty one.
+    """
     own = labels.where(fold(F.col("doc_id")) != 0).where("quality is not null").select(F.col("doc_id").alias("labelled"), "quality")
     first = own.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(rows)
-    sample = docs.join(first, docs["doc_id"] == first["labelled"]).select("labelled", "quality", F.coalesce(docs["text"], F.lit("")).alias("t"))
+    sample = docs.join(first, docs["doc_id"] == first["labelled"]).select("labelled", "quality", F.coalesce(docs["text"], F.lit("")).alias("t")).where(F.octet_length("t") <= TRAIN_TEXT_BYTES)
     got = sorted((r[0], r[1], r[2].encode()) for r in sample.collect())
     return ByteNet().fit([t for *_, t in got], np.array([int(q > 0) for _, q, _ in got]))
 

@@ -2,7 +2,7 @@
 
 Grades 0 (clean) to 3 are ordered: P(grade > k) = sigmoid(w.x - threshold_k), one weight vector for all thresholds. The
 labels tell clean from toxic only; a toxic training row's grade is the third, by its sum of marker features, to
-which it belongs among the toxic rows. Features are words and beginnings of words; a feature's value is
+which it belongs among the toxic rows. So severity says how dense marks of toxicity are, not how bad a reader finds them. Features are words and beginnings of words; a feature's value is
 log(1 + occurrences in SCALE words), so that it tells how dense it is in the whole text.
 """
 
@@ -23,8 +23,8 @@ from trackloom.llm.common import arrow_batches, docs_table, table
 #: Bound of the training sample: labelled rows, taken in the order of a hash of their ids.
 TRAIN_ROWS = 4000
 GRADES = 4
-#: Bound of the model: features kept, by strength of association with the labels.
-FEATURES = 1500
+#: Least log likelihood ratio of a feature: what one in a thousand features without any tie to the labels reaches.
+STRENGTH = 10.8
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 400_000
@@ -74,18 +74,25 @@ class OrdinalModel:
         return edges[:, :-1] - edges[:, 1:]
 
 
-def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, steps: int = 300, l2: float = 2e-4) -> OrdinalModel:
-    """The model of labelled texts; without both labels it calls no text toxic (or every one, if all are)."""
-    bags = [Counter(f for w in WORD.findall(t.lower()) for f in word_features(w)) for t in texts]
+Bag = tuple[int, dict[str, int]]
+
+
+def bag(text: str | None) -> Bag:
+    """(words, occurrences of each feature) of a text."""
+    words = WORD.findall((text or "").lower())
+    return len(words), Counter(f for w in words for f in word_features(w))
+
+
+def fit(bags: list[Bag], toxic: np.ndarray, steps: int = 300, l2: float = 2e-4) -> OrdinalModel:
+    """The model of labelled bags; without both labels it calls no text toxic (or every one, if all are)."""
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return OrdinalModel([], np.zeros(0), np.arange(GRADES - 1) + (5.0 if not n1 else -9.0))
     yes, no = Counter(), Counter()
-    for b, y in zip(bags, toxic):
+    for (_, b), y in zip(bags, toxic):
         (yes if y else no).update(b.keys())
     # association: log likelihood ratio of presence by label
-    least = 3 if len(texts) >= 100 else 1
-    seen = sorted(f for f in yes.keys() | no.keys() if yes[f] + no[f] >= least)
+    seen = sorted(yes.keys() | no.keys())
     a, b = np.array([yes[f] for f in seen], float), np.array([no[f] for f in seen], float)
     total = n1 + n0
 
@@ -94,43 +101,52 @@ def fit(texts: list[str], toxic: np.ndarray, features: int = FEATURES, steps: in
         return np.where(got > 0, got * np.log(np.maximum(got, 1e-9) / np.maximum(expected, 1e-9)), 0)
 
     strength = 2 * (part(a, n1, a + b) + part(b, n0, a + b) + part(n1 - a, n1, total - a - b) + part(n0 - b, n0, total - a - b))
-    order = np.lexsort((np.arange(len(seen)), -strength))[:features]
-    order = order[strength[order] > 10.8]  # a chance of 1 in 1,000 for a feature on its own
-    names = [seen[k] for k in order]
+    strong = np.flatnonzero(strength > STRENGTH)
+    names = [seen[k] for k in strong]
     index = {f: k for k, f in enumerate(names)}
-    words = [sum(c for f, c in bag.items() if f[0] != "^") for bag in bags]
-    x = np.zeros((len(texts), len(names)), np.float32)
-    for r, bag in enumerate(bags):
-        for f, c in bag.items():
-            if (k := index.get(f)) is not None:
-                x[r, k] = density(c, words[r])
-    marker = (a / n1 > 5 * (b + 0.5) / n0)[order]
-    load = x @ marker.astype(np.float32)
-    grade = np.zeros(len(texts), int)
+    cells = [(r, k, density(c, n)) for r, (n, own) in enumerate(bags) for f, c in own.items() if (k := index.get(f)) is not None]
+    row, column = (np.array([c[k] for c in cells], np.int64) for k in (0, 1))
+    x = Sparse(row, column, np.array([c[2] for c in cells], float), len(bags), len(names))
+    marker = (a / n1 > 5 * (b + 0.5) / n0)[strong]
+    load = x.times(marker.astype(float))
+    grade = np.zeros(len(bags), int)
     cuts = np.quantile(load[toxic > 0], [1 / 3, 2 / 3])
     grade[toxic > 0] = 1 + (load[toxic > 0, None] > cuts).sum(axis=1)
     return OrdinalModel(names, *_descend(x, grade, steps, l2))
 
 
-def _descend(x: np.ndarray, grade: np.ndarray, steps: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
+class Sparse:
+    """A matrix of bags by features, as its cells."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int, columns: int) -> None:
+        self.row, self.column, self.value, self.shape = row, column, value, (rows, columns)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    def transposed(self, z: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * z[self.row], self.shape[1])
+
+
+def _descend(x: Sparse, grade: np.ndarray, steps: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
     """Adam on the likelihood; thresholds are the first one and positive gaps, so they stay in order."""
-    k = GRADES - 1
+    k, n = GRADES - 1, x.shape[0]
     w, t = np.zeros(x.shape[1]), np.array([2.0, *([0.0] * (k - 1))])
     m = v = np.zeros(len(w) + k)
     for step in range(1, steps + 1):
         theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        z = x @ w
+        z = x.times(w)
         above = 1 / (1 + np.exp(-np.clip(z[:, None] - theta, -40, 40)))
-        edges = np.concatenate([np.ones((len(x), 1)), above, np.zeros((len(x), 1))], axis=1)
+        edges = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
         slope = edges * (1 - edges)
-        rows = np.arange(len(x))
+        rows = np.arange(n)
         p = np.maximum(edges[rows, grade] - edges[rows, grade + 1], 1e-9)
-        dz = -(slope[rows, grade] - slope[rows, grade + 1]) / p / len(x)
+        dz = -(slope[rows, grade] - slope[rows, grade + 1]) / p / n
         dtheta = np.zeros(k)
         for j in range(k):
-            dtheta[j] = (slope[:, j + 1] * ((grade == j + 1) / p - (grade == j) / p)).sum() / len(x)
+            dtheta[j] = (slope[:, j + 1] * ((grade == j + 1) / p - (grade == j) / p)).sum() / n
         dt = np.array([dtheta.sum(), *(dtheta[j:].sum() * np.exp(t[j]) for j in range(1, k))])
-        g = np.concatenate([x.T @ dz + l2 * w, dt])
+        g = np.concatenate([x.transposed(dz) + l2 * w, dt])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, t = w - move[: len(w)], t - move[len(w) :]
@@ -138,12 +154,23 @@ def _descend(x: np.ndarray, grade: np.ndarray, steps: int, l2: float) -> tuple[n
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fits a model to at most ``rows`` labelled documents."""
+    """Fits a model to at most ``rows`` labelled documents; tasks turn their texts into bags, and only those come to the driver.
+
+    Rows without a label, or without a document, teach nothing; a null text is an empty one.
+    """
     own = labels.where("toxic is not null").select(F.col("doc_id").alias("labelled"), "toxic")
     first = own.orderBy(F.xxhash64("labelled"), "labelled", "toxic").limit(rows)
-    sample = docs.join(first, docs["doc_id"] == first["labelled"]).select("labelled", "toxic", F.coalesce(docs["text"], F.lit("")).alias("t"))
-    got = sorted((r[0], r[1], r[2]) for r in sample.collect())
-    return fit([t for *_, t in got], np.array([int(y > 0) for _, y, _ in got], int))
+    sample = docs.join(first, docs["doc_id"] == first["labelled"]).select(F.col("labelled").cast("long"), F.col("toxic").cast("int"), F.col("text").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [bag(t) for t in batch.column(2).to_pylist()]
+            columns = [pa.array([n for n, _ in bags], pa.int64()), pa.array([list(b) for _, b in bags], pa.list_(pa.string())), pa.array([list(b.values()) for _, b in bags], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["labelled", "toxic", "n", "features", "counts"])
+
+    got = sample.mapInArrow(run, "labelled long, toxic int, n long, features array<string>, counts array<long>").toArrow().sort_by([("labelled", "ascending"), ("toxic", "ascending"), ("n", "ascending")])
+    bags = [(n, dict(zip(f, c))) for n, f, c in zip(*(got[c].to_pylist() for c in ("n", "features", "counts")))]
+    return fit(bags, np.array([int(y > 0) for y in got["toxic"].to_pylist()], int))
 
 
 def score(df: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
