@@ -292,6 +292,34 @@ def test_zip_ranges(zip64):
         warc.ZipReader(lambda a, n: buffer.getvalue()[a : a + n], len(buffer.getvalue())).locate("packed")
 
 
+def test_warc_files_are_read_by_ranges(spark, tmp_path):
+    """One record of a package takes its directory, its index and the record's own range; other bytes aren't read."""
+    noise = np.random.default_rng(1)
+    rows = [(k, f"http://p/{k}", "".join(map(chr, noise.integers(33, 126, 5000)))) for k in range(400)] + [(900, "u", "tiny"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/packages"
+    files = warc.write_files(warc.decide(pages).coalesce(1), folder, package_bytes=300_000).cache()
+    listed = [tuple(r) for r in files.collect()]
+    assert len(listed) > 3 and all((tmp_path / "packages" / p.rsplit("/", 1)[1]).stat().st_size == n for p, n in listed)
+    every = warc.read_files(files).collect()
+    assert sorted(str((r["page_id"], bytes(r["payload"]).decode())) for r in every) == sorted(str((k, t or "")) for k, _, t in rows)
+    some = warc.read_files(files, [7, 900]).collect()
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in some} == {7: rows[7][2], 900: "tiny"}
+    for path, size in listed:
+        reads = []
+        with open(path.removeprefix("file://"), "rb") as f:
+
+            def read(at, n, f=f, reads=reads):
+                f.seek(at)
+                reads.append(n)
+                return f.read(n)
+
+            found = list(warc.records(read, size, lambda page: page in (7, 900)))
+        assert sum(reads) < 66_000 + 20_000 + 6_000 * len(found) < size
+    assert warc.read_files(warc.write_files(warc.decide(pages.limit(0)), folder)).count() == 0
+    assert not warc.has_files("unknown://host/folder")
+
+
 def test_warc_round_trip(spark):
     big = "<p>é</p>" * 200
     rows = [(1, "http://a", big, 0), (5, None, big, 0), (5, "http://a\r\nX: y", big, 0), (2, "u", "short", 0), (3, "u", "short", 0), (4, None, None, 0), (None, "n", big, 0), (None, "n", "alone" * 300, 0), (6, "u", "", 0)]

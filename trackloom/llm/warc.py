@@ -1,9 +1,9 @@
 """WARC records in ZIP packages, read back by byte ranges.
 
 A package is a ZIP archive whose members are stored, not compressed: ``archive/data.warc.gz`` with one gzip member
-a record, and ``indexes/index.cdxj`` with each record's offset and length. The reader parses the end record, the
-ZIP64 locator and end record, and the central directory, finds where members' bytes begin, and reads
-single records by range; nothing is extracted.
+a record, and ``indexes/index.cdxj`` with each record's offset and length. Tasks write packages as files in the shared folder. The
+reader opens a file, parses the end record, the ZIP64 locator and end record, and the central directory, finds where members' bytes begin,
+and reads single records by range; nothing is extracted, and what isn't asked for isn't read.
 """
 
 from __future__ import annotations
@@ -11,17 +11,20 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import shared_dir, table
+from trackloom.llm.common import checkpointed, shared_dir, table
 
 DEDUP_BYTES = 1000
 PACKAGE_BYTES = 2 << 20
+SALTS = 16
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _U32, _U16 = 0xFFFFFFFF, 0xFFFF
 _EPOCH = "2000-01-01T00:00:00Z"
@@ -185,45 +188,107 @@ class Package:
         return out.close()
 
 
-def records(read: Read, size: int) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """Every record that a package's indexes list, each by one range."""
+def records(read: Read, size: int, wanted: Callable[[int | None], bool] | None = None) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+    """Every record that a package's indexes list, or those of wanted pages, each by one range."""
     package = ZipReader(read, size)
+    starts: dict[str, int] = {}
     for name in package.members:
         if not name.startswith("indexes/"):
             continue
         start, length = package.locate(name)
         for line in read(start, length).decode().splitlines():
+            if wanted is not None and not wanted(_page(line.split(" ", 1)[0])):
+                continue
             entry = json.loads(line[line.index("{") :])
-            first, _ = package.locate("archive/" + entry["filename"])
-            yield parse(read(first + entry["offset"], entry["length"]))
+            member = "archive/" + entry["filename"]
+            if member not in starts:
+                starts[member] = package.locate(member)[0]
+            yield parse(read(starts[member] + entry["offset"], entry["length"]))
 
 
 def decide(pages: DataFrame, least: int = DEDUP_BYTES) -> DataFrame:
     """(page_id, url, html, digest, refers_to): of equal payloads of at least ``least`` bytes all but the largest page revisit it.
 
     A null html is an empty payload. Rows that share the largest page_id are all responses. Payloads of pages
-    with null ids only have no largest id, so they are responses; beside others a null id revisits.
+    with null ids only have no largest id, so they are responses; beside others a null id revisits. Page ids are whole numbers; other
+    columns than page_id, url and html aren't read. Payloads are equal if their SHA-256 is. Smaller payloads aren't shuffled, and the
+    pages of one payload meet its largest id in SALTS places.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html"), F.sha1(body).alias("digest"))
-    copied = pages.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    revisits = F.when((F.octet_length("html") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return pages.join(copied, "digest", "left").select("page_id", "url", "html", "digest", revisits.alias("refers_to"))
+    big = F.coalesce(F.octet_length("html") >= least, F.lit(False))
+    large = pages.where(big).withColumn("key", F.sha2(F.col("html").cast("binary"), 256))
+    copied = large.groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    revisits = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    out = salted.join(copied, ["key", "salt"], "left").select("page_id", "url", "html", "digest", revisits.alias("refers_to"))
+    return out.unionByName(pages.where(~big).withColumn("refers_to", F.lit(None).cast("long")))
 
 
-def write(decided: DataFrame, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> DataFrame:
-    """(package): ZIP packages of the rows of decide(), by partition; each holds about ``package_bytes``."""
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path there) of a folder or file, given by URI or by path."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+
+
+def has_files(folder: str) -> bool:
+    """Whether tasks can open files by range in a folder; stores that only Spark reaches take packages as table cells instead."""
+    try:
+        filesystem(folder)
+    except (ValueError, OSError, NotImplementedError):
+        return False
+    return True
+
+
+def _packages(batches: Iterator[pa.RecordBatch], package_bytes: int, zip64: bool) -> Iterator[bytes]:
+    open_ = Package()
+    for batch in batches:
+        for page, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            open_.add(page, url, (html or "").encode(), digest, refers_to)
+            if open_.at >= package_bytes:
+                yield open_.close(zip64)
+                open_ = Package()
+    if open_.parts:
+        yield open_.close(zip64)
+
+
+def write_files(decided: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> DataFrame:
+    """(path, size) of the ZIP files that hold the rows of decide(), of about ``package_bytes`` each, in a folder that all executors share.
+
+    A task names its files anew each time it runs, so a task that is run again leaves files that no row lists. Checkpoint the rows before reading.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = filesystem(folder)
+        store.create_dir(base, recursive=True)
+        for data in _packages(batches, package_bytes, zip64):
+            name = f"{uuid.uuid4().hex}.zip"
+            with store.open_output_stream(f"{base}/{name}") as f:
+                f.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(data)], pa.int64())], names=["path", "size"])
+
+    return decided.mapInArrow(run, "path string, size long")
+
+
+def read_files(files: DataFrame, pages: Sequence[int] | None = None) -> DataFrame:
+    """The records of ZIP files (path, size), or those of some pages, as read() gives them; each file is opened and read by ranges."""
+    wanted = None if pages is None else set(pages).__contains__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = Package()
         for batch in batches:
-            for page, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                open_.add(page, url, (html or "").encode(), digest, refers_to)
-                if open_.at >= package_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([open_.close(zip64)], pa.binary())], names=["package"])
-                    open_ = Package()
-        if open_.parts:
-            yield pa.RecordBatch.from_arrays([pa.array([open_.close(zip64)], pa.binary())], names=["package"])
+            for path, size in zip(*(c.to_pylist() for c in batch.columns)):
+                store, name = filesystem(path)
+                with store.open_input_file(name) as f:
+                    yield _rows(records(lambda at, n, f=f: f.read_at(n, at), size, wanted))
+
+    return files.select("path", "size").mapInArrow(run, SCHEMA)
+
+
+def write(decided: DataFrame, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> DataFrame:
+    """(package): the same packages as cells of a table, for a store that only Spark reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in _packages(batches, package_bytes, zip64):
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["package"])
 
     return decided.mapInArrow(run, "package binary")
 
@@ -238,29 +303,34 @@ def read(packages: DataFrame) -> DataFrame:
         for batch in batches:
             for blob in batch.column(0):
                 data = memoryview(blob.as_buffer())
-                rows: list[tuple] = []
-                for head, http, payload in records(lambda a, n, d=data: bytes(d[a : a + n]), len(data)):
-                    kind = head["warc-type"]
-                    full = kind == "response"
-                    rows.append((_page(head["warc-record-id"]), head.get("warc-target-uri"), kind, None if full else _page(head["warc-refers-to"]), len(payload) if full else int(http["content-length"]), hashlib.sha1(payload).hexdigest() if full else head["warc-payload-digest"].removeprefix("sha1:"), payload if full else None))
-                yield pa.RecordBatch.from_arrays(_columns(rows), names=[n for n, _ in FIELDS])
+                yield _rows(records(lambda a, n, d=data: bytes(d[a : a + n]), len(data)))
 
-    return packages.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    return packages.mapInArrow(run, SCHEMA)
 
 
 FIELDS = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]
+SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def _columns(rows: Iterable[tuple]) -> list[pa.Array]:
-    rows = list(rows)
-    return [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(FIELDS)]
+def _rows(found: Iterator[tuple[dict[str, str], dict[str, str], bytes]]) -> pa.RecordBatch:
+    rows: list[tuple] = []
+    for head, http, payload in found:
+        kind = head["warc-type"]
+        full = kind == "response"
+        rows.append((
+            _page(head["warc-record-id"]), head.get("warc-target-uri"), kind, None if full else _page(head["warc-refers-to"]), len(payload) if full else int(http["content-length"]),
+            hashlib.sha1(payload).hexdigest() if full else head["warc-payload-digest"].removeprefix("sha1:"), payload if full else None))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(FIELDS)], names=[n for n, _ in FIELDS])
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes packages to the shared folder, then reads each record back from them."""
-    folder = shared_dir(spark)
-    write(decide(table(spark, sf_dir, "pages"))).write.option("compression", "none").parquet(folder)
-    out = read(spark.read.schema("package binary").parquet(folder))
+    folder, decided = shared_dir(spark), decide(table(spark, sf_dir, "pages"))
+    if has_files(folder):
+        out = read_files(checkpointed(write_files(decided, folder)))
+    else:
+        write(decided).write.option("compression", "none").parquet(folder)
+        out = read(spark.read.schema("package binary").parquet(folder))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
