@@ -287,11 +287,36 @@ def test_ngram_join_equals_brute_force(spark):
     docs += [(200, "one two"), (201, "One, two!"), (202, "one"), (203, "..."), (204, "...")]
     want = near(docs)
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    for block in (512, 4):  # whole clusters, and clusters cut into blocks
-        got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngramjoin.join(d, recall=0.9999, block=block).collect()}
+    for sizes in ({}, {"block": 4}, {"block_shingles": 500}):  # whole clusters, and clusters cut into blocks by members or shingles
+        got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngramjoin.join(d, **sizes).collect()}
         assert got == want
 
 
+def test_ngram_join_of_hot_classes_bands_and_hubs(spark, monkeypatch):
+    """Keys that hold many rows take the way of hot keys, and the result is the same."""
+    from trackloom.llm import common
+
+    r = random.Random(7)
+    base = [f"w{r.randint(0, 500)}" for _ in range(80)]
+    docs = [(k, " ".join(base)) for k in range(40)] + [(k, " ".join([*base[:79], f"e{k}"])) for k in range(40, 90)] + [(k, f"other text {k}") for k in range(90, 120)]
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngramjoin.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == near(docs)
+
+
+def test_ngram_join_recall_by_similarity(spark):
+    """Pairs that no third document joins, from 0.80 to 0.90, with the shipped settings: all of 400 at each are found."""
+    r, docs = random.Random(9), []
+    for k in range(2000):
+        words_ = 100
+        w = [f"w{r.randrange(10**9)}" for _ in range(words_)]
+        cut = (10, 9, 8, 6, 5)[k % 5]  # of 96 shingles, 96 - cut are common: similarities 0.81, 0.83, 0.85, 0.88, 0.90
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[: words_ - cut], *(f"x{r.randrange(10**9)}" for _ in range(cut))]))]
+    rows = ngramjoin.join(spark.createDataFrame(docs, "doc_id long, text string")).where("n_links <> 1").collect()
+    assert rows == []
+
+
 def test_ngram_join_keeps_links_at_the_threshold(spark):
     r = random.Random(8)
     docs = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: Rows per Arrow batch for tables of long texts, where the session has Spark's default.
 TEXT_ROWS = 1000
 BLOCK_BYTES = 8 << 20
+#: What makes a key hot, see lookup().
+HOT_ROWS, HOT_KEYS = 1000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +36,11 @@ def arrow_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one in local mode, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "trackloom-checkpoints")
     return f"{base.rstrip('/')}/trackloom-{uuid.uuid4().hex}"
 
@@ -48,6 +53,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: Column, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined with a table that has one row a key and tells by ``weight`` how many of the ``total`` rows have it.
+
+    Keys of HOT_ROWS rows and of a HOT_KEYS-th of all rows or more, of which there are HOT_KEYS at most, are sent to every task, so that no task
+    gets all rows of one; other keys meet by a shuffle.
+    """
+    hot = weight >= max(HOT_ROWS, total / HOT_KEYS)
+    few, rest = F.broadcast(table.where(hot)), table.where(~hot)
+    others = rows.join(few.select(*keys), keys, "left_anti").join(rest, keys, how)
+    return rows.join(few, keys).unionByName(others)
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts: one aggregate over one column."""
     return int(df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpointed
+from trackloom.llm.common import checkpointed, lookup
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -15,18 +15,18 @@ def _sum(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges (a, b): the root is the component's smallest node.
 
-    Null ends and loops are left out; repeated edges count once. Each round is written to the shared folder.
+    Null ends and loops are left out; repeated edges count once. Nodes of very many edges are no task's alone. Each round is written to the shared folder.
     Raises if ``rounds`` don't suffice, which takes more than 2**rounds nodes in a path.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = checkpointed(e)
-    before = None
+    before = _sum(e)
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        both, total = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * before[0]
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).select("a", F.least("a", "m").alias("m"), "c")
+        large = lookup(both, least, ["a"], F.col("c"), total, "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        small = lookup(large, least, ["a"], F.col("c"), total, "inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         e = checkpointed(small)
         now = _sum(e)
         if now == before:

@@ -1,8 +1,8 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
 Documents of equal sets of five-word shingles are one class. Classes that share a band's hash are candidates; the candidate graph's
-components are the clusters within which every two classes are compared on their whole sets. A large cluster is
-cut into blocks and its pairs of blocks are compared by tasks of their own; a task yields each class's number of
+components are the clusters within which every two classes are compared on their whole sets. Small clusters share a task up to a bound
+of shingles; a large one is cut into blocks, whose pairs are compared by tasks of their own. A task yields each class's number of
 links and a spanning forest of the links, never the pairs.
 """
 
@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.bytesops import U64, Words, chunks, mix, shingles
-from trackloom.llm.common import arrow_batches, checkpointed, docs_table
+from trackloom.llm.common import arrow_batches, checkpointed, docs_table, lookup
 from trackloom.llm.graph import connected_components
 
 WORDS = 5
 SIMILARITY = 0.8
 #: Chance of a pair at just SIMILARITY to be a candidate: of a thousand million such links one is lost.
 RECALL = 1 - 1e-9
-#: Classes in a block of a large cluster.
-BLOCK = 512
+#: Classes in a block of a large cluster, and shingles that a task compares, of small clusters together or of a block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def bands_for(similarity: float, recall: float, rows: int = 4) -> int:
@@ -163,14 +163,14 @@ def compare(group: pa.Table, words: int, similarity: float) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds)})
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, class_id, copy_id, n_links), a row per row of ``df``.
 
     Two documents are linked if their sets of ``words``-word shingles have a Jaccard similarity of at least
     ``similarity``. ``n_links`` counts the other rows that a row is linked with; ``class_id`` is the smallest id that links
     lead to, ``copy_id`` the smallest id with an equal set. A text of fewer words, but some, has one shingle of
     all its words; one without words (null and empty texts too) is linked with none. A row with a null id
-    has no links and a null class. Rows that share an id and a set count as two documents; rows that share an id only
+    has no links and a null class. Ids are whole numbers. Rows that share an id and a set count as two documents; rows that share an id only
     have the links of both.
     """
     rows = 4
@@ -178,13 +178,16 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     sig = checkpointed(signatures(df, id_col, text_col, words, bands, rows))
     classes = sig.where("n > 0 and k is not null").groupBy("hi", "lo", "n").agg(F.min("k").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
     classes = checkpointed(classes)
-    keyed = classes.select("rep", F.explode("bands").alias("h"))
-    hubs = keyed.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub")
-    edges = keyed.join(hubs, "h").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    keyed, total = classes.select("rep", F.explode("bands").alias("h")), classes.count()
+    hubs = keyed.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
+    edges = lookup(keyed, hubs, ["h"], F.col("c"), total, "inner").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = connected_components(edges).withColumnRenamed("root", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
+    known = checkpointed(classes.join(clusters, classes["rep"] == clusters["node"]).select("rep", "weight", "hi", "lo", "n", "cluster"))
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("shingles") / block_shingles)).cast("int")
+    sizes = known.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).select("cluster", "m", "shingles", blocks.alias("blocks"))
+    groups = max(1, -(-(sizes.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0) // block_shingles))
     # an id may stand for several sets: the text of a class is found by id, its set checked by identity
-    members = classes.join(clusters, classes["rep"] == clusters["node"]).join(sizes, "cluster").select("rep", "weight", "hi", "lo", "cluster", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    members = lookup(known, sizes, ["cluster"], F.col("m"), total, "inner").select("rep", "weight", "hi", "lo", "cluster", "blocks")
     texts = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).where("k is not null")
     found = texts.join(members, texts["k"] == members["rep"]).select("k", "t", "weight", "hi", "lo", "cluster", "blocks")
     found = _same_set(found, words)
@@ -193,17 +196,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     mates = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     found = found.withColumn("mate", F.explode(mates))
     pair = F.xxhash64("cluster", F.least("block", "mate"), F.greatest("block", "mate"))
-    found = found.withColumn("grp", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(4096))).otherwise(pair))
+    found = found.withColumn("grp", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(pair))
     verified = found.groupBy("grp").applyInArrow(lambda t: compare(t, words, similarity), "a long, b long, w long, done boolean")
     verified = checkpointed(verified)
     linked = verified.groupBy("a").agg(F.sum("w").alias("w"), F.max(F.when(F.col("done"), F.col("b"))).alias("root"))
     roots = connected_components(verified.where("not done and b is not null").select("a", "b"))
     linked = linked.join(roots, linked["a"] == roots["node"], "left").select("a", "w", F.coalesce(roots["root"], linked["root"]).alias("root"))
-    result = classes.join(linked, classes["rep"] == linked["a"], "left").select("hi", "lo", "n", "rep", (F.col("weight") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("class_id"))
-    s = sig.select("k", "hi", "lo", "n").alias("s")
-    r = result.alias("r")
-    same = (F.col("s.hi") == F.col("r.hi")) & (F.col("s.lo") == F.col("r.lo")) & (F.col("s.n") == F.col("r.n")) & F.col("s.k").isNotNull() & (F.col("s.n") > 0)
-    return s.join(r, same, "left").select(F.col("s.k").alias(id_col), F.coalesce("r.class_id", "s.k").alias("class_id"), F.coalesce("r.rep", "s.k").alias("copy_id"), F.coalesce("r.n_links", F.lit(0)).cast("long").alias("n_links"))
+    result = classes.join(linked, classes["rep"] == linked["a"], "left").select("hi", "lo", "n", "rep", "weight", (F.col("weight") - 1 + F.coalesce("w", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("class_id"))
+    own = F.col("k").isNotNull() & (F.col("n") > 0)
+    found = lookup(sig.where(own).select("k", "hi", "lo", "n"), result, ["hi", "lo", "n"], F.col("weight"), total)
+    alone = sig.where(~own).select(F.col("k").alias(id_col), F.col("k").alias("class_id"), F.col("k").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    return found.select(F.col("k").alias(id_col), "class_id", F.col("rep").alias("copy_id"), F.col("links").cast("long").alias("n_links")).unionByName(alone)
 
 
 def _same_set(found: DataFrame, words: int) -> DataFrame:
@@ -219,7 +222,9 @@ def _same_set(found: DataFrame, words: int) -> DataFrame:
                 if len(value):
                     heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                     hi[first + row[heads]] = np.add.reduceat(mix(value), heads).view(np.int64)
-            yield batch.filter(pa.array(hi == batch.column(3).to_numpy()))
+            good = np.flatnonzero(hi == batch.column(3).to_numpy())
+            _, first = np.unique(np.stack([batch.column(0).to_numpy()[good], hi[good]]), axis=1, return_index=True)  # repeated rows go once
+            yield batch.take(pa.array(good[np.sort(first)]))
 
     return found.mapInArrow(run, kinds).select(*columns)
 
