@@ -397,23 +397,89 @@ def test_long_texts_come_in_pieces(monkeypatch):
     assert whole.at.tolist() == pieces.at.tolist()
 
 
-def test_repeat_groups(spark):
+def maximal(docs, least=50):
+    """{content: occurrences} of the maximal repeats, by extending every pair of equal runs."""
+    raw = {d: t.encode() for d, t in docs}
+    starts = defaultdict(list)
+    for d, b in raw.items():
+        for p in range(len(b) - least + 1):
+            starts[b[p : p + least]].append((d, p))
+    out = set()
+    for places in starts.values():
+        for i, (d, p) in enumerate(places):
+            for e, q in places[:i]:
+                a, b, n, m = raw[d], raw[e], 0, least
+                while p - n - 1 >= 0 and q - n - 1 >= 0 and a[p - n - 1] == b[q - n - 1]:
+                    n += 1
+                while p + m < len(a) and q + m < len(b) and a[p + m] == b[q + m]:
+                    m += 1
+                out.add(a[p - n : p + m])
+    return {c: {(d, p) for d, b in raw.items() for p in range(len(b) - len(c) + 1) if b[p : p + len(c)] == c} for c in out}
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_repeat_groups_are_the_maximal_repeats(spark, blocks):
+    """Repeats of 60 to 700 bytes, between documents and within one, with all occurrences, against brute force."""
     r = random.Random(9)
-    shared = "".join(r.choice("abcdefghij") for _ in range(60))
-    docs = [(1, "A" + shared + "B"), (2, "C" + shared + "D"), (3, "E" + shared + "F" + shared + "G"), (4, "nothing here")]
-    rows = repeats.repeat_groups(spark.createDataFrame(docs, "doc_id long, text string"), blocks=2).collect()
-    best = [x for x in rows if x["length"] == max(y["length"] for y in rows)]
-    assert best
+
+    def some(n):
+        return "".join(r.choice("abcdefghij") for _ in range(n))
+
+    a, b, c, d = some(60), some(700), some(84), some(51)
+    docs = [(1, "A" + a + "B" + b), (2, "C" + a + "D"), (3, "E" + a + "F" + a + "G"), (4, some(300)), (6, "H" + c + "I" + c), (7, some(70) + d), (8, d + "Y" + b + "Z"), (9, some(49))]
+    rows = repeats.repeat_groups(spark.createDataFrame([*docs, (10, None), (11, "")], "doc_id long, text string"), blocks=blocks).collect()
     by = defaultdict(set)
     for x in rows:
         by[x["repeat"], x["length"]].add((x["doc_id"], x["start"]))
-    for (_, n), places in by.items():  # every occurrence of a repeat, and equal bytes at all of them
-        content = {dict(docs)[d][s : s + n] for d, s in places}
+    got = {}
+    for (_, n), places in by.items():
+        content = {dict(docs)[d].encode()[s : s + n] for d, s in places}
         assert len(content) == 1
-        want = {(d, s) for d, t in docs for s in range(len(t) - n + 1) if t[s : s + n] == next(iter(content))}
-        assert places == want
-    covered = {(d, p) for (_, n), places in by.items() for d, s in places for p in range(s, s + n)}
-    assert all((1, p) in covered for p in range(1, 61))
+        got[content.pop()] = places
+    want = maximal(docs)
+    assert max(map(len, want)) == 700 and got == want
+
+
+def test_repeat_with_a_part_that_occurs_elsewhere(spark):
+    """As documented: the part comes with all its places, the rest up to its end without what only the part's context sees."""
+    r = random.Random(4)
+    b = "".join(r.choice("abcdefghij") for _ in range(700))
+    docs = [(1, "A" + b), (2, "B" + b + "C"), (3, b[:400] + "X")]
+    rows = repeats.repeat_groups(spark.createDataFrame(docs, "doc_id long, text string"), blocks=2).collect()
+    by = defaultdict(set)
+    for x in rows:
+        by[x["repeat"], x["length"]].add((x["doc_id"], x["start"]))
+    part = [p for (_, n), p in by.items() if n == 400]
+    assert part == [{(1, 1), (2, 1), (3, 0)}]
+    rest = [(n, p) for (_, n), p in by.items() if n != 400]
+    assert [p for n, p in rest] == [{(1, 701 - rest[0][0]), (2, 701 - rest[0][0])}] and 300 < rest[0][0] < 400
+
+
+def test_repeat_groups_edges(spark):
+    got = repeats.repeat_groups(edge(spark)).collect()
+    whole = {(r["doc_id"], r["start"]) for r in got if r["length"] == len(LONG)}
+    assert {(1, 0), (2, 0), (None, 0)} <= whole
+    assert repeats.repeat_groups(empty(spark)).count() == 0
+
+
+def test_the_cover_comes_from_the_groups():
+    """For each suffix of a shard, the reach that covers bytes is that of the maximal repeats of which a smaller document has a part."""
+    r = random.Random(5)
+    base = "".join(r.choice("ab") for _ in range(400))
+    texts = ["".join(base[x : x + r.randint(40, 160)] for x in (r.randint(0, 300), r.randint(0, 300))) for _ in range(12)]
+    shards = 1
+    t = pa.table({"k": pa.array(range(12), pa.int64()), "t": pa.array(texts), "block": pa.array([0] * 12, pa.int32())})
+    known = repeats.repeated(repeats.offer(t, shards))
+    sent = repeats.Suffixes(t, known, shards).send(0)
+    shard = repeats.Shard(sent)
+    left, right = shard.reach()
+    want = np.zeros((2, len(shard.rows)), int)
+    for a, b, own in shard.groups():
+        if a + b >= repeats.LENGTH:
+            for k in own:
+                if shard.least[k] > shard.least[own].min():
+                    want[:, k] = np.maximum(want[:, k], (a, b))
+    assert (left == want[0]).all() and (right == want[1]).all() and left.any()
 
 
 def test_intervals_of_a_suffix_array():
@@ -426,12 +492,3 @@ def test_intervals_of_a_suffix_array():
             n += 1
         lcp.append(n)
     assert {(d, sorted(order[a : b + 1])[0], b - a + 1) for d, a, b in repeats.intervals(lcp, 1)} == {(1, 1, 3), (3, 1, 2), (2, 2, 2)}
-
-
-def test_nearest_smaller_row():
-    r = random.Random(8)
-    for _ in range(200):
-        n = r.randint(1, 8)
-        values, lcp = [r.randint(0, 4) for _ in range(n)], [r.randint(0, 5) for _ in range(n - 1)]
-        want = [max([min(lcp[min(i, j) : max(i, j)]) for j in range(n) if values[j] < values[i]], default=-1) for i in range(n)]
-        assert repeats.nearest(values, lcp) == want

@@ -7,27 +7,31 @@ common prefixes of neighbours, and scans them with a stack for the intervals of
 left contexts are compared the same way: a repeat is maximal where both its ends are diverse.
 
 Passes: blocks of documents tell which anchors they have; shards answer which of them occur elsewhere; blocks send
-the suffixes of those, each distinct one once; shards build the tree and answer per suffix; blocks apply the answers.
+the suffixes of those, each distinct one once; shards build the tree, take the maximal repeats with all their occurrences, and answer per
+suffix how far the repeats of smaller documents go; blocks apply the answers.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.llm.bytesops import U64, flat, sliding_min, window_hashes
-from trackloom.llm.common import block_count, block_of, docs_table, text_bytes
+from trackloom.llm.common import block_count, block_of, checkpointed, docs_table, text_bytes
 
 LENGTH, K = 50, 16
 #: Bytes that a run can have left of its anchor.
 LEFT = LENGTH - K
 WIDTH = LENGTH + LEFT + 2
-PIECE = 1 << 19
+#: Bytes that are searched for anchors at once, and bits of a place in them.
+PIECE, PLACE_BITS = 1 << 19, 20
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -56,28 +60,6 @@ def common(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.minimum(first, np.minimum(sizes[1:], sizes[:-1]).astype(np.int64))
 
 
-def nearest(values: list[int], lcp: list[int]) -> list[int]:
-    """For each row of a sorted array its longest common prefix with a row of smaller value; -1 without any."""
-    out = [-1] * len(values)
-    for step in (1, -1):
-        stack: list[list[int]] = []  # [value, common prefix of this row and the current one]
-        order = range(len(values)) if step == 1 else range(len(values) - 1, -1, -1)
-        for i in order:
-            reach = 1 << 30 if not stack else (lcp[i - 1] if step == 1 else lcp[i])
-            # the current row shares no more with earlier rows than their neighbours do
-            v = values[i]
-            low = reach
-            while stack and stack[-1][0] >= v:
-                low = min(low, stack.pop()[1])
-            if stack:
-                low = min(low, stack[-1][1])
-                out[i] = max(out[i], low)
-            stack.append([v, 1 << 30])
-            if len(stack) > 1:
-                stack[-2][1] = low
-    return out
-
-
 class Block:
     """The documents of a block, end to end, with their anchors."""
 
@@ -112,8 +94,7 @@ class Block:
         h = window_hashes(data, K)
         if len(h) < LEFT + 1:
             return np.zeros(0, np.int64), np.zeros(0, U64)
-        bits = U64(max(len(data), 2).bit_length())
-        low = (U64(1) << bits) - U64(1)
+        low = U64((1 << PLACE_BITS) - 1)  # the same bits in every piece, so that equal runs settle ties alike
         least = sliding_min((h & ~low) | np.arange(len(h), dtype=U64), LEFT + 1)
         whole = np.ones(len(least), bool)
         for end in offsets[1:-1].tolist():
@@ -169,14 +150,14 @@ def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
 
 
-def offer(t: pa.Table, shards: int) -> pa.Table:
-    """First pass: a block's distinct anchors by shard, those of several of its documents first."""
+def offer(t: pa.Table, shards: int, inside: bool = False) -> pa.Table:
+    """First pass: a block's distinct anchors by shard, those of several of its documents first; or of several places, if repeats inside a document count."""
     block = Block(t["k"].to_pylist(), t["t"].combine_chunks() if isinstance(t["t"], pa.ChunkedArray) else t["t"])
     order = np.lexsort((block.ids[block.doc], block.hash))
     h, d = block.hash[order], block.ids[block.doc][order]
     heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     ends = np.append(heads[1:], len(h)) - 1
-    h, several = h[heads], d[heads] != d[ends] if len(h) else np.zeros(0, bool)
+    h, several = h[heads], (ends > heads if inside else d[heads] != d[ends]) if len(h) else np.zeros(0, bool)
     shard = shard_of(h, shards)
     order = np.lexsort((h, ~several, shard))
     h, several, shard = h[order], several[order], shard[order]
@@ -277,45 +258,56 @@ class Shard:
         order = np.argsort(np.ascontiguousarray(contexts).view(f"V{LEFT}").ravel(), kind="stable")
         return members[order], common(contexts[order], self.left[members[order]])
 
-    def reach(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix how far left and right it repeats, by LENGTH bytes or more, suffixes of smaller documents."""
-        far_left, far_right = np.zeros(len(self.rows), np.int64), np.zeros(len(self.rows), np.int64)
-        pairs = []
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left, right, first suffix) of the maximal repeats of anchors that just two suffixes share, all at once."""
+        a = np.array([a for a, b in self._groups() if b - a == 2], np.int64)
+        differ = self.rows[a, LENGTH : LENGTH + LEFT] != self.rows[a + 1, LENGTH : LENGTH + LEFT]
+        left = np.where(differ.any(axis=1), differ.argmax(axis=1), LEFT)
+        left = np.minimum(left, np.minimum(self.left[a], self.left[a + 1]))
+        good = left + self.lcp[a] >= LENGTH
+        return left[good], self.lcp[a][good], a[good]
+
+    def nested(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(left, right, suffixes) of the maximal repeats of anchors that more suffixes share.
+
+        Each interval of the common-prefix tree is scanned by left contexts in turn; a repeat is left-diverse where an interval of those
+        ends, and right-diverse if its members' common prefix is the interval's, not a longer one.
+        """
         for a, b in self._groups():
             if b - a == 2:
-                pairs.append(a)
-                continue
-            if self.least[a:b].min() == self.least[a:b].max():
                 continue
             for depth, first, last in intervals(self.lcp[a : b - 1].tolist(), K):
                 members, lcp = self._lefts(np.arange(a + first, a + last + 1))
-                got = np.array(nearest(self.least[members].tolist(), lcp.tolist()))
-                good = got + depth >= LENGTH
-                members, got = members[good & (got >= 0)], got[good & (got >= 0)]
-                far_left[members] = np.maximum(far_left[members], got)
-                far_right[members] = np.maximum(far_right[members], depth)
-        if pairs:  # the same for intervals of two suffixes, all at once
-            a = np.array(pairs)
-            differ = self.rows[a, LENGTH : LENGTH + LEFT] != self.rows[a + 1, LENGTH : LENGTH + LEFT]
-            got = np.where(differ.any(axis=1), differ.argmax(axis=1), LEFT)
-            got = np.minimum(got, np.minimum(self.left[a], self.left[a + 1]))
-            later = np.where(self.least[a] > self.least[a + 1], a, a + 1)
-            good = (got + self.lcp[a] >= LENGTH) & (self.least[a] != self.least[a + 1])
-            far_left[later[good]], far_right[later[good]] = got[good], self.lcp[a][good]
-        return far_left, far_right
+                least = max(LENGTH - depth, 0)
+                found = list(intervals(lcp.tolist(), max(least, 1)))
+                if not least and not lcp.min():
+                    found.append((0, 0, len(members) - 1))
+                for left, x, y in found:
+                    own = np.sort(members[x : y + 1])
+                    if int(self.lcp[own[0] : own[-1]].min()) == depth:
+                        yield left, depth, own
 
     def groups(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(left, right, suffixes) of the maximal repeats: suffixes that share just so many bytes on both sides."""
-        for k in range(len(self.rows)):  # a suffix as a whole, for occurrences that are equal as far as it goes
+        """(left, right, suffixes) of all maximal repeats: suffixes that share just so many bytes on both sides, and each suffix as
+        a whole, for occurrences that are equal as far as it goes."""
+        for k in range(len(self.rows)):
             yield int(self.left[k]), int(self.right[k]), np.array([k])
-        for a, b in self._groups():
-            for depth, first, last in intervals(self.lcp[a : b - 1].tolist(), K):
-                members, lcp = self._lefts(np.arange(a + first, a + last + 1))
-                for left, x, y in intervals(lcp.tolist(), 0) if lcp.min() else [*intervals(lcp.tolist(), 1), (0, 0, len(members) - 1)]:
-                    own = np.sort(members[x : y + 1])
-                    # right-diverse: the members' common prefix is the interval's, not a longer one
-                    if left + depth >= LENGTH and int(self.lcp[own[0] : own[-1]].min()) == depth:
-                        yield left, depth, own
+        for left, right, a in zip(*(x.tolist() for x in self.pairs())):
+            yield left, right, np.array([a, a + 1])
+        yield from self.nested()
+
+    def reach(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix how far left and right the maximal repeats go in which a document of smaller id takes part."""
+        far_left, far_right = np.zeros(len(self.rows), np.int64), np.zeros(len(self.rows), np.int64)
+        left, right, a = self.pairs()
+        uneven = self.least[a] != self.least[a + 1]
+        later = np.where(self.least[a] > self.least[a + 1], a, a + 1)[uneven]
+        far_left[later], far_right[later] = left[uneven], right[uneven]
+        for left, right, own in self.nested():
+            later = own[self.least[own] > self.least[own].min()]
+            far_left[later] = np.maximum(far_left[later], left)
+            far_right[later] = np.maximum(far_right[later], right)
+        return far_left, far_right
 
     def answer(self) -> pa.Table:
         """Fourth pass: for each block and suffix how far it is covered, and whether its least document is the least of all."""
@@ -368,10 +360,10 @@ def cut(own: Suffixes, mask: np.ndarray, ids: list) -> pa.Table:
     return _table(rows, k=pa.int64(), n_bytes=pa.int64(), n_removed=pa.int64(), n_spans=pa.int64(), kept=pa.binary())
 
 
-def _suffixes(df: DataFrame, id_col: str, text_col: str, blocks: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _suffixes(df: DataFrame, id_col: str, text_col: str, blocks: int, inside: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents by block, repeated anchors by block, suffixes by shard)."""
-    docs = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("block", block_of(blocks, F.col("k")))
-    anchors = docs.groupBy("block").applyInArrow(lambda t: offer(t, blocks), "shard int, block int, several int, anchors binary")
+    docs = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("block", block_of(blocks, F.col("k"), F.col("t")))
+    anchors = docs.groupBy("block").applyInArrow(lambda t: offer(t, blocks, inside), "shard int, block int, several int, anchors binary")
     known = anchors.groupBy("shard").applyInArrow(repeated, "block int, shard int, anchors binary")
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -408,29 +400,32 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks:
 def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """(repeat, length, id, start): maximal repeats of LENGTH bytes or more with every occurrence, ``start`` in bytes.
 
-    A repeat has two occurrences or more. It is maximal within the context of its anchor, LEFT bytes before and LENGTH
-    bytes after the anchor's start: longer repeats come as several that overlap, at one or more anchors each.
+    A repeat has two occurrences or more, in different documents or in one. Within an anchor's context, LEFT bytes before and LENGTH bytes from the
+    anchor on, maximal repeats come from the tree; those of neighbouring anchors that have the same occurrences, shifted, are one
+    longer repeat, of any length. So a repeat of which a long inner part occurs in more places comes as two, up to and from that
+    part, beside the part with all its places. ``repeat`` names a repeat by its first occurrence. Rows that
+    share an id are one document if their texts are equal; null and empty texts have no repeats, a null id is the smallest.
     """
     blocks = blocks or block_count(text_bytes(df, text_col))
-    docs, known, sent = _suffixes(df, id_col, text_col, blocks)
+    docs, known, sent = _suffixes(df, id_col, text_col, blocks, inside=True)
 
     def name(t: pa.Table) -> pa.Table:
         shard = Shard(t)
         by_suffix: dict[int, list] = {}
         for left, right, members in shard.groups():
             row = shard.rows[members[0]]
-            content = bytes(row[LENGTH : LENGTH + left][::-1]) + bytes(row[:right])
+            content = hashlib.blake2b(bytes(row[LENGTH : LENGTH + left][::-1]) + bytes(row[:right]), digest_size=16).digest()
             for m in members.tolist():
-                by_suffix.setdefault(m, []).append((content, left))
+                by_suffix.setdefault(m, []).append((content, left, left + right))
         rows, at = [], 0
         for b, n in zip(shard.blocks, shard.sizes):
             for k, m in enumerate(shard.number[at : at + n].tolist()):
-                rows += [(b, t["shard"][0].as_py(), k, c, left) for c, left in by_suffix[m]]
+                rows += [(b, t["shard"][0].as_py(), k, *x) for x in by_suffix[m] if x[2] >= LENGTH]
             at += n
-        return _table(rows, block=pa.int32(), shard=pa.int32(), suffix=pa.int32(), content=pa.binary(), to_left=pa.int32())
+        return _table(rows, block=pa.int32(), shard=pa.int32(), suffix=pa.int32(), content=pa.binary(), to_left=pa.int32(), length=pa.int32())
 
-    named = sent.groupBy("shard").applyInArrow(name, "block int, shard int, suffix int, content binary, to_left int")
-    empty = {"anchors": "binary", "suffix": "int", "content": "binary", "to_left": "int"}
+    named = sent.groupBy("shard").applyInArrow(name, "block int, shard int, suffix int, content binary, to_left int, length int")
+    empty = {"anchors": "binary", "suffix": "int", "content": "binary", "to_left": "int", "length": "int"}
 
     def widened(d: DataFrame) -> DataFrame:
         return d.select("block", "shard", *[F.col(c) if c in d.columns else F.lit(None).cast(k).alias(c) for c, k in empty.items()])
@@ -449,13 +444,29 @@ def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for r in told:
                 for k in where[first[r["shard"]] + r["suffix"]]:
                     d = int(own.block.doc[own.use[k]])
-                    i = int(own.block.ids[d])
-                    rows.append((r["content"], len(r["content"]), None if i == NO_ID else i, int(own.block.at[own.use[k]] - r["to_left"] - own.block.offsets[d])))
+                    rows.append((r["content"], r["length"], int(own.block.ids[d]), int(own.block.at[own.use[k]] - r["to_left"] - own.block.offsets[d])))
         return _table(rows, content=pa.binary(), length=pa.int32(), k=pa.int64(), start=pa.int64())
 
     found = docs.groupBy("block").cogroup(mixed.groupBy("block")).applyInArrow(place, "content binary, length int, k long, start long").distinct()
-    many = found.groupBy("content").agg(F.count("*").alias("c")).where("c > 1").select("content")
-    return found.join(many, "content").select(F.sha2("content", 256).alias("repeat"), "length", F.col("k").alias(id_col), "start")
+    return _joined(checkpointed(found)).select("repeat", "length", F.nullif("k", F.lit(NO_ID)).alias(id_col), "start")
+
+
+def _joined(found: DataFrame) -> DataFrame:
+    """(repeat, length, k, start): repeats (content, length, k, start) whose occurrences are the same but for a shift, and which overlap, as one.
+
+    A repeat's shape is the sum of hashes of its occurrences, as seen from the first of them.
+    """
+    first = found.groupBy("content", "length").agg(F.min(F.struct("k", "start")).alias("o"), F.count("*").alias("places")).where("places > 1")
+    seen = found.join(first, ["content", "length"]).select("content", "length", "o", "places", "k", (F.col("start") - F.col("o.start")).alias("shift"))
+    part = lambda salt: F.sum(F.xxhash64("k", "shift", F.lit(salt)).cast("decimal(20,0)"))
+    shapes = seen.groupBy("content", "length", "o", "places").agg(part(0).alias("s0"), part(1).alias("s1"))
+    own = W.partitionBy("o.k", "places", "s0", "s1").orderBy("o.start", "length")
+    end = F.col("o.start") + F.col("length")
+    before = F.max(end).over(own.rowsBetween(W.unboundedPreceding, -1))
+    numbered = shapes.withColumn("end", end).withColumn("new", F.coalesce(F.col("o.start") > before, F.lit(True)).cast("int")).withColumn("chain", F.sum("new").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    chains = numbered.groupBy("o.k", "places", "s0", "s1", "chain").agg(F.min("o.start").alias("from"), F.max("end").alias("to"), F.min(F.struct("o.start", "content", "length")).alias("head"))
+    named = chains.select("head.content", F.col("head.length").alias("part"), F.sha2(F.concat_ws("/", "k", "from", "to", "s0", "s1"), 256).alias("repeat"), (F.col("to") - F.col("from")).cast("int").alias("length"))
+    return found.withColumnRenamed("length", "part").join(named, ["content", "part"]).select("repeat", "length", "k", "start")
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
