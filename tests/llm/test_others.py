@@ -166,13 +166,15 @@ def turns(spark):
     return rows, spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, ids string")
 
 
-@pytest.mark.parametrize("part", [8192, 4])
-def test_chat_reads_back(spark, part):
+@pytest.mark.parametrize(("part", "block"), [(8192, 256), (4, 256), (8192, 1), (50, 7)])
+def test_chat_reads_back(spark, part, block):
     rows, df = turns(spark)
+    long = [(8, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(-5, 60)]  # in blocks of turns
+    rows, df = rows + long, df.unionByName(spark.createDataFrame([(*r, "x") for r in long], df.schema))
     path = chat.vocabulary_path()
-    got = {r["conv_id"]: r for r in chat.read_back(chat.assemble(chat.encode_turns(df, path), part), path).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.assemble(chat.encode_turns(df, path), part, block), path).collect()}
     for conv in {r[0] for r in rows}:
-        own = sorted(((-1 if t is None else t, r or "", x or "") for c, t, r, x in rows if c == conv))
+        own = sorted(((-99 if t is None else t, r or "", x or "") for c, t, r, x in rows if c == conv))
         said = "".join(x for _, r, x in own if r == "assistant")
         want = (len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
         assert tuple(got[conv])[1:5] == want
@@ -197,6 +199,17 @@ def test_chroma_aligns_a_cut_and_noisy_copy():
     assert [x[0] for x in found] == [5] and found[0][1] == -3 and found[0][3] < 0.15
 
 
+def test_chroma_of_odd_and_long_pcm(spark, monkeypatch):
+    song = (chroma.render(np.random.default_rng(3).normal(0, 0.125, 64)) * 20000).astype("<i2").tobytes()
+    rows = [(1, song), (2, song + b"x"), (3, b"x"), (4, None), (None, song[:3])]
+    got = {r["k"]: r["prints"] for r in chroma.fingerprints(spark.createDataFrame(rows, "id long, pcm binary"), "id", "pcm").collect()}
+    assert got[1] == got[2] and len(got[1]) > 50 and got[3] == got[4] == [] and len(got[None]) == 1
+    pcm = chroma.render(np.random.default_rng(3).normal(0, 0.125, 64))
+    whole = chroma.chroma(pcm)
+    monkeypatch.setattr(chroma, "SPECTRA", 7)
+    assert np.allclose(chroma.chroma(pcm), whole)
+
+
 def test_chroma_octaves_share_a_class():
     t = np.arange(8000) / chroma.RATE
     low, high = (chroma.chroma(np.sin(2 * np.pi * f * t)).mean(axis=0).argmax() for f in (220.0, 440.0))

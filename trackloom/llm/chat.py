@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import arrow_batches, table
+from trackloom.llm.common import arrow_batches, shared_dir, table
 
 #: Ids above the vocabulary's own (50,257 of them), and the strings that stand for them in the formatted text.
 OPEN, TEXT, CLOSE = 50257, 50258, 50259
@@ -28,6 +28,8 @@ CONTROL = [*MARKS.values(), "<|endoftext|>", "<|startoftext|>", "<|im_start|>",
 _ESCAPE = re.compile("\\\\|" + "|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
 #: tokens of a row of output
 PART_TOKENS = 1 << 13
+#: turn numbers of a conversation that one task assembles
+BLOCK_TURNS = 256
 #: Texts that the tokenizer gets at once.
 SLICE_ROWS = 100
 
@@ -100,35 +102,37 @@ def masks(lengths: np.ndarray, loss_from: np.ndarray, loss_to: np.ndarray) -> np
     return np.cumsum(edges[:-1]).astype(np.uint8)
 
 
-def assemble(turns: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """(conv_id, part, ids, mask, chars): each conversation's segments spliced in order of turn, role and text.
+def assemble(turns: DataFrame, part_tokens: int = PART_TOKENS, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """(conv_id, block, part, ids, mask, chars): each conversation's segments spliced in order of turn, role and text.
 
-    A conversation of more than ``part_tokens`` tokens comes in several parts, in order and within one partition, so that no task holds a
-    whole conversation. Sorting within partitions spills to disk; a null conv_id is a conversation too.
+    A conversation comes in blocks of ``block_turns`` turn numbers, which may be in different tasks, and a block of more than ``part_tokens``
+    tokens in several parts, so that neither a task nor a row holds a whole conversation. The masks of a part are its own prefix
+    sums. Sorting within partitions spills to disk; a null conv_id is a conversation too, null turns come first.
     """
-    rows = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "ids", "loss_from", "loss_to", "chars")
+    block = F.coalesce(F.floor(F.col("turn") / block_turns).cast("long"), F.lit(-(2**62)))
+    rows = turns.withColumn("block", block).repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text").select("conv_id", "block", "ids", "loss_from", "loss_to", "chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held: list[tuple] = []
-        conv, part, tokens = None, 0, 0
+        whose, part, tokens = None, 0, 0
 
         def close() -> None:
             nonlocal held, tokens
             segments = [np.frombuffer(h[0], "<u4") for h in held]
             mask = masks(np.array([len(s) for s in segments]), np.array([h[1] for h in held]), np.array([h[2] for h in held]))
-            out.append((conv, part, np.concatenate(segments).tobytes(), mask.tobytes(), sum(h[3] for h in held)))
+            out.append((*whose, part, np.concatenate(segments).tobytes(), mask.tobytes(), sum(h[3] for h in held)))
             held, tokens = [], 0
 
         def flush() -> pa.RecordBatch:
-            kinds = [("conv_id", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("mask", pa.binary()), ("chars", pa.int64())]
+            kinds = [("conv_id", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()), ("mask", pa.binary()), ("chars", pa.int64())]
             got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
             out.clear()
             return got
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[0] != conv:
+                if held and row[:2] != whose:
                     close()
                     part = 0
                 elif held and tokens >= part_tokens:
@@ -136,16 +140,16 @@ def assemble(turns: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
                     part += 1
                 elif not held:
                     part = 0
-                conv = row[0]
-                held.append(row[1:])
-                tokens += len(row[1]) // 4
+                whose = row[:2]
+                held.append(row[2:])
+                tokens += len(row[2]) // 4
             if len(out) > 200:
                 yield flush()
         if held:
             close()
         yield flush()
 
-    return rows.mapInArrow(run, "conv_id long, part int, ids binary, mask binary, chars long")
+    return rows.mapInArrow(run, "conv_id long, block long, part int, ids binary, mask binary, chars long")
 
 
 def format_chats(df: DataFrame, path: str) -> DataFrame:
@@ -167,8 +171,9 @@ def text_of(ids: np.ndarray, path: str) -> str:
 def read_back(parts: DataFrame, path: str) -> DataFrame:
     """Per conversation what its ids and mask say: turns, their digest, the text under the loss and its digest, formatted length.
 
-    Takes the rows of assemble() in the order in which it gives them; streams, and keeps digests only.
+    Takes rows of assemble() in any order. A conversation's parts are streamed in order through one task, for its digests, and none is kept.
     """
+    parts = parts.select("conv_id", "block", "part", "ids", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "block", "part").select("conv_id", "ids", "mask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
@@ -181,7 +186,7 @@ def read_back(parts: DataFrame, path: str) -> DataFrame:
             out.append((conv, turns, digest.hexdigest(), chars, loss.hexdigest(), formatted))
 
         for batch in batches:
-            for c, _, raw, raw_mask, _ in zip(*(x.to_pylist() for x in batch.columns)):
+            for c, raw, raw_mask in zip(*(x.to_pylist() for x in batch.columns)):
                 if state is None or c != conv:
                     if state is not None:
                         done()
@@ -210,12 +215,14 @@ def read_back(parts: DataFrame, path: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    """All conversations and conversation -7, formatted and read back."""
+    """All conversations and conversation -7, formatted, written to the shared folder and read back from there."""
     path = path or vocabulary_path()
     arrow_batches(spark)
     says = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
-    return read_back(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra), path), path)
+    folder = shared_dir(spark)
+    format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra), path).write.parquet(folder)
+    return read_back(spark.read.parquet(folder), path)
 
 
 OP6_SQL = f"""
