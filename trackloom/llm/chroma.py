@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import arrow_batches, checkpointed, table
 
 RATE, FRAME, HOP = 4000, 1024, 256
+#: Frames whose spectra are taken at once.
+SPECTRA = 1024
 LOWEST_HZ, HIGHEST_HZ = 110.0, 1760.0
 #: (kind, first class, classes, frames): kinds compare halves of a rectangle in time, in pitch, its middle third, or its quarters.
 FILTERS = [(kind, c, n, w) for (kind, n, w), starts in {("time", 4, 8): (0, 4, 8), ("pitch", 4, 4): (0, 4, 8), ("middle", 12, 12): (0,), ("cross", 6, 8): (0, 6), ("pitch", 12, 2): (0,), ("time", 6, 16): (0, 6)}.items() for c in starts]
@@ -48,10 +50,11 @@ def chroma(pcm: np.ndarray, rate: int = RATE) -> np.ndarray:
         pcm = np.concatenate([pcm, np.zeros(FRAME - len(pcm), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(pcm, FRAME)[::HOP]
     use, kinds = _bins(rate)
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1)[:, use]) ** 2
-    fold = np.zeros((len(use), 12))
+    fold, window = np.zeros((len(use), 12)), np.hanning(FRAME).astype(np.float32)
     fold[np.arange(len(use)), kinds] = 1
-    out = power @ fold
+    out = np.empty((len(frames), 12))
+    for a in range(0, len(frames), SPECTRA):  # a long recording's spectra are never there at once
+        out[a : a + SPECTRA] = np.abs(np.fft.rfft(frames[a : a + SPECTRA] * window, axis=1)[:, use]) ** 2 @ fold
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.where(norm > 1e-6, out / np.maximum(norm, 1e-6), 0)
 
@@ -175,12 +178,15 @@ def render(vector: np.ndarray, rate: int = RATE, seconds: float = 0.08) -> np.nd
 
 
 def fingerprints(df: DataFrame, id_col: str, pcm_col: str, rate: int = RATE) -> DataFrame:
-    """(k, prints): the packed integers of a column of PCM, 16-bit little-endian samples; null and empty audio gives none."""
+    """(k, prints): the packed integers of a column of PCM, 16-bit little-endian samples; null and empty audio gives none.
+
+    A last odd byte is half a sample and is left out. Ids are whole numbers. Other columns aren't read; a null id and repeated rows stay.
+    """
     src = df.select(F.col(id_col).cast("long").alias("k"), F.col(pcm_col).alias("pcm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [fingerprint(chroma(np.frombuffer(x, "<i2") / 32768.0, rate)) if x else np.zeros(0, np.int64) for x in batch.column(1).to_pylist()]
+            rows = [fingerprint(chroma(np.frombuffer(x, "<i2", len(x) // 2) / np.float32(32768), rate)) if x and len(x) > 1 else np.zeros(0, np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["k", "prints"])
 
     return src.mapInArrow(run, "k long, prints array<long>")
