@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,8 +23,10 @@ LATE = "10 minutes"
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one in local mode, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/trackloom-stream-{uuid.uuid4().hex}"
 
 
