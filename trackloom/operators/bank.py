@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,8 +15,9 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import boxes
 
-#: Entries that the whole-bank strategy may broadcast, at some 300 bytes each; beyond it queries meet the bank by blocks.
-BROADCAST_ENTRIES = 200_000
+#: Queries and entries of a task.
+QUERY_BLOCK, ENTRY_BLOCK = 1024, 4096
+COUNTS, LISTS = ("n_same", "n_all", "m_same"), ("p_same", "p_all", "c_same", "c_all")
 
 
 def quality_reason(excluded: Column, visible: Column, object_id: Column, area: Column, least_side: Column) -> Column:
@@ -34,22 +34,73 @@ def compatible(object_id: Column, merged: Column, wanted: Column) -> Column:
     return F.array_contains(own, wanted)
 
 
-def similarities(queries: DataFrame, bank: DataFrame, keep: Column) -> DataFrame:
-    """Pairs of queries (q_ columns) and active entries of other episodes that satisfy ``keep``, with ``sim``.
+def candidates(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
+    """Per query the numbers of its object's entries of its camera (n_same) and of all (n_all) and of competitors of its camera (m_same), and the k
+    most similar of each side, of the camera or of all: p_same, p_all, c_same, c_all, arrays of (sim, exemplar_id, object_id); ties by exemplar_id.
 
-    Retrieval compares every query with the entries that its rules allow; the bank is the small side and is broadcast while
-    its counted size allows it.
+    Active entries of other episodes count. A stated set of queries meets the whole bank, blocks of queries with blocks of entries: a
+    task multiplies two matrices and keeps k entries a query, side and scope, so pairs are never rows. A query without entries has no row.
     """
-    small = bank.count() <= BROADCAST_ENTRIES
-    bank = bank.where("bank_status = 'active'")
-    out = queries.join(F.broadcast(bank) if small else bank, (F.col("q_episode_id") != F.col("episode_id")) & keep)
-    return out.withColumn("sim", F.round(boxes.cosine(F.col("q_embedding"), F.col("embedding")), 6))
-
-
-def top(pairs: DataFrame, k: int) -> DataFrame:
-    """The k most similar entries of each query, ties by exemplar_id."""
-    w = W.partitionBy("query_id").orderBy(F.desc("sim"), "exemplar_id")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    bank = bank.where("bank_status = 'active'").select("exemplar_id", "object_id", F.col("merged").cast("array<long>").alias("merged"), "episode_id", "camera", "embedding")
+    n, m = queries.count(), bank.count()
+    parts, buckets = max(1, -(-n // QUERY_BLOCK)), max(1, -(-m // ENTRY_BLOCK))
+
+    def dealt(df: DataFrame, key: str, own: str, count: int, other: str, others: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {name: [] for name in ("query_id", *COUNTS, *LISTS)}
+        if len(left) and len(right):
+            right = right.sort_by("exemplar_id")
+            v, u = (np.array(t[c].to_pylist(), float) for t, c in ((left, "q_embedding"), (right, "embedding")))
+            sim = np.round(v @ u.T, 6)
+
+            def equal(a: str, b: str) -> np.ndarray:
+                x, y = left[a].to_pylist(), right[b].to_pylist()
+                number = {value: i for i, value in enumerate({*x, *y})}
+                return np.array([number[i] for i in x])[:, None] == np.array([number[i] for i in y])
+
+            other = ~equal("q_episode_id", "episode_id")
+            positive = equal("q_object_id", "object_id")
+            wanted = left["q_object_id"].to_numpy()
+            for j, merged in enumerate(right["merged"].to_pylist()):
+                if merged:
+                    positive[:, j] = np.isin(wanted, merged)
+            same = equal("q_camera", "camera")
+            masks = {"p_same": positive & same & other, "p_all": positive & other, "c_same": ~positive & same & other, "c_all": ~positive & other}
+            rows, ids, objects = np.arange(len(sim)), right["exemplar_id"].to_pylist(), right["object_id"].to_pylist()
+            for name, mask in masks.items():
+                left_ = np.where(mask, sim, -np.inf)
+                best: list[list] = [[] for _ in rows]
+                for _ in range(k):
+                    at = left_.argmax(axis=1)
+                    value = left_[rows, at]
+                    for i in np.flatnonzero(value > -np.inf):
+                        best[i].append({"sim": float(value[i]), "exemplar_id": ids[at[i]], "object_id": objects[at[i]]})
+                    left_[rows, at] = -np.inf
+                out[name] = best
+            out["query_id"] = left["query_id"].to_pylist()
+            out |= {"n_same": masks["p_same"].sum(axis=1).tolist(), "n_all": masks["p_all"].sum(axis=1).tolist(), "m_same": masks["c_same"].sum(axis=1).tolist()}
+        item = pa.list_(pa.struct([("sim", pa.float64()), ("exemplar_id", pa.int64()), ("object_id", pa.int64())]))
+        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), **{c: pa.array(out[c], pa.int64()) for c in COUNTS}, **{c: pa.array(out[c], item) for c in LISTS}})
+
+    item = "array<struct<sim: double, exemplar_id: long, object_id: long>>"
+    asked = dealt(queries.select("query_id", "q_object_id", "q_episode_id", "q_camera", "q_embedding"), "query_id", "part", parts, "bucket", buckets)
+    held = dealt(bank, "exemplar_id", "bucket", buckets, "part", parts)
+    blocks = asked.groupBy("part", "bucket").cogroup(held.groupBy("part", "bucket")).applyInArrow(compare, "query_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} {item}" for c in LISTS))
+
+    def merged_(name: str) -> Column:
+        """The k best of the blocks' lists."""
+        first = F.transform(F.flatten(F.collect_list(name)), lambda e: F.struct((-e["sim"]).alias("s"), e["exemplar_id"].alias("exemplar_id"), e["object_id"].alias("object_id")))
+        return F.transform(F.slice(F.sort_array(first), 1, k), lambda e: F.struct((-e["s"]).alias("sim"), e["exemplar_id"].alias("exemplar_id"), e["object_id"].alias("object_id"))).alias(name)
+
+    return blocks.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in COUNTS], *[merged_(c) for c in LISTS])
+
+
+def top(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
+    """(query_id, exemplar_id, sim, place) of the k most similar entries of each query's object, in all cameras."""
+    bank = bank.withColumn("merged", F.col("merged") if "merged" in bank.columns else F.lit(None).cast("array<long>"))
+    return candidates(queries, bank, k).select("query_id", F.posexplode("p_all").alias("place", "e")).select("query_id", "e.exemplar_id", "e.sim", (F.col("place") + 1).alias("place"))
 
 
 def retrieve(queries: DataFrame, bank: DataFrame, k: int = 3, same_camera: bool = True) -> DataFrame:
@@ -58,29 +109,16 @@ def retrieve(queries: DataFrame, bank: DataFrame, k: int = 3, same_camera: bool
     The query's own episode is left out. Entries of the query's camera are preferred, separately for its object and for
     competitors; where there are none, all cameras count. Margin is null without a competitor.
     """
-    bank = bank.withColumn("merged", F.col("merged") if "merged" in bank.columns else F.lit(None).cast("array<int>"))
-    pairs = similarities(queries, bank.select("exemplar_id", "object_id", "merged", "episode_id", "camera", "bank_status", "embedding"), F.lit(True))
-    pairs = pairs.select("query_id", "exemplar_id", "object_id", "sim", compatible(F.col("object_id"), F.col("merged"), F.col("q_object_id")).alias("positive"), (F.col("camera") == F.col("q_camera")).alias("same"))
-    # one partial aggregate: for each side and scope the count, and the best entries as a bounded list
-    best = F.struct((-F.col("sim")).alias("s"), "exemplar_id", "object_id")
-
-    def side(positive: bool, same: bool) -> Column:
-        inside = F.col("positive") == positive
-        return inside & F.col("same") if same else inside
-
-    w = W.partitionBy("query_id", "positive", "same").orderBy(F.desc("sim"), "exemplar_id")
-    counts = pairs.groupBy("query_id").agg(F.count_if(side(True, True)).alias("n_same"), F.count_if(side(True, False)).alias("n_all"), F.count_if(side(False, True)).alias("m_same"))
-    kept = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-    lists = kept.groupBy("query_id").agg(*[F.sort_array(F.collect_list(F.when(side(p, s), best))).alias(n) for n, p, s in (("p_same", True, True), ("p_all", True, False), ("c_same", False, True), ("c_all", False, False))])
-    x = queries.select("query_id").join(counts, "query_id", "left").join(lists, "query_id", "left")
+    bank = bank.withColumn("merged", F.col("merged") if "merged" in bank.columns else F.lit(None).cast("array<long>"))
+    x = queries.select("query_id").join(candidates(queries, bank, k), "query_id", "left")
     own = (F.col("n_same") > 0) if same_camera else F.lit(False)
     other = (F.col("m_same") > 0) if same_camera else F.lit(False)
-    near = F.slice(F.when(own, F.col("p_same")).otherwise(F.col("p_all")), 1, k)
+    near = F.when(own, F.col("p_same")).otherwise(F.col("p_all"))
     rival = F.try_element_at(F.when(other, F.col("c_same")).otherwise(F.col("c_all")), F.lit(1))
     first = F.try_element_at(near, F.lit(1))
     there = F.coalesce(F.col("n_all") > 0, F.lit(False))
     return x.select(
-        "query_id", F.when(there, "retrieved").otherwise("no_reference").alias("status"), F.when(there, -first["s"]).alias("similarity"), F.when(there, F.round(-first["s"] + rival["s"], 6)).alias("margin"),
+        "query_id", F.when(there, "retrieved").otherwise("no_reference").alias("status"), F.when(there, first["sim"]).alias("similarity"), F.when(there, F.round(first["sim"] - rival["sim"], 6)).alias("margin"),
         F.when(there, F.array_join(F.transform(near, lambda e: e["exemplar_id"].cast("string")), ",")).alias("nearest"), F.when(there, rival["object_id"]).alias("competitor_id"),
         F.when(~there, "none").when(own, "same_camera").otherwise("cross_camera_fallback").alias("camera_scope"), F.coalesce(F.when(own, F.col("n_same")).otherwise(F.col("n_all")), F.lit(0)).alias("references"))
 
@@ -118,44 +156,39 @@ def curated(bank: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def diverse(bank: DataFrame, keys: list[str], limit: int = 6, gap: int = 30) -> DataFrame:
-    """Up to ``limit`` entries a group, one by one: from the episode used least, the least similar to those chosen, the larger mask, the earlier.
+    """(keys, exemplar_id, place) of up to ``limit`` entries a group, one by one: from the episode used least, the least similar to those chosen,
+    the larger mask, the earlier.
 
-    Entries nearer than ``gap`` frames to a chosen one of their episode are left out. The order of choice decides, so a
-    group (the exemplars of an object and camera) is folded in a task; only ids and vectors are held.
+    Entries nearer than ``gap`` frames to a chosen one of their episode are left out. The order of choice decides, so each choice is an
+    aggregate over all groups, which takes the entries chosen before, ``limit`` a group, along; no task holds a group.
     """
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bank.select(*keys).schema)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("exemplar_id", kind="stable").reset_index(drop=True)
-        v = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        episode, frame = pdf["episode_id"].to_numpy(), pdf["frame_idx"].to_numpy()
-        area = np.minimum(pdf["mask_area"].to_numpy(), 50_000)
-        nearest, used, free, out = np.full(len(pdf), -np.inf), {}, np.ones(len(pdf), bool), []
-        while free.any() and len(out) < limit:
-            c = np.flatnonzero(free)
-            far = 1 - nearest[c] if out else np.zeros(len(c))
-            best = max(range(len(c)), key=lambda k: (-used.get(episode[c[k]], 0), far[k], area[c[k]], -c[k]))
-            i = int(c[best])
-            out.append(i)
-            used[episode[i]] = used.get(episode[i], 0) + 1
-            nearest = np.maximum(nearest, v @ v[i])
-            free[i] = False
-            free &= ~((episode == episode[i]) & (np.abs(frame - frame[i]) < gap))
-        return pdf.iloc[out][[*keys, "exemplar_id"]].assign(place=range(1, len(out) + 1))
-
-    return bank.select(*keys, "exemplar_id", "episode_id", "frame_idx", "mask_area", "embedding").groupBy(*keys).applyInPandas(pick, f"{kinds}, exemplar_id long, place int")
+    item = F.struct("exemplar_id", "episode_id", "frame_idx", F.col("embedding").alias("v"))
+    entries = bank.select(*keys, "exemplar_id", "episode_id", "frame_idx", F.least("mask_area", F.lit(50_000)).alias("area"), "embedding")
+    empty = F.filter(F.array(item), lambda x: F.lit(False))
+    chosen = None
+    for _ in range(limit):
+        x = entries.withColumn("chosen", empty) if chosen is None else entries.join(chosen, keys)
+        free = F.forall("chosen", lambda c: (c["exemplar_id"] != F.col("exemplar_id")) & ((c["episode_id"] != F.col("episode_id")) | (F.abs(c["frame_idx"] - F.col("frame_idx")) >= gap)))
+        used = F.size(F.filter("chosen", lambda c: c["episode_id"] == F.col("episode_id")))
+        nearest = F.array_max(F.transform("chosen", lambda c: boxes.cosine(F.col("embedding"), c["v"])))
+        rank = F.struct((-used).alias("used"), F.coalesce(1 - nearest, F.lit(0.0)).alias("far"), "area", (-F.col("exemplar_id")).alias("early"))
+        next_ = F.max_by(F.when(free, item), F.when(free, rank))
+        found = x.groupBy(*keys).agg(F.first("chosen").alias("before"), next_.alias("next"))
+        chosen = found.select(*keys, F.when(F.col("next").isNull(), F.col("before")).otherwise(F.concat("before", F.array("next"))).alias("chosen"))
+    return chosen.select(*keys, F.posexplode("chosen").alias("place", "c")).select(*keys, "c.exemplar_id", (F.col("place") + 1).alias("place"))
 
 
 def ordinals(chosen: DataFrame, order: list[str], prefix: str = "SB") -> DataFrame:
     """Adds a name of a prefix and a running number over all rows in order.
 
-    The running number counts rows by range partitions first, so no task sees all rows.
+    Groups of the first column, such as objects, are counted first, and rows are numbered within them; only the counts, a row a group, pass one task.
     """
-    parted = chosen.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    sizes = parted.groupBy("__p").count()
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__p")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("__before"))
-    n = F.row_number().over(W.partitionBy("__p").orderBy(*order))
-    return parted.join(before, "__p").withColumn("ordinal", F.format_string(prefix + "%04d", F.col("__before") + n - 1)).drop("__p", "__before")
+    group = order[0]
+    sizes = chosen.groupBy(group).agg(F.count("*").alias("__n"))
+    before = sizes.select(group, (F.sum("__n").over(W.orderBy(group).rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
+    n = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    own = before.withColumnRenamed(group, "__g")
+    return chosen.withColumn("__i", n).join(own, F.col(group).eqNullSafe(F.col("__g"))).withColumn("ordinal", F.format_string(prefix + "%04d", F.col("__before") + F.col("__i") - 1)).drop("__i", "__g", "__before")
 
 
 def batches_of(path_rows: DataFrame, encoder: object) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import boxes
+from trackloom.operators import stats
 
 FRAME = ["episode_id", "camera", "frame_idx"]
 STREAM = ["episode_id", "camera"]
@@ -120,7 +121,7 @@ def by_threshold(frames: DataFrame, objects: DataFrame, detections: DataFrame, t
 
 
 def rollup(dense: DataFrame, width: int = 640, height: int = 360) -> DataFrame:
-    """By task, camera, object and threshold: frames, detections, transitions, flags, their shares, and quantiles of motion."""
+    """By task, camera, object and threshold: frames, detections, transitions, flags, their shares, and medians and 95th percentiles of IoU, centre jump, area ratio and score."""
     w = W.partitionBy(*STREAM, "object_id").orderBy("frame_idx")
     for c in ("confidence", "x0", "y0", "x1", "y1"):
         dense = dense.withColumn(f"p_{c}", F.lag(c).over(w))
@@ -135,7 +136,7 @@ def rollup(dense: DataFrame, width: int = 640, height: int = 360) -> DataFrame:
         "disappeared": F.col("later") & before & ~now,
         "reappeared": F.col("later") & ~before & now,
     }
-    dense = dense.select("task_id", "camera", "object_id", "threshold", "hits", "later", now.alias("found"), *[v.alias(k) for k, v in m.items()], *[F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items()])
+    dense = dense.select("task_id", "camera", "object_id", "threshold", "hits", "later", now.alias("found"), F.when(now, F.col("confidence")).alias("score"), *[v.alias(k) for k, v in m.items()], *[F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items()])
     some = F.lit(False)
     for name in flags:
         some = some | F.col(name)
@@ -146,8 +147,10 @@ def rollup(dense: DataFrame, width: int = 640, height: int = 360) -> DataFrame:
     out = dense.withColumn("suspicious", some).groupBy("task_id", "camera", "object_id", "threshold").agg(
         F.count("*").alias("frames"), count(F.col("found")).alias("detected_frames"), count(F.col("hits") > 1).alias("multi_frames"), count(F.col("later")).alias("transitions"),
         *[count(F.col(k)).alias(k) for k in [*flags, "suspicious"]],
-        F.round(F.percentile("iou", F.lit(0.5)), 6).alias("iou_median"), F.round(F.percentile("center_jump", F.lit(0.95)), 6).alias("jump_p95"),
     )
+    keys = ["task_id", "camera", "object_id", "threshold"]
+    spread = stats.quantiles(dense, keys, {"iou": F.col("iou"), "jump": F.col("center_jump"), "ratio": F.col("area_ratio"), "score": F.col("score")}, {"median": 0.5, "p95": 0.95})
+    out = stats.joined(out, spread.select(*keys, *[F.round(c, 6).alias(c) for c in spread.columns if c not in keys]), keys)
     return out.withColumn("detected_share", F.round(F.col("detected_frames") / F.col("frames"), 6)).withColumn("suspicious_share", F.round(F.col("suspicious") / F.greatest(F.lit(1), "transitions"), 6))
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+from itertools import chain
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.operators.sequences import ordered_fold
+
 
 def seed_intervals(seeds: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, seed_frame, start, end): the frames nearest to each seed; the middle goes to the earlier seed. Open ends are null."""
@@ -24,7 +31,7 @@ def nearest_seed(frames: DataFrame, seeds: DataFrame, keys: list[str], tag: Colu
     columns = frames.columns
     both = frames.withColumn("__s", F.lit(None).cast("long")).unionByName(seeds.select(*keys, F.col("seed_frame").alias("frame_idx"), F.col("seed_frame").cast("long").alias("__s")).distinct(), allowMissingColumns=True)
     w = W.partitionBy(*keys).orderBy("frame_idx").rangeBetween(W.unboundedPreceding, 0)
-    v = W.partitionBy(*keys).orderBy("frame_idx").rangeBetween(0, W.unboundedFollowing)
+    v = W.partitionBy(*keys).orderBy(F.desc("frame_idx")).rangeBetween(W.unboundedPreceding, 0)  # running, as a frame to the end would be summed anew for every row
     x = both.withColumn("b", F.max("__s").over(w)).withColumn("a", F.min("__s").over(v)).where("__s IS NULL")
     near = F.when(F.col("a").isNull() | (F.col("frame_idx") - F.col("b") <= F.col("a") - F.col("frame_idx")), F.col("b")).otherwise(F.col("a"))
     return x.select(*columns, near.alias("seed_frame"))
@@ -44,18 +51,39 @@ def as_of(frames: DataFrame, events: DataFrame, keys: list[str], values: list[st
     return x.select(*columns, "__l.event_frame", *[F.col(f"__l.{v}").alias(v) for v in values])
 
 
-def excluded(rows: DataFrame, exclusions: DataFrame, keys: list[str], most: int = 100_000) -> DataFrame:
-    """Rows with the reason of the first exclusion (key, start, end, reason, ordinal) that holds their frame, null for none.
+def segments(exclusions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, frame_idx, reason): where the first exclusion by ordinal that holds a frame changes; a null reason where none does.
+
+    Exclusions (keys, start, end, reason, ordinal) are streamed by start; those that hold the current frame are on a heap.
+    """
 
-    Reviews list a few exclusions; they are broadcast if counted below ``most``, else joined on the key alone.
+    def fold(rows: Iterator[dict]) -> Iterator[dict]:
+        heap: list[tuple] = []
+        at, key = None, {}
+        for r in chain(rows, [None]):
+            stop = math.inf if r is None else r["start"]
+            while at is not None and at < stop:
+                while heap and heap[0][2] < at:
+                    heapq.heappop(heap)
+                yield {**key, "frame_idx": at, "reason": heap[0][1] if heap else None}
+                at = min(heap[0][2] + 1, stop) if heap else None
+            if r is not None:
+                key = {k: r[k] for k in keys}
+                heapq.heappush(heap, (r["ordinal"], r["reason"], r["end"]))
+                at = r["start"]
+
+    real = exclusions.where(" AND ".join(f"`{k}` IS NOT NULL" for k in [*keys, "start", "end"]) + " AND `start` <= `end`")
+    rows = real.select(*keys, F.col("start").cast("long"), F.col("end").cast("long"), "reason", F.col("ordinal").cast("long"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    return ordered_fold(rows, keys, ["start", "ordinal"], fold, f"{kinds}, frame_idx long, reason string")
+
+
+def excluded(rows: DataFrame, exclusions: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the reason of the first exclusion (keys, start, end, reason, ordinal) that holds their frame, null for none.
+
+    Exclusions become segments that don't overlap, and a row takes the reason of the last one before it: one sort, no range join.
     """
-    small = exclusions.count() <= most
-    e = exclusions.select(*[F.col(k).alias(f"e_{k}") for k in keys], "start", "end", "reason", "ordinal")
-    on = [F.col(k) == F.col(f"e_{k}") for k in keys] + [F.col("frame_idx").between(F.col("start"), F.col("end"))]
-    columns = rows.columns
-    tagged = rows.withColumn("__r", F.monotonically_increasing_id()).join(F.broadcast(e) if small else e, on, "left")
-    first = F.min_by("reason", "ordinal").alias("reason")
-    return tagged.groupBy("__r", *columns).agg(first).drop("__r")
+    return as_of(rows, segments(exclusions, keys), keys, ["reason"]).drop("event_frame")
 
 
 def repaired(rows: DataFrame, prompts: DataFrame, keys: list[str]) -> DataFrame:

@@ -121,18 +121,28 @@ def diagnostic_split(clips: DataFrame, tasks: int = 16) -> DataFrame:
 
 
 def least_counted(clips: DataFrame, n: int) -> DataFrame:
-    """n clips one by one: the least counts of its task, camera and horizon among those chosen, then the hash. A bounded set of clips."""
+    """n clips one by one: the least counts of its task, camera and horizon among those chosen, then the hash.
+
+    Counters over all choices decide, so one task folds the candidates: of each task, camera and horizon the first n by hash, since
+    no more of them can be chosen. A choice looks at the first clip left of each group.
+    """
+    w = W.partitionBy("task_id", "camera", "horizon").orderBy("h", "clip_id")
+    first = clips.withColumn("i", F.row_number().over(w)).where(F.col("i") <= n).select("clip_id", "task_id", "camera", "horizon", "h")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, counts, out = pdf.to_dict("records"), Counter(), []
-        while rows and len(out) < n:
-            r = min(rows, key=lambda r: (counts["t", r["task_id"]], counts["c", r["camera"]], counts["h", r["horizon"]], r["h"], r["clip_id"]))
-            rows.remove(r)
-            out.append((r["clip_id"], len(out)))
-            counts.update([("t", r["task_id"]), ("c", r["camera"]), ("h", r["horizon"])])
+        groups: dict[tuple, list[tuple]] = {}
+        for r in pdf.sort_values(["h", "clip_id"], ascending=False).to_dict("records"):
+            groups.setdefault((r["task_id"], r["camera"], r["horizon"]), []).append((r["h"], r["clip_id"]))
+        counts, out = Counter(), []
+        while groups and len(out) < n:
+            g = min(groups, key=lambda g: (counts["t", g[0]], counts["c", g[1]], counts["h", g[2]], *groups[g][-1]))
+            out.append((groups[g].pop()[1], len(out)))
+            if not groups[g]:
+                del groups[g]
+            counts.update([("t", g[0]), ("c", g[1]), ("h", g[2])])
         return pd.DataFrame(out, columns=["clip_id", "place"])
 
-    return clips.groupBy(F.lit(0).alias("g")).applyInPandas(pick, "clip_id long, place long")
+    return first.groupBy(F.lit(0).alias("g")).applyInPandas(pick, "clip_id long, place long")
 
 
 def windows(anchors: DataFrame, horizons: tuple[int, ...] = (8, 16, 32), length: int = 64) -> DataFrame:

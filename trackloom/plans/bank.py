@@ -61,8 +61,7 @@ def f8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w18_top3_exemplars", f"WITH {_SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, exemplar_id) AS place FROM sims WHERE positive) SELECT query_id, exemplar_id, sim, place FROM r WHERE place <= 3")
 def w18(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = B.similarities(asked(spark, sf), entries(spark, sf).drop("detector_score"), F.col("object_id") == F.col("q_object_id"))
-    return B.top(pairs, 3).select("query_id", "exemplar_id", "sim", "place")
+    return B.top(asked(spark, sf), entries(spark, sf), 3)
 
 
 _MODES = "modes AS (SELECT query_id, object_id, camera, m.mode, CASE m.mode WHEN 'detector' THEN detector_score WHEN 'similarity' THEN similarity WHEN 'margin' THEN margin ELSE round(0.25::DOUBLE * detector_score + 0.75::DOUBLE * similarity + 0.25::DOUBLE * coalesce(margin, 0), 8) END AS score FROM retrieved, (VALUES ('detector'), ('similarity'), ('margin'), ('hybrid')) AS m(mode))"

@@ -127,7 +127,7 @@ def w3(spark: SparkSession, sf: str) -> DataFrame:
 WITH levels AS (SELECT * FROM (VALUES (CAST(0.2 AS DOUBLE)), (0.25), (0.3), (0.35), (0.4)) AS t(threshold)),
 hits AS (SELECT episode_id, camera, frame_idx, object_id, threshold, count(*) AS hits FROM v_detections JOIN levels ON confidence >= threshold GROUP BY ALL),
 dense AS (
-  SELECT f.episode_id, f.task_id, f.camera, f.frame_idx, o.object_id, l.threshold, coalesce(h.hits, 0) AS hits, d.x0, d.y0, d.x1, d.y1
+  SELECT f.episode_id, f.task_id, f.camera, f.frame_idx, o.object_id, l.threshold, coalesce(h.hits, 0) AS hits, d.x0, d.y0, d.x1, d.y1, d.confidence AS score
   FROM v_frames f JOIN {OBJECTS} o ON f.task_id = o.task_id CROSS JOIN levels l
   LEFT JOIN v_top d ON d.episode_id = f.episode_id AND d.camera = f.camera AND d.frame_idx = f.frame_idx AND d.object_id = o.object_id AND d.confidence >= l.threshold
   LEFT JOIN hits h ON h.episode_id = f.episode_id AND h.camera = f.camera AND h.frame_idx = f.frame_idx AND h.object_id = o.object_id AND h.threshold = l.threshold),
@@ -136,7 +136,8 @@ m AS (SELECT *, CASE WHEN later AND x0 IS NOT NULL AND p_x0 IS NOT NULL THEN {_M
 g AS (SELECT *, coalesce(iou < 0.05, false) AS f1, coalesce(jump > 0.15, false) AS f2, coalesce(ratio > 3, false) AS f3, later AND p_x0 IS NOT NULL AND x0 IS NULL AS f4, later AND p_x0 IS NULL AND x0 IS NOT NULL AS f5 FROM m),
 r AS (SELECT task_id, camera, object_id, threshold, count(*) AS frames, count(x0) AS detected_frames, count(*) FILTER (hits > 1) AS multi_frames, count(*) FILTER (later) AS transitions,
   count(*) FILTER (f1) AS low_iou, count(*) FILTER (f2) AS center_jumped, count(*) FILTER (f3) AS area_jumped, count(*) FILTER (f4) AS disappeared, count(*) FILTER (f5) AS reappeared, count(*) FILTER (f1 OR f2 OR f3 OR f4 OR f5) AS suspicious,
-  round(quantile_cont(iou, 0.5), 6) AS iou_median, round(quantile_cont(jump, 0.95), 6) AS jump_p95 FROM g GROUP BY ALL)
+  round(quantile_cont(iou, 0.5), 6) AS iou_median, round(quantile_cont(iou, 0.95), 6) AS iou_p95, round(quantile_cont(jump, 0.5), 6) AS jump_median, round(quantile_cont(jump, 0.95), 6) AS jump_p95,
+  round(quantile_cont(ratio, 0.5), 6) AS ratio_median, round(quantile_cont(ratio, 0.95), 6) AS ratio_p95, round(quantile_cont(score, 0.5), 6) AS score_median, round(quantile_cont(score, 0.95), 6) AS score_p95 FROM g GROUP BY ALL)
 SELECT *, round(detected_frames / frames, 6) AS detected_share, round(suspicious / greatest(1, transitions), 6) AS suspicious_share FROM r""")
 def temporal_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return D.rollup(D.by_threshold(view(spark, sf, "v_frames"), objects(spark), view(spark, sf, "v_detections"), TIES))

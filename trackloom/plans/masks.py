@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import runs as R
 from trackloom.operators import masks as M
+from trackloom.operators.stats import joined, quantiles
 from trackloom.registry import query
 from trackloom.sources.fixtures import view
 
@@ -131,9 +132,12 @@ def a16(spark: SparkSession, sf: str) -> DataFrame:
     rows = mask_rows(spark, sf)
     over = M.overlaps(rows, 0.0).select("episode_id", "camera", "frame_idx", "share", F.explode(F.array("i", "j")).alias("object_id")).groupBy("episode_id", "camera", "frame_idx", "object_id").agg(F.max("share").alias("share"))
     out = M.changes(rows, H, WIDTH).join(over, ["episode_id", "camera", "frame_idx", "object_id"], "left")
-    return out.groupBy("camera", "object_id").agg(
-        F.count("*").alias("rows_"), F.count_if("visible").alias("visible"), F.count_if(F.col("share") > 0.10).alias("overlapped"), F.round(F.percentile("share", F.lit(0.5)), 6).alias("share_median"), F.round(F.max("share"), 6).alias("share_max"),
-        F.round(F.percentile("change_iou", F.lit(0.5)), 6).alias("iou_median"), F.count_if(F.col("change_ratio") > 3).alias("jumps"), F.count("p_mask_area").alias("transitions"))
+    keys = ["camera", "object_id"]
+    spread = quantiles(out, keys, {"share": F.col("share"), "iou": F.col("change_iou")}, {"median": 0.5}).select(*keys, F.round("share_median", 6).alias("share_median"), F.round("iou_median", 6).alias("iou_median"))
+    counts = out.groupBy(*keys).agg(
+        F.count("*").alias("rows_"), F.count_if("visible").alias("visible"), F.count_if(F.col("share") > 0.10).alias("overlapped"), F.round(F.max("share"), 6).alias("share_max"),
+        F.count_if(F.col("change_ratio") > 3).alias("jumps"), F.count("p_mask_area").alias("transitions"))
+    return joined(counts, spread, keys)
 
 
 _SCORED = f"""WITH {_AREA}, {_CHANGE},

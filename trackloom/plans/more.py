@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from trackloom.functions import boxes
 from trackloom.functions import runs as R
 from trackloom.operators import masks as M
+from trackloom.operators.stats import quantiles
 from trackloom.plans.detection import OBJECTS, _sql, objects
 from trackloom.plans.masks import _AREA, _PAIRS, H, WIDTH, mask_rows
 from trackloom.registry import query
@@ -64,7 +65,8 @@ def a24(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a2_quantiles", "SELECT camera, object_id, round(quantile_cont(confidence, 0.5), 6) AS median, round(quantile_cont(confidence, 0.95), 6) AS p95 FROM v_detections GROUP BY ALL")
 def a2(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_detections").groupBy("camera", "object_id").agg(F.round(F.percentile("confidence", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("confidence", F.lit(0.95)), 6).alias("p95"))
+    out = quantiles(view(spark, sf, "v_detections"), ["camera", "object_id"], {"c": F.col("confidence")}, {"median": 0.5, "p95": 0.95})
+    return out.select("camera", "object_id", F.round("c_median", 6).alias("median"), F.round("c_p95", 6).alias("p95"))
 
 
 @query("j5_merged_prediction", f"""WITH {_AREA}, {_PAIRS}
