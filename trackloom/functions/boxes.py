@@ -92,3 +92,8 @@ def unit(v: Column) -> Column:
     """A vector scaled to length one; a null or zero vector gives null."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+
+
+def iso_utc(time: Column) -> Column:
+    """A timestamp as an ISO text in UTC with microseconds, as labels are stamped when they are saved."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

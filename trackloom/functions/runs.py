@@ -388,6 +388,29 @@ def mask_union(masks: pa.Array) -> pa.Array:
     return _united(masks.flatten(), sizes)
 
 
+@F.arrow_udf(T.ArrayType(MASK))
+def mask_layers(masks: pa.Array) -> pa.Array:
+    """An array of masks, each without the pixels of those before it; unknown masks stay unknown and take nothing."""
+    counts = np.asarray(pc.fill_null(pc.list_value_length(masks), 0)).astype(np.int64)
+    values, sizes, valid = _rows(masks.flatten())
+    first, begin, pixels = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes, np.zeros(len(counts), np.int64)
+    np.maximum.at(pixels, _owners(counts), pixels_of(values, sizes))
+    bases, taken, parts = line(pixels), (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
+    for k in range(int(counts.max(initial=0))):  # the k-th masks of all rows at once
+        rows = np.flatnonzero(counts > k)
+        own = first[rows] + k
+        at = np.repeat(begin[own], sizes[own]) + _numbers(sizes[own])
+        at_, (mine, before) = sweep([laid(values[at], sizes[own], bases[rows]), taken])
+        got, n = to_runs(at_, (mine > 0) & (before <= 0), bases, pixels)
+        keep = np.zeros(len(counts), bool)
+        keep[rows[valid[own]]] = True
+        parts.append((first[keep] + k, got[np.repeat(keep, n)], n[keep]))
+        on = np.diff(np.concatenate([[0], ((mine > 0) | (before > 0)).astype(np.int8)]))
+        taken = at_[on == 1], at_[on == -1]
+    inner = _lists(*_placed(parts, len(sizes), np.int64), valid, pa.int64())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), inner, mask=pa.array(~np.asarray(masks.is_valid())))
+
+
 @F.pandas_udf(MASK)
 def mask_union_agg(masks: pd.Series) -> np.ndarray:
     """The union of a group's masks, as an aggregate; for groups such as a frame's parts."""

@@ -125,6 +125,12 @@ def overlaid(parent: DataFrame, windows: DataFrame, keys: list[str], values: lis
     return x.drop("__c", *[f"w_{v}" for v in values])
 
 
+def differing_before(first: DataFrame, other: DataFrame, bounds: DataFrame, keys: list[str], order: str = "frame_idx", ignored: str = "mode") -> DataFrame:
+    """Rows of ``first`` before their key's bound (``second``) that ``other`` doesn't have just so, the column ``ignored`` apart."""
+    early = lambda df: df.drop(ignored).join(bounds.select(*keys, "second"), keys).where(F.col(order) < F.col("second")).drop("second")
+    return early(first).exceptAll(early(other).select(*early(first).columns))
+
+
 def release(rows: DataFrame) -> DataFrame:
     """The release decision of a row (interval_reason, seed, visible, has_pixels, object_id, and review flags absent, exclude, allow, incomplete).
 

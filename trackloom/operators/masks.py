@@ -137,3 +137,19 @@ def regions(rows: DataFrame, h: int, w: int) -> DataFrame:
     out = out.withColumn("roi", R.mask_dilate(merged, F.lit(h), F.lit(R.margin(w))))
     out = out.withColumn("roi_pixels", R.area(F.col("roi"))).withColumn("known_pixels", F.when(F.col("open_") == 1, F.col("roi_pixels")).otherwise(h * w))
     return out.drop("all_", "open_").withColumn("has_reliable_roi", F.col("roi_pixels") > 0)
+
+
+def pooled(masks: DataFrame, support: int, h: int, rows: int, columns: int) -> DataFrame:
+    """Adds cells: the mean of an object's masks in the ``support`` frames up to this one, averaged by area; frames without a mask are unknown and add 0."""
+    w = W.partitionBy(*STREAM, "object_id").orderBy("frame_idx").rangeBetween(-(support - 1), 0)
+    there = F.collect_list("runs").over(w)
+    frames = F.concat(there, F.array_repeat(F.lit(None).cast("array<bigint>"), F.lit(support) - F.size(there)))
+    return masks.withColumn("frames_", frames).withColumn("cells", R.mask_pool_frames("frames_", F.lit(h), F.lit(rows), F.lit(columns))).drop("frames_")
+
+
+def layered(masks: DataFrame, priority: str = "priority") -> DataFrame:
+    """Mask rows of a frame without the pixels of masks of higher priority, ties by object; a frame's parts are few and go together."""
+    item = F.struct((-F.col(priority)).alias("p"), "object_id", "runs")
+    x = masks.groupBy(*FRAME).agg(F.sort_array(F.collect_list(item)).alias("all_"))
+    x = x.withColumn("left_", R.mask_layers("all_.runs"))
+    return x.select(*FRAME, F.inline(F.arrays_zip(F.col("all_.object_id").alias("object_id"), F.col("left_").alias("runs"))))

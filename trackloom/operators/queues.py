@@ -145,6 +145,15 @@ def least_counted(clips: DataFrame, n: int) -> DataFrame:
     return first.groupBy(F.lit(0).alias("g")).applyInPandas(pick, "clip_id long, place long")
 
 
+def task_objects(tasks: DataFrame, default: list[int], overrides: dict[int, list[int]]) -> DataFrame:
+    """(task_id, object_id): the objects of each task, the default ones or those that override them."""
+    ids = lambda own: F.array(*map(F.lit, own)).cast("array<bigint>")
+    objects = ids(default)
+    for task, own in overrides.items():
+        objects = F.when(F.col("task_id") == task, ids(own)).otherwise(objects)
+    return tasks.select("task_id").distinct().select("task_id", F.explode(objects).alias("object_id"))
+
+
 def windows(anchors: DataFrame, horizons: tuple[int, ...] = (8, 16, 32), length: int = 64) -> DataFrame:
     """Adds horizon, by turns in order of ordinal, and the window's start: max(0, min(anchor - 16 - horizon // 2, frames - length))."""
     h = F.element_at(F.array(*map(F.lit, horizons)), (F.col("ordinal") % len(horizons)).cast("int") + 1)

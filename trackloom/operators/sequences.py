@@ -76,6 +76,12 @@ def spaced(df: DataFrame, keys: list[str], frame: str, rank: list[Column], gap:
     return sorted_.select(*keys, F.explode(F.aggregate("items", F.array().cast("array<bigint>"), step)).alias(frame))
 
 
+def or_middle(chosen: DataFrame, frames: DataFrame, keys: list[str], frame: str) -> DataFrame:
+    """Chosen frames, and the middle between first and last frame of each key that has none."""
+    middle = frames.groupBy(*keys).agg(F.floor((F.min(frame) + F.max(frame)) / 2).cast("long").alias(frame))
+    return chosen.select(*keys, frame).unionByName(middle.join(chosen.select(*keys).distinct(), keys, "left_anti"))
+
+
 def bundle(df: DataFrame, keys: list[str], frame: str, span: int, context: int = 15, first: int = 0, last: int | None = None) -> DataFrame:
     """Requests in the same ``span`` frames as one bundle: all triggers kept, with ``context`` frames around, pending review."""
     out = df.groupBy(*keys, F.floor(F.col(frame) / span).cast("long").alias("bundle")).agg(

@@ -169,13 +169,25 @@ def w22(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("episode_id", "camera", "object_id").agg(F.max("misses").alias("longest"), F.count_if(F.col("misses") >= 3).alias("frames_lost"))
 
 
-@query("w27_class_nms")
+def _nms_sql(drop: str, most: str = "true") -> str:
+    box, kept = "{'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}", _sql("k", "o")["iou"]
+    key = "episode_id camera frame_idx object_id".split()
+    return f"""
+WITH RECURSIVE o AS (SELECT {", ".join(key)}, x0, y0, x1, y1, row_number() OVER (PARTITION BY {", ".join(key)} ORDER BY confidence DESC, t1, t2, t3, t4, t5, t6) AS n FROM v_detections),
+fold AS (SELECT {", ".join("o." + k for k in key)}, n, [{box}] AS kept FROM o WHERE n = 1
+ UNION ALL SELECT {", ".join("o." + k for k in key)}, o.n, CASE WHEN {most} AND len(list_filter(f.kept, lambda k: {kept} {drop})) = 0 THEN list_append(f.kept, {box}) ELSE f.kept END
+  FROM fold f JOIN o ON {" AND ".join(f"f.{k} = o.{k}" for k in key)} AND o.n = f.n + 1),
+last AS (SELECT {", ".join(key)}, arg_max(len(kept), n) AS kept FROM fold GROUP BY ALL)
+SELECT camera, object_id, CAST(sum(kept) AS BIGINT) AS kept FROM last GROUP BY ALL"""
+
+
+@query("w27_class_nms", _nms_sql("> 0.5"))
 def w27(spark: SparkSession, sf: str) -> DataFrame:
     out = D.suppress(view(spark, sf, "v_detections"), [*D.FRAME, "object_id"], TIES, iou=0.5, strict=True)
     return out.groupBy("camera", "object_id").agg(F.count("*").alias("kept"))
 
 
-@query("w28_robot_nms")
+@query("w28_robot_nms", _nms_sql(">= 0.65", "len(f.kept) < 4"))
 def w28(spark: SparkSession, sf: str) -> DataFrame:
     out = D.suppress(view(spark, sf, "v_detections"), [*D.FRAME, "object_id"], TIES, iou=0.65, most=4)
     return out.groupBy("camera", "object_id").agg(F.count("*").alias("kept"))

@@ -86,15 +86,23 @@ def j17(spark: SparkSession, sf: str) -> DataFrame:
     return I.changed_rows(x, after, ["sample_id"], x.where("clip_id % 5 = 2"))
 
 
-@query("j18_equal_before_second_seed", "WITH s AS (SELECT clip_id, object_id, min(frame_idx) FILTER (n = 2) AS second FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, object_id ORDER BY frame_idx) AS n FROM v_events WHERE action = 'seed') AS q GROUP BY ALL) SELECT v.clip_id, v.object_id, count(*) AS frames FROM v_events v JOIN s ON v.clip_id = s.clip_id AND v.object_id = s.object_id AND v.frame_idx < s.second GROUP BY ALL")
+@query("j18_equal_before_second_seed", """
+WITH s AS (SELECT clip_id, object_id, min(frame_idx) FILTER (n = 2) AS second FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, object_id ORDER BY frame_idx) AS n FROM v_events WHERE action = 'seed') AS q GROUP BY ALL),
+single AS (SELECT sample_id, clip_id, object_id, frame_idx, gt_visibility FROM v_events),
+multi AS (SELECT sample_id, clip_id, object_id, frame_idx, CASE WHEN sample_id % 40 = 11 THEN 'fully_occluded' ELSE gt_visibility END AS gt_visibility FROM v_events WHERE sample_id % 50 <> 13)
+SELECT a.clip_id, a.object_id, count(*) FILTER (b.gt_visibility = a.gt_visibility) AS equal, count(*) FILTER (b.gt_visibility IS DISTINCT FROM a.gt_visibility) AS differing
+FROM single a JOIN s ON a.clip_id = s.clip_id AND a.object_id = s.object_id AND a.frame_idx < s.second LEFT JOIN multi b ON a.sample_id = b.sample_id GROUP BY ALL""")
 def j18(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs of one clip must agree before the second seed, but for the mode; the second run here lacks rows and has others changed."""
     x = frames(spark, sf)
     n = F.row_number().over(W.partitionBy(*KEYS).orderBy("frame_idx"))
     second = x.where("action = 'seed'").withColumn("n", n).where("n = 2").select(*KEYS, F.col("frame_idx").alias("second"))
-    both = x.join(second, KEYS).where("frame_idx < second")
-    single, multi = both.withColumn("mode", F.lit("single")), both.withColumn("mode", F.lit("multi"))
-    differ = single.drop("mode").exceptAll(multi.drop("mode"))
-    return both.join(differ.select("sample_id"), "sample_id", "left_anti").groupBy(*KEYS).agg(F.count("*").alias("frames"))
+    single = x.select("sample_id", *KEYS, "frame_idx", "visibility", F.lit("single").alias("mode"))
+    changed = F.when(F.col("sample_id") % 40 == 11, "fully_occluded").otherwise(F.col("visibility"))
+    multi = single.where("sample_id % 50 <> 13").withColumn("visibility", changed).withColumn("mode", F.lit("multi"))
+    differ = I.differing_before(single, multi, second, KEYS)
+    early = single.join(second, KEYS).where("frame_idx < second").join(differ.select("sample_id", F.lit(1).alias("d")), "sample_id", "left")
+    return early.groupBy(*KEYS).agg(F.count_if(F.col("d").isNull()).alias("equal"), F.count("d").alias("differing"))
 
 
 _LADDER = """WITH r AS (SELECT doc_id, reliable, excluded, reviewed, doc_id % 1200 AS object_id, doc_id % 17 = 0 AS seed, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 5 <> 1 END AS visible, n_chars > 300 AS has_pixels, doc_id % 13 = 0 AS held, doc_id % 11 = 3 AS absent, doc_id % 29 = 5 AS incomplete FROM v_review),
@@ -146,11 +154,16 @@ def j22(spark: SparkSession, sf: str) -> DataFrame:
     return x.select(*KEYS).distinct().join(x.where("action = 'seed' AND sample_id % 2 = 0").select(*KEYS), KEYS, "left_anti")
 
 
-@query("set1_key_sets", "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra, count(*) AS keys FROM (SELECT DISTINCT sha256(text) AS h FROM documents) AS x")
+@query("set1_key_sets", """
+WITH e AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 10 <> 3), f AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 10 <> 4)
+SELECT (SELECT count(*) FROM e WHERE h NOT IN (SELECT h FROM f)) AS missing, (SELECT count(*) FROM f WHERE h NOT IN (SELECT h FROM e)) AS extra, (SELECT count(*) FROM e) AS keys""")
 def set1(spark: SparkSession, sf: str) -> DataFrame:
-    x = view(spark, sf, "documents").select(F.sha2("text", 256).alias("h")).distinct()
-    both = I.missing_and_extra(x, x, ["h"])
-    return x.agg(F.count("*").alias("keys")).join(both.agg(F.count_if(F.col("problem") == "missing").alias("missing"), F.count_if(F.col("problem") == "extra").alias("extra")).hint("broadcast"))
+    """Expected keys lack a tenth of the documents, those found another tenth; equal texts make some keys of both appear all the same."""
+    x = view(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    expected, found = x.where("doc_id % 10 <> 3").select("h").distinct(), x.where("doc_id % 10 <> 4").select("h").distinct()
+    both = I.missing_and_extra(expected, found, ["h"])
+    counts = both.agg(F.count_if(F.col("problem") == "missing").alias("missing"), F.count_if(F.col("problem") == "extra").alias("extra"))
+    return expected.agg(F.count("*").alias("keys")).join(counts.hint("broadcast"))
 
 
 @query("set2_duplicates", "SELECT sha256(text) AS sha256, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1")
@@ -188,12 +201,17 @@ def f13(spark: SparkSession, sf: str) -> DataFrame:
     return hash_mismatches(listed, x.where("path % 20 <> 2"))
 
 
-@query("j19_backend_comparison", "SELECT a.gt_visibility, count(*) AS frames, count(*) FILTER (a.pred_visible = b.pred_visible) AS agree, count(*) FILTER (a.sample_id IS NULL OR b.sample_id IS NULL) AS unmatched FROM (SELECT * FROM v_events WHERE sample_id % 10 <> 1) a JOIN (SELECT sample_id, iou >= 0.5 AS pred_visible FROM v_events) b ON a.sample_id = b.sample_id GROUP BY ALL")
+@query("j19_backend_comparison", """
+WITH a AS (SELECT sample_id, gt_visibility, pred_visible FROM v_events WHERE sample_id % 10 <> 1), b AS (SELECT sample_id, gt_visibility, iou >= 0.5 AS pred_visible FROM v_events WHERE sample_id % 10 <> 2)
+SELECT coalesce(a.gt_visibility, b.gt_visibility) AS gt_visibility, count(*) AS frames, count(*) FILTER (a.pred_visible = b.pred_visible) AS agree, count(*) FILTER (a.sample_id IS NULL OR b.sample_id IS NULL) AS unmatched
+FROM a FULL JOIN b ON a.sample_id = b.sample_id GROUP BY ALL""")
 def j19(spark: SparkSession, sf: str) -> DataFrame:
+    """Each of two backends lacks a tenth of the frames; a frame of only one is unmatched."""
     x = view(spark, sf, "v_events")
-    a = x.where("sample_id % 10 <> 1").select("sample_id", "gt_visibility", F.col("pred_visible").alias("a"))
-    b = x.select("sample_id", (F.col("iou") >= 0.5).alias("b"))
-    return a.join(b, "sample_id").groupBy("gt_visibility").agg(F.count("*").alias("frames"), F.count_if(F.col("a") == F.col("b")).alias("agree"), F.lit(0).cast("long").alias("unmatched"))
+    a = x.where("sample_id % 10 <> 1").select("sample_id", F.col("gt_visibility").alias("va"), F.col("pred_visible").alias("a"), F.lit(1).alias("ina"))
+    b = x.where("sample_id % 10 <> 2").select("sample_id", F.col("gt_visibility").alias("vb"), (F.col("iou") >= 0.5).alias("b"), F.lit(1).alias("inb"))
+    both = a.join(b, "sample_id", "full").withColumn("gt_visibility", F.coalesce("va", "vb"))
+    return both.groupBy("gt_visibility").agg(F.count("*").alias("frames"), F.count_if(F.col("a") == F.col("b")).alias("agree"), F.count_if(F.col("ina").isNull() | F.col("inb").isNull()).alias("unmatched"))
 
 
 @query("a15_event_counter", "SELECT camera, action, gt_visibility AS reason, count(*) AS n FROM (SELECT e.*, v.camera FROM v_events e JOIN v_vis v ON e.sample_id = v.sample_id) AS x WHERE action IS NOT NULL GROUP BY ALL")

@@ -210,14 +210,52 @@ def pf13(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("episode_id", "camera", "frame_idx", "object_id", R.covers(F.col("runs"), F.col("pos")).alias("inside"))
 
 
-@query("r7_regions")
-def r7(spark: SparkSession, sf: str) -> DataFrame:
+_CELLS = "s // 36 AS x, unnest(range(s % 36, (e - 1) % 36 + 1)) AS y"
+_GROWN = "(VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy) WHERE x + dx BETWEEN 0 AND 63 AND y + dy BETWEEN 0 AND 35"
+_REGIONS = f"""
+px AS (SELECT DISTINCT episode_id, camera, frame_idx, {_CELLS} FROM v_spans WHERE object_id < 3),
+grown AS (SELECT DISTINCT episode_id, camera, frame_idx, x + dx AS x, y + dy AS y FROM px, {_GROWN}),
+sizes AS (SELECT episode_id, camera, frame_idx, count(*) AS n FROM grown GROUP BY ALL),
+f AS (SELECT episode_id, camera, frame_idx, bool_or(object_id = 4) AS unresolved FROM v_spans GROUP BY ALL),
+regions AS (SELECT f.episode_id, f.camera, f.frame_idx, coalesce(n, 0) AS roi_pixels, CASE WHEN unresolved THEN coalesce(n, 0) ELSE 2304 END AS known_pixels, coalesce(n, 0) > 0 AS has_reliable_roi FROM f LEFT JOIN sizes s ON {_same('f', 's')})"""
+
+
+def _regions(spark: SparkSession, sf: str) -> DataFrame:
     rows = M.from_spans(view(spark, sf, "v_spans"), H * WIDTH).withColumn("eligible", F.col("object_id") < 3).withColumn("unresolved", F.col("object_id") == 4)
-    return M.regions(rows, H, WIDTH).select("episode_id", "camera", "frame_idx", "roi_pixels", "known_pixels", "has_reliable_roi")
+    return M.regions(rows, H, WIDTH)
+
+
+@query("r7_regions", f"WITH {_REGIONS} SELECT * FROM regions")
+def r7(spark: SparkSession, sf: str) -> DataFrame:
+    return _regions(spark, sf).select("episode_id", "camera", "frame_idx", "roi_pixels", "known_pixels", "has_reliable_roi")
 
 
-@query("f17_mask_pool")
+@query("snk5_region_runs", f"WITH {_REGIONS} SELECT episode_id, camera, frame_idx, roi_pixels, known_pixels FROM regions")
+def snk5(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions and what is known of them, written as runs and read back."""
+    from trackloom.sources import sinks
+    from trackloom.streaming.events import folder
+
+    path = folder(spark)
+    sinks.write_regions(_regions(spark, sf), path, H * WIDTH)
+    back = spark.read.parquet(path)
+    return back.select("episode_id", "camera", "frame_idx", R.area(F.col("roi")).alias("roi_pixels"), R.area(F.col("known")).alias("known_pixels"))
+
+
+@query("f17_mask_pool", f"""WITH {_AREA}
+SELECT {KEY}, round(sum(a) OVER (PARTITION BY episode_id, camera, object_id ORDER BY frame_idx RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) / 48, 6) AS mass, 144 AS cells FROM area""")
 def f17(spark: SparkSession, sf: str) -> DataFrame:
-    rows = M.from_spans(view(spark, sf, "v_spans"), H * WIDTH)
-    pooled = rows.withColumn("cells", R.mask_pool("runs", F.lit(H), F.lit(9), F.lit(16)))
+    """Each frame's mask and those of the two frames before it, pooled; a frame without a mask is unknown and adds nothing."""
+    pooled = M.pooled(M.from_spans(view(spark, sf, "v_spans"), H * WIDTH), 3, H, 9, 16)
     return pooled.select("episode_id", "camera", "frame_idx", "object_id", F.round(F.aggregate("cells", F.lit(0.0), lambda s, x: s + x), 6).alias("mass"), F.size("cells").alias("cells"))
+
+
+@query("r10_layered_masks", f"""
+WITH px AS (SELECT episode_id, camera, frame_idx, object_id, (object_id * 3) % 5 AS priority, {_CELLS} FROM v_spans),
+owned AS (SELECT episode_id, camera, frame_idx, x, y, arg_max(object_id, priority) AS object_id FROM px GROUP BY ALL),
+n AS (SELECT episode_id, camera, frame_idx, object_id, count(*) AS pixels FROM owned GROUP BY ALL)
+SELECT v.episode_id, v.camera, v.frame_idx, v.object_id, coalesce(pixels, 0) AS pixels FROM (SELECT DISTINCT episode_id, camera, frame_idx, object_id FROM v_spans) v LEFT JOIN n ON {_same('v', 'n')} AND v.object_id = n.object_id""")
+def r10(spark: SparkSession, sf: str) -> DataFrame:
+    """Masks of a frame without the pixels that a mask of higher priority has."""
+    rows = M.from_spans(view(spark, sf, "v_spans"), H * WIDTH).withColumn("priority", F.col("object_id") * 3 % 5)
+    return M.layered(rows).select("episode_id", "camera", "frame_idx", "object_id", R.area(F.col("runs")).alias("pixels"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +15,7 @@ from trackloom.functions import runs as R
 from trackloom.operators import masks as M
 from trackloom.operators.stats import quantiles
 from trackloom.plans.detection import OBJECTS, _sql, objects
-from trackloom.plans.masks import _AREA, _PAIRS, H, WIDTH, mask_rows
+from trackloom.plans.masks import _AREA, _CELLS, _GROWN, _PAIRS, H, WIDTH, mask_rows
 from trackloom.registry import query
 from trackloom.sources import episodes, sinks
 from trackloom.sources.fixtures import view
@@ -81,7 +83,10 @@ def j5(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("episode_id", "camera", "frame_idx", R.area(F.col("runs")).alias("pixels"))
 
 
-@query("f16_dilation")
+@query("f16_dilation", f"""
+WITH {_AREA}, px AS (SELECT episode_id, camera, frame_idx, {_CELLS} FROM v_spans WHERE object_id = 0), grown AS (SELECT DISTINCT episode_id, camera, frame_idx, x + dx AS x, y + dy AS y FROM px, {_GROWN}),
+n AS (SELECT episode_id, camera, frame_idx, count(*) AS n FROM grown GROUP BY ALL)
+SELECT a.episode_id, a.camera, a.frame_idx, a.a AS mask_area, n.n AS grown_area FROM area a JOIN n ON a.episode_id = n.episode_id AND a.camera = n.camera AND a.frame_idx = n.frame_idx AND a.object_id = 0""")
 def f16(spark: SparkSession, sf: str) -> DataFrame:
     rows = mask_rows(spark, sf).where("object_id = 0").withColumn("grown", R.mask_dilate("runs", F.lit(H), F.lit(R.margin(WIDTH))))
     return rows.select("episode_id", "camera", "frame_idx", "mask_area", R.area(F.col("grown")).alias("grown_area"))
@@ -163,20 +168,62 @@ def src3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("src5_stream_errors", "WITH g AS (SELECT user_id, count(*) AS n FROM events GROUP BY ALL) SELECT user_id AS episode_id, CASE WHEN n < 66 THEN 'truncated stream' ELSE 'count mismatch' END AS error FROM g WHERE n <> 66")
 def src5b(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     frames = view(spark, sf, "events").select(F.col("user_id").alias("episode_id"), F.lit("head").alias("camera"), n.alias("frame_idx"))
     want = frames.select("episode_id", "camera").distinct().withColumn("frames", F.lit(66))
     return episodes.stream_errors(frames, want).select("episode_id", "error")
 
 
-@query("src9_inventory", "SELECT event_type AS key, CASE WHEN event_type = 'view' THEN NULL END AS candidate, count(*) AS n FROM events GROUP BY ALL")
+_KINDS = ["observation/cam_rgb", "head_depth", "seg_labels", "joint_state", "action", "time_stamp", "notes", "qpos", "rgb_depth"]
+
+
+@query("src9_inventory", f"""
+WITH k AS (SELECT {_KINDS}[CAST(event_id % 9 AS INT) + 1] || '/' || event_type AS key FROM events)
+SELECT key, CASE WHEN regexp_matches(key, 'rgb|image|camera') THEN 'image' WHEN regexp_matches(key, 'depth') THEN 'depth' WHEN regexp_matches(key, 'mask|seg') THEN 'mask' WHEN regexp_matches(key, 'action|command') THEN 'action'
+  WHEN regexp_matches(key, 'state|qpos|joint') THEN 'state' WHEN regexp_matches(key, 'time|stamp') THEN 'time' END AS candidate, count(*) AS n FROM k GROUP BY ALL""")
 def src9(spark: SparkSession, sf: str) -> DataFrame:
-    x = view(spark, sf, "events").groupBy(F.col("event_type").alias("key")).agg(F.count("*").alias("n"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 9).cast("int") + 1)
+    x = view(spark, sf, "events").groupBy(F.concat(kind, F.lit("/"), "event_type").alias("key")).agg(F.count("*").alias("n"))
     return episodes.dataset_inventory(x)
 
 
+@query("src4_timestamps", "SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS frame_idx, round(epoch_us(ts) / 1e6::DOUBLE + 100, 3) AS timestamp FROM events WHERE user_id = 7")
+def src4(spark: SparkSession, sf: str) -> DataFrame:
+    """One clip's times, written as a robot dataset's file and read by column, with its start added."""
+    own = view(spark, sf, "events").where("user_id = 7")
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    path = folder(spark)
+    own.select(n.cast("long").alias("frame_index"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time"), "value").write.parquet(path)
+    return episodes.timestamps(spark, path, "time", 100.0, own.count()).withColumn("timestamp", F.round("timestamp", 3))
+
+
+@query("src8_baseline", "SELECT CASE WHEN object_id < 3 THEN 'objects' ELSE 'robot' END AS layer, frame_idx, count(*) AS rows_ FROM v_top WHERE frame_idx BETWEEN 10 AND 20 GROUP BY ALL")
+def src8(spark: SparkSession, sf: str) -> DataFrame:
+    """A slice of two layers, after a check of their sources' hashes."""
+    rows = view(spark, sf, "v_top")
+    hashes = spark.createDataFrame([("objects.parquet", "a"), ("robot.parquet", "b")], "path string, sha256 string")
+    both = episodes.baseline(rows.where("object_id < 3"), rows.where("object_id >= 3"), 10, 20, {"objects.parquet": "a", "robot.parquet": "b"}, hashes)
+    return both.groupBy("layer", "frame_idx").agg(F.count("*").alias("rows_"))
+
+
+@query("snk7_versioned_output", "SELECT count(*) AS rows_, true AS refused FROM v_top WHERE object_id = 1")
+def snk7(spark: SparkSession, sf: str) -> DataFrame:
+    """A version that is there is never written over."""
+    path, rows = folder(spark), _labels(spark, sf).where("object_id = 1")
+    sinks.write_rows(rows, path)
+    try:
+        sinks.write_rows(rows, path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return spark.read.parquet(path).agg(F.count("*").alias("rows_")).withColumn("refused", F.lit(refused))
+
+
+@query("f14_save_stamp", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS saved_at FROM events")
+def f14(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "events").select("event_id", boxes.iso_utc(F.col("ts").cast("timestamp")).alias("saved_at"))
+
+
 @query("src10_clip_rows", "SELECT range AS local_frame_idx, 10 + 5 * range AS source_frame_idx FROM range(128)")
 def src10(spark: SparkSession, sf: str) -> DataFrame:
     return episodes.clip_rows(spark, 10, 128, 5)

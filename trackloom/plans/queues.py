@@ -93,10 +93,19 @@ def w11(spark: SparkSession, sf: str) -> DataFrame:
     return S.cooldown(x, ["clip_id", "object_id", "chunk"], "frame_idx", 30)
 
 
-@query("w12_spaced_choice")
+@query("w12_spaced_choice", f"""
+WITH {_REQ}, x AS (SELECT clip_id, frame_idx, sum(CASE WHEN reason = 'unknown_prediction' THEN 2 ELSE 1 END) AS weight FROM req GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY weight DESC, frame_idx) AS n FROM x),
+one AS (SELECT clip_id, frame_idx FROM r WHERE n = 1),
+two AS (SELECT r.clip_id, arg_min(r.frame_idx, r.n) AS frame_idx FROM r JOIN one ON r.clip_id = one.clip_id AND abs(r.frame_idx - one.frame_idx) >= 60 GROUP BY ALL),
+middle AS (SELECT clip_id, (min(frame_idx) + max(frame_idx)) // 2 AS frame_idx FROM (SELECT clip_id, frame_idx FROM v_vis UNION ALL SELECT range + 1000000, 40 FROM range(5)) AS c GROUP BY ALL)
+SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT m.clip_id, m.frame_idx FROM middle m ANTI JOIN one ON m.clip_id = one.clip_id""")
 def w12(spark: SparkSession, sf: str) -> DataFrame:
+    """Two frames a clip at most, 60 apart, the heaviest first; clips without requests, of which five are added, get their middle frame."""
     x = requests(spark, sf).groupBy("clip_id", "frame_idx").agg(F.sum(F.when(F.col("reason") == "unknown_prediction", 2).otherwise(1)).alias("weight"))
-    return S.spaced(x, ["clip_id"], "frame_idx", [-F.col("weight")])
+    quiet = spark.range(5).select((F.col("id") + 1_000_000).alias("clip_id"), F.lit(40).alias("frame_idx"))
+    every = view(spark, sf, "v_vis").select("clip_id", "frame_idx").unionByName(quiet)
+    return S.or_middle(S.spaced(x, ["clip_id"], "frame_idx", [-F.col("weight")]), every, ["clip_id"], "frame_idx")
 
 
 @query("w13_riskiest_frame", f"WITH {_REQ}, s AS (SELECT clip_id, frame_idx, CASE WHEN bool_or(reason = 'unknown_prediction') THEN 3 ELSE 1 END AS score FROM req GROUP BY ALL) SELECT clip_id, frame_idx, score FROM s QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY score DESC, abs(frame_idx - 150), frame_idx) = 1")
@@ -157,10 +166,9 @@ def r5(spark: SparkSession, sf: str) -> DataFrame:
     return Q.windows(x).select("clip_id", "sample_id", "anchor", "horizon", "start")
 
 
-@query("r11_task_objects", "SELECT t.range AS task_id, CASE WHEN t.range = 22 THEN 8 WHEN t.range = 23 THEN 5 ELSE o.range END AS object_id FROM range(30) AS t, range(3) AS o GROUP BY ALL")
+@query("r11_task_objects", "SELECT DISTINCT c_custkey % 30 AS task_id, unnest(CASE c_custkey % 30 WHEN 22 THEN [8] WHEN 23 THEN [5, 6] ELSE [0, 1, 2] END)::BIGINT AS object_id FROM customer")
 def r11(spark: SparkSession, sf: str) -> DataFrame:
-    own = F.when(F.col("task_id") == 22, F.array(F.lit(8))).when(F.col("task_id") == 23, F.array(F.lit(5))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
-    return spark.range(30).select(F.col("id").alias("task_id")).select("task_id", F.explode(own.cast("array<bigint>")).alias("object_id"))
+    return Q.task_objects(episodes(spark, sf), [0, 1, 2], {22: [8], 23: [5, 6]})
 
 
 @query("src2_dataset_paths", "SELECT doc_id AS episode_index, doc_id // 100 AS chunk, printf('data/chunk-%03d/episode_%06d.parquet', doc_id // 100, doc_id) AS path FROM documents")
@@ -170,9 +178,13 @@ def src2(spark: SparkSession, sf: str) -> DataFrame:
     return chunked_paths(view(spark, sf, "documents").select(F.col("doc_id").alias("episode_index")), chunks_size=100)
 
 
-@query("src7_layer_completeness", "SELECT clip_id, count(*) AS rows_, count(DISTINCT frame_idx) AS frames FROM v_vis WHERE frame_idx BETWEEN 50 AND 100 GROUP BY ALL")
+@query("src7_layer_completeness", "SELECT episode_id, count(*) AS rows_, count(DISTINCT frame_idx) AS frames FROM v_top WHERE frame_idx BETWEEN 50 AND 60 AND camera = 'head' GROUP BY ALL")
 def src7(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_vis").where("frame_idx BETWEEN 50 AND 100").groupBy("clip_id").agg(F.count("*").alias("rows_"), F.count_distinct("frame_idx").alias("frames"))
+    """A slice of the head camera's layer, each of whose frames must be there."""
+    from trackloom.sources.episodes import layer_slice
+
+    rows = view(spark, sf, "v_top").withColumn("layer", F.col("camera"))
+    return layer_slice(rows, 50, 60, "head").groupBy("episode_id").agg(F.count("*").alias("rows_"), F.count_distinct("frame_idx").alias("frames"))
 
 
 @query("pf14_safe_names", "SELECT count(*) AS names, count(*) FILTER (regexp_matches(url, '^(/|[A-Za-z]:)|(^|[/\\\\])\\.\\.([/\\\\]|$)')) AS unsafe, count(*) FILTER (regexp_matches(url, '^[A-Za-z0-9][A-Za-z0-9_.-]*$')) AS ids FROM pages")

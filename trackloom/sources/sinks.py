@@ -33,6 +33,13 @@ def write_streams(labels: DataFrame, path: str) -> None:
     write_rows(labels.repartition(*keys), path, by=keys, order=["frame_idx", "object_id"])
 
 
+def write_regions(regions: DataFrame, path: str, pixels: int) -> None:
+    """Regions of interest (episode_id, camera, frame_idx, roi, known_pixels) as runs: ``roi``, and ``known``, which is all of the image or the region."""
+    whole = F.array(F.lit(0), F.lit(pixels)).cast("array<bigint>")
+    known = F.when(F.col("known_pixels") == pixels, whole).otherwise(F.col("roi"))
+    write_rows(regions.select("episode_id", "camera", "frame_idx", "roi", known.alias("known")), path)
+
+
 def complete_marker(df: DataFrame, keys: list[str]) -> DataFrame:
     """What a finished stream's marker says: rows and an order-free digest of its content."""
     digest = F.sum(F.xxhash64(F.to_json(F.struct(*sorted(c for c in df.columns if c not in keys)), {"ignoreNullFields": "false"})) % 1_000_000_007)
