@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import audit, bank, detections, intervals, machines, masks, queues, sequences
+from trackloom.operators import audit, bank, detections, intervals, machines, masks, queues, sequences, stats
 
 BOX = "episode_id long, camera string, frame_idx long, object_id long, confidence double, x0 double, y0 double, x1 double, y1 double, t long"
 
@@ -222,3 +222,150 @@ def test_plug_points(spark):
     spans = spark.createDataFrame([("c", 1, 0, f) for f in (2, 0, 1)], "clip_id string, object_id long, seed_frame long, frame_idx long")
     got = plugs.propagate(spans, lambda: lambda rows: ({**r, "n": k} for k, r in enumerate(rows)), "clip_id string, object_id long, seed_frame long, frame_idx long, n long").collect()
     assert {(r["frame_idx"], r["n"]) for r in got} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_matching_equals_enumeration():
+    import random
+    import time
+    from itertools import permutations
+
+    r = random.Random(1)
+    for _ in range(600):
+        n = r.randint(1, 7)
+        real = r.randint(1, n)
+        w = [[r.randrange(6) / 97 if i < real else 0.0 for _ in range(n)] for i in range(n)]  # many ties
+        assert audit.matching(w) == list(max(permutations(range(n)), key=lambda p: round(sum(w[i][j] for i, j in enumerate(p)), 12)))
+    began = time.time()
+    audit.matching([[r.random() for _ in range(12)] for _ in range(12)])
+    assert time.time() - began < 0.1
+
+
+def test_assignment_of_uneven_sides(spark):
+    pairs = [(1, g, p, v) for g, p, v in ((10, 1, 0.5), (10, 2, 0.6), (11, 2, 0.6), (12, 2, 0.05), (12, 3, None))]
+    got = audit.assign(spark.createDataFrame(pairs, "f long, gt long, pred long, iou double"), ["f"]).collect()
+    assert {(r["gt"], r["pred"]) for r in got} == {(10, 1), (11, 2)}
+
+
+def test_nearest_seed_of_a_long_stream_in_time(spark):
+    import time
+
+    frames = spark.range(40_000).select(F.lit("a").alias("clip"), F.col("id").alias("frame_idx"))
+    seeds = spark.range(0, 40_000, 100).select(F.lit("a").alias("clip"), F.col("id").alias("seed_frame"))
+    intervals.nearest_seed(frames, seeds, ["clip"]).count()
+    began = time.time()
+    x = intervals.nearest_seed(frames, seeds, ["clip"])
+    wrong = F.when(F.col("frame_idx") > 39_900, 39_900).otherwise(F.ceil((F.col("frame_idx") - 50) / 100) * 100)
+    assert x.where(F.col("seed_frame") != wrong).count() == 0 and time.time() - began < 10
+
+
+def test_exclusions_become_segments(spark):
+    import random
+
+    r = random.Random(3)
+    ex = [(k % 3, a := r.randint(0, 40), a + r.randint(-2, 25), f"r{i}", i) for i, k in enumerate(range(40))] + [(None, 0, 99, "null", 0), (7, None, 5, "open", 0)]
+    rows = [(k, f, f"{k}/{f}") for k in (0, 1, 2, 5) for f in range(70)] + [(None, 3, "n")]
+    df, e = spark.createDataFrame(rows, "k long, frame_idx long, name string"), spark.createDataFrame(ex, "k long, start long, end long, reason string, ordinal long")
+    got = {x["name"]: x["reason"] for x in intervals.excluded(df, e, ["k"]).collect()}
+    for k, f, name in rows:
+        own = [x for x in ex if x[0] is not None and x[1] is not None and x[0] == k and x[1] <= f <= x[2]]
+        assert got[name] == (min(own, key=lambda x: x[4])[3] if own else None)
+    assert intervals.excluded(df, e.limit(0), ["k"]).where("reason IS NULL").count() == len(rows)
+
+
+def test_quantiles_interpolate(spark):
+    import numpy as np
+
+    v = [(g, float(x) if x % 5 else None) for g in ("a", None) for x in range(1, 38)] + [("b", None), ("c", float("nan")), ("c", 2.0)]
+    got = {r["g"]: r for r in stats.quantiles(spark.createDataFrame(v, "g string, x double"), ["g"], {"x": F.col("x")}, {"median": 0.5, "p95": 0.95}).collect()}
+    own = [x for g, x in v if g == "a" and x is not None]
+    assert got["a"]["x_median"] == got[None]["x_median"] == np.quantile(own, 0.5) and got["a"]["x_p95"] == pytest.approx(np.quantile(own, 0.95))
+    assert "b" not in got and got["c"]["x_p95"] == 2
+
+
+def test_retrieval_by_blocks_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    v = r.normal(size=(60, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[7] = v[3]  # a tie
+    rows = [(k, k % 4, [k % 4, 2] if k % 9 == 0 else None, k % 5, ("head", "left")[k % 2], "active" if k % 11 else "excluded", [float(x) for x in v[k]]) for k in range(60)]
+    df = spark.createDataFrame(rows, "exemplar_id long, object_id long, merged array<long>, episode_id long, camera string, bank_status string, embedding array<float>")
+    q = df.where("exemplar_id % 6 = 0").select(F.col("exemplar_id").alias("query_id"), F.col("object_id").alias("q_object_id"), F.col("episode_id").alias("q_episode_id"), F.col("camera").alias("q_camera"), F.col("embedding").alias("q_embedding"))
+    monkeypatch.setattr(bank, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(bank, "ENTRY_BLOCK", 7)
+    got = {x["query_id"]: x for x in bank.candidates(q, df, 3).collect()}
+    f = np.asarray(v, np.float32).astype(float)
+    for k in range(0, 60, 6):
+        _, o, _, e, c, _, _ = rows[k]
+        pool = [(-round(float(f[k] @ f[x[0]]), 6), x[0], x[1], o in (x[2] or [x[1]]), x[4] == c) for x in rows if x[5] == "active" and x[3] != e]
+        for name, keep in (("p_same", lambda p: p[3] and p[4]), ("p_all", lambda p: p[3]), ("c_same", lambda p: not p[3] and p[4]), ("c_all", lambda p: not p[3])):
+            own = sorted(p for p in pool if keep(p))
+            assert [x["exemplar_id"] for x in got[k][name]] == [p[1] for p in own[:3]]
+            if name in ("p_same", "p_all", "c_same"):
+                assert got[k][{"p_same": "n_same", "p_all": "n_all", "c_same": "m_same"}[name]] == len(own)
+    assert bank.retrieve(q, df.limit(0)).where("status = 'no_reference'").count() == q.count()
+
+
+def test_diverse_equals_a_greedy_loop(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    v = r.normal(size=(40, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(k, k % 2, int(r.integers(0, 4)), int(r.integers(0, 120)), int(r.integers(1, 60_000)), [float(x) for x in v[k]]) for k in range(40)]
+    df = spark.createDataFrame(rows, "exemplar_id long, object_id long, episode_id long, frame_idx long, mask_area long, embedding array<double>")
+    got = {}
+    for x in bank.diverse(df, ["object_id"]).orderBy("place").collect():
+        got.setdefault(x["object_id"], []).append(x["exemplar_id"])
+    for o in (0, 1):
+        chosen = []
+        for _ in range(6):
+            free = [x for x in rows if x[1] == o and all(x[0] != c[0] and (x[2] != c[2] or abs(x[3] - c[3]) >= 30) for c in chosen)]
+            if not free:
+                break
+            chosen.append(max(free, key=lambda x: (-sum(c[2] == x[2] for c in chosen), 1 - max(float(np.dot(x[5], c[5])) for c in chosen) if chosen else 0, min(x[4], 50_000), -x[0])))
+        assert got[o] == [c[0] for c in chosen]
+
+
+def test_least_counted_equals_a_greedy_loop(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(5)
+    rows = [(k, r.randrange(5), r.choice("abc"), r.randrange(3), r.randrange(20)) for k in range(80)]
+    got = [x["clip_id"] for x in queues.least_counted(spark.createDataFrame(rows, "clip_id long, task_id long, camera string, horizon long, h long"), 30).orderBy("place").collect()]
+    left, counts, want = list(rows), Counter(), []
+    for _ in range(30):
+        x = min(left, key=lambda x: (counts["t", x[1]], counts["c", x[2]], counts["h", x[3]], x[4], x[0]))
+        left.remove(x)
+        want.append(x[0])
+        counts.update([("t", x[1]), ("c", x[2]), ("h", x[3])])
+    assert got == want
+
+
+def test_layers_by_priority(spark):
+    import numpy as np
+
+    from trackloom.functions import runs as R
+
+    r, rows, images = np.random.default_rng(6), [], {}
+    for f in range(5):
+        for o in range(4):
+            m = r.random((5, 6)) < 0.4
+            images[f, o] = None if (f, o) == (2, 3) else m
+            rows.append((1, "head", f, o, None if images[f, o] is None else [int(x) for x in R.of_raster(m)], (3 - o) % 3))
+    df = spark.createDataFrame(rows, "episode_id long, camera string, frame_idx long, object_id long, runs array<long>, priority long")
+    got = {(x["frame_idx"], x["object_id"]): x["runs"] for x in masks.layered(df).collect()}
+    for f in range(5):
+        taken = np.zeros((5, 6), bool)
+        for o in sorted(range(4), key=lambda o: (-((3 - o) % 3), o)):
+            m = images[f, o]
+            assert got[f, o] == (None if m is None else [int(x) for x in R.of_raster(m & ~taken)])
+            taken |= False if m is None else m
+
+
+def test_a_clip_without_requests_gets_its_middle(spark):
+    chosen = spark.createDataFrame([(1, 10)], "c long, f long")
+    frames = spark.createDataFrame([(c, f) for c in (1, 2) for f in range(4, 9)], "c long, f long")
+    assert sorted(map(tuple, sequences.or_middle(chosen, frames, ["c"], "f").collect())) == [(1, 10), (2, 6)]

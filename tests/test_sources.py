@@ -90,3 +90,43 @@ def test_sinks(spark, tmp_path):
     for kind in ("json", "csv"):
         sinks.write_rows(df, f"file://{tmp_path}/{kind}", kind)
     assert episodes.mask_rows(spark, f"file://{tmp_path}/json", "frame_idx long, confidence double").count() == 2
+
+
+def test_archives_are_checked(spark, tmp_path):
+    import hashlib
+    import warnings
+    import zipfile
+
+    from trackloom.sources import episodes
+
+    good, bad = tmp_path / "good.zip", tmp_path / "bad.zip"
+    with zipfile.ZipFile(good, "w") as z:
+        z.writestr("masks/a.png", b"one")
+        z.writestr("masks/b.png", b"two")
+    with zipfile.ZipFile(bad, "w") as z, warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        z.writestr("../x", b"out")
+        z.writestr("twice", b"1")
+        z.writestr("twice", b"1")
+        z.writestr("broken", b"abcdefgh" * 4)
+        link = zipfile.ZipInfo("link")
+        link.external_attr = 0o120777 << 16
+        z.writestr(link, "target")
+    raw = bad.read_bytes()
+    bad.write_bytes(raw.replace(b"abcdefgh" * 4, b"abcdefgX" * 4, 1))
+    entries = episodes.archive_entries(spark, f"file://{tmp_path}").withColumn("bundle", F.element_at(F.split("bundle", "/"), -1))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    listed = spark.createDataFrame([("good.zip", "masks/a.png", sha(b"one")), ("good.zip", "masks/b.png", sha(b"2")), ("good.zip", "masks/c.png", "0"), ("bad.zip", "twice", sha(b"1"))], "bundle string, path string, sha256 string")
+    got = {tuple(r) for r in episodes.archive_violations(entries, listed).collect()}
+    assert {x for x in got if x[0] == "good.zip"} == {("good.zip", "masks/b.png", "changed"), ("good.zip", "masks/c.png", "missing")}
+    assert {x for x in got if x[0] == "bad.zip" and x[2] != "unlisted"} == {("bad.zip", "../x", "path escapes"), ("bad.zip", "twice", "repeated name"), ("bad.zip", "broken", "damaged"), ("bad.zip", "link", "link")}
+
+
+def test_baseline_checks_its_sources(spark):
+    from trackloom.sources import episodes
+
+    rows = spark.range(5).select(F.col("id").alias("frame_idx"))
+    hashes = spark.createDataFrame([("o", "1"), ("r", "2")], "path string, sha256 string")
+    assert episodes.baseline(rows, rows, 1, 3, {"o": "1"}, hashes).groupBy("layer").count().collect() != []
+    with pytest.raises(ValueError, match="a source changed"):
+        episodes.baseline(rows, rows, 1, 3, {"o": "9"}, hashes)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -197,3 +203,47 @@ def hash_mismatches(listed: DataFrame, found: DataFrame) -> DataFrame:
     x = listed.alias("l").join(found.alias("f"), F.col("l.path") == F.col("f.path"), "full")
     problem = F.when(F.col("f.path").isNull(), "missing").when(F.col("l.path").isNull(), "unlisted").when(F.col("l.sha256") != F.col("f.sha256"), "changed")
     return x.select(F.coalesce("l.path", "f.path").alias("path"), problem.alias("problem")).where("problem IS NOT NULL")
+
+
+ENTRY = "bundle string, path string, bytes long, sha256 string, intact boolean, link boolean"
+
+
+def archive_entries(spark: SparkSession, root: str) -> DataFrame:
+    """(bundle, path, bytes, sha256, intact, link) of every entry of the ZIP bundles below a folder, each bundle read by one task.
+
+    ``intact`` tells whether an entry's bytes have its checksum; a link or a damaged entry has no hash. A file that is no ZIP archive raises.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = []
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for e in z.infolist():
+                        if e.is_dir():
+                            continue
+                        link, sha, ok = e.external_attr >> 28 == 0o12, None, True
+                        if not link:
+                            try:
+                                sha = hashlib.sha256(z.read(e)).hexdigest()
+                            except zipfile.BadZipFile:
+                                ok = False
+                        rows.append({"bundle": bundle, "path": e.filename, "bytes": e.file_size, "sha256": sha, "intact": ok, "link": link})
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    kinds = pa.schema([("bundle", pa.string()), ("path", pa.string()), ("bytes", pa.int64()), ("sha256", pa.string()), ("intact", pa.bool_()), ("link", pa.bool_())])
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", "content").mapInArrow(run, ENTRY)
+
+
+def archive_violations(entries: DataFrame, listed: DataFrame) -> DataFrame:
+    """(bundle, path, violation): repeated names, paths that escape, links, damaged entries, and differences from the listed (bundle, path, sha256)."""
+    bad = F.array_compact(F.array(
+        F.when(F.col("n") > 1, F.lit("repeated name")), F.when(~safe_path(F.col("path")), F.lit("path escapes")),
+        F.when(F.col("link"), F.lit("link")), F.when(~F.col("intact"), F.lit("damaged"))))
+    named = entries.withColumn("n", F.count("*").over(W.partitionBy("bundle", "path")))
+    own = named.select("bundle", "path", F.explode(bad).alias("violation")).distinct()
+    a, b = listed.select("bundle", "path", F.col("sha256").alias("want")), entries.select("bundle", "path", "sha256", F.lit(1).alias("there")).dropDuplicates(["bundle", "path"])
+    x = a.withColumn("asked", F.lit(1)).join(b, ["bundle", "path"], "full")
+    other = F.when(F.col("there").isNull(), "missing").when(F.col("asked").isNull(), "unlisted").when(F.col("want") != F.col("sha256"), "changed")
+    return own.unionByName(x.select("bundle", "path", other.alias("violation")).where("violation IS NOT NULL"))
