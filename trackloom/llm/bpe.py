@@ -13,9 +13,10 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import sys
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ UNICODE_16 = [
 #: Fixed values of Unicode 16 and 17: (first, last, lower case of the first) of capitals that they added.
 CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
 NEW_LOWER = {a + k: low + k for a, b, low in CAPITALS for k in range(b - a + 1)}
-NEW_CAPITAL = regex.compile("[" + "".join(map(chr, NEW_LOWER)) + "]")
+NEW_CAPITAL = re.compile("[\u1c89\ua7cb-\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8]")
 #: Python counts these as white space, the vocabulary's pattern doesn't.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -55,12 +56,23 @@ def byte_symbols() -> list[str]:
 
 
 @functools.lru_cache(maxsize=1)
-def newer_letters() -> str:
+def newer_letters() -> frozenset[str]:
     """Code points that the regular expressions here take for letters or numbers, though the vocabulary library's older Unicode tables have them
     unassigned: those that Python's tables, older still, don't know, but for what Unicode 16 added."""
     known = {c for a, b in UNICODE_16 for c in range(a, b + 1)}
     unassigned = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn" and c not in known)
-    return "".join(f"\\U{ord(c):08X}" for c in regex.findall(r"[\p{L}\p{N}]", unassigned)) or "\\U0010FFFF"
+    return frozenset(regex.findall(r"[\p{L}\p{N}]", unassigned))
+
+
+def ranges(points: Iterable[str]) -> str:
+    """The inside of a character class of these code points."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, points)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in out)
 
 
 class BPE:
@@ -82,8 +94,8 @@ class BPE:
             raise ValueError("a vocabulary of more than 65,536 tokens")
         self.table = dict(enumerate(byte_symbols()))
         self.word = regex.compile(WORD_PATTERN.replace(r"\s", SPACES.pattern[1:-2]))
-        new = "[" + newer_letters() + "]"
-        self.newer = regex.compile(new)
+        self.newer = newer_letters()
+        new = f"[{ranges(self.newer)}]" if self.newer else "(?!)"
         pattern = self.word.pattern.replace(r"[\p{L}]+", rf"(?:(?!{new})\p{{L}})+").replace(r"[\p{N}]|", rf"(?!{new})\p{{N}}|")
         others = pattern[pattern.rindex("[^") :]
         #: the same pattern where newer letters are none
@@ -273,7 +285,7 @@ class BPE:
 
     def _words(self, piece: str) -> list[str]:
         """A piece's words by the pattern."""
-        old = not piece.isascii() and self.newer.search(piece)
+        old = not piece.isascii() and not self.newer.isdisjoint(piece)
         return (self.old_word if old else self.word).findall(piece)
 
     def _bytes(self, word: str) -> str:
