@@ -80,7 +80,16 @@ Bag = tuple[int, dict[str, int]]
 def bag(text: str | None) -> Bag:
     """(words, occurrences of each feature) of a text."""
     words = WORD.findall((text or "").lower())
-    return len(words), Counter(f for w in words for f in word_features(w))
+    return len(words), of_words(Counter(words))
+
+
+def of_words(counts: dict[str, int]) -> dict[str, int]:
+    """Occurrences of each feature of words that occur so often."""
+    out: Counter[str] = Counter()
+    for w, n in counts.items():
+        for f in word_features(w):
+            out[f] += n
+    return out
 
 
 def fit(bags: list[Bag], toxic: np.ndarray, steps: int = 300, l2: float = 2e-4) -> OrdinalModel:
@@ -154,7 +163,7 @@ def _descend(x: Sparse, grade: np.ndarray, steps: int, l2: float) -> tuple[np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fits a model to at most ``rows`` labelled documents; tasks turn their texts into bags, and only those come to the driver.
+    """Fits a model to at most ``rows`` labelled documents; tasks count their words, and only those counts come to the driver.
 
     Rows without a label, or without a document, teach nothing; a null text is an empty one.
     """
@@ -164,12 +173,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [bag(t) for t in batch.column(2).to_pylist()]
-            columns = [pa.array([n for n, _ in bags], pa.int64()), pa.array([list(b) for _, b in bags], pa.list_(pa.string())), pa.array([list(b.values()) for _, b in bags], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["labelled", "toxic", "n", "features", "counts"])
+            own = [Counter(WORD.findall((t or "").lower())) for t in batch.column(2).to_pylist()]
+            columns = [pa.array([list(c) for c in own], pa.list_(pa.string())), pa.array([list(c.values()) for c in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["labelled", "toxic", "words", "counts"])
 
-    got = sample.mapInArrow(run, "labelled long, toxic int, n long, features array<string>, counts array<long>").toArrow().sort_by([("labelled", "ascending"), ("toxic", "ascending"), ("n", "ascending")])
-    bags = [(n, dict(zip(f, c))) for n, f, c in zip(*(got[c].to_pylist() for c in ("n", "features", "counts")))]
+    got = sample.mapInArrow(run, "labelled long, toxic int, words array<string>, counts array<long>").toArrow().sort_by([("labelled", "ascending"), ("toxic", "ascending")])
+    bags = [(sum(c), of_words(dict(zip(w, c)))) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist())]
     return fit(bags, np.array([int(y > 0) for y in got["toxic"].to_pylist()], int))
 
 
