@@ -179,6 +179,28 @@ def test_recovery_actions():
     assert machines.recover(t, {**none, "candidate": True, "agreement": 0.9})[1] == "seed"
 
 
+def test_every_situation_of_the_recovery_loop():
+    from itertools import product
+
+    seen = set()
+    for active, ever, candidate, severe, tiny, agreement, misses, empty in product((False, True), (False, True), (False, True), (False, True), (False, True), (None, 0.2, 0.25, 0.9), (0, 1, 2), (False, True)):
+        if active and not ever:
+            continue
+        t = {**machines.new_track(), "active": active, "ever": ever, "misses": misses, "empty": 2, "segment": 4}
+        o = {"candidate": candidate, "severe": severe, "tiny": tiny, "agreement": agreement, "presence": 0.1, "empty": empty}
+        new, action, reason = machines.recover(t, o)
+        seen.add(reason)
+        if candidate:
+            sure = active and not severe and not tiny and agreement in (0.25, 0.9)
+            assert action == ("keep" if sure else "seed") and new["misses"] == 0 and new["active"]
+            assert (new["segment"], new["ever"]) == (4, ever) if sure else (5, True)
+        else:
+            why = machines.why_ended(misses + 1, 3 if empty else 0, tiny, severe, 0.1)
+            assert (action, reason) == (("terminate", why) if active and why else ("keep", "no_candidate_unknown"))
+            assert new["misses"] == misses + 1 and new["segment"] == 4 and new["active"] == (active and action == "keep")
+    assert len(seen) == 5 + 3
+
+
 def test_guarded_expiry():
     o = {"frame_idx": 0, "first": True, "candidate": True, "admitted": True, "agreement": None, "prompt": None}
     t, action, _ = machines.guard(machines.new_track(), o, "guarded_all")

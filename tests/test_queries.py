@@ -55,6 +55,81 @@ def test_stream_equals_batch(spark):
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, recovery(spark, SF).collect()))
 
 
+def chunks_of_events(spark, tmp_path):
+    """The events in four files by time, each a micro-batch."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    edges = [r[0] for r in events.select(F.percentile(F.unix_micros("ts"), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).select(F.explode("q")).collect()]
+    folder = tmp_path / "live"
+    folder.mkdir()
+    for k, (a, b) in enumerate(zip([0, *edges], [*edges, 1e30])):
+        out = tmp_path / f"part{k}"
+        events.where((F.unix_micros("ts") >= a) & (F.unix_micros("ts") < b)).coalesce(1).write.parquet(f"file://{out}")
+        (file,) = out.glob("*.parquet")
+        file.rename(folder / f"{k}.parquet")
+        os.utime(folder / f"{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+    return events, folder
+
+
+def live(spark, folder, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{folder}")
+
+
+def test_state_is_carried_over_micro_batches(spark, tmp_path):
+    from trackloom.operators import machines
+    from trackloom.streaming.events import finished, observed, recovered
+
+    events, folder = chunks_of_events(spark, tmp_path)
+    batch = machines.run(observed(events), ["clip_id"], machines.recover, "at")
+    got = finished(spark, recovered(live(spark, folder, events.schema)), "append")
+    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_late_rows_are_dropped_and_idle_tracks_end(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from trackloom.operators import machines
+    from trackloom.streaming.events import finished, observed, recovered
+
+    events, folder = chunks_of_events(spark, tmp_path)
+    late = events.orderBy("ts").limit(5)  # come again after everything, long before the watermark
+    late.coalesce(1).write.parquet(f"file://{tmp_path}/late")
+    (file,) = (tmp_path / "late").glob("*.parquet")
+    file.rename(folder / "9.parquet")
+    os.utime(folder / "9.parquet", (1_000_009, 1_000_009))
+    got = finished(spark, recovered(live(spark, folder, events.schema)), "append")
+    batch = machines.run(observed(events), ["clip_id"], machines.recover, "at")
+    assert got.count() == events.count() == batch.count()
+
+
+def test_idle_tracks_are_given_up(spark, tmp_path):
+    """A third of the clips is silent in the second and third batch: with a short idle time they begin anew in the last, with a long one they go on."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from trackloom.streaming.events import finished, recovered
+
+    events, folder = chunks_of_events(spark, tmp_path)
+    for k in (1, 2):
+        spark.read.parquet(f"file://{folder}/{k}.parquet").where("user_id % 3 <> 0").coalesce(1).write.parquet(f"file://{tmp_path}/some{k}")
+        (file,) = (tmp_path / f"some{k}").glob("*.parquet")
+        file.rename(folder / f"{k}.parquet")
+        os.utime(folder / f"{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+
+    def twice(idle_ms):
+        rows = finished(spark, recovered(live(spark, folder, events.schema), idle_ms=idle_ms), "append").where("reason = 'first_visible_candidate'")
+        return {r["clip_id"] for r in rows.groupBy("clip_id").agg(F.count("*").alias("n")).where("n > 1").collect()}
+
+    short = twice(1)
+    assert short and all(c % 3 == 0 for c in short) and twice(10**12) == set()
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from trackloom.operators.sequences import ordered_fold
 
-SEVERE = ("mask_iou_drop", "mask_area_jump", "bbox_center_jump", "object_overlap")
-
-
 def termination(misses: Column, empty: Column, tiny: Column, severe: Column, presence: Column, checks: int = 3, frames: int = 3) -> Column:
     """Why a track ends, null if it goes on; without ``checks`` misses in a row it always does."""
     return F.when(misses >= checks, F.when(empty >= frames, "lost_empty_no_detector_support").when(tiny, "suspected_out_of_view_residue").when(severe & (presence < 0.5), "lost_unreliable_no_detector_support"))
@@ -43,25 +40,42 @@ def new_track() -> dict:
     return {"active": False, "ever": False, "misses": 0, "empty": 0, "segment": 0, "verified": None, "pending": None, "last_check": None}
 
 
+#: What a check of the recovery loop finds, and what follows: an action and its reason. The reasons are fixed values of the review format.
+OUTCOMES = {
+    "nothing seen": ("keep", "no_candidate_unknown"),
+    "lost": ("terminate", None),
+    "first sight": ("seed", "first_visible_candidate"),
+    "seen again": ("seed", "reacquire"),
+    "in doubt": ("seed", "candidate_disagreement_or_temporal_anomaly"),
+    "confirmed": ("keep", "candidate_supports_track"),
+}
+#: Agreement of track and candidate below which the track is in doubt.
+AGREEMENT = 0.25
+
+
+def situation(t: dict, o: dict, ended: str | None) -> str:
+    """A key of OUTCOMES."""
+    if not o["candidate"]:
+        return "lost" if ended and t["active"] else "nothing seen"
+    if not t["active"]:
+        return "seen again" if t["ever"] else "first sight"
+    agrees = o["agreement"] is not None and o["agreement"] >= AGREEMENT
+    return "confirmed" if agrees and not (o["severe"] or o["tiny"]) else "in doubt"
+
+
 def recover(t: dict, o: dict) -> tuple[dict, str, str]:
     """One check of the causal recovery loop: (state, action, reason) of seed, keep or terminate.
 
     ``o``: candidate, tiny, severe, presence, empty, agreement (IoU of track and candidate, None without).
     """
-    t = dict(t, empty=t["empty"] + 1 if o["empty"] else 0)
-    if not o["candidate"]:
-        t["misses"] += 1
-        reason = why_ended(t["misses"], t["empty"], o["tiny"], o["severe"], o["presence"])
-        if t["active"] and reason:
-            return dict(t, active=False), "terminate", reason
-        return t, "keep", "no_candidate_unknown"
-    t["misses"] = 0
-    if not t["active"]:
-        reason = "reacquire" if t["ever"] else "first_visible_candidate"
-        return dict(t, active=True, ever=True, empty=0, segment=t["segment"] + 1), "seed", reason
-    if o["severe"] or o["tiny"] or o["agreement"] is None or o["agreement"] < 0.25:
-        return dict(t, empty=0, segment=t["segment"] + 1), "seed", "candidate_disagreement_or_temporal_anomaly"
-    return t, "keep", "candidate_supports_track"
+    t = dict(t, empty=t["empty"] + 1 if o["empty"] else 0, misses=0 if o["candidate"] else t["misses"] + 1)
+    ended = why_ended(t["misses"], t["empty"], o["tiny"], o["severe"], o["presence"])
+    action, reason = OUTCOMES[situation(t, o, ended)]
+    if action == "seed":
+        t |= {"active": True, "ever": True, "empty": 0, "segment": t["segment"] + 1}
+    elif action == "terminate":
+        t["active"] = False
+    return t, action, reason or ended or ""
 
 
 def guard(t: dict, o: dict, mode: str) -> tuple[dict, str, str]:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from trackloom.operators.machines import new_track, recover
 
 LATE = "10 minutes"
+#: Event time after which a silent clip's track is given up.
+IDLE_MS = 366 * 24 * 3600 * 1000
 
 
 def folder(spark: SparkSession) -> str:
@@ -66,33 +68,49 @@ def sessions(spark: SparkSession, sf_dir: str, gap: str = "1 day") -> DataFrame:
     return finished(spark, out.select(F.col("user_id").alias("clip_id"), F.unix_micros("session_window.start").alias("start_us"), "samples"), "complete")
 
 
-def observed(events: DataFrame) -> DataFrame:
-    """Events as a track's observations, in order of time."""
+def observed(events: DataFrame, *more: str) -> DataFrame:
+    """Events as a track's observations, in order of time, with ``more`` columns of theirs."""
     i = F.col("event_id")
     hit = F.coalesce(F.col("value") >= 50, F.lit(False)) & (i % 11 != 0)
     return events.select(
         F.col("user_id").alias("clip_id"), F.unix_micros("ts").alias("at"), hit.alias("candidate"), (i % 13 == 0).alias("tiny"), (i % 100 < 5).alias("severe"), ((i % 97) / 97).alias("presence"),
-        F.col("event_type").isin("purchase", "error").alias("empty"), F.when(i % 7 != 0, (i % 100) / 100).alias("agreement"))
+        F.col("event_type").isin("purchase", "error").alias("empty"), F.when(i % 7 != 0, (i % 100) / 100).alias("agreement"), *more)
 
 
-def stepper(step: Callable = recover) -> Callable:
-    """A grouped stateful function: each batch's observations of a key in order, the state carried on."""
+def stepper(step: Callable = recover, idle_ms: int = IDLE_MS) -> Callable:
+    """A grouped stateful function: each batch's observations of a key in order, the state carried on.
+
+    A key that has been idle for ``idle_ms`` of event time, by the watermark, gives up its state; its next observation begins a new track.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # type: ignore[attr-defined]
+            state.remove()  # type: ignore[attr-defined]
+            return
         t = pickle.loads(state.get[0]) if state.exists else new_track()  # type: ignore[attr-defined]
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable").drop(columns="ts")
         out = []
         for o in rows.astype(object).where(rows.notna(), None).to_dict("records"):
             t, action, reason = step(t, o)
             out.append((key[0], o["at"], action, reason, bool(t["active"]), int(t["segment"])))
         state.update((pickle.dumps(t),))  # type: ignore[attr-defined]
+        state.setTimeoutTimestamp(max(int(rows["at"].max()) // 1000, state.getCurrentWatermarkMs()) + idle_ms)  # type: ignore[attr-defined]
         yield pd.DataFrame(out, columns=["clip_id", "at", "action", "reason", "active", "segment"])
 
     return run
 
 
+def recovered(events: DataFrame, late: str = LATE, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Actions of the recovery loop on a stream of events, keyed by clip.
+
+    Observations of a micro-batch are taken in order of time, micro-batches as they come; one older than the watermark is dropped, since the
+    track has gone on without it. The watermark also bounds the state, see stepper().
+    """
+    rows = observed(events, "ts").withWatermark("ts", late)
+    kinds = "clip_id long, at long, action string, reason string, active boolean, segment int"
+    return rows.groupBy("clip_id").applyInPandasWithState(stepper(idle_ms=idle_ms), kinds, "track binary", "append", "EventTimeTimeout")
+
+
 def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions of the recovery loop on a stream of events, keyed by clip."""
-    rows = observed(source(spark, sf_dir))
-    out = rows.groupBy("clip_id").applyInPandasWithState(stepper(), "clip_id long, at long, action string, reason string, active boolean, segment int", "track binary", "append", "NoTimeout")
-    return finished(spark, out, "append")
+    """The recovery loop on the events of a folder."""
+    return finished(spark, recovered(source(spark, sf_dir)), "append")
