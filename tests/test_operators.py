@@ -391,3 +391,15 @@ def test_a_clip_without_requests_gets_its_middle(spark):
     chosen = spark.createDataFrame([(1, 10)], "c long, f long")
     frames = spark.createDataFrame([(c, f) for c in (1, 2) for f in range(4, 9)], "c long, f long")
     assert sorted(map(tuple, sequences.or_middle(chosen, frames, ["c"], "f").collect())) == [(1, 10), (2, 6)]
+
+
+def test_encoder_plug_point(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "bcd"), (3, None)], "id long, name string")
+    got = {r["id"]: r["embedding"] for r in bank.batches_of(rows, lambda batch: [[len(r["name"] or ""), 1] for r in batch]).collect()}
+    assert got == {1: [1.0, 1.0], 2: [3.0, 1.0], 3: [0.0, 1.0]}
+    assert bank.batches_of(rows.limit(0), lambda batch: []).count() == 0
+
+
+def test_splits_that_share_groups(spark):
+    rows = spark.createDataFrame([(1, 7), (2, 7), (3, 8), (4, 9)], "k long, e long")
+    assert [tuple(r) for r in bank.shared_groups(rows, F.col("k").isin(1, 3), F.col("k").isin(2, 4), "e").collect()] == [(7, 1, 1)]

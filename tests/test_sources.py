@@ -130,3 +130,12 @@ def test_baseline_checks_its_sources(spark):
     assert episodes.baseline(rows, rows, 1, 3, {"o": "1"}, hashes).groupBy("layer").count().collect() != []
     with pytest.raises(ValueError, match="a source changed"):
         episodes.baseline(rows, rows, 1, 3, {"o": "9"}, hashes)
+
+
+def test_image_folders_are_read_in_natural_order(spark, tmp_path):
+    for name in ("task_3/ep7/head/f10.png", "task_3/ep7/head/f2.jpg", "task_3/ep7/left_wrist/1.png", "task_3/ep7/head/notes.txt", "other/f1.png"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x")
+    got = {(r["task_id"], r["episode_id"], r["camera"], r["frame_idx"], r["name"]) for r in episodes.image_folder(spark, f"file://{tmp_path}").collect()}
+    assert got == {(3, "ep7", "head", 0, "f2.jpg"), (3, "ep7", "head", 1, "f10.png"), (3, "ep7", "left_wrist", 0, "1.png")}

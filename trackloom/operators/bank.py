@@ -149,6 +149,12 @@ def coverage(bank: DataFrame, objects: DataFrame, cameras: DataFrame, target: in
     return x.withColumn("state", F.when(F.col("exemplars") >= target, "target_met").when(F.col("exemplars") > 0, "sparse").otherwise("missing"))
 
 
+def shared_groups(rows: DataFrame, training: Column, evaluation: Column, group: str) -> DataFrame:
+    """(group, training, evaluation): groups of which both splits have rows, such as episodes; disjoint splits share none."""
+    out = rows.groupBy(group).agg(F.count_if(training).alias("training"), F.count_if(evaluation).alias("evaluation"))
+    return out.where("training > 0 AND evaluation > 0")
+
+
 def curated(bank: DataFrame, decisions: DataFrame) -> DataFrame:
     """The bank with reviewed exemplars (exemplar_id, reason, tags) excluded from retrieval; tags are taken over."""
     x = bank.join(decisions, "exemplar_id", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import boxes
@@ -47,9 +48,14 @@ def j14(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "similarity", "margin", "competitor_id", (F.col("margin") >= 0).alias("accepted"))
 
 
-@query("f7_cosine", "SELECT object_id, camera, round(avg(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM v_bank GROUP BY ALL")
+@query("f7_cosine", """
+WITH p AS (SELECT vec_id, embedding, lead(embedding) OVER (PARTITION BY object_id ORDER BY vec_id) AS other FROM v_bank)
+SELECT vec_id AS exemplar_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(other AS DOUBLE[])), 5) AS cosine FROM p WHERE other IS NOT NULL""")
 def f7(spark: SparkSession, sf: str) -> DataFrame:
-    return entries(spark, sf).groupBy("object_id", "camera").agg(F.round(F.avg(boxes.cosine(F.col("embedding"), F.col("embedding"))), 5).alias("norm"))
+    """Each exemplar against the next one of its object."""
+    other = F.lead("embedding").over(W.partitionBy("object_id").orderBy("exemplar_id"))
+    pairs = entries(spark, sf).withColumn("other", other).where("other IS NOT NULL")
+    return pairs.select("exemplar_id", F.round(boxes.cosine(F.col("embedding"), F.col("other")), 5).alias("cosine"))
 
 
 @query("f8_rank_score", f"WITH {_retrieved(True)} SELECT query_id, round(CASE WHEN similarity IS NULL THEN detector_score ELSE 0.25::DOUBLE * detector_score + 0.75::DOUBLE * similarity + 0.25::DOUBLE * coalesce(margin, 0) END, 8) AS score FROM retrieved")
@@ -93,8 +99,6 @@ _PILOT = "count(*) AS queries, count(*) FILTER (oracle) AS oracle_valid, count(*
 
 
 def _truth(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     own = W.partitionBy("query_id")
     x = by_mode(spark, sf)
     return (
@@ -193,8 +197,6 @@ x AS (SELECT *, 0.75::DOUBLE + (query_id % 40) / 100::DOUBLE AS sam, query_id %
 SELECT query_id, CASE WHEN similarity IS NULL OR margin IS NULL THEN 'no_identity_reference' WHEN similarity < 0.50 OR margin < 0.05 THEN 'identity_evidence_low' WHEN sam < 0.80 THEN 'sam_boundary_confidence_low' WHEN collided THEN 'cross_identity_collision'
  WHEN before IS NULL OR query_id - before > 15 THEN 'await_second_observation' WHEN agree < 0.30 THEN 'short_window_disagreement' ELSE 'admitted' END AS reason FROM x""")
 def st5(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     q = asked(spark, sf)
     x = B.retrieve(q, entries(spark, sf)).where("status = 'retrieved'").join(q.select("query_id", "q_object_id"), "query_id")
     i = F.col("query_id")
@@ -203,10 +205,10 @@ def st5(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("query_id", reason.alias("reason"))
 
 
-@query("j23_split_disjoint", "SELECT count(*) AS shared FROM (SELECT DISTINCT episode_id FROM v_bank WHERE vec_id % 2 = 0 INTERSECT SELECT DISTINCT episode_id FROM v_bank WHERE vec_id % 2 = 1 AND vec_id % 20 > 10) AS x")
+@query("j23_split_disjoint", "SELECT episode_id, count(*) FILTER (vec_id % 50 < 7) AS training, count(*) FILTER (vec_id % 50 > 40) AS evaluation FROM v_bank GROUP BY ALL HAVING count(*) FILTER (vec_id % 50 < 7) > 0 AND count(*) FILTER (vec_id % 50 > 40) > 0")
 def j23(spark: SparkSession, sf: str) -> DataFrame:
-    b = entries(spark, sf)
-    return b.where("exemplar_id % 2 = 0").select("episode_id").intersect(b.where("exemplar_id % 2 = 1 AND exemplar_id % 20 > 10").select("episode_id")).agg(F.count("*").alias("shared"))
+    """Episodes of which two splits both have exemplars, with how many."""
+    return B.shared_groups(entries(spark, sf), F.col("exemplar_id") % 50 < 7, F.col("exemplar_id") % 50 > 40, "episode_id")
 
 
 @query("src13_accepted_union", "SELECT CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source_set, count(*) AS labels FROM v_bank GROUP BY ALL")

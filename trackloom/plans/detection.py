@@ -197,13 +197,14 @@ def w28(spark: SparkSession, sf: str) -> DataFrame:
 WITH c AS (SELECT *, greatest(2, CAST(round_even(0.04::DOUBLE * greatest(x1 - x0, y1 - y0), 0) AS INT)) AS pad FROM v_top)
 SELECT camera, object_id, CAST(sum(greatest(0, x0 - pad)) AS DOUBLE) AS sx0, CAST(sum(greatest(0, y0 - pad)) AS DOUBLE) AS sy0, CAST(sum(least(640, x1 + pad)) AS DOUBLE) AS sx1, CAST(sum(least(360, y1 + pad)) AS DOUBLE) AS sy1,
        CAST(sum(greatest(0, trunc(x0 - 0.04::DOUBLE * (x1 - x0)))) AS BIGINT) AS ax0, CAST(sum(least(640, trunc(x1 + 0.04::DOUBLE * (x1 - x0)))) AS BIGINT) AS ax1,
-       round(avg(x0) * (426.0::DOUBLE / 640), 3) AS rx0, round(max(x1 * (426.0::DOUBLE / 640)), 3) AS rx1
+       CAST(sum(greatest(0, trunc(y0 - 0.04::DOUBLE * (y1 - y0)))) AS BIGINT) AS ay0, CAST(sum(least(360, trunc(y1 + 0.04::DOUBLE * (y1 - y0)))) AS BIGINT) AS ay1,
+       round(avg(x0) * (426.0::DOUBLE / 640), 3) AS rx0, round(max(x1 * (426.0::DOUBLE / 640)), 3) AS rx1, round(max(y1 * (240.0::DOUBLE / 360)), 3) AS ry1
 FROM c GROUP BY ALL""")
 def f10(spark: SparkSession, sf: str) -> DataFrame:
     top = view(spark, sf, "v_top")
     c, a, r = boxes.crop(boxes.box(), 640, 360), boxes.appearance_crop(boxes.box(), 640, 360), boxes.rescale(boxes.box(), (640, 360), (426, 240))
     names = ("sx0", "sy0", "sx1", "sy1")
-    return top.groupBy("camera", "object_id").agg(*[F.sum(v).cast("double").alias(n) for n, v in zip(names, c)], F.sum(a[0]).cast("long").alias("ax0"), F.sum(a[2]).cast("long").alias("ax1"), F.round(F.avg("x0") * (426.0 / 640), 3).alias("rx0"), F.round(F.max(r[2]), 3).alias("rx1"))
+    return top.groupBy("camera", "object_id").agg(*[F.sum(v).cast("double").alias(n) for n, v in zip(names, c)], F.sum(a[0]).cast("long").alias("ax0"), F.sum(a[2]).cast("long").alias("ax1"), F.sum(a[1]).cast("long").alias("ay0"), F.sum(a[3]).cast("long").alias("ay1"), F.round(F.avg("x0") * (426.0 / 640), 3).alias("rx0"), F.round(F.max(r[2]), 3).alias("rx1"), F.round(F.max(r[3]), 3).alias("ry1"))
 
 
 @query("r13_best_per_review", "SELECT object_id, frame_idx, max(confidence) AS confidence, count(*) AS candidates FROM v_detections WHERE confidence >= 0.15 GROUP BY ALL")
