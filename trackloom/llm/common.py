@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 #: Rows per Arrow batch for tables of long texts, where the session has Spark's default.
 TEXT_ROWS = 1000
 BLOCK_BYTES = 8 << 20
-#: What makes a key hot, see lookup().
-HOT_ROWS, HOT_KEYS = 1000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/trackloom-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder: the lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -53,18 +57,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: Column, total: int, how: str = "left") -> DataFrame:
-    """``rows`` joined with a table that has one row a key and tells by ``weight`` how many of the ``total`` rows have it.
-
-    Keys of HOT_ROWS rows and of a HOT_KEYS-th of all rows or more, of which there are HOT_KEYS at most, are sent to every task, so that no task
-    gets all rows of one; other keys meet by a shuffle.
-    """
-    hot = weight >= max(HOT_ROWS, total / HOT_KEYS)
-    few, rest = F.broadcast(table.where(hot)), table.where(~hot)
-    others = rows.join(few.select(*keys), keys, "left_anti").join(rest, keys, how)
-    return rows.join(few, keys).unionByName(others)
-
-
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts: one aggregate over one column."""
     return int(df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0)

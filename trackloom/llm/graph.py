@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpointed, lookup
+from trackloom.llm.common import checkpointed
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -20,13 +21,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = checkpointed(e)
-    before = _sum(e)
+    before = None
     for _ in range(rounds):
-        both, total = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), 2 * before[0]
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c")).select("a", F.least("a", "m").alias("m"), "c")
-        large = lookup(both, least, ["a"], F.col("c"), total, "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
-        small = lookup(large, least, ["a"], F.col("c"), total, "inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        # large star: an edge's smaller end gives way to its own smallest neighbour. The hub of a star is the smaller end of many edges;
+        # both sides of the join are plain shuffles, so that adaptive execution splits it
+        least = checkpointed(e.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")))
+        large = e.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        # small star: a node and its smaller neighbours, few by then, go to the smallest
+        near = large.withColumn("m", F.min("b").over(W.partitionBy("a")))
+        small = near.select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct()
         e = checkpointed(small)
         now = _sum(e)
         if now == before:

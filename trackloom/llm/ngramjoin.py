@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.bytesops import U64, Words, chunks, mix, shingles
-from trackloom.llm.common import arrow_batches, checkpointed, docs_table, lookup
+from trackloom.llm.common import arrow_batches, checkpointed, docs_table
 from trackloom.llm.graph import connected_components
 
 WORDS = 5
@@ -178,16 +178,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     sig = checkpointed(signatures(df, id_col, text_col, words, bands, rows))
     classes = sig.where("n > 0 and k is not null").groupBy("hi", "lo", "n").agg(F.min("k").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands"))
     classes = checkpointed(classes)
-    keyed, total = classes.select("rep", F.explode("bands").alias("h")), classes.count()
-    hubs = keyed.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    edges = lookup(keyed, hubs, ["h"], F.col("c"), total, "inner").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    # the smaller side of each join below is written first: where both sides are plain shuffles, adaptive execution splits a hot key
+    keyed = classes.select("rep", F.explode("bands").alias("h"))
+    hubs = checkpointed(keyed.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub"))
+    edges = keyed.join(hubs, "h").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = connected_components(edges).withColumnRenamed("root", "cluster")
     known = checkpointed(classes.join(clusters, classes["rep"] == clusters["node"]).select("rep", "weight", "hi", "lo", "n", "cluster"))
     blocks = F.ceil(F.greatest(F.col("m") / block, F.col("shingles") / block_shingles)).cast("int")
-    sizes = known.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).select("cluster", "m", "shingles", blocks.alias("blocks"))
+    sizes = checkpointed(known.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).select("cluster", "shingles", blocks.alias("blocks")))
     groups = max(1, -(-(sizes.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0) // block_shingles))
     # an id may stand for several sets: the text of a class is found by id, its set checked by identity
-    members = lookup(known, sizes, ["cluster"], F.col("m"), total, "inner").select("rep", "weight", "hi", "lo", "cluster", "blocks")
+    members = known.join(sizes, "cluster").select("rep", "weight", "hi", "lo", "cluster", "blocks")
     texts = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).where("k is not null")
     found = texts.join(members, texts["k"] == members["rep"]).select("k", "t", "weight", "hi", "lo", "cluster", "blocks")
     found = _same_set(found, words)
@@ -202,9 +203,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     linked = verified.groupBy("a").agg(F.sum("w").alias("w"), F.max(F.when(F.col("done"), F.col("b"))).alias("root"))
     roots = connected_components(verified.where("not done and b is not null").select("a", "b"))
     linked = linked.join(roots, linked["a"] == roots["node"], "left").select("a", "w", F.coalesce(roots["root"], linked["root"]).alias("root"))
-    result = classes.join(linked, classes["rep"] == linked["a"], "left").select("hi", "lo", "n", "rep", "weight", (F.col("weight") - 1 + F.coalesce("w", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("class_id"))
+    result = classes.join(linked, classes["rep"] == linked["a"], "left").select("hi", "lo", "n", "rep", (F.col("weight") - 1 + F.coalesce("w", F.lit(0))).alias("links"), F.coalesce("root", "rep").alias("class_id"))
     own = F.col("k").isNotNull() & (F.col("n") > 0)
-    found = lookup(sig.where(own).select("k", "hi", "lo", "n"), result, ["hi", "lo", "n"], F.col("weight"), total)
+    found = sig.where(own).select("k", "hi", "lo", "n").join(checkpointed(result), ["hi", "lo", "n"], "left")
     alone = sig.where(~own).select(F.col("k").alias(id_col), F.col("k").alias("class_id"), F.col("k").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return found.select(F.col("k").alias(id_col), "class_id", F.col("rep").alias("copy_id"), F.col("links").cast("long").alias("n_links")).unionByName(alone)
 
