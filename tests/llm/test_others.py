@@ -375,11 +375,28 @@ def test_pipeline_stages(spark):
     import public_tokenizers
 
     own = bpe.load(str(public_tokenizers.path("word_bpe_49k.json")))
-    for r in final[:30]:
+    for r in final:
         want, decoded = own.encode_batch([texts[r["doc_id"]]])
         assert r["ids"] == want[0].astype("<u4").tobytes() and r["n_tokens"] == len(want[0]) and r["decoded_sha256"] == hashlib.sha256(decoded[0].encode()).hexdigest()
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    """Of near copies one row stays, though rows share the smallest id; rows without links stay, whatever their ids."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(3, LONG, "a", "s", 1), (3, LONG, "b", "s", 1), (3, LONG + " more", "c", "s", 1), (5, LONG, "d", "s", 1), (6, "alone", "e", "s", 1), (6, "apart", "f", "s", 1), (None, LONG, "g", "s", 1)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted((str(r["doc_id"]), r["lang"]) for r in got if r["doc_id"] != 3) == [("6", "e"), ("6", "f"), ("None", "g")] and len([r for r in got if r["doc_id"] == 3]) == 1
+
+
+def test_pipeline_runs_and_removes_its_folders(spark):
+    from pathlib import Path
+
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 100
+    last = Path(out.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+    assert last.exists() and last.name.endswith("-bpe")
+
+
 def test_pipeline_handles_edges(spark):
     docs = edge(spark).withColumn("source", quality.F.lit(None).cast("string"))
     for _, stage in corpus_pipeline.STAGES:

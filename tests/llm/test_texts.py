@@ -292,16 +292,19 @@ def test_ngram_join_equals_brute_force(spark):
         assert got == want
 
 
-def test_ngram_join_of_hot_classes_bands_and_hubs(spark, monkeypatch):
-    """Keys that hold many rows take the way of hot keys, and the result is the same."""
-    from trackloom.llm import common
-
+def test_ngram_join_of_hot_classes_bands_and_hubs(spark):
+    """A third of the rows equal, a third near copies: with small partitions, which adaptive execution splits, the result is the same."""
     r = random.Random(7)
     base = [f"w{r.randint(0, 500)}" for _ in range(80)]
     docs = [(k, " ".join(base)) for k in range(40)] + [(k, " ".join([*base[:79], f"e{k}"])) for k in range(40, 90)] + [(k, f"other text {k}") for k in range(90, 120)]
-    monkeypatch.setattr(common, "HOT_ROWS", 10)
-    monkeypatch.setattr(common, "HOT_KEYS", 20)
-    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngramjoin.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngramjoin.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    finally:
+        for k in small:
+            spark.conf.unset(k)
     assert got == near(docs)
 
 
@@ -346,6 +349,19 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 12: 10, **{k: 20 for k in range(20, 26)}}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    r = random.Random(2)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(50)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {x["node"]: x["root"] for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
 def test_shingles():
@@ -372,13 +388,14 @@ def uncovered(docs, size=50):
     return out
 
 
+@pytest.mark.parametrize("hot", [repeats.HOT, 12, 1])
 @pytest.mark.parametrize("alphabet", ["ab", "abcdefgh é"])
-def test_repeats_equal_brute_force(spark, alphabet):
+def test_repeats_equal_brute_force(spark, alphabet, hot):
     r = random.Random(3)
     base = ["".join(r.choice(alphabet) for _ in range(r.randint(30, 200))) for _ in range(6)]
     docs = [(k % 50, "".join(r.choice(base)[r.randint(0, 40) : r.randint(60, 200)] + r.choice(["", "x", "yz", " " * 60, "ab" * 40]) for _ in range(r.randint(0, 5)))) for k in range(60)]
     docs += [(None, base[0]), (70, None)]
-    got = repeats.dedup(spark.createDataFrame(docs, "doc_id long, text string"), blocks=3).collect()
+    got = repeats.dedup(spark.createDataFrame(docs, "doc_id long, text string"), blocks=3, hot=hot).collect()
     got = [(x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in got]
     assert sorted(map(str, got)) == sorted(map(str, uncovered(docs)))
 
@@ -389,6 +406,23 @@ def test_repeats_edges(spark):
     assert repeats.dedup(empty(spark)).count() == 0
 
 
+def test_a_passage_of_all_documents_is_no_shards_alone():
+    """The suffixes at the edges of a hot passage aren't sent; its runs are, a key each, and inner ones once a block."""
+    r = random.Random(1)
+    passage = "".join(r.choice("abcdefghij") for _ in range(300))
+    texts = ["".join(r.choice("klmnopqrst") for _ in range(80)) + passage + "".join(r.choice("klmnopqrst") for _ in range(80)) for _ in range(200)]
+    t = pa.table({"k": pa.array(range(200), pa.int64()), "t": pa.array(texts), "block": pa.array([0] * 200, pa.int32())})
+    offered = repeats.offer(t, 7)
+    sizes = {}
+    for hot in (None, 100):
+        known = pa.concat_tables([repeats.repeated(offered.filter(pa.array([s == k for s in offered["shard"].to_pylist()])), hot) for k in sorted(set(offered["shard"].to_pylist()))])
+        own = repeats.Suffixes(t, known, 7)
+        sizes[hot] = len(own.rows), len(own.run_keys), np.bincount(own.run_shard, minlength=7).max(initial=0)
+    assert sizes[None][0] > 400 and sizes[None][1] == 0  # hundreds of ends
+    assert sizes[100][0] < 0.5 * sizes[None][0]  # anchors that lie in the edge itself, each in few documents
+    assert sizes[100][2] < 0.25 * sizes[100][1]
+
+
 def test_long_texts_come_in_pieces(monkeypatch):
     text = "".join(random.Random(2).choice("abcd") for _ in range(5000))
     whole = repeats.Block([1], pa.array([text]))
