@@ -9,16 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, decontaminate, linededup, ngramjoin, toxicity
-from trackloom.llm.common import arrow_batches, shared_dir, table
+from trackloom.llm.common import arrow_batches, checkpointed, remove, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't more likely toxic than not; the model is fitted to labelled rows of this stage's input."""
+    """Documents that aren't more likely toxic than not, with the columns of documents; the model is fitted to labelled rows of this stage's input."""
     arrow_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), model).where(~toxicity.rejects()).select(*COLUMNS)
@@ -32,10 +33,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that links of similarity 0.8 connect, and those without links."""
+    """The document with the smallest id of each group that links of similarity 0.8 connect, and those without links.
+
+    Of rows that share that smallest id one stays, the first by its text's hash. Rows with a null id have no links.
+    """
     arrow_batches(spark)
-    links = ngramjoin.join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.select(*COLUMNS).join(links, F.col("doc_id") == F.col("gone"), "left_anti")
+    linked = checkpointed(ngramjoin.join(docs).where("n_links > 0").groupBy(F.col("doc_id").alias("linked")).agg(F.min("class_id").alias("root")))
+    docs = docs.select(*COLUMNS)
+    alone = docs.join(linked, F.col("doc_id") == F.col("linked"), "left_anti")
+    roots = docs.join(linked.where("linked = root"), F.col("doc_id") == F.col("linked"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    return alone.unionByName(roots.withColumn("place", place).where("place = 1").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its ids, as little-endian unsigned 32-bit integers, their number, and the digest of their decoding."""
+    """Per document its ids, as little-endian unsigned 32-bit integers, their number, and the digest of their decoding; other columns don't go on."""
     import public_tokenizers
 
     arrow_batches(spark)
@@ -66,10 +74,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. A stage's folder is removed when the next stage has been written; the last one stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         folder = f"{shared_dir(spark)}-{name}"
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            remove(spark, before)
+        before = folder
     return docs
