@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import arrow_batches, docs_table
+from trackloom.llm.common import arrow_batches, docs_table, give_back
 
 #: Fixed values of the public vocabulary file: its pre-tokeniser pattern.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -59,9 +59,11 @@ def byte_symbols() -> list[str]:
 def newer_letters() -> frozenset[str]:
     """Code points that the regular expressions here take for letters or numbers, though the vocabulary library's older Unicode tables have them
     unassigned: those that Python's tables, older still, don't know, but for what Unicode 16 added."""
-    known = {c for a, b in UNICODE_16 for c in range(a, b + 1)}
-    unassigned = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn" and c not in known)
-    return frozenset(regex.findall(r"[\p{L}\p{N}]", unassigned))
+    known, out = {c for a, b in UNICODE_16 for c in range(a, b + 1)}, []
+    for start in range(0, sys.maxunicode + 1, 1 << 12):
+        unassigned = [chr(c) for c in range(start, start + (1 << 12)) if unicodedata.category(chr(c)) == "Cn" and c not in known]
+        out += regex.findall(r"[\p{L}\p{N}]", "".join(unassigned))
+    return frozenset(out)
 
 
 def ranges(points: Iterable[str]) -> str:
@@ -372,6 +374,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     kind = src.schema["k"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         bpe = load(path)
         for batch in batches:
             texts = batch.column(1)

@@ -24,6 +24,7 @@ IS_WORD[128:] = True
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
+_OTHER = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,14 +48,18 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse, grown when a longer chunk comes."""
+    """Powers of the base and of its inverse, grown when a longer chunk comes, and kept up to MOST of them."""
+
+    MOST = 1 << 21
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=U64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > self.MOST:  # of a very long text; not worth the memory when it is done
+            return powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = min(max(n, 2 * len(self.up)), self.MOST)
             self.up, self.down = powers(_BASE, size), powers(pow(_BASE, -1, 1 << 64), size)
         return self.up, self.down
 
@@ -153,6 +158,18 @@ def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * down[: n - size + 1])
 
 
+def hashes_at(data: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the runs of ``size`` bytes at ``starts``, 128 bits together."""
+    up, down = _POWERS.get(len(data) + 1)
+    out = []
+    for table in (_RANDOM, _OTHER):
+        sums = np.empty(len(data) + 1, dtype=U64)
+        sums[0] = 0
+        np.cumsum(table[data] * up[: len(data)], out=sums[1:])
+        out.append(mix((sums[starts + size] - sums[starts]) * down[starts]))
+    return out[0], out[1]
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """min(x[i:i+width]) for every i, by doubling."""
     out, have = x, 1

@@ -316,34 +316,33 @@ class LineStore:
         return self.counts().where(F.col("docs") >= self.min_docs)
 
     def screened(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc, keys) of rows: the keys that pass the filters, or all keys where the filters are too large to be sent to every task."""
-        rows = packed(df, id_col, text_col, self.min_chars)
-        filters = self.filters()
-        if (filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) > FILTER_BYTES:
-            return rows
-        shards, shared = self.shards or 1, self.spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.select("shard", "filter").collect()})
+        """(doc, hi, lo): the distinct keys of each row that pass the filters, or all keys where the filters are too large to be sent to every task."""
+        filters, least = self.filters(), self.min_chars
+        shared = None
+        if (filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= FILTER_BYTES:
+            shared = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.select("shard", "filter").collect()})
+        shards = self.shards or 1
+        src = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.col(f"`{text_col}`").alias("t"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = {k: CuckooFilter.loads(x) for k, x in shared.value.items()}
+            own = None if shared is None else {k: CuckooFilter.loads(x) for k, x in shared.value.items()}
             for batch in batches:
-                blobs = batch.column(1).to_pylist()
+                blobs = [b"".join(keys_of(t, least)) for t in batch.column(1).to_pylist()]
                 keys = np.frombuffer(b"".join(blobs), KEY)
-                row, shard = np.repeat(np.arange(len(blobs)), [len(x) // 16 for x in blobs]), keys["lo"] % shards
-                hit = np.zeros(len(keys), bool)
-                for k, f in own.items():
-                    mine = np.flatnonzero(shard == k)
-                    hit[mine] = f.contains(keys[mine])
-                row, keys = row[hit], keys[hit]
-                some, sizes = np.unique(row, return_counts=True)
-                ends = np.cumsum(sizes)
-                left = pa.array([keys[a:b].tobytes() for a, b in zip(ends - sizes, ends)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), left], names=["doc", "keys"])
-
-        return rows.mapInArrow(run, "doc long, keys binary")
+                doc = np.repeat(batch.column(0).to_numpy(), [len(x) // 16 for x in blobs])
+                if own is not None:
+                    shard, hit = keys["lo"] % shards, np.zeros(len(keys), bool)
+                    for k, f in own.items():
+                        mine = np.flatnonzero(shard == k)
+                        hit[mine] = f.contains(keys[mine])
+                    doc, keys = doc[hit], keys[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(keys["hi"].copy()), pa.array(keys["lo"].copy())], names=["doc", "hi", "lo"])
+
+        return src.mapInArrow(run, "doc long, hi long, lo long")
 
     def gone(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc, gone): the keys whose lines a document loses, end to end; documents that lose none are left out."""
-        asked = unpacked(self.screened(df, id_col, text_col)).distinct().withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+        asked = self.screened(df, id_col, text_col).distinct().withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
         exact = self.frequent().select("hi", "lo", "largest").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         lost = asked.join(exact, ["hi", "lo", "salt"]).where("doc <> largest")
         rows = lost.groupBy("doc").agg(F.collect_list(F.struct("hi", "lo")).alias("k"))

@@ -27,7 +27,7 @@ GRADES = 4
 STRENGTH = 10.8
 PREFIXES = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 SCALE = 100
 
 
@@ -45,24 +45,19 @@ class OrdinalModel:
     def __init__(self, features: list[str], weights: np.ndarray, thresholds: np.ndarray) -> None:
         self.index = {f: k for k, f in enumerate(features)}
         self.weights, self.thresholds = weights, thresholds
-        self.cache: dict[str, tuple[int, ...]] = {}
 
-    def _of(self, word: str) -> tuple[int, ...]:
-        got = tuple(k for f in word_features(word) if (k := self.index.get(f)) is not None)
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        self.cache[word] = got
-        return got
-
-    def logit(self, text: str | None) -> float:
-        """w.x of a whole text; 0 for a null or an empty one."""
+    def logit(self, text: str | None, cache: dict[str, tuple[int, ...]] | None = None) -> float:
+        """w.x of a whole text; 0 for a null or an empty one. ``cache`` keeps the features of words that came before."""
         counts: Counter[int] = Counter()
-        get = self.cache.get
+        cache = {} if cache is None else cache
+        get = cache.get
         words = WORD.findall((text or "").lower())
         for word in words:
             own = get(word)
             if own is None:
-                own = self._of(word)
+                if len(cache) >= CACHE_WORDS:
+                    cache.clear()
+                own = cache[word] = tuple(k for f in word_features(word) if (k := self.index.get(f)) is not None)
             if own:
                 counts.update(own)
         return float(sum(self.weights[k] * density(n, len(words)) for k, n in counts.items()))
@@ -195,9 +190,9 @@ def score(df: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFra
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, cache = shared.value, {}
         for batch in batches:
-            p = own.grades(np.array([own.logit(t) for t in batch.column(at).to_pylist()], float))
+            p = own.grades(np.array([own.logit(t, cache) for t in batch.column(at).to_pylist()], float))
             more = [pa.array(1 - p[:, 0], pa.float64()), pa.array(p @ np.arange(GRADES), pa.float64()), pa.array(p.argmax(axis=1), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*carried, "p_toxic", "severity", "grade"])
 
