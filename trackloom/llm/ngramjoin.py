@@ -185,8 +185,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     clusters = connected_components(edges).withColumnRenamed("root", "cluster")
     known = checkpointed(classes.join(clusters, classes["rep"] == clusters["node"]).select("rep", "weight", "hi", "lo", "n", "cluster"))
     blocks = F.ceil(F.greatest(F.col("m") / block, F.col("shingles") / block_shingles)).cast("int")
-    sizes = checkpointed(known.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).select("cluster", "shingles", blocks.alias("blocks")))
-    groups = max(1, -(-(sizes.where("blocks = 1").agg(F.sum("shingles")).first()[0] or 0) // block_shingles))
+    sizes = checkpointed(known.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).select("cluster", "m", "shingles", blocks.alias("blocks")))
+    small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("shingles"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    groups = max(1, -(-small[0] // block_shingles), -(-small[1] // block))
     # an id may stand for several sets: the text of a class is found by id, its set checked by identity
     members = known.join(sizes, "cluster").select("rep", "weight", "hi", "lo", "cluster", "blocks")
     texts = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).where("k is not null")
