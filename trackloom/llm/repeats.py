@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackloom.llm.bytesops import U64, flat, sliding_min, window_hashes
+from trackloom.llm.bytesops import U64, flat, hashes_at, sliding_min, window_hashes
 from trackloom.llm.common import block_count, block_of, checkpointed, docs_table, text_bytes
 
 LENGTH, K = 50, 16
 #: Bytes that a run can have left of its anchor.
 LEFT = LENGTH - K
 WIDTH = LENGTH + LEFT + 2
+#: Occurrences from which an anchor is hot: its suffixes could be too many for a shard, so its runs are compared one by one, see Suffixes.
+HOT = 50_000
 #: Bytes that are searched for anchors at once, and bits of a place in them.
 PIECE, PLACE_BITS = 1 << 19, 20
 NO_ID = np.iinfo(np.int64).min
@@ -157,17 +159,31 @@ def offer(t: pa.Table, shards: int, inside: bool = False) -> pa.Table:
     h, d = block.hash[order], block.ids[block.doc][order]
     heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     ends = np.append(heads[1:], len(h)) - 1
+    counts = np.minimum(ends - heads + 1, 65_535).astype("<u2")
     h, several = h[heads], (ends > heads if inside else d[heads] != d[ends]) if len(h) else np.zeros(0, bool)
     shard = shard_of(h, shards)
     order = np.lexsort((h, ~several, shard))
-    h, several, shard = h[order], several[order], shard[order]
+    h, several, shard, counts = h[order], several[order], shard[order], counts[order]
     name = t["block"][0].as_py()
-    rows = [(s, name, int(several[a:b].sum()), short(h[a:b]).tobytes()) for s, a, b in _by_shard(shard)]
-    return _table(rows, shard=pa.int32(), block=pa.int32(), several=pa.int32(), anchors=pa.binary())
+    rows = [(s, name, int(several[a:b].sum()), short(h[a:b]).tobytes(), _sparse(counts[a:b])) for s, a, b in _by_shard(shard)]
+    return _table(rows, shard=pa.int32(), block=pa.int32(), several=pa.int32(), anchors=pa.binary(), counts=pa.binary())
 
 
-def repeated(t: pa.Table) -> pa.Table:
-    """Second pass: for each block of a shard its anchors that occur in several documents or blocks."""
+def _sparse(counts: np.ndarray) -> bytes:
+    """Counts other than 1, with their places."""
+    at = np.flatnonzero(counts != 1)
+    return np.stack([at, counts[at]]).astype("<u4").tobytes()
+
+
+def _dense(raw: bytes, n: int) -> np.ndarray:
+    out = np.ones(n, np.int64)
+    at, counts = np.frombuffer(raw, "<u4").reshape(2, -1)
+    out[at] = counts
+    return out
+
+
+def repeated(t: pa.Table, hot: int | None = HOT) -> pa.Table:
+    """Second pass: for each block of a shard its anchors that occur in several documents or blocks, and which of them are hot."""
     blocks, several = t["block"].to_pylist(), t["several"].to_pylist()
     parts = [long(x) for x in t["anchors"].to_pylist()]
     every = np.concatenate(parts)
@@ -178,29 +194,39 @@ def repeated(t: pa.Table) -> pa.Table:
     heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
     counts = np.diff(np.append(heads, len(v)))
     good = np.repeat((counts > 1) | np.maximum.reduceat(flag[order].astype(np.int8), heads).astype(bool), counts)
+    places = np.concatenate([_dense(x, len(p)) for x, p in zip(t["counts"].to_pylist(), parts)])[order]
+    busy = np.repeat(np.add.reduceat(places, heads) >= hot, counts) if hot else np.zeros(len(v), bool)
     rows = []
-    own, v = owner[order][good], v[good]
+    own, v, busy = owner[order][good], v[good], busy[good]
     order = np.argsort(own, kind="stable")
-    own, v = own[order], v[order]
+    own, v, busy = own[order], v[order], busy[order]
     for k, a, b in _by_shard(own):
-        rows.append((blocks[k], t["shard"][0].as_py(), short(v[a:b] << U64(24)).tobytes()))
-    return _table(rows, block=pa.int32(), shard=pa.int32(), anchors=pa.binary())
+        some = v[a:b][busy[a:b]]
+        rows.append((blocks[k], t["shard"][0].as_py(), short(v[a:b][~busy[a:b]] << U64(24)).tobytes(), short(some << U64(24)).tobytes() if len(some) else None))
+    return _table(rows, block=pa.int32(), shard=pa.int32(), anchors=pa.binary(), hot=pa.binary())
 
 
 class Suffixes:
-    """A block's suffixes at repeated anchors: distinct ones in order of shard and content, and each occurrence's number."""
+    """A block's suffixes at repeated anchors: distinct ones in order of shard and content, and each occurrence's number.
+
+    Runs at hot anchors (``at``, their starts) aren't suffixes. A passage of very many documents ends in as many different ways, so
+    the suffixes at its edges are as many; its runs of LENGTH bytes, dealt to shards by 128-bit hashes, are each a key of its own.
+    """
 
     def __init__(self, left: pa.Table, right: pa.Table, shards: int) -> None:
         texts = left["t"].combine_chunks() if isinstance(left["t"], pa.ChunkedArray) else left["t"]
         self.block = Block(left["k"].to_pylist(), texts)
         shard = shard_of(self.block.hash, shards)
-        mask = np.zeros(len(shard), bool)
+        mask, busy = np.zeros(len(shard), bool), np.zeros(len(shard), bool)
         order = np.argsort(shard, kind="stable")
         runs = {s: order[a:b] for s, a, b in _by_shard(shard[order])}
-        for s, raw in zip(right["shard"].to_pylist(), right["anchors"].to_pylist()):
+        for s, raw, hot in zip(right["shard"].to_pylist(), right["anchors"].to_pylist(), right["hot"].to_pylist()):
             if s in runs:
                 mask[runs[s]] = np.isin(self.block.hash[runs[s]] >> U64(24), long(raw))
+                if hot:
+                    busy[runs[s]] = np.isin(self.block.hash[runs[s]] >> U64(24), long(hot))
         self.use = np.flatnonzero(mask)
+        self._runs(np.flatnonzero(busy), shards)
         rows = self.block.contexts(self.use)
         shard = shard[self.use]
         keyed = np.concatenate([shard.astype(">u4").view(np.uint8).reshape(-1, 4), rows], axis=1)
@@ -217,10 +243,35 @@ class Suffixes:
         self.least = np.minimum.reduceat(docs[order], heads) if len(heads) else docs
         self.docs = docs
 
+    def _runs(self, busy: np.ndarray, shards: int) -> None:
+        """Starts of the runs around hot anchors, and the distinct runs in order of shard and hash, each with its least document."""
+        block = self.block
+        self.at = self.run_number = self.run_shard = self.run_least = np.zeros(0, np.int64)
+        self.run_keys = np.zeros((0, 2), U64)
+        if not len(busy):
+            return
+        anchor, doc = block.at[busy], block.doc[busy]
+        starts = anchor[:, None] - np.arange(LEFT + 1)
+        inside = (starts >= block.offsets[doc][:, None]) & (starts + LENGTH <= block.offsets[doc + 1][:, None])
+        self.at = np.unique(starts[inside])
+        if not len(self.at):
+            return
+        keys = np.stack(hashes_at(block.data, self.at, LENGTH), axis=1)
+        shard = shard_of(keys[:, 0], shards)
+        order = np.lexsort((keys[:, 1], keys[:, 0], shard))
+        keys = keys[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+        self.run_number = np.empty(len(order), np.int64)
+        self.run_number[order] = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        self.run_docs = block.ids[np.searchsorted(block.offsets, self.at, side="right") - 1]
+        self.run_keys, self.run_shard, self.run_least = keys[heads], shard[order][heads], np.minimum.reduceat(self.run_docs[order], heads)
+
     def send(self, name: int) -> pa.Table:
-        """Third pass: distinct suffixes by shard, each with the least document that has it."""
-        rows = [(s, name, zstandard.compress(self.rows[a:b].tobytes(), 1), self.least[a:b].astype("<i8").tobytes()) for s, a, b in _by_shard(self.shard)]
-        return _table(rows, shard=pa.int32(), block=pa.int32(), suffixes=pa.binary(), least=pa.binary())
+        """Third pass: distinct suffixes and distinct runs by shard, each with the least document that has it."""
+        rows = [(s, name, zstandard.compress(self.rows[a:b].tobytes(), 1), self.least[a:b].astype("<i8").tobytes(), None, None) for s, a, b in _by_shard(self.shard)]
+        rows += [(s, name, None, None, self.run_keys[a:b].tobytes(), self.run_least[a:b].astype("<i8").tobytes()) for s, a, b in _by_shard(self.run_shard)]
+        return _table(rows, shard=pa.int32(), block=pa.int32(), suffixes=pa.binary(), least=pa.binary(), runs=pa.binary(), run_least=pa.binary())
 
 
 class Shard:
@@ -322,15 +373,31 @@ class Shard:
 
 
 def answers(t: pa.Table) -> pa.Table:
-    out = Shard(t).answer()
-    return out.append_column("shard", pa.array([t["shard"][0].as_py()] * len(out), pa.int32()))
+    """A shard's answers: for suffixes by the tree, for runs at hot anchors the least document of each."""
+    name, trees, runs = t["shard"][0].as_py(), t.filter(t["suffixes"].is_valid()), t.filter(t["runs"].is_valid())
+    rows = []
+    if len(trees):
+        out = Shard(trees).answer()
+        rows += [(b, a, name, None) for b, a in zip(out["block"].to_pylist(), out["answers"].to_pylist())]
+    if len(runs):
+        parts = [np.frombuffer(x, "<u8").reshape(-1, 2) for x in runs["runs"].to_pylist()]
+        keys, least = np.concatenate(parts), np.concatenate([np.frombuffer(x, "<i8") for x in runs["run_least"].to_pylist()])
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        sorted_ = keys[order]
+        new = np.concatenate([[True], (sorted_[1:] != sorted_[:-1]).any(axis=1)])
+        best = np.minimum.reduceat(least[order], np.flatnonzero(new))
+        found = np.empty(len(order), np.int64)
+        found[order] = best[np.cumsum(new) - 1]
+        ends = np.cumsum([len(p) for p in parts])
+        rows += [(b, None, name, found[e - len(p) : e].astype("<i8").tobytes()) for b, p, e in zip(runs["block"].to_pylist(), parts, ends)]
+    return _table(rows, block=pa.int32(), answers=pa.binary(), shard=pa.int32(), run_answers=pa.binary())
 
 
 def covered(own: Suffixes, right: pa.Table) -> np.ndarray:
     """The bytes of a block that repeat a document of smaller id."""
     block = own.block
     far = np.zeros((3, len(own.rows)), np.uint8)
-    got = dict(zip(right["shard"].to_pylist(), right["answers"].to_pylist()))
+    got = {s: x for s, x in zip(right["shard"].to_pylist(), right["answers"].to_pylist()) if x is not None}
     for s, a, b in _by_shard(own.shard):
         far[:, a:b] = np.frombuffer(got[s], np.uint8).reshape(3, -1)
     n = own.number
@@ -341,6 +408,14 @@ def covered(own: Suffixes, right: pa.Table) -> np.ndarray:
     edges = np.zeros(len(block.data) + 1, np.int32)
     np.add.at(edges, (at - to_left)[hit], 1)
     np.add.at(edges, (at + to_right)[hit], -1)
+    if len(own.at):
+        least = np.empty(len(own.run_shard), np.int64)
+        got = {s: x for s, x in zip(right["shard"].to_pylist(), right["run_answers"].to_pylist()) if x is not None}
+        for s, a, b in _by_shard(own.run_shard):
+            least[a:b] = np.frombuffer(got[s], "<i8")
+        later = own.at[least[own.run_number] < own.run_docs]
+        np.add.at(edges, later, 1)
+        np.add.at(edges, later + LENGTH, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -360,38 +435,39 @@ def cut(own: Suffixes, mask: np.ndarray, ids: list) -> pa.Table:
     return _table(rows, k=pa.int64(), n_bytes=pa.int64(), n_removed=pa.int64(), n_spans=pa.int64(), kept=pa.binary())
 
 
-def _suffixes(df: DataFrame, id_col: str, text_col: str, blocks: int, inside: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _suffixes(df: DataFrame, id_col: str, text_col: str, blocks: int, inside: bool = False, hot: int | None = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents by block, repeated anchors by block, suffixes by shard)."""
     docs = df.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("block", block_of(blocks, F.col("k"), F.col("t")))
-    anchors = docs.groupBy("block").applyInArrow(lambda t: offer(t, blocks, inside), "shard int, block int, several int, anchors binary")
-    known = anchors.groupBy("shard").applyInArrow(repeated, "block int, shard int, anchors binary")
+    anchors = docs.groupBy("block").applyInArrow(lambda t: offer(t, blocks, inside), "shard int, block int, several int, anchors binary, counts binary")
+    known = anchors.groupBy("shard").applyInArrow(lambda t: repeated(t, hot), "block int, shard int, anchors binary, hot binary")
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
-            return _table([], shard=pa.int32(), block=pa.int32(), suffixes=pa.binary(), least=pa.binary())
+            return _table([], shard=pa.int32(), block=pa.int32(), suffixes=pa.binary(), least=pa.binary(), runs=pa.binary(), run_least=pa.binary())
         return Suffixes(left, right, blocks).send(left["block"][0].as_py())
 
-    sent = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, "shard int, block int, suffixes binary, least binary")
+    sent = docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, "shard int, block int, suffixes binary, least binary, runs binary, run_least binary")
     return docs, known, sent
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, hot: int | None = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): each text's bytes without those that repeat a smaller document.
 
     A byte goes if some LENGTH bytes that cover it also start in a document of smaller id. ``kept`` is
     binary, since a cut may fall into a code point. Null and empty texts keep nothing and lose nothing. Rows that
-    share an id don't count against each other; a null id is the smallest. Other columns aren't read.
+    share an id don't count against each other; a null id is the smallest, ids are whole numbers. Other columns aren't read. Runs around anchors
+    of ``hot`` occurrences or more are looked up one by one instead of in the tree, so that no shard gets all of a passage's ends.
     """
     blocks = blocks or block_count(text_bytes(df, text_col))
-    docs, known, sent = _suffixes(df, id_col, text_col, blocks)
-    told = sent.groupBy("shard").applyInArrow(answers, "block int, answers binary, shard int")
-    mixed = known.select("block", "shard", "anchors", F.lit(None).cast("binary").alias("answers")).unionByName(told.select("block", "shard", F.lit(None).cast("binary").alias("anchors"), "answers"))
+    docs, known, sent = _suffixes(df, id_col, text_col, blocks, hot=hot)
+    told = sent.groupBy("shard").applyInArrow(answers, "block int, answers binary, shard int, run_answers binary")
+    mixed = known.unionByName(told, allowMissingColumns=True)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return _table([], k=pa.int64(), n_bytes=pa.int64(), n_removed=pa.int64(), n_spans=pa.int64(), kept=pa.binary())
         own = Suffixes(left, right.filter(right["anchors"].is_valid()), blocks)
-        return cut(own, covered(own, right.filter(right["answers"].is_valid())), left["k"].to_pylist())
+        return cut(own, covered(own, right.filter(right["anchors"].is_null())), left["k"].to_pylist())
 
     out = docs.groupBy("block").cogroup(mixed.groupBy("block")).applyInArrow(apply, "k long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("k", id_col)
@@ -407,7 +483,7 @@ def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share an id are one document if their texts are equal; null and empty texts have no repeats, a null id is the smallest.
     """
     blocks = blocks or block_count(text_bytes(df, text_col))
-    docs, known, sent = _suffixes(df, id_col, text_col, blocks, inside=True)
+    docs, known, sent = _suffixes(df, id_col, text_col, blocks, inside=True, hot=None)
 
     def name(t: pa.Table) -> pa.Table:
         shard = Shard(t)
@@ -425,7 +501,7 @@ def repeat_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return _table(rows, block=pa.int32(), shard=pa.int32(), suffix=pa.int32(), content=pa.binary(), to_left=pa.int32(), length=pa.int32())
 
     named = sent.groupBy("shard").applyInArrow(name, "block int, shard int, suffix int, content binary, to_left int, length int")
-    empty = {"anchors": "binary", "suffix": "int", "content": "binary", "to_left": "int", "length": "int"}
+    empty = {"anchors": "binary", "hot": "binary", "suffix": "int", "content": "binary", "to_left": "int", "length": "int"}
 
     def widened(d: DataFrame) -> DataFrame:
         return d.select("block", "shard", *[F.col(c) if c in d.columns else F.lit(None).cast(k).alias(c) for c, k in empty.items()])
