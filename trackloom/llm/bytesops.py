@@ -96,10 +96,11 @@ class Words:
 
     __slots__ = ("hash", "doc", "start", "end", "first")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD, fold: np.ndarray | None = LOWER) -> None:
+        """``is_word`` says of each folded byte whether words hold it; ``fold`` None leaves bytes as they are."""
         n = len(data)
-        low = LOWER[data]
-        inside = IS_WORD[low]
+        low = data if fold is None else fold[data]
+        inside = is_word[low]
         before = np.empty(n, dtype=bool)
         before[1:] = inside[:-1]
         heads = offsets[:-1][offsets[:-1] < n]
@@ -124,6 +125,14 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
 
 
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The stretches of ``data`` from ``start`` to ``end``, which are ordered and don't overlap, as binary values."""
+    edges = np.empty(2 * len(start), np.int32)
+    edges[0::2], edges[1::2] = start, end
+    both = pa.Array.from_buffers(pa.binary(), max(len(edges) - 1, 0), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    return both.take(pa.array(np.arange(0, len(both), 2)))
+
+
 def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every run of ``size`` words; a text of fewer words, but not none, has one of all its words."""
     h, n = words.hash, len(words.hash)
