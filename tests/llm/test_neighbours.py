@@ -68,7 +68,7 @@ def test_recall_of_the_index(codes):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     for recall, targets in ((1.0, (1, 1)), (0.999, (0.997, 0.98)), (0.98, (0.97, 0.75))):
         index = neighbours.MultiIndex(x, codes, 0.95, recall)
-        for direction in (r.standard_normal(x.shape), x[r.permutation(len(x))]):
+        for direction, least in zip((r.standard_normal(x.shape), x[r.permutation(len(x))]), targets):
             z = direction - (direction * x).sum(1, keepdims=True) * x
             norm = np.linalg.norm(z, axis=1, keepdims=True)
             y = 0.95 * x + math.sqrt(1 - 0.95**2) * np.divide(z, norm, out=np.zeros_like(z), where=norm > 1e-9)
