@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import EDGE, LONG, edge, empty
@@ -258,6 +259,36 @@ def test_chroma_align_finds_all_that_brute_force_finds():
     assert got == want and {(0, k) for k in range(5)} <= {x[:2] for x in want}
 
 
+def test_chroma_aligns_long_recordings():
+    """Unequal bits of thousands of frames; unrelated ones don't match, a noisy part of a long one does, at its place."""
+    r = np.random.default_rng(9)
+    a, b = r.integers(0, 2**24, (2, 6000))
+    flips = (r.random((5600, 24)) < 0.15) @ (1 << np.arange(24))
+    part = a[300:5900] ^ flips
+    queries, targets, offset, overlap, errors = chroma.align([a, b], [part, r.integers(0, 2**24, 5600)])
+    assert (queries.tolist(), targets.tolist(), offset.tolist(), overlap.tolist()) == ([0], [0], [300], [5600])
+    assert errors[0] == chroma.bit_errors(a[300:5900], part) and 0.14 < errors[0] < 0.16
+
+
+def test_chroma_aligns_within_bounds_of_bins_and_votes(monkeypatch):
+    r = np.random.default_rng(10)
+    prints = [r.integers(0, 4, n) for n in (30, 40, 1, 16, 17, 90)]
+    whole = [x.tolist() for x in chroma.align(prints, prints)]
+    monkeypatch.setattr(chroma, "BINS", 50)
+    monkeypatch.setattr(chroma, "VOTES", 70)
+    assert sorted(zip(*(x.tolist() for x in chroma.align(prints, prints)))) == sorted(zip(*whole))
+
+
+def test_chroma_query_aligns_late_noisy_and_cut_copies(spark):
+    """The query's recordings hold copies of each tenth one; all that are copies of a query are found, at the place of the copy."""
+    out = {r.vec_id: r for r in chroma.op9_chroma(spark, SF).collect() if r.query is not None}
+    ids = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
+    for q in (k for k in ids if k % 100 == 0):
+        late, noisy, cut = (out[q + kind] for kind in (1, 2, 3))
+        assert {late.query, noisy.query, cut.query} == {q} and late.offset < 0 and noisy.offset == 0 and cut.offset > 0
+        assert max(r.bit_errors for r in (late, noisy, cut)) <= chroma.MAX_BIT_ERRORS
+
+
 def test_chroma_search_all_has_every_pair_of_queries(spark):
     r = np.random.default_rng(5)
     song = r.normal(0, 0.125, 64)
@@ -272,6 +303,10 @@ def test_chroma_search_all_has_every_pair_of_queries(spark):
     assert {(x["k"], x["class_id"]) for x in got} == set(first.items())
     assert {(0, 0), (0, 5), (10, 0)} <= {(x[0], x[1]) for x in want}
     assert chroma.search_all(prints.limit(0)).count() == 0
+    clash = prints
+    for name in ("code", "class_id", "query", "bucket", "part", "rep", "own"):
+        clash = clash.withColumn(name, F.lit("x"))
+    assert sorted(map(str, chroma.search_all(clash, every=5).collect())) == sorted(map(str, got))
 
 
 @pytest.mark.parametrize("zip64", [False, True])

@@ -2,7 +2,8 @@
 
 PCM is cut into overlapping frames; each frame's spectrum is folded into twelve pitch classes. Filters over the
 chroma image, evaluated on its integral image, compare sums of rectangles; each gives two bits, and a frame's bits make one
-packed integer. Two recordings are compared at every offset and judged by the share of unequal bits at the best one.
+packed integer. Two recordings are aligned by a histogram of the offsets at which slices of their integers agree, and judged by the share of
+unequal bits at the best of the offsets that have enough votes.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ FILTERS = [(kind, c, n, w) for (kind, n, w), starts in {("time", 4, 8): (0, 4, 8
 SPAN = max(w for *_, w in FILTERS)
 #: Two bits a filter from its value, Gray-coded so that neighbouring levels differ in one.
 LEVELS, GRAY = np.array([-0.1, 0.0, 0.1]), np.array([0, 1, 3, 2], np.int64)
-#: Bytes of a frame's bits, and a word of ones.
-FRAME_BYTES, ALL_BITS = -(-2 * len(FILTERS) // 8), np.uint64(2**64 - 1)
+#: Bits of a frame, bits of a slice of them, and slices; more slices than a frame of a match may have unequal bits.
+BITS, SLICE = 2 * len(FILTERS), 4
+SLICES = BITS // SLICE
 #: Largest share of unequal bits of a match, least frames of overlap.
 MAX_BIT_ERRORS, MIN_OVERLAP = 0.20, 16
-#: Queries and classes that a task compares, and queries at once.
-QUERY_BLOCK, BUCKET, ALIGNED = 1024, 2000, 16
+#: Queries and classes that a task compares; bins of histograms, and votes, that are held at once.
+QUERY_BLOCK, BUCKET, BINS, VOTES = 1024, 2000, 1 << 21, 1 << 21
 NOTES = np.array([220.0 * 2 ** (k / 12) for k in range(24)])
 
 
@@ -93,67 +95,92 @@ def bit_errors(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.bitwise_count(a ^ b).sum()) / (2 * len(FILTERS) * max(len(a), 1))
 
 
-def _bytes(prints: np.ndarray) -> np.ndarray:
-    """The bits of fingerprints of one length, a row of bytes each."""
-    return np.ascontiguousarray(prints.astype("<i8").view(np.uint8).reshape(len(prints), -1, 8)[:, :, :FRAME_BYTES]).reshape(len(prints), -1)
+def _overlaps(m: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(target, offset, first query frame, overlap) of every offset of fingerprints of these lengths below one of m frames, target by target."""
+    size = lengths + m - 1
+    target = np.repeat(np.arange(len(lengths)), size)
+    offset = np.arange(len(target)) - np.repeat(np.cumsum(size) - size, size) - lengths[target] + 1
+    start = np.maximum(offset, 0)
+    return target, offset, start, np.minimum(m, lengths[target] + offset) - start
 
 
-def _aligned(queries: np.ndarray, targets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, np.ndarray]]:
-    """(query rows, target rows, offset, overlap, unequal bits) of the pairs that match, at each offset at which some do.
+def _histogram(query: np.ndarray, held: list[np.ndarray], bins: int) -> np.ndarray:
+    """Votes for each offset of each target: one for every slice of bits that a query frame and a target frame share.
 
-    Fingerprints of one length in each table. Targets are packed once into words of 64 bits, queries are shifted below them.
+    ``held`` has for each slice and each value of it the bins of the target frames at query frame 0.
     """
-    (_, m), (_, n) = queries.shape, targets.shape
-    words = -(-n * FRAME_BYTES // 8)
-    held = np.zeros((len(targets), words * 8), np.uint8)
-    held[:, : n * FRAME_BYTES] = _bytes(targets)
-    held, asked = np.ascontiguousarray(held.view(np.uint64).T), _bytes(queries)
-    least = min(MIN_OVERLAP, m, n)
-    for offset in range(least - n, m - least + 1):
-        start, stop = max(offset, 0), min(m, n + offset)
-        low, high = (start - offset) * FRAME_BYTES, (stop - offset) * FRAME_BYTES
-        own, mask = np.zeros((len(queries), words * 8), np.uint8), np.zeros(words * 8, np.uint8)
-        own[:, low:high], mask[low:high] = asked[:, start * FRAME_BYTES : stop * FRAME_BYTES], 255
-        own, mask = own.view(np.uint64), mask.view(np.uint64)
-        unequal = np.zeros((len(queries), len(targets)), np.uint16)
-        for w in range(low // 8, -(-high // 8)):
-            whole = held[w] if mask[w] == ALL_BITS else held[w] & mask[w]
-            unequal += np.bitwise_count(own[:, w, None] ^ whole)
-        bits = 2 * len(FILTERS) * (stop - start)
-        at = np.nonzero(unequal <= int(MAX_BIT_ERRORS * bits) + 1)
-        good = unequal[at] / bits <= MAX_BIT_ERRORS
-        if good.any():
-            yield at[0][good], at[1][good], offset, stop - start, unequal[at][good]
+    votes, idx, size = np.zeros(bins, np.int64), [], 0
+    for s in range(SLICES):
+        value = query >> (SLICE * s) & (2**SLICE - 1)
+        for v in np.unique(value).tolist():
+            frames, entries = np.flatnonzero(value == v), held[s << SLICE | v]
+            step = max(1, VOTES // max(len(entries), 1))
+            for a in range(0, len(frames), step):
+                idx.append((entries + frames[a : a + step, None]).ravel())
+                size += len(idx[-1])
+                if size >= VOTES:
+                    votes += np.bincount(np.concatenate(idx), minlength=bins)
+                    idx, size = [], 0
+    return votes + np.bincount(np.concatenate(idx), minlength=bins) if idx else votes
+
+
+def _unequal(query: np.ndarray, frames: np.ndarray, at: np.ndarray, start: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    """Unequal bits of stretches of ``overlap`` frames, from ``start`` of the query and ``at`` of ``frames``."""
+    out = np.zeros(len(at), np.int64)
+    ends = np.cumsum(overlap)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + VOTES, side="right")))
+        n = overlap[a:b]
+        heads = np.cumsum(n) - n
+        within = np.arange(int(n.sum())) - np.repeat(heads, n)
+        bits = np.bitwise_count(query[np.repeat(start[a:b], n) + within] ^ frames[np.repeat(at[a:b], n) + within])
+        out[a:b] = np.add.reduceat(bits.astype(np.int64), heads)
+        a = b
+    return out
 
 
 def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query, target, offset, overlap, bit errors), arrays with the best offset of each pair that matches.
 
-    Frame t of a target lies at t + offset of the query. Every offset with an overlap of MIN_OVERLAP frames (or the shorter fingerprint)
-    is tried; the least share of unequal bits wins, then the longest overlap, then the least offset.
+    Frame t of a target lies at t + offset of the query. A histogram counts equal slices of bits by offset. Among n frames that
+    match, at most MAX_BIT_ERRORS of the bits differ and spoil as many slices, so that a match has at least the other slices' votes: bit errors
+    are compared at the offsets that have them, and no match is lost. An overlap has MIN_OVERLAP frames or the shorter fingerprint's;
+    the least share of unequal bits wins, then the longest overlap, then the least offset.
     """
     kinds = (np.int64, np.int64, np.int32, np.int32, np.float64)
     out = [tuple(np.zeros(0, kind) for kind in kinds)]
-    lengths = [np.array([len(x) for x in side], np.int64) for side in (queries, targets)]
-    for m in np.unique(lengths[0][lengths[0] > 0]):
-        mine = np.flatnonzero(lengths[0] == m)
-        for n in np.unique(lengths[1][lengths[1] > 0]):
-            theirs = np.flatnonzero(lengths[1] == n)
-            held = np.stack([targets[k] for k in theirs])
-            for a in range(0, len(mine), ALIGNED):
-                part = mine[a : a + ALIGNED]
-                best: np.ndarray | None = None  # share, overlap and offset of each pair so far
-                for q, t, offset, overlap, unequal in _aligned(np.stack([queries[k] for k in part]), held):
-                    if best is None:
-                        best = np.zeros((3, len(part), len(theirs)))
-                        best[0] = 2
-                    share = unequal / (2 * len(FILTERS) * overlap)
-                    better = (share < best[0, q, t]) | (share == best[0, q, t]) & (overlap > best[1, q, t])
-                    best[:, q[better], t[better]] = share[better], np.full(better.sum(), overlap), np.full(better.sum(), offset)
-                if best is not None:
-                    q, t = np.nonzero(best[0] <= 1)
-                    out.append(tuple(x.astype(kind) for x, kind in zip((part[q], theirs[t], best[2, q, t], best[1, q, t], best[0, q, t]), kinds)))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    asked = np.array([len(x) for x in queries], np.int64)
+    there = np.flatnonzero([len(x) for x in targets])
+    for m in np.unique(asked[asked > 0]).tolist():
+        sizes = np.array([len(targets[k]) for k in there], np.int64) + m - 1
+        part = np.cumsum(sizes) // BINS
+        for number in np.unique(part).tolist():
+            own = there[part == number]
+            lengths = np.array([len(targets[k]) for k in own], np.int64)
+            frames = np.concatenate([targets[k] for k in own])
+            first = np.cumsum(lengths) - lengths
+            target, offset, start, overlap = _overlaps(m, lengths)
+            place = np.repeat(np.cumsum(lengths + m - 1) - m, lengths) - (np.arange(len(frames)) - np.repeat(first, lengths))
+            held = []
+            for s in range(SLICES):
+                value = frames >> (SLICE * s) & (2**SLICE - 1)
+                order = np.argsort(value, kind="stable")
+                held += np.split(place[order], np.searchsorted(value[order], np.arange(1, 2**SLICE)))
+            bits = BITS * overlap
+            most = np.floor(MAX_BIT_ERRORS * bits + 1e-9).astype(np.int64)
+            need = np.where(overlap >= np.minimum(MIN_OVERLAP, np.minimum(m, lengths))[target], SLICES * overlap - most, SLICES * m + 1)
+            for q in np.flatnonzero(asked == m).tolist():
+                at = np.flatnonzero(_histogram(queries[q], held, len(need)) >= need)
+                unequal = _unequal(queries[q], frames, first[target[at]] + start[at] - offset[at], start[at], overlap[at])
+                good = unequal <= most[at]
+                at, share = at[good], unequal[good] / bits[at[good]]
+                order = np.lexsort((offset[at], -overlap[at], share, target[at]))
+                at, share = at[order], share[order]
+                best = np.flatnonzero(np.diff(target[at], prepend=-1))
+                at, share = at[best], share[best]
+                out.append((np.full(len(at), q), own[target[at]], offset[at].astype(np.int32), overlap[at].astype(np.int32), share))
+    return tuple(np.concatenate(x).astype(kind) for x, kind in zip(zip(*out), kinds))
 
 
 class Index:
@@ -193,18 +220,35 @@ def fingerprints(df: DataFrame, id_col: str, pcm_col: str, rate: int = RATE) ->
 
 
 def recordings(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, pcm): a synthetic recording of each embedding."""
-    src = embeddings.select(F.col("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    """(vec_id, pcm): a synthetic recording of each embedding.
+
+    Of ten ids in a row the second, third and fourth are a late, a noisy and a cut copy of the first one's recording, where the table has it.
+    """
+    src = embeddings.select(F.col("vec_id"), F.col("embedding").cast("array<float>").alias("v"), F.pmod("vec_id", F.lit(10)).cast("int").alias("kind"))
+    first = src.where("kind = 0").groupBy((F.col("vec_id")).alias("first")).agg(F.first("v").alias("of"))
+    src = src.withColumn("first", F.when(F.col("kind").between(1, 3), F.col("vec_id") - F.col("kind"))).join(first, "first", "left")
+    src = src.select("vec_id", F.coalesce("of", "v").alias("v"), F.when(F.col("of").isNotNull(), F.col("kind")).otherwise(0).alias("kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 100):
-                rows = [None if v is None else (render(np.array(v, float)) / 1.3 * 32767).astype("<i2").tobytes() for v in batch.column(1).slice(a, 100).to_pylist()]
+                ids, vectors, kinds = (c.slice(a, 100).to_pylist() for c in batch.columns)
+                rows = [None if v is None else (changed(render(np.array(v, float)), kind, i or 0) / 2 * 32767).astype("<i2").tobytes() for i, v, kind in zip(ids, vectors, kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 100), pa.array(rows, pa.binary())], names=["vec_id", "pcm"])
 
     return src.mapInArrow(run, "vec_id long, pcm binary")
 
 
+def changed(pcm: np.ndarray, kind: int, seed: int) -> np.ndarray:
+    """A recording as it is (0), late by some frames of noise (1), noisy (2), or without its first and last third of a second (3)."""
+    r = np.random.default_rng(abs(seed))
+    if kind == 1:
+        return np.concatenate([r.normal(0, 0.05, HOP * int(r.integers(3, 12))), pcm])
+    if kind == 2:
+        return np.clip(pcm + r.normal(0, 0.1, len(pcm)), -1.9, 1.9)
+    return pcm[RATE // 3 : -(RATE // 3)] if kind == 3 else pcm
+
+
 def _classed(prints: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
     """(rows with their code, classes of equal fingerprints: code, class_id, the smallest query in it, prints)."""
     keyed = prints.withColumn("code", F.sha2(F.array_join("prints", ","), 256))
@@ -251,7 +295,7 @@ def search_all(prints: DataFrame, every: int = 100) -> DataFrame:
     id is its smallest; classes are compared, blocks of queries with buckets of classes. The representative, whose id is
     the class's, has a row for each class of queries that the class matches, ``query`` being the smallest query there; the
     other recordings of a class have one row, with nulls, and its matches by class_id. A match overlaps by MIN_OVERLAP
-    frames (or the shorter recording) and has at most MAX_BIT_ERRORS unequal bits at some offset; all are tried. A class
+    frames (or the shorter recording) and has at most MAX_BIT_ERRORS unequal bits at some offset; none is lost. A class
     without a match, or without frames, has nulls; a row with a null id is no query. Repeated rows stay repeated.
     """
     keyed, classes = _classed(prints, every)
