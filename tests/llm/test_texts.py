@@ -275,6 +275,17 @@ def near(docs, least=0.8, n=5):
     return {d: (docs[find(k)][0], links[k]) for k, (d, _) in enumerate(docs)}
 
 
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_ngram_join_counts_once_where_blocks_are_empty(spark, n):
+    """A cluster that its shingles cut into more blocks than it has classes."""
+    r = random.Random(n)
+    body = " ".join(str(r.randrange(10**6)) for _ in range(1500))
+    rows = [(k, f"{body} {k} {k + 1}") for k in range(1, 4 * n, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sizes in ({"block_shingles": 400}, {"block_shingles": 400, "block": 2}, {}):
+        assert {tuple(x) for x in ngramjoin.join(df, **sizes).select("doc_id", "class_id", "n_links").collect()} == {(k, 1, n - 1) for k, _ in rows}
+
+
 def test_ngram_join_equals_brute_force(spark):
     r = random.Random(6)
     base = [[f"w{r.randint(0, 500)}" for _ in range(80)] for _ in range(8)]

@@ -144,7 +144,8 @@ def compare(group: pa.Table, words: int, similarity: float) -> pa.Table:
         n = b - a
         side = part["block"].to_numpy()
         blocks = int(part["blocks"][0].as_py())
-        cross = blocks > 1 and len(np.unique(side)) > 1
+        # pairs within a block are counted where it meets itself; with another block, of which nothing may be there, only pairs across
+        cross = blocks > 1 and part["block"][0].as_py() != part["mate"][0].as_py()
         w = np.zeros(n, np.int64)
         own = weight[a:b]
 
