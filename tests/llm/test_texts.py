@@ -240,7 +240,7 @@ def test_line_store_is_reversible(spark, tmp_path, shard_keys):
 
 
 def test_line_lookups_are_screened_by_filters(spark, tmp_path):
-    """The filters settle all but the frequent keys and some false alarms before the counts are read; without them the result is the same."""
+    """The filters settle all but the frequent keys and some false alarms before the counts are read, sent to the tasks or not."""
     docs = [(k, "\n".join([f"rare line number {k} {j} " + "x" * 30 for j in range(30)] + ["a frequent line, found in every document"])) for k in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     store = linededup.LineStore(spark, f"file://{tmp_path}/lines")
@@ -251,7 +251,7 @@ def test_line_lookups_are_screened_by_filters(spark, tmp_path):
     assert want == sorted(map(str, deduped(docs)))
     old, linededup.FILTER_BYTES = linededup.FILTER_BYTES, 0
     try:
-        assert store.screened(df).count() == 40 * 31 and kept(store.dedup(df)) == want
+        assert 40 <= store.screened(df).count() < 60 and kept(store.dedup(df)) == want  # keys and filters meet by shard
     finally:
         linededup.FILTER_BYTES = old
 

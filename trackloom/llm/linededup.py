@@ -5,8 +5,9 @@ its documents and the largest id among them (counts), and for every shard of key
 enough documents. An insertion or deletion writes what it changes as a new version: the documents' references, the
 touched keys' new counts, and the filters of shards in which keys became frequent or ceased to be. So dedup is reversible.
 
-Dedup asks the filters first. They are small enough to be sent to every task, so a line that isn't frequent is
-settled there; only keys that pass are looked up in the counts, and what was a false alarm is found out by them.
+Dedup asks the filters first. Up to a bound of bytes they are sent to every task, so that a line that isn't frequent is settled there; beyond
+it the keys go to the shards, where each filter is there once for a part of its keys. Only keys that pass are looked up in the counts, and what
+was a false alarm is found out by them.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ BLANK = b" \t\n\x0b\x0c\r"
 NO_ID = np.iinfo(np.int64).min
 
 KEY = np.dtype([("hi", "<i8"), ("lo", "<i8")])
-#: Frequent keys of a shard, at some 2.5 bytes each in its filter.
+#: Frequent keys of a shard, at some 5 bytes each in its filter.
 SHARD_KEYS = 200_000
-#: All filters are sent to the tasks up to so many bytes; beyond them every key is looked up.
+#: All filters are sent to the tasks up to so many bytes; beyond them keys and filters meet by shard.
 FILTER_BYTES = 64 << 20
 #: A frequent key's documents meet its count in so many places.
 SALTS = 16
@@ -316,7 +317,7 @@ class LineStore:
         return self.counts().where(F.col("docs") >= self.min_docs)
 
     def screened(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc, hi, lo): the distinct keys of each row that pass the filters, or all keys where the filters are too large to be sent to every task."""
+        """(doc, hi, lo): the distinct keys of each row that pass the filters."""
         filters, least = self.filters(), self.min_chars
         shared = None
         if (filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0) <= FILTER_BYTES:
@@ -338,7 +339,8 @@ class LineStore:
                     doc, keys = doc[hit], keys[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(keys["hi"].copy()), pa.array(keys["lo"].copy())], names=["doc", "hi", "lo"])
 
-        return src.mapInArrow(run, "doc long, hi long, lo long")
+        asked = src.mapInArrow(run, "doc long, hi long, lo long")
+        return asked if shared is not None else _asked_by_shard(asked, filters, shards)
 
     def gone(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc, gone): the keys whose lines a document loses, end to end; documents that lose none are left out."""
@@ -376,6 +378,38 @@ class LineStore:
         return joined.mapInArrow(clean, f"{fields}, n_lines long, n_dropped long")
 
 
+def _asked_by_shard(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """(doc, hi, lo): the keys that pass their shard's filter.
+
+    A shard's keys are dealt to several places by document, each with the filter before its keys, so that a task holds one filter and streams through the keys.
+    """
+    none = F.lit(None).cast("long")
+    shard, salt = F.pmod(F.col("lo"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))
+    rows = keys.select("doc", "hi", "lo", shard.alias("shard"), salt.alias("salt"), F.lit(None).cast("binary").alias("filter"))
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    heads = filters.select(none.alias("doc"), none.alias("hi"), none.alias("lo"), "shard", places.alias("salt"), "filter")
+    met = rows.unionByName(heads).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, place = None, None
+        for batch in batches:
+            shard, salt = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            blank = np.asarray(batch.column(5).is_null())
+            cuts = np.flatnonzero(np.concatenate([[True], (np.diff(shard) != 0) | (np.diff(salt) != 0) | ~blank[1:] | ~blank[:-1]])) if len(shard) else np.zeros(0, int)
+            hit = np.zeros(len(shard), bool)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)]):
+                if not blank[a]:
+                    own, place = CuckooFilter.loads(batch.column(5)[a].as_py()), (shard[a], salt[a])
+                elif place == (shard[a], salt[a]):  # a shard without frequent keys has no filter
+                    part = batch.slice(a, b - a)
+                    keys = np.empty(b - a, KEY)
+                    keys["hi"], keys["lo"] = part.column(1).to_numpy(), part.column(2).to_numpy()
+                    hit[a:b] = own.contains(keys)
+            yield batch.filter(pa.array(hit)).select(["doc", "hi", "lo"])
+
+    return met.mapInArrow(run, "doc long, hi long, lo long")
+
+
 def _changed(changes: pa.Table, filters: pa.Table) -> pa.Table:
     if not len(changes):
         return pa.table({"shard": pa.array([], pa.int32()), "hot": pa.array([], pa.int64()), "slots": pa.array([], pa.int64()), "filter": pa.array([], pa.binary())})
