@@ -190,6 +190,14 @@ def test_chat_text_holds_no_foreign_control(spark):
         assert len(text) == r["chars"] and "[INST]" not in text and text.count("<|turn|>") == text.count("<|end|>")
 
 
+def test_quality_learns_from_all_parts_of_long_texts(spark):
+    most = quality.STRETCHES * quality.STRETCH_BYTES
+    texts = [None, "", "é" * 10, "x" * most, "".join(chr(97 + k % 26) for k in range(most + 1)), "a" * (5 * most) + "z"]
+    got = [bytes(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(quality.stretches(F.col("t"))).collect()]
+    assert got[:4] == [(t or "").encode() for t in texts[:4]] and [len(g) for g in got[4:]] == [most, most]
+    assert got[4][: quality.STRETCH_BYTES] == texts[4].encode()[: quality.STRETCH_BYTES] and got[5].endswith(b"az") and got[4][-9:] == texts[4].encode()[-9:]
+
+
 def test_chroma_aligns_a_cut_and_noisy_copy():
     r = np.random.default_rng(4)
     songs = [r.normal(0, 0.125, 64) for _ in range(12)]
@@ -365,7 +373,8 @@ def test_warc_files_are_read_by_ranges(spark, tmp_path):
             found = list(warc.records(read, size, lambda page: page in (7, 900)))
         assert sum(reads) < 66_000 + 20_000 + 6_000 * len(found) < size
     assert warc.read_files(warc.write_files(warc.decide(pages.limit(0)), folder)).count() == 0
-    assert not warc.has_files("unknown://host/folder")
+    with pytest.raises((ValueError, OSError, NotImplementedError)):
+        warc.filesystem("unknown://host/folder")
 
 
 def test_warc_round_trip(spark):

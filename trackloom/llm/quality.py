@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from trackloom.llm.bytesops import chunks
 from trackloom.llm.common import arrow_batches, docs_table, table
 
-#: Bound of the training sample: labelled rows, taken in the order of a hash of their ids, and the bytes of a row; longer texts are scored
-#: as a whole like all others, but teach nothing.
-TRAIN_ROWS, TRAIN_TEXT_BYTES = 2000, 1 << 20
+#: Bound of the training sample: labelled rows, taken in the order of a hash of their ids.
+TRAIN_ROWS = 2000
+#: What a text of that sample teaches: so many stretches of so many bytes, spread evenly from its beginning to its end, or all of a shorter one.
+STRETCHES, STRETCH_BYTES = 16, 2048
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -152,15 +153,24 @@ def fold(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def stretches(text: Column) -> Column:
+    """At most STRETCHES * STRETCH_BYTES bytes of a text, end to end; all of it, if it has no more."""
+    data = F.coalesce(text, F.lit("")).cast("binary")
+    size = F.octet_length(data)
+    starts = F.sequence(F.lit(0), F.lit(STRETCHES - 1))
+    parts = F.transform(starts, lambda i: F.substring(data, F.floor(i * (size - STRETCH_BYTES) / (STRETCHES - 1)).cast("int") + 1, F.lit(STRETCH_BYTES)))
+    return F.when(size <= STRETCHES * STRETCH_BYTES, data).otherwise(F.reduce(parts, F.lit(b""), lambda a, x: F.concat(a, x)))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ByteNet:
-    """A net fitted to the labelled rows outside the held-out fold, at most ``rows`` of them with texts of at most TRAIN_TEXT_BYTES.
+    """A net fitted to at most ``rows`` labelled rows outside the held-out fold; long texts teach by stretches from all their parts.
 
     Rows without a label, or without a document, teach nothing; a null text is an empty one.
     """
     own = labels.where(fold(F.col("doc_id")) != 0).where("quality is not null").select(F.col("doc_id").alias("labelled"), "quality")
     first = own.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(rows)
-    sample = docs.join(first, docs["doc_id"] == first["labelled"]).select("labelled", "quality", F.coalesce(docs["text"], F.lit("")).alias("t")).where(F.octet_length("t") <= TRAIN_TEXT_BYTES)
-    got = sorted((r[0], r[1], r[2].encode()) for r in sample.collect())
+    sample = docs.join(first, docs["doc_id"] == first["labelled"]).select("labelled", "quality", stretches(docs["text"]).alias("t"))
+    got = sorted((r[0], r[1], bytes(r[2])) for r in sample.collect())
     return ByteNet().fit([t for *_, t in got], np.array([int(q > 0) for _, q, _ in got]))
 
 

@@ -20,7 +20,7 @@ import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpointed, shared_dir, table
+from trackloom.llm.common import arrow_batches, checkpointed, shared_dir, table
 
 DEDUP_BYTES = 1000
 PACKAGE_BYTES = 2 << 20
@@ -226,19 +226,10 @@ def decide(pages: DataFrame, least: int = DEDUP_BYTES) -> DataFrame:
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """(file system, path there) of a folder or file, given by URI or by path."""
+    """(file system, path there) of a folder or file, given by URI or by path; raises for a store that can't be opened by ranges."""
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
 
 
-def has_files(folder: str) -> bool:
-    """Whether tasks can open files by range in a folder; stores that only Spark reaches take packages as table cells instead."""
-    try:
-        filesystem(folder)
-    except (ValueError, OSError, NotImplementedError):
-        return False
-    return True
-
-
 def _packages(batches: Iterator[pa.RecordBatch], package_bytes: int, zip64: bool) -> Iterator[bytes]:
     open_ = Package()
     for batch in batches:
@@ -284,7 +275,7 @@ def read_files(files: DataFrame, pages: Sequence[int] | None = None) -> DataFram
 
 
 def write(decided: DataFrame, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> DataFrame:
-    """(package): the same packages as cells of a table, for a store that only Spark reaches."""
+    """(package): the same packages as cells of a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in _packages(batches, package_bytes, zip64):
@@ -325,12 +316,10 @@ def _rows(found: Iterator[tuple[dict[str, str], dict[str, str], bytes]]) -> pa.R
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes packages to the shared folder, then reads each record back from them."""
-    folder, decided = shared_dir(spark), decide(table(spark, sf_dir, "pages"))
-    if has_files(folder):
-        out = read_files(checkpointed(write_files(decided, folder)))
-    else:
-        write(decided).write.option("compression", "none").parquet(folder)
-        out = read(spark.read.schema("package binary").parquet(folder))
+    arrow_batches(spark)
+    folder = shared_dir(spark)
+    filesystem(folder)
+    out = read_files(checkpointed(write_files(decide(table(spark, sf_dir, "pages")), folder)))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
