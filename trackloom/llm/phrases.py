@@ -19,11 +19,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.llm.bytesops import LOWER, U64, Words, chunks, mix, spans
-from trackloom.llm.common import arrow_batches, checkpointed, remove, shared_dir, table
+from trackloom.llm.common import arrow_batches, checkpointed, give_back, remove, shared_dir, table
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text that are counted together; a longer text is a block of its own.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Fixed classes of bytes: those that end a piece, and those that end a word.
 BREAKS = np.zeros(256, bool)
 BREAKS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -42,7 +42,7 @@ def _packed(*arrays: np.ndarray) -> bytes:
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     size = int(np.frombuffer(blob, np.int64, 1)[0])
     both = np.frombuffer(pa.decompress(memoryview(blob)[8:], size, codec="zstd"), np.int32)
-    return np.cumsum(both[: len(both) // 2], dtype=np.int64), both[len(both) // 2 :]
+    return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :]
 
 
 class _Block:
@@ -116,23 +116,26 @@ def longer(state: pa.Table, frequent: pa.Table, last: bool) -> pa.Table:
     empty = pa.schema([*zip(names, kinds), ("state", pa.binary())]).empty_table()
     if not state.num_rows or not frequent.num_rows:
         return empty
+    give_back()
     block = state["block"][0].as_py()
     at, ix = _unpacked(state["state"][0].as_py())
     ids, n = frequent["id"].to_numpy(), frequent.num_rows
-    number = np.full(int(ix.max()) + 1, -1, np.int64)
-    number[frequent["ix"].to_numpy()] = np.arange(n)
+    number = np.full(int(ix.max()) + 1, -1, np.int32)
+    number[frequent["ix"].to_numpy()] = np.arange(n, dtype=np.int32)
     here = number[ix]
     keep = here >= 0
     at, here = at[keep], here[keep]
-    pair = at[1:] == at[:-1] + 1
-    own, ix, count = np.unique(here[:-1][pair] * n + here[1:][pair], return_inverse=True, return_counts=True)
+    pair = np.flatnonzero(np.diff(at) == 1)
+    at, key = at[pair], here[pair].astype(np.int64) * n + here[pair + 1]
+    del ix, keep, here, pair
+    own, ix, count = np.unique(key, return_inverse=True, return_counts=True)
     if not len(own):
         return empty
     rows = pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(own), block)), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(ids[own // n]), pa.array(ids[own % n]), pa.array(count), pa.nulls(len(own), pa.binary())], names=[*names, "state"])
     if last:
         return pa.Table.from_batches([rows])
-    return pa.Table.from_batches([rows, _state_row(names, kinds, block, _packed(at[:-1][pair], ix))])
+    return pa.Table.from_batches([rows, _state_row(names, kinds, block, _packed(at, ix))])
 
 
 def _longer(last: bool):  # noqa: ANN202
