@@ -304,9 +304,12 @@ def test_quantiles_interpolate(spark):
     assert "b" not in got and got["c"]["x_p95"] == 2
 
 
-def test_retrieval_by_blocks_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("cell, first", [(1024, 4096), (6, 9)])
+def test_retrieval_by_cells_and_blocks_equals_brute_force(spark, monkeypatch, cell, first):
     import numpy as np
 
+    from trackloom.operators import cells
+
     r = np.random.default_rng(2)
     v = r.normal(size=(60, 4))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -316,6 +319,8 @@ def test_retrieval_by_blocks_equals_brute_force(spark, monkeypatch):
     q = df.where("exemplar_id % 6 = 0").select(F.col("exemplar_id").alias("query_id"), F.col("object_id").alias("q_object_id"), F.col("episode_id").alias("q_episode_id"), F.col("camera").alias("q_camera"), F.col("embedding").alias("q_embedding"))
     monkeypatch.setattr(bank, "QUERY_BLOCK", 3)
     monkeypatch.setattr(bank, "ENTRY_BLOCK", 7)
+    monkeypatch.setattr(bank, "FIRST", first)
+    monkeypatch.setattr(cells, "CELL", cell)
     got = {x["query_id"]: x for x in bank.candidates(q, df, 3).collect()}
     f = np.asarray(v, np.float32).astype(float)
     for k in range(0, 60, 6):
@@ -329,6 +334,34 @@ def test_retrieval_by_blocks_equals_brute_force(spark, monkeypatch):
     assert bank.retrieve(q, df.limit(0)).where("status = 'no_reference'").count() == q.count()
 
 
+def test_retrieval_compares_fewer_of_more_entries(spark, monkeypatch):
+    """Entries in tight groups: the lists are those of all pairs, and the share of pairs that are compared falls as the bank grows."""
+    import numpy as np
+
+    from trackloom.operators import cells
+
+    monkeypatch.setattr(bank, "FIRST", 60)
+    monkeypatch.setattr(cells, "CELL", 20)
+    shares = []
+    for n in (400, 1600):
+        r = np.random.default_rng(n)
+        v = r.normal(size=(n // 20, 16)).repeat(20, 0)
+        v = v / np.linalg.norm(v, axis=1, keepdims=True) + 0.03 * r.normal(size=(n, 16))
+        v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+        rows = [(k, k // 20, None, k % 3, ("head", "left")[k % 2], "active", [float(x) for x in v[k]]) for k in range(n)]
+        df = spark.createDataFrame(rows, "exemplar_id long, object_id long, merged array<long>, episode_id long, camera string, bank_status string, embedding array<float>")
+        q = df.where("exemplar_id % 10 = 0").select(F.col("exemplar_id").alias("query_id"), F.col("object_id").alias("q_object_id"), F.col("episode_id").alias("q_episode_id"), F.col("camera").alias("q_camera"), F.col("embedding").alias("q_embedding"))
+        got = {x["query_id"]: x for x in bank.candidates(q, df, 3).collect()}
+        sim = np.round(v.astype(float) @ v.astype(float).T, 6)
+        for k in range(0, n, 10):
+            pool = sorted((-sim[k, x], x) for x in range(n) if x % 3 != k % 3)
+            own, others = [x for _, x in pool if x // 20 == k // 20], [x for _, x in pool if x // 20 != k // 20]
+            assert [x["exemplar_id"] for x in got[k]["p_all"]] == own[:3] and [x["exemplar_id"] for x in got[k]["c_all"]] == others[:3]
+            assert [x["exemplar_id"] for x in got[k]["c_same"]] == [x for x in others if x % 2 == k % 2][:3] and got[k]["n_all"] == len(own)
+        shares.append(sum(x["compared"] for x in got.values()) / (len(got) * n))
+    assert shares[0] < 0.7 and shares[1] < 0.7 * shares[0]
+
+
 def test_diverse_equals_a_greedy_loop(spark):
     import numpy as np
 

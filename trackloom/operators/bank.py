@@ -5,7 +5,7 @@ Entries: exemplar_id, object_id, merged (aliases, may be null), episode_id, came
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import boxes
+from trackloom.operators.cells import Cells, matrix
+from trackloom.operators.tables import written
 
-#: Queries and entries of a task.
-QUERY_BLOCK, ENTRY_BLOCK = 1024, 4096
-COUNTS, LISTS = ("n_same", "n_all", "m_same"), ("p_same", "p_all", "c_same", "c_all")
+#: Queries and entries of a task, and entries that a query meets at first.
+QUERY_BLOCK, ENTRY_BLOCK, FIRST = 1024, 4096, 4096
+LISTS = ("p_same", "p_all", "c_same", "c_all")
 
 
 def quality_reason(excluded: Column, visible: Column, object_id: Column, area: Column, least_side: Column) -> Column:
@@ -35,66 +37,148 @@ def compatible(object_id: Column, merged: Column, wanted: Column) -> Column:
 
 
 def candidates(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
-    """Per query the numbers of its object's entries of its camera (n_same) and of all (n_all) and of competitors of its camera (m_same), and the k
-    most similar of each side, of the camera or of all: p_same, p_all, c_same, c_all, arrays of (sim, exemplar_id, object_id); ties by exemplar_id.
-
-    Active entries of other episodes count. A stated set of queries meets the whole bank, blocks of queries with blocks of entries: a
-    task multiplies two matrices and keeps k entries a query, side and scope, so pairs are never rows. A query without entries has no row.
+    """Per query the numbers of its object's entries of its camera (n_same) and of all (n_all) and of competitors of its camera (m_same), the k
+    most similar of each side, of the camera or of all: p_same, p_all, c_same, c_all, arrays of (sim, exemplar_id, object_id), ties by exemplar_id, and
+    the number of entries that it was compared with (compared).
+
+    Active entries of other episodes count, those without an embedding don't. The entries are cut into cells around coarse centres. A query first meets the cells that may hold
+    the most similar entries, then those of which the bound says that they may still change one of its lists: for its own object's lists cells that hold entries of
+    the object. So the lists are exact, however few cells are met. A task multiplies blocks of queries and entries and keeps k entries a query, side and
+    scope, so pairs are never rows. A query without entries has no row.
     """
-    bank = bank.where("bank_status = 'active'").select("exemplar_id", "object_id", F.col("merged").cast("array<long>").alias("merged"), "episode_id", "camera", "embedding")
-    n, m = queries.count(), bank.count()
-    parts, buckets = max(1, -(-n // QUERY_BLOCK)), max(1, -(-m // ENTRY_BLOCK))
-
-    def dealt(df: DataFrame, key: str, own: str, count: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(count)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {name: [] for name in ("query_id", *COUNTS, *LISTS)}
-        if len(left) and len(right):
-            right = right.sort_by("exemplar_id")
-            v, u = (np.array(t[c].to_pylist(), float) for t, c in ((left, "q_embedding"), (right, "embedding")))
-            sim = np.round(v @ u.T, 6)
-
-            def equal(a: str, b: str) -> np.ndarray:
-                x, y = left[a].to_pylist(), right[b].to_pylist()
-                number = {value: i for i, value in enumerate({*x, *y})}
-                return np.array([number[i] for i in x])[:, None] == np.array([number[i] for i in y])
-
-            other = ~equal("q_episode_id", "episode_id")
-            positive = equal("q_object_id", "object_id")
-            wanted = left["q_object_id"].to_numpy()
-            for j, merged in enumerate(right["merged"].to_pylist()):
-                if merged:
-                    positive[:, j] = np.isin(wanted, merged)
-            same = equal("q_camera", "camera")
-            masks = {"p_same": positive & same & other, "p_all": positive & other, "c_same": ~positive & same & other, "c_all": ~positive & other}
-            rows, ids, objects = np.arange(len(sim)), right["exemplar_id"].to_pylist(), right["object_id"].to_pylist()
-            for name, mask in masks.items():
-                left_ = np.where(mask, sim, -np.inf)
-                best: list[list] = [[] for _ in rows]
-                for _ in range(k):
-                    at = left_.argmax(axis=1)
-                    value = left_[rows, at]
-                    for i in np.flatnonzero(value > -np.inf):
-                        best[i].append({"sim": float(value[i]), "exemplar_id": ids[at[i]], "object_id": objects[at[i]]})
-                    left_[rows, at] = -np.inf
-                out[name] = best
-            out["query_id"] = left["query_id"].to_pylist()
-            out |= {"n_same": masks["p_same"].sum(axis=1).tolist(), "n_all": masks["p_all"].sum(axis=1).tolist(), "m_same": masks["c_same"].sum(axis=1).tolist()}
-        item = pa.list_(pa.struct([("sim", pa.float64()), ("exemplar_id", pa.int64()), ("object_id", pa.int64())]))
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), **{c: pa.array(out[c], pa.int64()) for c in COUNTS}, **{c: pa.array(out[c], item) for c in LISTS}})
-
+    bank = bank.where("bank_status = 'active' AND embedding IS NOT NULL").select("exemplar_id", "object_id", F.col("merged").cast("array<long>").alias("merged"), "episode_id", "camera", "embedding")
+    queries = queries.select("query_id", "q_object_id", "q_episode_id", "q_camera", "q_embedding")
+    cells, held = Cells.of(bank, "exemplar_id", "embedding")
+    sides = _sides(queries, held)
+    asked = _visits(queries, cells, lambda x, _: cells.first(x, FIRST))
+    met = _met(asked, held, cells, k)
+    if cells.size.sum() > FIRST:  # else every cell has been met
+        met = written(met)
+        lists = queries.join(met, "query_id").join(sides, "query_id")
+        short = [(t, c, F.element_at(c, -1)["sim"]) for t, c in zip(("n_same", "n_all", "m_same", "m_all"), LISTS)]
+        reach = [F.when(F.col(t) > F.size(c), F.when(F.size(c) == k, last).otherwise(F.lit(-np.inf))) for t, c, last in short]
+        where = held.select(F.explode(_aliases()).alias("q_object_id"), "cell").groupBy("q_object_id").agg(F.collect_set("cell").alias("cells"))
+        more = lists.select(*queries.columns, F.least(*reach[:2]).alias("own"), F.least(*reach[2:]).alias("other")).where("own IS NOT NULL OR other IS NOT NULL").join(where, "q_object_id", "left")
+
+        def rest(x: np.ndarray, batch: pa.RecordBatch) -> list[np.ndarray]:
+            bounds, out = cells.bounds(x) + 2e-6, []  # products are rounded to six places
+            limits = zip(cells.first(x, FIRST), bounds, *(batch.column(name).to_pylist() for name in ("own", "other", "cells")))
+            for seen, bound, own, other, there in limits:
+                go = np.zeros(len(bound), bool)
+                if other is not None:
+                    go |= bound >= other
+                if own is not None and there:
+                    go[there] |= bound[there] >= own
+                go[seen] = False
+                out.append(np.flatnonzero(go & np.isfinite(bound)))
+            return out
+
+        met = met.unionByName(_met(_visits(more, cells, rest), held, cells, k))
+        met = met.groupBy("query_id").agg(F.sum("compared").alias("compared"), *[_best(name, k) for name in LISTS])
+    return sides.where("n_all + m_all > 0").drop("m_all").join(met, "query_id")
+
+
+def _aliases() -> Column:
+    """The objects that an entry stands for."""
+    return F.when(F.col("merged").isNull() | (F.size("merged") == 0), F.array(F.col("object_id").cast("long"))).otherwise(F.array_distinct("merged"))
+
+
+def _sides(queries: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, n_same, n_all, m_same, m_all): entries of other episodes, of the query's object or not, in its camera or in all.
+
+    Entries are counted by object, camera and episode; what a query's own episode has is taken off. Nulls are equal.
+    """
+    own = held.select(F.explode(_aliases()).alias("object"), "camera", "episode_id")
+    keys = {"object": "q_object_id", "camera": "q_camera", "episode_id": "q_episode_id"}
+    out = queries.select("query_id", *keys.values())
+    counts = {}
+    for rows, groups in ((own, (["object"], ["object", "episode_id"], ["object", "camera"], ["object", "camera", "episode_id"])), (held, (["camera"], ["camera", "episode_id"], ["episode_id"]))):
+        for group in groups:
+            name = "_".join(["n", *group])
+            found = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in group]).agg(F.count("*").alias(name))
+            on = [F.col(keys[c]).eqNullSafe(F.col(f"__{c}")) for c in group]
+            out = out.join(found, on, "left").drop(*[f"__{c}" for c in group])
+            counts[tuple(group)] = F.coalesce(name, F.lit(0))
+    total = out.join(held.agg(F.count("*").alias("total")).hint("broadcast"))
+    n_all, n_same = counts["object",] - counts["object", "episode_id"], counts["object", "camera"] - counts["object", "camera", "episode_id"]
+    return total.select(
+        "query_id", n_same.alias("n_same"), n_all.alias("n_all"), (counts["camera",] - counts["camera", "episode_id"] - n_same).alias("m_same"),
+        (F.col("total") - counts["episode_id",] - n_all).alias("m_all"))
+
+
+def _visits(queries: DataFrame, cells: Cells, chosen: Callable[[np.ndarray, pa.RecordBatch], list[np.ndarray]]) -> DataFrame:
+    """A row for each query and cell that it visits."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
+    at = queries.columns.index("q_embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = chosen(matrix(batch.column(at)), batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tolist() for c in own], pa.list_(pa.int32()))], names=[*batch.schema.names, "visits"])
+
+    out = queries.where("q_embedding IS NOT NULL").mapInArrow(run, f"{kinds}, visits array<int>")
+    return out.select("query_id", "q_object_id", "q_episode_id", "q_camera", "q_embedding", F.explode("visits").alias("cell"))
+
+
+def _met(asked: DataFrame, held: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(query_id, compared, p_same, p_all, c_same, c_all) of the visits to cells, which are cut into blocks of entries and parts of queries."""
+    spark = held.sparkSession
+    visitors = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    sizes = [(i, max(1, -(-int(n) // ENTRY_BLOCK)), max(1, -(-visitors.get(i, 0) // QUERY_BLOCK))) for i, n in enumerate(cells.size) if i in visitors]
+    sizes = spark.createDataFrame(sizes, "cell int, blocks int, parts int").hint("broadcast")  # a row a cell
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        x = df.join(sizes, "cell")
+        return x.withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).drop("blocks", "parts")
+
+    by = ["cell", "block", "part"]
     item = "array<struct<sim: double, exemplar_id: long, object_id: long>>"
-    asked = dealt(queries.select("query_id", "q_object_id", "q_episode_id", "q_camera", "q_embedding"), "query_id", "part", parts, "bucket", buckets)
-    held = dealt(bank, "exemplar_id", "bucket", buckets, "part", parts)
-    blocks = asked.groupBy("part", "bucket").cogroup(held.groupBy("part", "bucket")).applyInArrow(compare, "query_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} {item}" for c in LISTS))
-
-    def merged_(name: str) -> Column:
-        """The k best of the blocks' lists."""
-        first = F.transform(F.flatten(F.collect_list(name)), lambda e: F.struct((-e["sim"]).alias("s"), e["exemplar_id"].alias("exemplar_id"), e["object_id"].alias("object_id")))
-        return F.transform(F.slice(F.sort_array(first), 1, k), lambda e: F.struct((-e["s"]).alias("sim"), e["exemplar_id"].alias("exemplar_id"), e["object_id"].alias("object_id"))).alias(name)
-
-    return blocks.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in COUNTS], *[merged_(c) for c in LISTS])
+    blocks = dealt(asked, "query_id", "part", "block").groupBy(*by).cogroup(dealt(held, "exemplar_id", "block", "part").groupBy(*by))
+    found = blocks.applyInArrow(lambda left, right: _compared(left, right, k), "query_id long, compared long, " + ", ".join(f"{c} {item}" for c in LISTS))
+    return found.groupBy("query_id").agg(F.sum("compared").alias("compared"), *[_best(name, k) for name in LISTS])
+
+
+def _compared(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """A block of queries against a block of entries."""
+    out: dict[str, list] = {name: [] for name in ("query_id", "compared", *LISTS)}
+    if len(left) and len(right):
+        right = right.sort_by("exemplar_id")
+        v, u = (matrix(t[c].combine_chunks()) for t, c in ((left, "q_embedding"), (right, "embedding")))
+        sim = np.round(v @ u.T, 6)
+
+        def equal(a: str, b: str) -> np.ndarray:
+            x, y = left[a].to_pylist(), right[b].to_pylist()
+            number = {value: i for i, value in enumerate({*x, *y})}
+            return np.array([number[i] for i in x])[:, None] == np.array([number[i] for i in y])
+
+        other = ~equal("q_episode_id", "episode_id")
+        positive = equal("q_object_id", "object_id")
+        wanted = left["q_object_id"].to_numpy()
+        for j, merged in enumerate(right["merged"].to_pylist()):
+            if merged:
+                positive[:, j] = np.isin(wanted, merged)
+        same = equal("q_camera", "camera")
+        masks = {"p_same": positive & same & other, "p_all": positive & other, "c_same": ~positive & same & other, "c_all": ~positive & other}
+        rows, ids, objects = np.arange(len(sim)), right["exemplar_id"].to_pylist(), right["object_id"].to_pylist()
+        for name, mask in masks.items():
+            left_ = np.where(mask, sim, -np.inf)
+            best: list[list] = [[] for _ in rows]
+            for _ in range(k):
+                at = left_.argmax(axis=1)
+                value = left_[rows, at]
+                for i in np.flatnonzero(value > -np.inf):
+                    best[i].append({"sim": float(value[i]), "exemplar_id": ids[at[i]], "object_id": objects[at[i]]})
+                left_[rows, at] = -np.inf
+            out[name] = best
+        out["query_id"], out["compared"] = left["query_id"].to_pylist(), [len(right)] * len(left)
+    item = pa.list_(pa.struct([("sim", pa.float64()), ("exemplar_id", pa.int64()), ("object_id", pa.int64())]))
+    return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "compared": pa.array(out["compared"], pa.int64()), **{c: pa.array(out[c], item) for c in LISTS}})
+
+
+def _best(name: str, k: int) -> Column:
+    """The k best of the blocks' lists."""
+    first = F.transform(F.flatten(F.collect_list(name)), lambda e: F.struct((-e["sim"]).alias("s"), e["exemplar_id"].alias("exemplar_id"), e["object_id"].alias("object_id")))
+    return F.transform(F.slice(F.sort_array(first), 1, k), lambda e: F.struct((-e["s"]).alias("sim"), e["exemplar_id"].alias("exemplar_id"), e["object_id"].alias("object_id"))).alias(name)
 
 
 def top(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
