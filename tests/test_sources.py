@@ -139,3 +139,20 @@ def test_image_folders_are_read_in_natural_order(spark, tmp_path):
         path.write_bytes(b"x")
     got = {(r["task_id"], r["episode_id"], r["camera"], r["frame_idx"], r["name"]) for r in episodes.image_folder(spark, f"file://{tmp_path}").collect()}
     assert got == {(3, "ep7", "head", 0, "f2.jpg"), (3, "ep7", "head", 1, "f10.png"), (3, "ep7", "left_wrist", 0, "1.png")}
+
+
+def test_times_and_rows_of_many_clips(spark):
+    files = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.75), (2, 0, 1.0)], "episode_id long, frame_index long, t double")
+    clips = spark.createDataFrame([(1, 10.0, 2), (2, 20.0, 1)], "episode_id long, start double, frames long")
+    assert sorted(tuple(r) for r in episodes.clip_times(files, clips, "t").collect()) == [(1, 0, 10.5), (1, 1, 10.75), (2, 0, 21.0)]
+    for bad, what in (([(1, 10.0, 3), (2, 20.0, 1)], "more or fewer"), ([(1, 10.0, 2)], "more or fewer"), ([(1, 10.0, 2), (2, 20.0, 1), (3, 0.0, 1)], "more or fewer")):
+        with pytest.raises(ValueError, match=what):
+            episodes.clip_times(files, spark.createDataFrame(bad, clips.schema), "t")
+    with pytest.raises(ValueError, match="finite"):
+        episodes.clip_times(files.withColumn("t", F.when(F.col("frame_index") == 0, F.lit(float("nan"))).otherwise(F.col("t"))), clips, "t")
+    asked = "clip_id long, start long, frames long, step long"
+    got = episodes.rows_of_clips(spark.createDataFrame([(7, 10, 3, 5), (8, 0, 1, 1)], asked)).collect()
+    assert sorted(map(tuple, got)) == [(7, 0, 10), (7, 1, 15), (7, 2, 20), (8, 0, 0)]
+    for clip in ((1, 0, 129, 1), (1, -1, 1, 1), (1, 0, 0, 1), (1, 0, 5, 0), (1, None, 5, 1)):
+        with pytest.raises(ValueError, match="1 to 128"):
+            episodes.rows_of_clips(spark.createDataFrame([clip], asked))

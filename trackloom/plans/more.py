@@ -84,12 +84,13 @@ def j5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("f16_dilation", f"""
-WITH {_AREA}, px AS (SELECT episode_id, camera, frame_idx, {_CELLS} FROM v_spans WHERE object_id = 0), grown AS (SELECT DISTINCT episode_id, camera, frame_idx, x + dx AS x, y + dy AS y FROM px, {_GROWN}),
-n AS (SELECT episode_id, camera, frame_idx, count(*) AS n FROM grown GROUP BY ALL)
-SELECT a.episode_id, a.camera, a.frame_idx, a.a AS mask_area, n.n AS grown_area FROM area a JOIN n ON a.episode_id = n.episode_id AND a.camera = n.camera AND a.frame_idx = n.frame_idx AND a.object_id = 0""")
+WITH {_AREA}, px AS (SELECT episode_id, camera, frame_idx, object_id, {_CELLS} FROM v_spans),
+grown AS (SELECT DISTINCT episode_id, camera, frame_idx, object_id, x + dx AS x, y + dy AS y FROM px, {_GROWN}),
+n AS (SELECT episode_id, camera, frame_idx, object_id, count(*) AS n FROM grown GROUP BY ALL)
+SELECT episode_id, camera, frame_idx, object_id, a.a AS mask_area, n.n AS grown_area FROM area a JOIN n USING (episode_id, camera, frame_idx, object_id)""")
 def f16(spark: SparkSession, sf: str) -> DataFrame:
-    rows = mask_rows(spark, sf).where("object_id = 0").withColumn("grown", R.mask_dilate("runs", F.lit(H), F.lit(R.margin(WIDTH))))
-    return rows.select("episode_id", "camera", "frame_idx", "mask_area", R.area(F.col("grown")).alias("grown_area"))
+    rows = mask_rows(spark, sf).withColumn("grown", R.mask_dilate("runs", F.lit(H), F.lit(R.margin(WIDTH))))
+    return rows.select("episode_id", "camera", "frame_idx", "object_id", "mask_area", R.area(F.col("grown")).alias("grown_area"))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -187,36 +188,55 @@ def src9(spark: SparkSession, sf: str) -> DataFrame:
     return episodes.dataset_inventory(x)
 
 
-@query("src4_timestamps", "SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS frame_idx, round(epoch_us(ts) / 1e6::DOUBLE + 100, 3) AS timestamp FROM events WHERE user_id = 7")
+@query("src4_timestamps", """
+SELECT user_id AS episode_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, round(epoch_us(ts) / 1e6::DOUBLE + user_id % 7, 3) AS timestamp
+FROM events""")
 def src4(spark: SparkSession, sf: str) -> DataFrame:
-    """One clip's times, written as a robot dataset's file and read by column, with its start added."""
-    own = view(spark, sf, "events").where("user_id = 7")
+    """All clips' times, written as a robot dataset's files, a folder a clip, and read by column, with each clip's start added."""
     n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    time = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    own = view(spark, sf, "events").select(F.col("user_id").alias("episode_id"), n.cast("long").alias("frame_index"), time.alias("time"), "value")
     path = folder(spark)
-    own.select(n.cast("long").alias("frame_index"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("time"), "value").write.parquet(path)
-    return episodes.timestamps(spark, path, "time", 100.0, own.count()).withColumn("timestamp", F.round("timestamp", 3))
-
-
-@query("src8_baseline", "SELECT CASE WHEN object_id < 3 THEN 'objects' ELSE 'robot' END AS layer, frame_idx, count(*) AS rows_ FROM v_top WHERE frame_idx BETWEEN 10 AND 20 GROUP BY ALL")
+    own.repartition("episode_id").write.partitionBy("episode_id").parquet(path)
+    clips = own.groupBy("episode_id").agg(F.count("*").alias("frames")).withColumn("start", F.col("episode_id") % 7)
+    files = spark.read.schema("frame_index long, time double, value double, episode_id long").parquet(path)
+    return episodes.clip_times(files, clips, "time").withColumn("timestamp", F.round("timestamp", 3))
+
+
+@query("src8_baseline", """
+WITH layers AS (SELECT task_id, episode_id, camera, frame_idx, object_id, confidence, CASE WHEN object_id < 3 THEN 'objects' ELSE 'robot' END AS layer FROM v_top),
+now AS (SELECT layer, camera, count(*) AS n, sum(CAST(round(confidence * 1000000) AS BIGINT)) AS units FROM layers GROUP BY ALL),
+recorded AS (SELECT layer, camera, n, units FROM (
+  SELECT layer, camera, count(*) AS n, sum(CAST(round(CASE WHEN task_id = 1 AND camera = 'head' THEN 0 ELSE confidence END * 1000000) AS BIGINT)) AS units FROM layers GROUP BY ALL) AS r WHERE NOT (layer = 'robot' AND camera = 'left_wrist')),
+state AS (SELECT n.layer, n.camera, CASE WHEN r.layer IS NULL THEN 'unlisted' WHEN r.n <> n.n OR r.units <> n.units THEN 'changed' END AS problem FROM now n LEFT JOIN recorded r ON n.layer = r.layer AND n.camera = r.camera)
+SELECT l.layer, l.camera, l.frame_idx, s.problem, count(*) AS rows_ FROM layers l JOIN state s ON l.layer = s.layer AND l.camera = s.camera GROUP BY ALL""")
 def src8(spark: SparkSession, sf: str) -> DataFrame:
-    """A slice of two layers, after a check of their sources' hashes."""
+    """Two layers in one table, and of each source (layer and camera) whether its content is what was recorded; one source was changed since, one isn't listed."""
     rows = view(spark, sf, "v_top")
-    hashes = spark.createDataFrame([("objects.parquet", "a"), ("robot.parquet", "b")], "path string, sha256 string")
-    both = episodes.baseline(rows.where("object_id < 3"), rows.where("object_id >= 3"), 10, 20, {"objects.parquet": "a", "robot.parquet": "b"}, hashes)
-    return both.groupBy("layer", "frame_idx").agg(F.count("*").alias("rows_"))
+    layer = F.when(F.col("object_id") < 3, "objects").otherwise("robot")
+
+    def digests(confidence: Column) -> DataFrame:
+        units = F.sum(F.round(confidence * 1_000_000).cast("long"))
+        return rows.groupBy(F.concat_ws("/", layer, "camera").alias("path")).agg(F.concat_ws(":", F.count("*"), units).alias("sha256"))
 
+    recorded = digests(F.when((F.col("task_id") == 1) & (F.col("camera") == "head"), 0).otherwise(F.col("confidence"))).where("path <> 'robot/left_wrist'")
+    problems = episodes.hash_mismatches(recorded, digests(F.col("confidence")))
+    every = episodes.baseline(rows.where("object_id < 3"), rows.where("object_id >= 3"), 0, 2**31 - 1)
+    x = every.withColumn("path", F.concat_ws("/", "layer", "camera")).join(problems, "path", "left")
+    return x.groupBy("layer", "camera", "frame_idx", "problem").agg(F.count("*").alias("rows_"))
 
-@query("snk7_versioned_output", "SELECT count(*) AS rows_, true AS refused FROM v_top WHERE object_id = 1")
+
+@query("snk7_versioned_output", "SELECT task_id, count(*) AS rows_, true AS refused FROM v_top GROUP BY ALL")
 def snk7(spark: SparkSession, sf: str) -> DataFrame:
     """A version that is there is never written over."""
-    path, rows = folder(spark), _labels(spark, sf).where("object_id = 1")
+    path, rows = folder(spark), _labels(spark, sf)
     sinks.write_rows(rows, path)
     try:
-        sinks.write_rows(rows, path)
+        sinks.write_rows(rows.withColumn("task_id", F.lit(-1)), path)
         refused = False
     except AnalysisException:
         refused = True
-    return spark.read.parquet(path).agg(F.count("*").alias("rows_")).withColumn("refused", F.lit(refused))
+    return spark.read.parquet(path).groupBy("task_id").agg(F.count("*").alias("rows_")).withColumn("refused", F.lit(refused))
 
 
 @query("f14_save_stamp", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS saved_at FROM events")
@@ -224,9 +244,13 @@ def f14(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "events").select("event_id", boxes.iso_utc(F.col("ts").cast("timestamp")).alias("saved_at"))
 
 
-@query("src10_clip_rows", "SELECT range AS local_frame_idx, 10 + 5 * range AS source_frame_idx FROM range(128)")
+@query("src10_clip_rows", """
+WITH clips AS (SELECT user_id, min(event_id) % 50 AS start, least(128, count(*)) AS n, 1 + user_id % 5 AS step FROM events GROUP BY user_id)
+SELECT user_id AS clip_id, i AS local_frame_idx, start + i * step AS source_frame_idx FROM clips, unnest(range(n)) AS u(i)""")
 def src10(spark: SparkSession, sf: str) -> DataFrame:
-    return episodes.clip_rows(spark, 10, 128, 5)
+    """The rows that an extract of each clip takes from its source."""
+    clips = view(spark, sf, "events").groupBy(F.col("user_id").alias("clip_id")).agg((F.min("event_id") % 50).alias("start"), F.least(F.lit(128), F.count("*")).alias("frames"))
+    return episodes.rows_of_clips(clips.withColumn("step", 1 + F.col("clip_id") % 5))
 
 
 @query("r10_legacy_assembly", "WITH v AS (SELECT sample_id, frame_idx, object_id, CASE WHEN frame_idx BETWEEN 30 AND 60 THEN 'partial_occlusion' WHEN frame_idx BETWEEN 0 AND 200 THEN 'visible' ELSE 'unknown' END AS scene, sample_id % 6 = 0 AS refined, iou FROM v_vis) SELECT sample_id, CASE WHEN refined THEN 'refined' WHEN scene = 'unknown' THEN 'none' ELSE 'scene' END AS source, scene AS visibility, CASE WHEN refined THEN iou WHEN scene <> 'unknown' THEN round(iou / 2, 6) END AS confidence FROM v")

@@ -90,6 +90,22 @@ def timestamps(spark: SparkSession, path: str, column: str = "timestamp", start:
     return out
 
 
+def clip_times(files: DataFrame, clips: DataFrame, column: str = "timestamp") -> DataFrame:
+    """(episode_id, frame_idx, timestamp) of many clips' files, read as one table (episode_id, frame_index, ``column``).
+
+    ``clips`` (episode_id, start, frames) has each clip's start, which is added, and the frames it announces. Raises if a clip has more or fewer times, or one
+    that is null or not finite; files of clips that aren't listed raise too.
+    """
+    times = files.select("episode_id", F.col("frame_index").alias("frame_idx"), F.col(column).cast("double").alias("__t"))
+    real = F.coalesce(~F.isnan("__t") & (F.abs("__t") < float("inf")), F.lit(False))
+    got = times.groupBy(F.col("episode_id").alias("__e")).agg(F.count("*").alias("n"), F.count_if(~real).alias("unreal"))
+    both = clips.join(got, F.col("episode_id") == F.col("__e"), "full")
+    fail_on(both.where(~F.coalesce(F.col("n"), F.lit(0)).eqNullSafe(F.coalesce(F.col("frames"), F.lit(-1)))), "a clip with more or fewer times than frames")
+    fail_on(both.where("unreal > 0"), "a time that isn't finite")
+    own = clips.select(F.col("episode_id").alias("__e"), "start")
+    return times.join(own, F.col("episode_id") == F.col("__e")).select("episode_id", "frame_idx", (F.col("__t") + F.col("start")).alias("timestamp"))
+
+
 def stride(frames: DataFrame, step: int = 1, most: int = 0) -> DataFrame:
     """Each stream's frames whose index divides by ``step``; the first ``most`` of them, 0 for all."""
     if step < 1 or most < 0:
@@ -198,6 +214,14 @@ def clip_rows(spark: SparkSession, start: int, count: int, step: int) -> DataFra
     return spark.range(count).select(F.col("id").alias("local_frame_idx"), (F.lit(start) + F.col("id") * step).alias("source_frame_idx"))
 
 
+def rows_of_clips(clips: DataFrame, most: int = 128) -> DataFrame:
+    """(clip_id, local_frame_idx, source_frame_idx) of many clips (clip_id, start, frames, step), each of 1 to ``most`` rows."""
+    bad = ~F.coalesce(F.col("frames").between(1, most) & (F.col("step") >= 1) & (F.col("start") >= 0), F.lit(False))
+    fail_on(clips.where(bad), f"a clip has 1 to {most} rows, from 0 on")
+    local = clips.select("clip_id", "start", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames").cast("long") - 1)).alias("local_frame_idx"))
+    return local.select("clip_id", "local_frame_idx", (F.col("start") + F.col("local_frame_idx") * F.col("step")).cast("long").alias("source_frame_idx"))
+
+
 def hash_mismatches(listed: DataFrame, found: DataFrame) -> DataFrame:
     """(path, problem): files listed but missing, found but unlisted, or with another hash; both tables are (path, sha256)."""
     x = listed.alias("l").join(found.alias("f"), F.col("l.path") == F.col("f.path"), "full")
