@@ -304,6 +304,30 @@ def test_quantiles_interpolate(spark):
     assert "b" not in got and got["c"]["x_p95"] == 2
 
 
+def test_quantiles_of_large_groups_are_exact(spark, monkeypatch):
+    """Groups that are selected between bounds, with ties, few values, infinities and a long tail; few rows are ordered in one place."""
+    import numpy as np
+
+    monkeypatch.setattr(stats, "SMALL", 200)
+    monkeypatch.setattr(stats, "ACCURACY", 500)
+    monkeypatch.setattr(stats, "ASIDE", 2 / 500 + 2 / 200)
+    r = np.random.default_rng(4)
+    groups = {
+        "even": r.random(20_001), "tied": r.integers(0, 3, 15_000).astype(float), "one": np.full(9_000, 7.5), "tail": r.pareto(1, 12_345), "small": r.random(150), "edge": np.arange(201.0),
+        "inf": np.concatenate([r.random(500), np.full(400, np.inf), np.full(3, -np.inf)])}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g string, x double").repartition(7)
+    shares = {"min": 0.0, "p1": 0.01, "median": 0.5, "p95": 0.95, "max": 1.0}
+    got = {row["g"]: row for row in stats.quantiles(df, ["g"], {"x": F.col("x"), "y": -F.col("x")}, shares).collect()}
+    for g, v in groups.items():
+        v = np.sort(v)
+        for name, own in (("x", v), ("y", np.sort(-v))):
+            for s, q in shares.items():
+                p = q * (len(own) - 1)
+                low, high = own[int(np.floor(p))], own[int(np.ceil(p))]
+                want = low if p == int(p) else low + (high - low) * (p - np.floor(p))
+                assert got[g][f"{name}_{s}"] == want or np.isnan(want) and np.isnan(got[g][f"{name}_{s}"]) or (low == high == got[g][f"{name}_{s}"]), (g, name, s)
+
+
 @pytest.mark.parametrize("cell, first", [(1024, 4096), (6, 9)])
 def test_retrieval_by_cells_and_blocks_equals_brute_force(spark, monkeypatch, cell, first):
     import numpy as np

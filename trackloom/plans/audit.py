@@ -140,10 +140,15 @@ def j4(spark: SparkSession, sf: str) -> DataFrame:
     return A.matched(rows.select("sample_id", "camera"), rows.select("sample_id", "pred_visible"), ["sample_id"]).groupBy("camera").agg(F.count("*").alias("labels"), F.count("pred_visible").alias("known"))
 
 
-@query("snk6_export_summary", "WITH s AS (SELECT clip_id, object_id, bool_or(gt_visibility <> 'unknown') AS done FROM v_vis GROUP BY ALL), f AS (SELECT clip_id, count(*) AS required, count(*) FILTER (done) AS there FROM s GROUP BY ALL) SELECT CAST(sum(required) AS BIGINT) AS required, CAST(sum(there) AS BIGINT) AS labels, count(*) FILTER (there = required) AS completed_frames, CAST(0 AS BIGINT) AS strangers FROM f")
+@query("snk6_export_summary", """
+WITH s AS (SELECT clip_id, object_id, bool_or(gt_visibility <> 'unknown') AS done, clip_id % 7 <> 0 OR object_id % 3 <> 0 AS asked FROM v_vis GROUP BY ALL),
+f AS (SELECT clip_id, count(*) FILTER (asked) AS required, count(*) FILTER (done AND asked) AS there, count(*) FILTER (done AND NOT asked) AS strangers FROM s GROUP BY ALL HAVING bool_or(asked OR done))
+SELECT CAST(sum(required) AS BIGINT) AS required, CAST(sum(there) AS BIGINT) AS labels, count(*) FILTER (there = required) AS completed_frames, CAST(sum(strangers) AS BIGINT) AS strangers FROM f""")
 def snk6(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels against a manifest that doesn't ask for some objects of some clips."""
     rows = view(spark, sf, "v_vis").withColumn("sample_id", F.col("clip_id"))
-    return A.export_summary(rows.select("sample_id", "object_id").distinct(), A.known(rows))
+    asked = rows.where("clip_id % 7 <> 0 OR object_id % 3 <> 0")
+    return A.export_summary(asked.select("sample_id", "object_id").distinct(), A.known(rows))
 
 
 @query("a23_import_histogram", "SELECT gt_visibility, CASE WHEN sample_id % 2 = 0 THEN 'assisted' ELSE 'manual' END AS origin, count(*) AS labels FROM v_vis GROUP BY ALL")
