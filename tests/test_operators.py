@@ -304,6 +304,40 @@ def test_quantiles_interpolate(spark):
     assert "b" not in got and got["c"]["x_p95"] == 2
 
 
+def test_cooldown_and_spacing_equal_the_loops(spark):
+    """Chains of many lengths, gaps over empty cells, null keys, repeated and null frames."""
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for key in ("a", "b", None, "c", "d"):
+        f = r.randint(-50, 50)
+        for _ in range({"a": 400, "b": 3, "c": 1, "d": 60}.get(key, 150)):
+            rows.append((key, key and key < "b", f, r.randint(0, 9)))
+            f += r.choice([0, 1, 1, 2, 5, 40, 7])
+    rows.append(("e", True, None, 1))
+    df = spark.createDataFrame(rows, "k string, b boolean, f int, w int")
+    for wait in (1, 7, 30):
+        want = []
+        for key in {x[:2] for x in rows}:
+            last = None
+            for f in sorted({x[2] for x in rows if x[:2] == key and x[2] is not None}):
+                if last is None or f - last >= wait:
+                    want.append((*key, f))
+                    last = f
+        assert sorted(map(tuple, sequences.cooldown(df, ["k", "b"], "f", wait).collect()), key=str) == sorted(want, key=str)
+    for gap, most in ((60, 2), (5, 4), (1, 1)):
+        want = []
+        for key in {x[:2] for x in rows}:
+            kept = []
+            for _, f in sorted((-x[3], x[2]) for x in rows if x[:2] == key and x[2] is not None):
+                if len(kept) < most and all(abs(f - g) >= gap for g in kept):
+                    kept.append(f)
+            want += [(*key, f) for f in kept]
+        assert sorted(map(tuple, sequences.spaced(df, ["k", "b"], "f", [-F.col("w")], gap, most).collect()), key=str) == sorted(want, key=str)
+    assert sequences.cooldown(df.limit(0), ["k"], "f", 5).count() == 0 and sequences.spaced(df.limit(0), ["k"], "f", [F.col("w")]).count() == 0
+
+
 def test_quantiles_of_large_groups_are_exact(spark, monkeypatch):
     """Groups that are selected between bounds, with ties, few values, infinities and a long tail; few rows are ordered in one place."""
     import numpy as np

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from trackloom.operators.tables import written
+
 #: Rows of a fold's output in a batch.
 FOLD_ROWS = 5000
 STREAM = ["episode_id", "camera"]
@@ -51,29 +53,64 @@ def islands(df: DataFrame, keys: list[str], order: str, inside: Column, gap: int
 def cooldown(df: DataFrame, keys: list[str], frame: str, wait: int) -> DataFrame:
     """(keys, frame) of rows that come ``wait`` frames or more after the last one kept; the first of a key is kept.
 
-    What counts is the last row kept, not the last row, so each key's sorted frames are folded by an ``aggregate``. Equal
-    frames count once. A key is one object and reason of a stream.
+    What counts is the last row kept, not the last row. Each frame points to the first one that could be kept after it; those kept are what the first
+    frame reaches. Pointers are doubled: with those that lead 1, 2, 4, ... steps on, the frames reached so far reach as many again, in as many
+    rounds of joins as the longest chain's length has binary digits, whatever streams a key has. Equal frames count once, a null frame is left out, nulls among keys are equal. ``wait`` is positive.
     """
-    sorted_ = df.groupBy(*keys).agg(F.sort_array(F.collect_set(F.col(frame).cast("long"))).alias("frames"))
-
-    # try_element_at keeps an empty list from being an error
-    def safe(kept: Column, x: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        return F.when(last.isNull() | (x - last >= wait), F.concat(kept, F.array(x))).otherwise(kept)
-
-    return sorted_.select(*keys, F.explode(F.aggregate("frames", F.array().cast("array<bigint>"), safe)).alias(frame))
+    if wait < 1:
+        raise ValueError("a wait below 1")
+    frames = df.where(F.col(frame).isNotNull()).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(frame).cast("long").alias("__f")).distinct()
+    own = [f"__k{i}" for i in range(len(keys))]
+    jumps = written(_next_after(frames, own, wait))
+    reached = written(frames.groupBy(*own).agg(F.min("__f").alias("__f")))
+    while True:
+        met = jumps.select(*[F.col(k).alias(f"{k}_") for k in own], F.col("__f").alias("__at"), F.col("__to"))
+        on = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in own]
+        more = written(reached.join(met, [*on, F.col("__f") == F.col("__at")]).select(*own, F.col("__to").alias("__f")))
+        if more.isEmpty():
+            return reached.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], F.col("__f").alias(frame))
+        reached = reached.unionByName(more)
+        jumps = written(jumps.join(met.withColumnRenamed("__to", "__on"), [*on, F.col("__to") == F.col("__at")]).select(*own, "__f", F.col("__on").alias("__to")))
+
+
+def _next_after(frames: DataFrame, keys: list[str], wait: int) -> DataFrame:
+    """(keys, __f, __to): the first frame ``wait`` or more after each, where there is one.
+
+    Frames lie in cells of ``wait`` frames. The next one is in the cell after the own one, where it is the first that is late enough, or it is the first of
+    the next cell that has any; so rows are ordered within cells, and only a row a cell is ordered along a key.
+    """
+    cell = F.floor(F.col("__f") / wait).cast("long")
+    x = frames.withColumn("__c", cell)
+    firsts = x.groupBy(*keys, "__c").agg(F.min("__f").alias("__first"))
+    along = W.partitionBy(*keys).orderBy("__c")
+    cells = firsts.select(*keys, "__c", F.lead("__c").over(along).alias("__c1"), F.lead("__first").over(along).alias("__f1"), F.lead("__first", 2).over(along).alias("__f2"))
+    # frames of a cell, and what frames of the cell before ask for, in falling order: the last frame before a question is the answer
+    asks = x.select(*keys, (F.col("__c") + 1).alias("__c"), (F.col("__f") + wait).alias("__pos"), F.col("__f"), F.lit(None).cast("long").alias("__there"))
+    there = x.select(*keys, "__c", F.col("__f").alias("__pos"), F.lit(None).cast("long").alias("__f"), F.col("__f").alias("__there"))
+    fall = W.partitionBy(*keys, "__c").orderBy(F.desc("__pos"), F.desc_nulls_last("__there")).rowsBetween(W.unboundedPreceding, 0)
+    found = there.unionByName(asks).withColumn("__in", F.last("__there", ignorenulls=True).over(fall)).where("__f IS NOT NULL").withColumn("__c", F.col("__c") - 1)
+    at = cells.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("__c").alias("__at"), "__c1", "__f1", "__f2")
+    both = found.join(at, [*[F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], F.col("__c") == F.col("__at")])
+    beyond = F.when(F.col("__c1") == F.col("__c") + 1, F.col("__f2")).otherwise(F.col("__f1"))
+    return both.select(*keys, "__f", F.coalesce("__in", beyond).alias("__to")).where("__to IS NOT NULL")
 
 
 def spaced(df: DataFrame, keys: list[str], frame: str, rank: list[Column], gap: int = 60, most: int = 2) -> DataFrame:
-    """(keys, frame) chosen greedily in the order of ``rank``: a frame stays if it is ``gap`` from all kept, ``most`` at most."""
-    item = F.struct(*[c.alias(f"r{k}") for k, c in enumerate(rank)], F.col(frame).cast("long").alias("f"))
-    sorted_ = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
-
-    def step(kept: Column, x: Column) -> Column:
-        free = (F.size(kept) < most) & F.forall(kept, lambda k: F.abs(k - x["f"]) >= gap)
-        return F.when(free, F.concat(kept, F.array(x["f"]))).otherwise(kept)
+    """(keys, frame) chosen greedily in the order of ``rank``, then of frames: a frame stays if it is ``gap`` from all kept, ``most`` at most.
 
-    return sorted_.select(*keys, F.explode(F.aggregate("items", F.array().cast("array<bigint>"), step)).alias(frame))
+    Each choice is an aggregate over all rows that are far enough from what was chosen before, ``most`` frames a key; nulls among keys are equal.
+    """
+    own = [f"__k{i}" for i in range(len(keys))]
+    rows = df.where(F.col(frame).isNotNull()).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c.alias(f"__r{i}") for i, c in enumerate(rank)], F.col(frame).cast("long").alias("__f"))
+    item = F.struct(*[f"__r{i}" for i in range(len(rank))], "__f")
+    chosen = rows.groupBy(*own).agg(F.array(F.min(item)["__f"]).alias("__kept"))
+    for _ in range(most - 1):
+        before = chosen.select(*[F.col(k).alias(f"{k}_") for k in own], "__kept")
+        x = rows.join(before, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in own])
+        free = F.forall("__kept", lambda f: F.abs(f - F.col("__f")) >= gap)
+        found = x.groupBy(*own).agg(F.first("__kept").alias("__kept"), F.min(F.when(free, item))["__f"].alias("__next"))
+        chosen = found.select(*own, F.when(F.col("__next").isNull(), F.col("__kept")).otherwise(F.concat("__kept", F.array("__next"))).alias("__kept"))
+    return chosen.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], F.explode(F.slice("__kept", 1, most)).alias(frame))
 
 
 def or_middle(chosen: DataFrame, frames: DataFrame, keys: list[str], frame: str) -> DataFrame:
