@@ -201,6 +201,125 @@ def test_every_situation_of_the_recovery_loop():
     assert len(seen) == 5 + 3
 
 
+def drawn(seed, frames=120, objects=3):
+    """Observations of some streams with several objects a frame."""
+    import random
+
+    r = random.Random(seed)
+    rows = []
+    for clip in range(4):
+        for frame in sorted(r.sample(range(3 * frames), frames)):
+            for o in range(r.randint(1, objects)):
+                hit = r.random() < 0.4
+                rows.append(dict(clip_id=clip, object_id=o, frame_idx=frame, keyframe=frame % 10 < 4, hit=hit, candidate=hit, tiny=r.random() < 0.15, severe=r.random() < 0.1,
+                                 presence=r.random(), confidence=r.random(), empty=r.random() < 0.3, agreement=r.choice([None, 0.1, 0.28, 0.9]), confirm=r.choice([None, 0.1, 0.5, 0.9]),
+                                 admitted=hit and r.random() < 0.7, first=frame < 5, prompt=r.choice([None, None, "visible", "not_visible"])))
+    return rows
+
+
+DRAWN = ("clip_id long, object_id long, frame_idx long, keyframe boolean, hit boolean, candidate boolean, tiny boolean, severe boolean, presence double, confidence double, empty boolean, "
+         "agreement double, confirm double, admitted boolean, first boolean, prompt string")
+
+
+def by_frame(rows):
+    from itertools import groupby
+
+    for clip in sorted({o["clip_id"] for o in rows}):
+        own = sorted((o for o in rows if o["clip_id"] == clip), key=lambda o: (o["frame_idx"], o["object_id"]))
+        yield clip, [(f, list(g)) for f, g in groupby(own, key=lambda o: o["frame_idx"])]
+
+
+def test_dense_driver_equals_the_loop(spark):
+    """Frames one by one: one cooldown for the stream, any object's anomaly looks at all objects."""
+    rows = drawn(3)
+    want = set()
+    for clip, frames in by_frame(rows):
+        misses, active, segment, last = {}, {}, {}, -1000
+        for f, seen in frames:
+            gone = set()
+            for o in seen:
+                k = o["object_id"]
+                if o["keyframe"]:
+                    misses[k] = 0 if o["hit"] else misses.get(k, 0) + 1
+                if misses.get(k, 0) >= 3 and o["tiny"] and o["presence"] < 0.5:
+                    gone.add(k)
+            odd = [o for o in seen if (o["severe"] or o["tiny"]) and o["object_id"] not in gone]
+            look = bool(odd) and f - last >= 10 and not seen[0]["keyframe"]
+            last = f if look else last
+            for o in seen:
+                k = o["object_id"]
+                what = ("keep", "tracked")
+                if k in gone:
+                    what, active[k] = ("terminate", "low_presence_border_residue_termination"), False
+                elif look and o in odd:
+                    what = ("keep", "anomaly_without_candidate")
+                    if o["hit"] and o["confidence"] >= 0.5:
+                        what, active[k], segment[k] = ("seed", "redetect_reseed"), True, segment.get(k, 0) + 1
+                want.add((clip, k, f, *what, active.get(k, False), segment.get(k, 0)))
+    got = machines.dense(spark.createDataFrame([tuple(o.values()) for o in rows], DRAWN), ["clip_id"]).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+    assert {"terminate", "seed"} <= {x[3] for x in want} and machines.dense(spark.createDataFrame([], DRAWN), ["clip_id"]).count() == 0
+
+
+def test_two_arm_trial_equals_the_loop(spark):
+    """Frames one by one, all objects of a stream checked together; written as conditions on each object's history."""
+    rows = drawn(6)
+    want = set()
+    for clip, frames in by_frame(rows):
+        checked, state = None, {}
+        for f, seen in frames:
+            for o in seen:
+                h = state.setdefault(o["object_id"], dict(on=False, seeds=0, quiet=0, missed=0, prior=None))
+                h["quiet"] = h["quiet"] + 1 if o["empty"] else 0
+            trouble = any(o["severe"] or o["tiny"] or not state[o["object_id"]]["on"] for o in seen)
+            check = f % 15 == 0 or trouble and (checked is None or f - checked >= 5)
+            if check:
+                checked = f
+            for o in seen:
+                h, event = state[o["object_id"]], ("keep", "no_change" if check else "no_check")
+                if check:
+                    sure = o["candidate"] and h["prior"] is not None and f - h["prior"] <= 15 and (o["confirm"] or 0) >= 0.25
+                    h["prior"], h["missed"] = (f, 0) if o["candidate"] else (None, h["missed"] + 1)
+                    if sure and (h["seeds"] == 0 or not h["on"] or o["severe"] or o["tiny"] or (o["agreement"] or 0) < 0.3):
+                        event = ("seed", "initial_seed_shared" if h["seeds"] == 0 else "suspicious_reseed" if h["on"] else "reentry_reseed")
+                        h.update(on=True, seeds=h["seeds"] + 1, quiet=0)
+                    elif h["on"] and h["missed"] >= 3:
+                        why = "lost_empty_no_detector_support" if h["quiet"] >= 3 else "suspected_out_of_view_residue" if o["tiny"] else None
+                        why = why or ("lost_unreliable_no_detector_support" if o["severe"] and o["presence"] < 0.5 else None)
+                        if why:
+                            event, h["on"] = ("terminate", why), False
+                want.add((clip, o["object_id"], f, *event, h["on"], h["seeds"]))
+    got = machines.trial(spark.createDataFrame([tuple(o.values()) for o in rows], DRAWN), ["clip_id"]).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+    assert {"initial_seed_shared", "suspicious_reseed", "reentry_reseed"} <= {x[4] for x in want} and "terminate" in {x[3] for x in want}
+
+
+@pytest.mark.parametrize("mode", ["guarded_replace", "guarded_all", "assisted"])
+def test_guarded_modes_equal_their_rules(spark, mode):
+    """Each observation judged from the whole history before it."""
+    from functools import partial
+
+    rows = drawn(9)
+    df = spark.createDataFrame([tuple(o.values()) for o in rows], DRAWN)
+    got = {(r.clip_id, r.object_id, r.frame_idx): (r.action, r.active) for r in machines.run(df, ["clip_id", "object_id"], partial(machines.guard, mode=mode)).collect()}
+    for clip, k in {(o["clip_id"], o["object_id"]) for o in rows}:
+        own = sorted((o for o in rows if (o["clip_id"], o["object_id"]) == (clip, k)), key=lambda o: o["frame_idx"])
+        past = []
+        for o in own:
+            on = past[-1][1] if past else False
+            let = [p["frame_idx"] for p, (_, _, ok) in zip(own, past) if ok]
+            ok = o["candidate"] if mode == "guarded_replace" and o["first"] else o["admitted"]
+            if mode == "assisted":
+                action, ok = {None: "keep", "visible": "seed"}.get(o["prompt"], "clear_unknown"), False
+            elif ok:
+                action = "keep" if on and (o["agreement"] or 0) >= 0.25 else "seed"
+            else:
+                action = "clear_unknown" if mode == "guarded_all" and on and o["frame_idx"] - max(let) >= 30 else "keep"
+            on = True if action == "seed" else False if action == "clear_unknown" else on
+            past.append((action, on, ok))
+            assert got[clip, k, o["frame_idx"]] == (action, on)
+
+
 def test_guarded_expiry():
     o = {"frame_idx": 0, "first": True, "candidate": True, "admitted": True, "agreement": None, "prompt": None}
     t, action, _ = machines.guard(machines.new_track(), o, "guarded_all")

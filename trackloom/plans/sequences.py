@@ -71,14 +71,32 @@ def st6c(spark: SparkSession, sf: str) -> DataFrame:
     return M.run(observations(spark, sf), KEYS, partial(M.guard, mode="assisted")).select(*KEYS, "frame_idx", "action")
 
 
-@query("st7_dense_driver")
+@query("st7_dense_driver", """
+WITH RECURSIVE o AS (
+  SELECT clip_id, object_id, frame_idx, coalesce(pred_visible, false) AS hit, sample_id % 13 = 0 AS tiny, coalesce(iou < 0.05, false) OR sample_id % 13 = 0 AS odd,
+    (sample_id % 97) / 97 < 0.5 AS low, coalesce(iou >= 0.5, false) AS sure, frame_idx % 10 = 0 AS keyframe FROM v_vis),
+s AS (SELECT *, sum(CASE WHEN keyframe AND hit THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, object_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS streak FROM o),
+m AS (SELECT *, sum(CASE WHEN keyframe AND NOT hit THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id, object_id, streak ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) >= 3 AND tiny AND low AS ends FROM s),
+asked AS (SELECT clip_id, frame_idx, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) AS n FROM (SELECT DISTINCT clip_id, frame_idx FROM m WHERE odd AND NOT ends AND NOT keyframe) AS d),
+fold AS (
+  SELECT clip_id, frame_idx, n, frame_idx AS last, true AS look FROM asked WHERE n = 1
+  UNION ALL
+  SELECT a.clip_id, a.frame_idx, a.n, CASE WHEN a.frame_idx - f.last >= 10 THEN a.frame_idx ELSE f.last END, a.frame_idx - f.last >= 10
+  FROM fold f JOIN asked a ON f.clip_id = a.clip_id AND a.n = f.n + 1),
+acts AS (
+  SELECT m.*, CASE WHEN ends THEN 'terminate' WHEN look AND odd AND hit AND sure THEN 'seed' ELSE 'keep' END AS action,
+    CASE WHEN ends THEN 'low_presence_border_residue_termination' WHEN look AND odd AND hit AND sure THEN 'redetect_reseed' WHEN look AND odd THEN 'anomaly_without_candidate' ELSE 'tracked' END AS reason
+  FROM m LEFT JOIN (SELECT clip_id, frame_idx, true AS look FROM fold WHERE look) AS l ON m.clip_id = l.clip_id AND m.frame_idx = l.frame_idx)
+SELECT clip_id, object_id, frame_idx, action, reason, coalesce(last_value(CASE action WHEN 'seed' THEN true WHEN 'terminate' THEN false END IGNORE NULLS) OVER w, false) AS active,
+  CAST(sum(CASE WHEN action = 'seed' THEN 1 ELSE 0 END) OVER w AS INT) AS segment
+FROM acts WINDOW w AS (PARTITION BY clip_id, object_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING)""")
 def st7(spark: SparkSession, sf: str) -> DataFrame:
-    return M.run(observations(spark, sf), KEYS, M.dense)
+    return M.dense(observations(spark, sf), ["clip_id"])
 
 
 @query("st8_two_arm_trial")
 def st8(spark: SparkSession, sf: str) -> DataFrame:
-    return M.run(observations(spark, sf), KEYS, M.paired)
+    return M.trial(observations(spark, sf), ["clip_id"])
 
 
 _P = {k: v.replace("p_.", "p_") for k, v in _sql("p_", "").items()}
