@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from trackloom.functions import boxes
 from trackloom.functions import runs as R
+from trackloom.functions.registration import turned
 from trackloom.operators import masks as M
+from trackloom.operators import registration
 from trackloom.operators.stats import quantiles
 from trackloom.plans.detection import OBJECTS, _sql, objects
 from trackloom.plans.masks import _AREA, _CELLS, _GROWN, _PAIRS, H, WIDTH, mask_rows
@@ -266,3 +268,33 @@ def r10b(spark: SparkSession, sf: str) -> DataFrame:
     source = F.when(F.col("refined").isNotNull(), "refined").when(F.col("visibility") == "unknown", "none").otherwise("scene")
     value = F.when(F.col("refined").isNotNull(), F.col("refined")).when(F.col("visibility") != "unknown", F.round(F.col("iou") / 2, 6))
     return x.select("sample_id", source.alias("source"), "visibility", value.alias("confidence"))
+
+
+_POINTS = """p AS (
+  SELECT user_id, event_id, user_id % 6 AS reference, CASE user_id % 3 WHEN 0 THEN 'head' ELSE 'wrist' END AS camera,
+    CAST((event_id * 37) % 640 AS DOUBLE) AS x, CAST((event_id * 53) % 360 AS DOUBLE) AS y, event_id % (2 + user_id % 3) = 0 AS wrong, CAST(0.6 + 0.1 * (user_id % 11) AS DOUBLE) AS scale, CAST(0.1 * (user_id % 4) AS DOUBLE) AS turn
+  FROM events)"""
+
+
+@query("loc_registration", f"""WITH {_POINTS},
+g AS (
+  SELECT user_id, reference, camera, scale, turn, count(*) AS matches, count(*) FILTER (NOT wrong) AS inliers, sqrt(pow(max(x) FILTER (NOT wrong) - min(x) FILTER (NOT wrong), 2) + pow(max(y) FILTER (NOT wrong) - min(y) FILTER (NOT wrong), 2)) AS extent,
+    scale * (cos(turn) * avg(x) - sin(turn) * avg(y)) + 20 * (user_id % 2) - avg(x) AS moved
+  FROM p GROUP BY user_id, reference, camera, scale, turn)
+SELECT user_id AS image_id, reference, camera, matches, inliers, round(scale, 4) AS scale, round(degrees(turn), 2) AS degrees,
+  CASE WHEN inliers < 7 OR 2 * inliers < matches THEN 'few_inliers' WHEN NOT (round(scale, 4) > 0.65 AND round(scale, 4) < 1.55) THEN 'scale' WHEN camera = 'head' AND abs(moved) > 0.22 * 640 THEN 'posture' WHEN extent < 35 THEN 'extent' END AS refusal
+FROM g WHERE matches >= 7 AND inliers >= 7 AND 5 * inliers >= 2 * matches""")
+def loc(spark: SparkSession, sf: str) -> DataFrame:
+    """References found in images by matches of points, of which every second, third or fourth is wrong; each image's scale and turn come out as they were put in."""
+    e = view(spark, sf, "events")
+    x, y = ((F.col("event_id") * 37) % 640).cast("double"), ((F.col("event_id") * 53) % 360).cast("double")
+    scale, turn = 0.6 + 0.1 * (F.col("user_id") % 11), 0.1 * (F.col("user_id") % 4)
+    wrong = F.col("event_id") % (2 + F.col("user_id") % 3) == 0
+    matches = e.select(
+        F.col("user_id").alias("image_id"), (F.col("user_id") % 6).alias("reference"), F.when(F.col("user_id") % 3 == 0, "head").otherwise("wrist").alias("camera"), x.alias("source_x"), y.alias("source_y"),
+        (scale * (F.cos(turn) * x - F.sin(turn) * y) + 20 * (F.col("user_id") % 2) + F.when(wrong, 97 + (F.col("event_id") * 7919) % 211).otherwise(0)).alias("target_x"),
+        (scale * (F.sin(turn) * x + F.cos(turn) * y) - F.when(wrong, 83 + (F.col("event_id") * 104729) % 173).otherwise(0)).alias("target_y"))
+    found = registration.located(matches)
+    grown, degrees = turned(F.col("ax"), F.col("ay"))
+    return found.where("inliers >= 7 AND 5 * inliers >= 2 * matches").select(
+        "image_id", "reference", "camera", "matches", "inliers", F.round(grown, 4).alias("scale"), F.round(degrees, 2).alias("degrees"), "refusal")
