@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.operators import audit as A
+from trackloom.operators import rules as L
 from trackloom.registry import query
 from trackloom.sources.fixtures import view
 
@@ -153,7 +154,7 @@ def snk6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a23_import_histogram", "SELECT gt_visibility, CASE WHEN sample_id % 2 = 0 THEN 'assisted' ELSE 'manual' END AS origin, count(*) AS labels FROM v_vis GROUP BY ALL")
 def a23(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "v_vis").groupBy("gt_visibility", F.when(F.col("sample_id") % 2 == 0, "assisted").otherwise("manual").alias("origin")).agg(F.count("*").alias("labels"))
+    return L.label_origins(view(spark, sf, "v_vis"), "gt_visibility", F.col("sample_id") % 2 == 0)
 
 
 @query("w24_time_order", "SELECT clip_id, count(*) AS samples, count(*) FILTER (ts < before) AS backwards, count(*) FILTER (ts = before) AS repeated FROM (SELECT clip_id, ts, lag(ts) OVER (PARTITION BY clip_id ORDER BY sample_id) AS before FROM v_vis) AS x GROUP BY ALL")
@@ -165,10 +166,9 @@ def w24(spark: SparkSession, sf: str) -> DataFrame:
 @query("pf7_evaluation_isolation", "SELECT camera, count(*) AS samples FROM v_vis WHERE clip_id NOT IN (SELECT clip_id FROM v_vis WHERE sample_id % 400 = 0) GROUP BY ALL")
 def pf7(spark: SparkSession, sf: str) -> DataFrame:
     rows = view(spark, sf, "v_vis")
-    return rows.join(rows.where("sample_id % 400 = 0").select("clip_id").distinct(), "clip_id", "left_anti").groupBy("camera").agg(F.count("*").alias("samples"))
+    return L.isolated(rows, F.col("sample_id") % 400 == 0, "clip_id").groupBy("camera").agg(F.count("*").alias("samples"))
 
 
 @query("pf8_metric_exclusions", "SELECT gt_visibility, count(*) FILTER (sample_id % 9 <> 0) AS scored, count(*) FILTER (sample_id % 9 = 0) AS excluded FROM v_vis GROUP BY ALL")
 def pf8(spark: SparkSession, sf: str) -> DataFrame:
-    drop = F.col("sample_id") % 9 == 0
-    return view(spark, sf, "v_vis").groupBy("gt_visibility").agg(F.count_if(~drop).alias("scored"), F.count_if(drop).alias("excluded"))
+    return L.scored_and_excluded(view(spark, sf, "v_vis"), ["gt_visibility"], F.col("sample_id") % 9 == 0)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.operators import intervals as I
+from trackloom.operators import rules as L
 from trackloom.registry import query
 from trackloom.sources.fixtures import view
 
@@ -208,16 +209,15 @@ FROM a FULL JOIN b ON a.sample_id = b.sample_id GROUP BY ALL""")
 def j19(spark: SparkSession, sf: str) -> DataFrame:
     """Each of two backends lacks a tenth of the frames; a frame of only one is unmatched."""
     x = view(spark, sf, "v_events")
-    a = x.where("sample_id % 10 <> 1").select("sample_id", F.col("gt_visibility").alias("va"), F.col("pred_visible").alias("a"), F.lit(1).alias("ina"))
-    b = x.where("sample_id % 10 <> 2").select("sample_id", F.col("gt_visibility").alias("vb"), (F.col("iou") >= 0.5).alias("b"), F.lit(1).alias("inb"))
-    both = a.join(b, "sample_id", "full").withColumn("gt_visibility", F.coalesce("va", "vb"))
-    return both.groupBy("gt_visibility").agg(F.count("*").alias("frames"), F.count_if(F.col("a") == F.col("b")).alias("agree"), F.count_if(F.col("ina").isNull() | F.col("inb").isNull()).alias("unmatched"))
+    a = x.where("sample_id % 10 <> 1").select("sample_id", "gt_visibility", "pred_visible")
+    b = x.where("sample_id % 10 <> 2").select("sample_id", "gt_visibility", (F.col("iou") >= 0.5).alias("pred_visible"))
+    return L.compared_backends(a, b, "sample_id", "gt_visibility", "pred_visible")
 
 
 @query("a15_event_counter", "SELECT camera, action, gt_visibility AS reason, count(*) AS n FROM (SELECT e.*, v.camera FROM v_events e JOIN v_vis v ON e.sample_id = v.sample_id) AS x WHERE action IS NOT NULL GROUP BY ALL")
 def a15(spark: SparkSession, sf: str) -> DataFrame:
-    x = frames(spark, sf).join(view(spark, sf, "v_vis").select("sample_id", "camera"), "sample_id").where("action IS NOT NULL")
-    return x.groupBy("camera", "action", F.col("visibility").alias("reason")).agg(F.count("*").alias("n"))
+    x = frames(spark, sf).join(view(spark, sf, "v_vis").select("sample_id", "camera"), "sample_id")
+    return L.event_counts(x.withColumn("reason", F.col("visibility")), ["camera", "reason"])
 
 
 @query("a14_canary_summary", "SELECT object_id, count(*) AS frames, count(*) FILTER (pred_visible IS NULL) AS unknown, round(avg(CAST(pred_visible = (gt_visibility IN ('visible', 'partial_occlusion')) AS INT)), 6) AS presence_accuracy FROM v_events WHERE gt_visibility <> 'unknown' GROUP BY ALL")

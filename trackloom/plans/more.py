@@ -14,7 +14,7 @@ from trackloom.functions import boxes
 from trackloom.functions import runs as R
 from trackloom.functions.registration import turned
 from trackloom.operators import masks as M
-from trackloom.operators import registration
+from trackloom.operators import registration, rules
 from trackloom.operators.stats import quantiles
 from trackloom.plans.detection import OBJECTS, _sql, objects
 from trackloom.plans.masks import _AREA, _CELLS, _GROWN, _PAIRS, H, WIDTH, mask_rows
@@ -258,16 +258,9 @@ def src10(spark: SparkSession, sf: str) -> DataFrame:
 @query("r10_legacy_assembly", "WITH v AS (SELECT sample_id, frame_idx, object_id, CASE WHEN frame_idx BETWEEN 30 AND 60 THEN 'partial_occlusion' WHEN frame_idx BETWEEN 0 AND 200 THEN 'visible' ELSE 'unknown' END AS scene, sample_id % 6 = 0 AS refined, iou FROM v_vis) SELECT sample_id, CASE WHEN refined THEN 'refined' WHEN scene = 'unknown' THEN 'none' ELSE 'scene' END AS source, scene AS visibility, CASE WHEN refined THEN iou WHEN scene <> 'unknown' THEN round(iou / 2, 6) END AS confidence FROM v")
 def r10b(spark: SparkSession, sf: str) -> DataFrame:
     """A proposal from refinement where there is one, else from the scene's intervals."""
-    def within(a: int, b: int) -> Column:
-        return F.col("frame_idx").between(a, b)
-
-    scene = F.when(within(30, 60), "partial_occlusion").when(within(0, 200), "visible").otherwise("unknown")
+    scene = rules.scene_visibility(F.col("frame_idx"), [("partial_occlusion", [(30, 60)]), ("visible", [(0, 200)])])
     x = view(spark, sf, "v_vis").select("sample_id", scene.alias("visibility"), "iou")
-    refined = x.where("sample_id % 6 = 0").select("sample_id", F.col("iou").alias("refined"))
-    x = x.join(refined, "sample_id", "left")
-    source = F.when(F.col("refined").isNotNull(), "refined").when(F.col("visibility") == "unknown", "none").otherwise("scene")
-    value = F.when(F.col("refined").isNotNull(), F.col("refined")).when(F.col("visibility") != "unknown", F.round(F.col("iou") / 2, 6))
-    return x.select("sample_id", source.alias("source"), "visibility", value.alias("confidence"))
+    return rules.assembled(x, x.where("sample_id % 6 = 0").select("sample_id", F.col("iou").alias("refined")))
 
 
 _POINTS = """p AS (

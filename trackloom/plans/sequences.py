@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import boxes
 from trackloom.operators import machines as M
+from trackloom.operators import rules as L
 from trackloom.plans.detection import _sql
 from trackloom.registry import query
 from trackloom.sources.fixtures import view
@@ -104,12 +105,7 @@ _PREV = "SELECT *, lag(frame_idx) OVER w AS p_frame, lag(x0) OVER w AS p_x0, lag
 
 
 def _confirmed(spark: SparkSession, sf: str, period: int, least: float) -> DataFrame:
-    w = W.partitionBy("episode_id", "camera", "object_id").orderBy("frame_idx")
-    x = view(spark, sf, "v_top").where("confidence >= 0.3")
-    for c in ("frame_idx", "x0", "y0", "x1", "y1"):
-        x = x.withColumn(f"p_{c}", F.lag(c).over(w))
-    near = F.coalesce(F.col("frame_idx") - F.col("p_frame_idx") <= period, F.lit(False))
-    x = x.withColumn("confirmed", near & (boxes.iou(boxes.box("p_"), boxes.box()) >= least))
+    x = L.confirmed(view(spark, sf, "v_top").where("confidence >= 0.3"), ["episode_id", "camera", "object_id"], period, least)
     return x.groupBy("camera", "object_id").agg(F.count("*").alias("observations"), F.count_if("confirmed").alias("confirmed"))
 
 
@@ -130,42 +126,26 @@ def w20(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a26_repeated_times", "SELECT user_id AS clip_id, count(*) AS samples, count(*) FILTER (d = 0) AS repeated FROM (SELECT user_id, date_trunc('hour', ts) - lag(date_trunc('hour', ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) = INTERVAL 0 HOUR AS z, epoch_us(date_trunc('hour', ts)) - lag(epoch_us(date_trunc('hour', ts))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events) AS x GROUP BY ALL")
 def a26(spark: SparkSession, sf: str) -> DataFrame:
-    hour = F.date_trunc("hour", "ts")
-    x = view(spark, sf, "events").withColumn("same", hour == F.lag(hour).over(W.partitionBy("user_id").orderBy("ts", "event_id")))
-    return x.groupBy(F.col("user_id").alias("clip_id")).agg(F.count("*").alias("samples"), F.count_if("same").alias("repeated"))
+    return L.repeated_times(view(spark, sf, "events").withColumnRenamed("user_id", "clip_id"), "clip_id", F.date_trunc("hour", "ts"), ["ts", "event_id"])
 
 
 @query("a28_joint_motion", "WITH e AS (SELECT vec_id % 20 AS episode_id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT episode_id, v, lag(v) OVER (PARTITION BY episode_id ORDER BY vec_id) AS p FROM e) SELECT episode_id, round(sum(list_sum(list_transform(range(8, 15), lambda k: abs(v[k] - p[k])))), 5) AS left_arm, round(sum(list_sum(list_transform(range(16, 23), lambda k: abs(v[k] - p[k])))), 5) AS right_arm, round(max(v[15]) - min(v[15]), 5) AS left_gripper, round(max(v[23]) - min(v[23]), 5) AS right_gripper FROM d GROUP BY ALL")
 def a28(spark: SparkSession, sf: str) -> DataFrame:
     x = view(spark, sf, "embeddings").select((F.col("vec_id") % 20).alias("episode_id"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    x = x.withColumn("p", F.lag("v").over(W.partitionBy("episode_id").orderBy("vec_id")))
-
-    def moved(first: int) -> Column:
-        both = F.zip_with(F.slice("v", first, 7), F.slice("p", first, 7), lambda a, b: F.abs(a - b))
-        return F.round(F.sum(F.aggregate(both, F.lit(0.0), lambda s, d: s + d)), 5)
-
-    def span(k: int) -> Column:
-        return F.round(F.max(F.element_at("v", k)) - F.min(F.element_at("v", k)), 5)
-
-    return x.groupBy("episode_id").agg(moved(8).alias("left_arm"), moved(16).alias("right_arm"), span(15).alias("left_gripper"), span(23).alias("right_gripper"))
+    return L.joint_motion(x, "episode_id", "vec_id", "v")
 
 
 @query("pf9_prompt_validity", "SELECT sample_id, (sample_id % 640 < 600) AND (sample_id % 3 <> 0) AND (sample_id % 11 < 9) AS valid FROM v_vis")
 def pf9(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("sample_id")
     x = view(spark, sf, "v_vis").select("sample_id", F.array(F.array(i % 640, i % 360), F.array(F.lit(5), F.lit(6)).cast("array<bigint>")).alias("points"), F.array(F.when(i % 3 != 0, 1).otherwise(0), F.lit(0)).alias("labels"), F.array(i % 11, F.lit(1), F.lit(9), F.lit(20)).alias("box"))
-    inside = F.forall("points", lambda p: (p[0] >= 0) & (p[0] < 600) & (p[1] >= 0) & (p[1] < 360))
-    labels = F.forall("labels", lambda v: v.isin(0, 1)) & F.exists("labels", lambda v: v == 1) & (F.size("labels") == F.size("points"))
-    b = F.col("box")
-    return x.select("sample_id", (inside & labels & (b[0] >= 0) & (b[0] < b[2]) & (b[1] < b[3]) & (b[2] <= 600) & (b[3] <= 360)).alias("valid"))
+    return x.select("sample_id", L.prompt_valid(F.col("points"), F.col("labels"), F.col("box"), 600, 360).alias("valid"))
 
 
 @query("f19_scene_intervals", "SELECT sample_id, CASE WHEN frame_idx BETWEEN 30 AND 60 THEN 'partial_occlusion' WHEN frame_idx BETWEEN 0 AND 100 OR frame_idx BETWEEN 150 AND 200 THEN 'visible' ELSE 'unknown' END AS visibility FROM v_vis")
 def f19(spark: SparkSession, sf: str) -> DataFrame:
-    def within(*spans: tuple[int, int]) -> Column:
-        return F.exists(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in spans]), lambda s: F.col("frame_idx").between(s["a"], s["b"]))
-
-    return view(spark, sf, "v_vis").select("sample_id", F.when(within((30, 60)), "partial_occlusion").when(within((0, 100), (150, 200)), "visible").otherwise("unknown").alias("visibility"))
+    scenes = [("partial_occlusion", [(30, 60)]), ("visible", [(0, 100), (150, 200)])]
+    return view(spark, sf, "v_vis").select("sample_id", L.scene_visibility(F.col("frame_idx"), scenes).alias("visibility"))
 
 
 @query("r10_priority_layers", "SELECT episode_id, camera, frame_idx, CAST(arg_max(object_id, (priority, object_id)) AS BIGINT) AS owner, count(*) AS claims FROM (SELECT *, (object_id * 3) % 5 AS priority FROM v_top) AS x GROUP BY ALL")
