@@ -31,6 +31,37 @@ def test_disappearance_is_a_row(spark):
     assert set(got) == {5, 10} and got[5]["disappeared"] and got[5]["frame_gap"] == 5 and got[10]["reappeared"] and got[10]["iou"] is None
 
 
+@pytest.mark.parametrize("iou, strict, most", [(0.5, True, None), (0.65, False, 4), (0.1, False, None)])
+def test_suppression_in_crowded_frames_equals_the_loop(spark, iou, strict, most):
+    """Boxes of all sizes, chains, equal boxes and confidences, boxes without extent; one frame of thousands."""
+    import numpy as np
+
+    r = np.random.default_rng(13)
+    rows = []
+    for frame, n in ((1, 2500), (2, 300), (None, 200), (4, 1)):
+        c = r.integers(-40, 200 if n < 1000 else 900, (n, 2)).astype(float)
+        size = np.exp(r.uniform(0, 5, (n, 2))) if frame == 2 else r.uniform(8, 40, (n, 2))
+        size[r.random(n) < 0.03] *= 0
+        for k in range(n):
+            rows.append((frame, int(k), float(round(r.random(), 1 if frame is None else 3)), *(float(v) for v in (*c[k], *(c[k] + size[k])))))
+        rows += [(frame, 9000 + k, *rows[-1][2:]) for k in range(3)]
+    df = spark.createDataFrame(rows, "frame_idx int, t int, confidence double, x0 double, y0 double, x1 double, y1 double").repartition(3)
+    got = {(x.frame_idx, x.t) for x in detections.suppress(df, ["frame_idx"], ["t"], iou=iou, strict=strict, most=most).collect()}
+    want = set()
+    for frame in (1, 2, None, 4):
+        own = sorted((x for x in rows if x[0] == frame), key=lambda x: (-x[2], x[1]))
+        b, kept = np.array([x[3:] for x in own]), []
+        for i in range(len(own)):
+            k = b[kept]
+            inter = np.maximum(np.minimum(k[:, 2:], b[i, 2:]) - np.maximum(k[:, :2], b[i, :2]), 0).prod(axis=1)
+            union = (k[:, 2:] - k[:, :2]).prod(axis=1) + (b[i, 2:] - b[i, :2]).prod() - inter
+            value = np.divide(inter, union, out=np.zeros(len(k)), where=union != 0)
+            if not (value > iou if strict else value >= iou).any():
+                kept.append(i)
+        want |= {(frame, own[i][1]) for i in kept[:most]}
+    assert got == want
+
+
 def test_suppression_is_greedy(spark):
     rows = [(0, 1, 0.9, (0, 0, 10, 10)), (0, 1, 0.8, (3, 0, 13, 10)), (0, 1, 0.7, (6, 0, 16, 10))]
     got = detections.suppress(seen(spark, rows), ["frame_idx", "object_id"], ["t"], iou=0.5).collect()

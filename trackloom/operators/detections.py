@@ -6,12 +6,15 @@ pass no threshold.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import boxes
 from trackloom.operators import stats
+from trackloom.operators.tables import written
 
 FRAME = ["episode_id", "camera", "frame_idx"]
 STREAM = ["episode_id", "camera"]
@@ -193,28 +196,55 @@ def misses(dense: DataFrame, found: Column) -> DataFrame:
 
 
 def suppress(df: DataFrame, keys: list[str], ties: list[str], iou: float = 0.5, most: int | None = None, strict: bool = False) -> DataFrame:
-    """Greedy suppression within a group: by falling confidence a box stays if it overlaps no kept box by ``iou`` or more (over ``iou`` if strict).
+    """Greedy suppression within a group: by falling confidence a box stays if it overlaps no kept box by ``iou`` or more (over ``iou`` if strict); ``most`` boxes stay.
 
-    Order decides, so each group is folded by itself, in an ``aggregate`` over its sorted boxes; ``most`` boxes stay.
-    Groups are boxes of one class in one frame.
+    Groups are boxes of one class in one frame, of any number; equal confidences go by ``ties``, then by the box. What overlaps enough is found in a grid: boxes meet in cells of about their size.
+    Then all groups are settled together in rounds: boxes that nothing higher overlaps stay, what they overlap goes, and with these their own overlaps. The rounds are as many as the longest chain
+    of boxes each of which overlaps the next; the result is that of the greedy order. Boxes without an extent overlap nothing. ``iou`` is positive.
     """
-    item = F.struct((-F.col("confidence")).alias("rank"), *ties, *boxes.box())
-    sorted_ = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
-
-    def apart(kept: Column, x: Column) -> Column:
-        def clash(k: Column) -> Column:
-            value = boxes.iou([k[c] for c in ("x0", "y0", "x1", "y1")], [x[c] for c in ("x0", "y0", "x1", "y1")])
-            return value > iou if strict else value >= iou
-
-        return ~F.exists(kept, clash)
-
-    empty = F.filter(F.col("items"), lambda x: F.lit(False))
-
-    def step(kept: Column, x: Column) -> Column:
-        free = apart(kept, x)
-        if most is not None:
-            free = free & (F.size(kept) < most)
-        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
-
-    kept = sorted_.select(*keys, F.explode(F.aggregate("items", empty, step)).alias("box"))
-    return kept.select(*keys, (-F.col("box.rank")).alias("confidence"), *[F.col(f"box.{t}") for t in ties], *[F.col(f"box.{k}") for k in ("x0", "y0", "x1", "y1")])
+    if not iou > 0:
+        raise ValueError("an overlap above 0")
+    box = ["x0", "y0", "x1", "y1"]
+    order = [F.desc_nulls_first("confidence"), *[F.asc_nulls_first(c) for c in [*ties, *box]]]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    rows = written(df.select(*keys, "confidence", *ties, *box, place.alias("__n")).withColumn("__id", F.monotonically_increasing_id()))
+    edges = written(_overlapping(rows, keys, iou, strict))
+    gone = None
+    while not edges.isEmpty():
+        first = edges.select(F.col("high").alias("first")).distinct().join(edges.select(F.col("low").alias("first")).distinct(), "first", "left_anti")
+        drop = written(edges.join(first, F.col("high") == F.col("first")).select("low").distinct().withColumnRenamed("low", "drop"))
+        gone = drop if gone is None else gone.unionByName(drop)
+        edges = written(edges.join(drop, F.col("low") == F.col("drop"), "left_anti").join(drop, F.col("high") == F.col("drop"), "left_anti"))
+    kept = rows if gone is None else rows.join(gone, F.col("__id") == F.col("drop"), "left_anti")
+    if most is not None:
+        kept = kept.withColumn("__m", F.row_number().over(W.partitionBy(*keys).orderBy("__n"))).where(F.col("__m") <= most)
+    return kept.select(*keys, "confidence", *ties, *box)
+
+
+def _overlapping(rows: DataFrame, keys: list[str], iou: float, strict: bool) -> DataFrame:
+    """(high, low): ids of two boxes of a group that overlap enough, the one that comes first by __n and the other.
+
+    A box covers at most two by two cells of the size next above its own. Sides of boxes that overlap enough differ at most by 1 / iou, so a box is also laid into cells of the sizes
+    up to that above its own, where it meets larger boxes in their cells; a pair counts in the cell of its common corner.
+    """
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    real = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")) & (side < float("inf")) & ~F.isnan(side)
+    x = rows.where(F.coalesce(real, F.lit(False))).withColumn("__level", F.ceil(F.log2(side)).cast("int"))
+    up = math.ceil(math.log2(1 / min(iou, 1.0))) + 1
+
+    def laid(x: DataFrame, levels: Column) -> DataFrame:
+        x = x.withColumn("__at", F.explode(levels)).withColumn("__s", F.pow(F.lit(2.0), F.col("__at")))
+        for axis in ("x", "y"):
+            x = x.withColumn(f"__{axis}", F.explode(F.sequence(F.floor(F.col(f"{axis}0") / F.col("__s")), F.floor(F.col(f"{axis}1") / F.col("__s")))))
+        return x
+
+    box = ["x0", "y0", "x1", "y1"]
+    small = laid(x, F.sequence(F.col("__level"), F.col("__level") + up)).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__at", "__x", "__y", "__s", "__level", "__id", "__n", *box)
+    large = laid(x, F.array("__level")).select(*[F.col(k).alias(f"__q{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"q_{c}") for c in ("__at", "__x", "__y", "__id", "__n", *box)])
+    on = [F.col(f"__k{i}").eqNullSafe(F.col(f"__q{i}")) for i in range(len(keys))] + [F.col(c) == F.col(f"q_{c}") for c in ("__at", "__x", "__y")]
+    once = (F.col("__level") < F.col("__at")) | (F.col("__id") < F.col("q___id"))
+    corner = (F.floor(F.greatest("x0", "q_x0") / F.col("__s")) == F.col("__x")) & (F.floor(F.greatest("y0", "q_y0") / F.col("__s")) == F.col("__y"))
+    value = boxes.iou(boxes.box(), boxes.box("q_"))
+    met = small.join(large, on).where(once & corner & (value > iou if strict else value >= iou))
+    first = F.col("__n") < F.col("q___n")
+    return met.select(F.when(first, F.col("__id")).otherwise(F.col("q___id")).alias("high"), F.when(first, F.col("q___id")).otherwise(F.col("__id")).alias("low"))
