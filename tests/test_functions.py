@@ -165,3 +165,36 @@ def test_functions_by_name(spark):
     one = spark.sql("SELECT mask_inter(m, array(0L, 10L)) AS n, mask_spans(m) AS s, rle_decode(rle_encode(m)) AS back, mask_union(array(m, array(10L))) AS u, mask_and(m, m) AS same, mask_minus(m, m) AS none, mask_or(m, m) AS too FROM masks_by_name WHERE m[0] = 2").first()
     assert one["n"] == 3 and [tuple(x) for x in one["s"]] == [(2, 5)] and one["back"] == one["u"] == one["same"] == one["too"] == [2, 3, 5] and one["none"] == [10]
     assert spark.sql("SELECT mask_dilate(array(4L, 1L, 4L), 3, 1) AS g, mask_pool(array(0L, 9L), 3, 1, 1) AS p").first()["p"] == [1.0]
+
+
+def test_flange_and_conflicts_on_columns(spark):
+    """Arrow kernels against the rules for one image."""
+    from pyspark.sql import functions as F
+
+    from trackloom.operators import masks
+
+    r = np.random.default_rng(21)
+    h, w = 9, 12
+    images = r.random((12, h, w)) < 0.5
+    lines = [(6.0, 4.0, 1.0, 0.0, 1.0), (3.0, 3.0, 1.0, 2.0, 0.5)]
+    rows = [(k, runs.of_raster(images[k]).tolist(), *lines[k % 2]) for k in range(12)] + [(99, None, *lines[0])]
+    df = spark.createDataFrame(rows, "k int, runs array<long>, x double, y double, nx double, ny double, band double")
+    for got in df.select("k", runs.mask_flange("runs", F.lit(h), "x", "y", "nx", "ny", "band").alias("p")).collect():
+        if got.k == 99:
+            assert got.p is None
+            continue
+        x, y, nx, ny, band = lines[got.k % 2]
+        want = runs.flange(images[got.k], (x, y), (nx, ny), band)
+        assert all((runs.raster(np.array(p), h) == want[side]).all() for side, p in zip(runs.SIDES, got.p))
+    ids = {0: [1101, 1102, 1103], 1: [1100, 1101, 1105], 2: [1100], 3: [1107], 4: [1101, 1102]}
+    parts = [(f, o, runs.of_raster(images[(3 * f + n) % 12]).tolist()) for f, own in ids.items() for n, o in enumerate(own)] + [(4, 1109, None)]
+    df = spark.createDataFrame(parts, "f int, object_id long, runs array<long>")
+    for verified in (None, {1101, 1105}):
+        out = masks.resolved(df, ["f"], verified=None if verified is None else F.col("object_id").isin(*verified)).collect()
+        got = {(x.f, x.object_id): runs.raster(np.array(x.runs), h) for x in out}
+        assert len(got) == len(out)
+        for f, own in ids.items():
+            want = runs.resolve({o: images[(3 * f + n) % 12] for n, o in enumerate(own)}, verified=verified)
+            assert {o for g, o in got if g == f} == set(want)
+            for o, image in want.items():
+                assert (got[f, o] == image).all(), (f, o, verified)

@@ -370,15 +370,15 @@ def _combined(how: str):  # noqa: ANN202
 mask_and, mask_or, mask_minus = _combined("and"), _combined("or"), _combined("minus")
 
 
-def _united(inner: pa.Array, sizes: np.ndarray) -> pa.Array:
-    """The unions of groups of masks, ``sizes`` of them a group; null where a group has none but unknown ones."""
+def _united(inner: pa.Array, sizes: np.ndarray, least: int = 1) -> pa.Array:
+    """The pixels that ``least`` masks or more of a group hold, ``sizes`` masks a group; null where a group has none but unknown ones."""
     values, own, valid = _rows(inner)
     group = _owners(sizes)
     pixels = np.zeros(len(sizes), np.int64)
     np.maximum.at(pixels, group, pixels_of(values, own))
     bases = line(pixels)
     at, (depth,) = sweep([laid(values, own, bases[group])])
-    return _lists(*to_runs(at, depth > 0, bases, pixels), np.bincount(group, valid, len(sizes)) > 0, pa.int64())
+    return _lists(*to_runs(at, depth >= least, bases, pixels), np.bincount(group, valid, len(sizes)) > 0, pa.int64())
 
 
 @F.arrow_udf(MASK)
@@ -388,6 +388,35 @@ def mask_union(masks: pa.Array) -> pa.Array:
     return _united(masks.flatten(), sizes)
 
 
+@F.arrow_udf(MASK)
+def mask_shared(masks: pa.Array) -> pa.Array:
+    """The pixels that two or more of an array of masks hold; nulls among them are left out, and none at all gives null."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(masks), 0)).astype(np.int64)
+    return _united(masks.flatten(), sizes, 2)
+
+
+#: Sides of a line through a robot's flange.
+SIDES = ("arm", "effector", "unknown")
+
+
+@F.arrow_udf(T.ArrayType(MASK))
+def mask_flange(runs: pa.Array, h: pa.Array, x: pa.Array, y: pa.Array, nx: pa.Array, ny: pa.Array, band: pa.Array) -> pa.Array:
+    """A mask's three parts by signed distance from the line through (x, y) with the normal (nx, ny): before the band, beyond it, and in the band itself."""
+    values, sizes, ok = _rows(runs)
+    lines = np.column_stack([np.asarray(c.fill_null(0)).astype(float) for c in (x, y, nx, ny, band)])
+    parts = []
+    for rows, _, images in _stacks(values, sizes, _keys(h)):
+        v, u = np.mgrid[: images.shape[1], : images.shape[2]]
+        own, which = np.unique(lines[rows], axis=0, return_inverse=True)
+        for k, (px, py, ax, ay, wide) in enumerate(own):
+            at = rows[which.ravel() == k]
+            distance = ((u - px) * ax + (v - py) * ay) / math.hypot(ax, ay)
+            for n, side in enumerate((distance < -wide, distance > wide, np.abs(distance) <= wide)):
+                parts.append((3 * at + n, *of_rasters(images[which.ravel() == k] & side)))
+    inner = _lists(*_placed(parts, 3 * len(sizes), np.int64), np.repeat(ok, 3), pa.int64())
+    return pa.ListArray.from_arrays(pa.array(3 * np.arange(len(sizes) + 1), pa.int32()), inner, mask=pa.array(~ok))
+
+
 @F.arrow_udf(T.ArrayType(MASK))
 def mask_layers(masks: pa.Array) -> pa.Array:
     """An array of masks, each without the pixels of those before it; unknown masks stay unknown and take nothing."""
@@ -555,7 +584,7 @@ def dice(inter: Column, a: Column, b: Column) -> Column:
 def register(spark: SparkSession) -> None:
     """The functions by name, for SQL."""
     every = {
-        "mask_inter": mask_inter, "mask_and": mask_and, "mask_or": mask_or, "mask_minus": mask_minus, "mask_union": mask_union, "mask_union_agg": mask_union_agg,
+        "mask_inter": mask_inter, "mask_and": mask_and, "mask_or": mask_or, "mask_minus": mask_minus, "mask_union": mask_union, "mask_shared": mask_shared, "mask_flange": mask_flange, "mask_union_agg": mask_union_agg,
         "mask_spans": mask_spans, "rle_encode": rle_encode, "rle_decode": rle_decode, "mask_dilate": mask_dilate, "mask_pool": mask_pool}
     for name, f in every.items():
         spark.udf.register(name, f)

@@ -153,3 +153,26 @@ def layered(masks: DataFrame, priority: str = "priority") -> DataFrame:
     x = masks.groupBy(*FRAME).agg(F.sort_array(F.collect_list(item)).alias("all_"))
     x = x.withColumn("left_", R.mask_layers("all_.runs"))
     return x.select(*FRAME, F.inline(F.arrays_zip(F.col("all_.object_id").alias("object_id"), F.col("left_").alias("runs"))))
+
+
+def resolved(parts: DataFrame, keys: list[str], unknown: int = 1100, verified: Column | None = None) -> DataFrame:
+    """(keys, object_id, runs) of robot parts (keys, object_id, runs) without conflicts.
+
+    Pixels of two parts, and parts that aren't ``verified``, become the unknown part's, of which a frame gets a row always; a named part keeps its row. Null masks are left out.
+    A group is the parts of one frame.
+    """
+    named = (F.col("object_id") != unknown) & (F.lit(True) if verified is None else F.coalesce(verified, F.lit(False)))
+    rows = parts.where(F.col("runs").isNotNull()).withColumn("__named", named)
+    x = rows.groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("__named"), F.struct("object_id", "runs"))).alias("own"), F.collect_list(F.when(~F.col("__named"), F.struct("object_id", "runs"))).alias("others"))
+    x = x.withColumn("twice", R.mask_shared("own.runs"))
+    nothing = F.filter("own", lambda p: F.lit(False))
+    left = x.select(*keys, "twice", "others", F.explode_outer("own").alias("p")).withColumn("runs", F.when(F.col("p").isNotNull(), R.mask_minus(F.col("p.runs"), F.coalesce("twice", F.col("p.runs")))))
+    kept = left.where("p IS NOT NULL").select(*keys, F.col("p.object_id").alias("object_id"), "runs")
+    emptied = x.select(*keys, F.explode(F.filter("others", lambda p: p["object_id"] != unknown)).alias("p")).select(*keys, F.col("p.object_id").alias("object_id"), R.mask_minus(F.col("p.runs"), F.col("p.runs")).alias("runs"))
+    spare = x.select(*keys, R.mask_union(F.concat("others.runs", F.array("twice"))).alias("spare"), F.transform(F.coalesce("own", nothing), lambda p: p["runs"]).alias("own"), "twice")
+    rest = R.mask_minus(F.col("spare"), F.col("taken"))
+    united = spare.withColumn("all", R.mask_union("own")).withColumn("taken", F.coalesce(R.mask_minus(F.col("all"), F.col("twice")), R.mask_minus(F.col("spare"), F.col("spare"))))
+    gone = united.withColumn("none", R.mask_minus(F.col("all"), F.col("all")))
+    last = gone.select(*keys, F.lit(unknown).cast("long").alias("object_id"), F.coalesce(rest, F.col("none")).alias("runs"))
+    return kept.unionByName(emptied).unionByName(last)

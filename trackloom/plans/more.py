@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trackloom.functions import boxes
 from trackloom.functions import runs as R
@@ -95,29 +92,12 @@ def f16(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("episode_id", "camera", "frame_idx", "object_id", "mask_area", R.area(F.col("grown")).alias("grown_area"))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _split(masks: pd.Series) -> pd.Series:
-    def one(own: object) -> list[int]:
-        parts = R.flange(R.raster(np.asarray(own), H), (32.0, 18.0), (1.0, 0.0), 4.0)
-        return [int(parts[k].sum()) for k in ("arm", "effector", "unknown")]
-
-    return masks.map(one)
-
-
 @query("f18_flange_split", f"""WITH {_AREA}, cells AS (SELECT episode_id, camera, frame_idx, object_id, s // 36 AS x, e - s AS n FROM v_spans WHERE object_id = 4)
 SELECT episode_id, camera, frame_idx, CAST(coalesce(sum(n) FILTER (x < 28), 0) AS BIGINT) AS arm, CAST(coalesce(sum(n) FILTER (x > 36), 0) AS BIGINT) AS effector, CAST(coalesce(sum(n) FILTER (x BETWEEN 28 AND 36), 0) AS BIGINT) AS band FROM cells GROUP BY ALL""")
 def f18(spark: SparkSession, sf: str) -> DataFrame:
-    rows = M.from_spans(view(spark, sf, "v_spans").where("object_id = 4"), H * WIDTH).withColumn("n", _split("runs"))
-    return rows.select("episode_id", "camera", "frame_idx", F.col("n")[0].alias("arm"), F.col("n")[1].alias("effector"), F.col("n")[2].alias("band"))
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _resolved(parts: pd.Series, masks: pd.Series) -> pd.Series:
-    def one(ids: object, own: object) -> list[int]:
-        out = R.resolve({1100 + int(i): R.raster(np.asarray(m), H) for i, m in zip(ids, own)})
-        return [int(sum(v.sum() for k, v in out.items() if k != 1100)), int(out[1100].sum())]
-
-    return pd.Series([one(*x) for x in zip(parts, masks)])
+    rows = M.from_spans(view(spark, sf, "v_spans").where("object_id = 4"), H * WIDTH)
+    parts = rows.withColumn("p", R.mask_flange("runs", F.lit(H), F.lit(32.0), F.lit(18.0), F.lit(1.0), F.lit(0.0), F.lit(4.0)))
+    return parts.select("episode_id", "camera", "frame_idx", *[R.area(F.col("p")[k]).alias(name) for k, name in enumerate(("arm", "effector", "band"))])
 
 
 @query("st12_part_conflicts", f"""WITH {_AREA}, {_PAIRS}, s AS (SELECT episode_id, camera, frame_idx, sum(a) AS total, count(*) AS n FROM area WHERE object_id IN (2, 3) GROUP BY ALL)
@@ -125,9 +105,9 @@ SELECT s.episode_id, s.camera, s.frame_idx, CAST(total - 2 * coalesce(p.inter, 0
 def st12(spark: SparkSession, sf: str) -> DataFrame:
     """Pixels of two robot parts become unknown."""
     rows = M.from_spans(view(spark, sf, "v_spans").where("object_id IN (2, 3)"), H * WIDTH)
-    x = rows.groupBy("episode_id", "camera", "frame_idx").agg(F.sort_array(F.collect_list(F.struct("object_id", "runs"))).alias("p"))
-    x = x.withColumn("n", _resolved("p.object_id", "p.runs"))
-    return x.select("episode_id", "camera", "frame_idx", F.col("n")[0].alias("named"), F.col("n")[1].alias("unknown"))
+    parts = M.resolved(rows.select("episode_id", "camera", "frame_idx", (F.col("object_id") + 1100).cast("long").alias("object_id"), "runs"), ["episode_id", "camera", "frame_idx"])
+    unknown = F.col("object_id") == 1100
+    return parts.groupBy("episode_id", "camera", "frame_idx").agg(F.sum(F.when(~unknown, R.area(F.col("runs"))).otherwise(0)).alias("named"), F.sum(F.when(unknown, R.area(F.col("runs"))).otherwise(0)).alias("unknown"))
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
