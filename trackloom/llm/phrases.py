@@ -23,7 +23,7 @@ from trackloom.llm.common import arrow_batches, checkpointed, give_back, remove,
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bytes of text that are counted together; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Fixed classes of bytes: those that end a piece, and those that end a word.
 BREAKS = np.zeros(256, bool)
 BREAKS[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -32,17 +32,27 @@ IN_WORD[[0x20, 0x09]] = False
 NO_LANG = "und"
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Two int32 arrays of equal length, the first one ascending, compressed."""
-    at, ix = arrays
-    raw = np.concatenate([np.diff(at, prepend=0).astype(np.int32), ix.astype(np.int32)]).tobytes()
+def _packed(at: np.ndarray, ix: np.ndarray) -> bytes:
+    """Two arrays of equal length of whole numbers below 2**31, the first one ascending, compressed byte by byte."""
+    planes = [np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T) for x in (np.diff(at, prepend=0), ix)]
+    raw = planes[0].tobytes() + planes[1].tobytes()
     return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     size = int(np.frombuffer(blob, np.int64, 1)[0])
-    both = np.frombuffer(pa.decompress(memoryview(blob)[8:], size, codec="zstd"), np.int32)
-    return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :]
+    planes = np.frombuffer(pa.decompress(memoryview(blob)[8:], size, codec="zstd"), np.uint8).reshape(2, 4, -1)
+    gap, ix = (np.ascontiguousarray(x.T).view("<i4").ravel() for x in planes)
+    return np.cumsum(gap, dtype=np.int32), ix
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, their counts, number of each key's own), the most frequent first, so that frequent ones have small numbers."""
+    own, ix, count = np.unique(key, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(len(own), np.int32)
+    place[order] = np.arange(len(own), dtype=np.int32)
+    return own[order], count[order], place[ix]
 
 
 class _Block:
@@ -75,10 +85,10 @@ class _Block:
         """The block's words with their counts, and a row with the place and number of each word; a break between pieces leaves a gap in the places."""
         if not self.keys:
             return
-        own, ix, count = np.unique(np.concatenate(self.keys), return_inverse=True, return_counts=True)
+        own, count, ix = _numbered(np.concatenate(self.keys))
         at = np.arange(len(ix)) + np.cumsum(~np.concatenate(self.joined))
-        spelt_key = np.concatenate([k for k, _, _ in self.spelt])
-        _, first = np.unique(spelt_key, return_index=True)
+        known, first = np.unique(np.concatenate([k for k, _, _ in self.spelt]), return_index=True)
+        first = first[np.searchsorted(known, own)]
         code = np.concatenate([c for _, c, _ in self.spelt])[first]
         word = pa.concat_arrays([w for _, _, w in self.spelt]).take(pa.array(first)).cast(pa.string())
         lang = pa.array(list(self.langs)).take(pa.array(code))
@@ -128,7 +138,7 @@ def longer(state: pa.Table, frequent: pa.Table, last: bool) -> pa.Table:
     pair = np.flatnonzero(np.diff(at) == 1)
     at, key = at[pair], here[pair].astype(np.int64) * n + here[pair + 1]
     del ix, keep, here, pair
-    own, ix, count = np.unique(key, return_inverse=True, return_counts=True)
+    own, count, ix = _numbered(key)
     if not len(own):
         return empty
     rows = pa.RecordBatch.from_arrays(
