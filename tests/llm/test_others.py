@@ -278,12 +278,12 @@ def test_chroma_aligns_long_recordings():
     assert errors[0] == chroma.bit_errors(a[300:5900], part) and 0.14 < errors[0] < 0.16
 
 
-def test_chroma_aligns_within_bounds_of_bins_and_votes(monkeypatch):
+def test_chroma_aligns_within_bounds_of_bins_and_frames(monkeypatch):
     r = np.random.default_rng(10)
     prints = [r.integers(0, 4, n) for n in (30, 40, 1, 16, 17, 90)]
     whole = [x.tolist() for x in chroma.align(prints, prints)]
     monkeypatch.setattr(chroma, "BINS", 50)
-    monkeypatch.setattr(chroma, "VOTES", 70)
+    monkeypatch.setattr(chroma, "FRAMES", 70)
     assert sorted(zip(*(x.tolist() for x in chroma.align(prints, prints)))) == sorted(zip(*whole))
 
 

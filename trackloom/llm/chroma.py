@@ -28,12 +28,12 @@ SPAN = max(w for *_, w in FILTERS)
 #: Two bits a filter from its value, Gray-coded so that neighbouring levels differ in one.
 LEVELS, GRAY = np.array([-0.1, 0.0, 0.1]), np.array([0, 1, 3, 2], np.int64)
 #: Bits of a frame, bits of a slice of them, and slices; more slices than a frame of a match may have unequal bits.
-BITS, SLICE = 2 * len(FILTERS), 4
+BITS, SLICE = 2 * len(FILTERS), 3
 SLICES = BITS // SLICE
 #: Largest share of unequal bits of a match, least frames of overlap.
 MAX_BIT_ERRORS, MIN_OVERLAP = 0.20, 16
-#: Queries and classes that a task compares; bins of histograms, and votes, that are held at once.
-QUERY_BLOCK, BUCKET, BINS, VOTES = 1024, 2000, 1 << 21, 1 << 21
+#: Queries and classes that a task compares; offsets in histograms, and frames whose bits are compared, at once.
+QUERY_BLOCK, BUCKET, BINS, FRAMES = 1024, 2000, 1 << 17, 1 << 21
 NOTES = np.array([220.0 * 2 ** (k / 12) for k in range(24)])
 
 
@@ -104,24 +104,20 @@ def _overlaps(m: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return target, offset, start, np.minimum(m, lengths[target] + offset) - start
 
 
-def _histogram(query: np.ndarray, held: list[np.ndarray], bins: int) -> np.ndarray:
+def _histogram(query: np.ndarray, held: np.ndarray) -> np.ndarray:
     """Votes for each offset of each target: one for every slice of bits that a query frame and a target frame share.
 
-    ``held`` has for each slice and each value of it the bins of the target frames at query frame 0.
+    ``held`` has a row for each slice and each value of it, with ones at the offsets of the target frames that have it at query frame 0; another frame shifts them.
     """
-    votes, idx, size = np.zeros(bins, np.int64), [], 0
-    for s in range(SLICES):
-        value = query >> (SLICE * s) & (2**SLICE - 1)
-        for v in np.unique(value).tolist():
-            frames, entries = np.flatnonzero(value == v), held[s << SLICE | v]
-            step = max(1, VOTES // max(len(entries), 1))
-            for a in range(0, len(frames), step):
-                idx.append((entries + frames[a : a + step, None]).ravel())
-                size += len(idx[-1])
-                if size >= VOTES:
-                    votes += np.bincount(np.concatenate(idx), minlength=bins)
-                    idx, size = [], 0
-    return votes + np.bincount(np.concatenate(idx), minlength=bins) if idx else votes
+    votes, part, used = np.zeros(held.shape[1], np.int32), np.zeros(held.shape[1], np.uint8), 0
+    for frame, bits in enumerate(query.tolist()):
+        for s in range(SLICES):
+            part[frame:] += held[s << SLICE | bits >> SLICE * s & 2**SLICE - 1, : len(part) - frame]
+        used += SLICES
+        if used + SLICES > 255:  # what a byte holds
+            votes += part
+            part[:], used = 0, 0
+    return votes + part
 
 
 def _unequal(query: np.ndarray, frames: np.ndarray, at: np.ndarray, start: np.ndarray, overlap: np.ndarray) -> np.ndarray:
@@ -130,7 +126,7 @@ def _unequal(query: np.ndarray, frames: np.ndarray, at: np.ndarray, start: np.nd
     ends = np.cumsum(overlap)
     a = 0
     while a < len(at):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + VOTES, side="right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + FRAMES, side="right")))
         n = overlap[a:b]
         heads = np.cumsum(n) - n
         within = np.arange(int(n.sum())) - np.repeat(heads, n)
@@ -162,16 +158,14 @@ def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> tuple[np.ndar
             first = np.cumsum(lengths) - lengths
             target, offset, start, overlap = _overlaps(m, lengths)
             place = np.repeat(np.cumsum(lengths + m - 1) - m, lengths) - (np.arange(len(frames)) - np.repeat(first, lengths))
-            held = []
+            held = np.zeros((SLICES << SLICE, len(overlap)), np.uint8)
             for s in range(SLICES):
-                value = frames >> (SLICE * s) & (2**SLICE - 1)
-                order = np.argsort(value, kind="stable")
-                held += np.split(place[order], np.searchsorted(value[order], np.arange(1, 2**SLICE)))
+                held[s << SLICE | frames >> SLICE * s & 2**SLICE - 1, place] = 1
             bits = BITS * overlap
             most = np.floor(MAX_BIT_ERRORS * bits + 1e-9).astype(np.int64)
             need = np.where(overlap >= np.minimum(MIN_OVERLAP, np.minimum(m, lengths))[target], SLICES * overlap - most, SLICES * m + 1)
             for q in np.flatnonzero(asked == m).tolist():
-                at = np.flatnonzero(_histogram(queries[q], held, len(need)) >= need)
+                at = np.flatnonzero(_histogram(queries[q], held) >= need)
                 unequal = _unequal(queries[q], frames, first[target[at]] + start[at] - offset[at], start[at], overlap[at])
                 good = unequal <= most[at]
                 at, share = at[good], unequal[good] / bits[at[good]]
@@ -224,10 +218,13 @@ def recordings(embeddings: DataFrame) -> DataFrame:
 
     Of ten ids in a row the second, third and fourth are a late, a noisy and a cut copy of the first one's recording, where the table has it.
     """
-    src = embeddings.select(F.col("vec_id"), F.col("embedding").cast("array<float>").alias("v"), F.pmod("vec_id", F.lit(10)).cast("int").alias("kind"))
-    first = src.where("kind = 0").groupBy((F.col("vec_id")).alias("first")).agg(F.first("v").alias("of"))
-    src = src.withColumn("first", F.when(F.col("kind").between(1, 3), F.col("vec_id") - F.col("kind"))).join(first, "first", "left")
-    src = src.select("vec_id", F.coalesce("of", "v").alias("v"), F.when(F.col("of").isNotNull(), F.col("kind")).otherwise(0).alias("kind"))
+    kind = F.pmod("vec_id", F.lit(10)).cast("int")
+    src = embeddings.select("vec_id", F.col("embedding").cast("array<float>").alias("v"), kind.alias("kind"))
+    first = src.where("kind = 0").groupBy(F.col("vec_id").alias("first")).agg(F.first("v").alias("of"))
+    # only the copies meet their originals, each of which has few
+    copies = src.where("kind BETWEEN 1 AND 3").withColumn("first", F.col("vec_id") - F.col("kind")).join(first, "first", "left")
+    copies = copies.select("vec_id", F.coalesce("of", "v").alias("v"), F.when(F.col("of").isNotNull(), F.col("kind")).otherwise(0).alias("kind"))
+    src = src.where("kind IS NULL OR kind NOT BETWEEN 1 AND 3").select("vec_id", "v", F.lit(0).alias("kind")).unionByName(copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
