@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tests.llm.helpers import EDGE, LOWER, edge, empty
@@ -80,3 +81,27 @@ def test_query_ranks_ties_by_bytes(spark, tmp_path):
     out = [(r["rank"], r.phrase) for r in phrases.op11_phrases(spark, str(tmp_path)).orderBy("rank").collect()]
     want = sorted(((-v[5], -v[1], k[1].encode()) for k, v in brute([r[1:] for r in rows], 100).items()))
     assert out == [(i + 1, p.decode()) for i, (_, _, p) in enumerate(want)]
+
+
+def test_blocks_exchange_pairs_in_a_few_bytes(spark):
+    r = random.Random(8)
+    vocabulary = [f"{i:x}{chr(97 + i % 26)}" for i in range(700)]
+    rows = [(" ".join(r.choices(vocabulary, k=1000)), "en") for _ in range(480)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "text string, lang string").localCheckpoint()
+    sent = lambda: spark._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = sent()
+    assert found(df, least=8, longest=2) == brute(rows, 8, 2)
+    pairs = sum(len({p for t, _ in rows[i : i + 120] for w in [t.split()] for p in zip(w, w[1:])}) for i in range(0, 480, 120))
+    assert pairs > 400_000 and sent() - before < 8 * pairs
+
+
+@pytest.mark.parametrize("width", [1, 9, 32])
+def test_keys_of_pairs_can_be_undone_and_are_dealt_evenly(width):
+    keys, top = phrases.Keys(width, 8), min(1 << width, 300)
+    p, s = (x.ravel() for x in np.meshgrid(np.arange(top), (1 << width) - 1 - np.arange(top)))
+    key = np.sort(keys.of(p, s))
+    assert len(np.unique(key)) == len(p) and set(zip(*keys.pairs(key))) == set(zip(p, s))
+    cuts = keys.cuts(key)
+    assert cuts[0] == 0 and cuts[-1] == len(key) and (np.diff(cuts) >= 0).all()
+    if width > 1:
+        assert np.abs(np.diff(cuts) / (len(key) / 8) - 1).max() < 0.1
