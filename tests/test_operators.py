@@ -62,6 +62,89 @@ def test_suppression_in_crowded_frames_equals_the_loop(spark, iou, strict, most)
     assert got == want
 
 
+def near_copies(n, span=6):
+    """Boxes of one frame that nearly all overlap, with confidences in steps, and their greedy choice."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    b = np.concatenate([r.uniform(0, span, (n, 2)), r.uniform(30, 30 + span, (n, 2))], axis=1)
+    return [(1, k, float(round(r.random(), 2)), *map(float, b[k])) for k in range(n)]
+
+
+def greedy(rows, iou, strict, most=None):
+    kept = []
+    for x in sorted(rows, key=lambda x: (-x[2], x[1])):
+        def share(k, b=x[3:]):
+            inter = max(0.0, min(k[2], b[2]) - max(k[0], b[0])) * max(0.0, min(k[3], b[3]) - max(k[1], b[1]))
+            return inter / ((k[2] - k[0]) * (k[3] - k[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
+
+        if not any(share(k[3:]) > iou if strict else share(k[3:]) >= iou for k in kept):
+            kept.append(x)
+    return {x[1] for x in kept[:most]}
+
+
+SEEN = "frame_idx int, t int, confidence double, x0 double, y0 double, x1 double, y1 double"
+
+
+def stored(spark):
+    """Bytes in the checkpoint folder."""
+    from pathlib import Path
+
+    at = spark.sparkContext.getCheckpointDir()
+    return sum(p.stat().st_size for p in Path(at.removeprefix("file:")).rglob("*") if p.is_file()) if at else 0
+
+
+def test_suppression_of_near_copies_writes_no_pairs(spark):
+    """3,000 boxes make 4.5 million pairs."""
+    rows = near_copies(3000)
+    df, before = spark.createDataFrame(rows, SEEN), stored(spark)
+    got = {x.t for x in detections.suppress(df, ["frame_idx"], ["t"], iou=0.5, strict=True).collect()}
+    assert got == greedy(rows, 0.5, True) and stored(spark) - before < 3_000_000
+
+
+@pytest.mark.parametrize("iou,strict,most", [(0.5, True, None), (0.65, False, 4), (0.2, False, None)])
+def test_crowds_are_thinned_by_all_tasks(spark, monkeypatch, iou, strict, most):
+    """Groups over the limit, one of near copies and one spread out, with chains that the rounds don't end."""
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    spread = np.floor(r.uniform(0, 400, (500, 2)))
+    size = np.exp(r.uniform(0, 4, (500, 2)))
+    size[:9] = 0
+    rows = near_copies(400, 40) + [(None, k, float(round(r.random(), 1)), *map(float, spread[k]), *map(float, spread[k] + size[k])) for k in range(500)]
+    rows += [(3, k, 1 - k / 1000, 3.0 * k, 0.0, 3.0 * k + 10, 10.0) for k in range(200)] + [(4, k, 0.5, 0.0, 0.0, 9.0, 9.0) for k in range(3)]
+    df = spark.createDataFrame(rows, SEEN).repartition(3)
+    want = {(x.frame_idx, x.t) for x in detections.suppress(df, ["frame_idx"], ["t"], iou=iou, strict=strict, most=most).collect()}
+    monkeypatch.setattr(detections, "CROWD", 100)
+    monkeypatch.setattr(detections, "THINNING", 3)
+    got = [(x.frame_idx, x.t) for x in detections.suppress(df, ["frame_idx"], ["t"], iou=iou, strict=strict, most=most).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {t for f, t in want if f == 1} == greedy([x for x in rows if x[0] == 1], iou, strict, most)
+
+
+@pytest.mark.parametrize("iou,strict,most", [(0.5, True, None), (0.65, False, 4), (0.2, False, 30)])
+def test_suppression_by_blocks(monkeypatch, iou, strict, most):
+    """Groups that go on over blocks, with more kept boxes than the rounds over all groups."""
+    import numpy as np
+
+    monkeypatch.setattr(detections, "ROUNDS", 3)
+    r = np.random.default_rng(3)
+    groups = [sorted(near_copies(n, span), key=lambda x: (-x[2], x[1])) for n, span in ((7, 90), (300, 400), (1, 5), (150, 30), (90, 300))]
+    rows = [x for g in groups for x in g]
+    first = np.concatenate([np.arange(len(g)) == 0 for g in groups])
+    box = [np.array([x[3 + k] for x in rows]) for k in range(4)]
+    state, got, at = detections.Suppression(iou, most, strict), [], 0
+    while at < len(rows):
+        n = int(r.integers(1, 60))
+        got += (at + state.feed(first[at : at + n], [c[at : at + n] for c in box])).tolist()
+        at += n
+    want, begin = [], 0
+    for g in groups:
+        kept = greedy(g, iou, strict, most)
+        want += [begin + k for k, x in enumerate(g) if x[1] in kept]
+        begin += len(g)
+    assert got == want
+
+
 def test_suppression_is_greedy(spark):
     rows = [(0, 1, 0.9, (0, 0, 10, 10)), (0, 1, 0.8, (3, 0, 13, 10)), (0, 1, 0.7, (6, 0, 16, 10))]
     got = detections.suppress(seen(spark, rows), ["frame_idx", "object_id"], ["t"], iou=0.5).collect()
