@@ -102,6 +102,14 @@ def test_suppression_of_near_copies_writes_no_pairs(spark):
     assert got == greedy(rows, 0.5, True) and stored(spark) - before < 3_000_000
 
 
+def test_first_few_of_near_copies_write_no_pairs(spark):
+    """At most four boxes of a group stay, as of the robot's candidates."""
+    rows = near_copies(2000, 60) + [(2, *x[1:]) for x in near_copies(1000)]
+    df, before = spark.createDataFrame(rows, SEEN), stored(spark)
+    got = {(x.frame_idx, x.t) for x in detections.suppress(df, ["frame_idx"], ["t"], iou=0.65, most=4).collect()}
+    assert got == {(f, t) for f in (1, 2) for t in greedy([x for x in rows if x[0] == f], 0.65, False, 4)} and stored(spark) - before < 200_000
+
+
 @pytest.mark.parametrize("iou,strict,most", [(0.5, True, None), (0.65, False, 4), (0.2, False, None)])
 def test_crowds_are_thinned_by_all_tasks(spark, monkeypatch, iou, strict, most):
     """Groups over the limit, one of near copies and one spread out, with chains that the rounds don't end."""
