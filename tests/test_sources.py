@@ -156,3 +156,23 @@ def test_times_and_rows_of_many_clips(spark):
     for clip in ((1, 0, 129, 1), (1, -1, 1, 1), (1, 0, 0, 1), (1, 0, 5, 0), (1, None, 5, 1)):
         with pytest.raises(ValueError, match="1 to 128"):
             episodes.rows_of_clips(spark.createDataFrame([clip], asked))
+
+
+def test_times_of_many_clips_are_few_files(spark, tmp_path, monkeypatch):
+    """Files hold many clips, each clip is whole in one; a clip with a wrong number of times is found among many."""
+    from pyspark.sql import functions as F
+
+    import trackloom.registry  # noqa: F401  queries are imported by way of it
+    from trackloom.plans import more
+
+    events = spark.range(3000).selectExpr("id AS event_id", "TIMESTAMP '2026-01-01' + make_dt_interval(0, 0, 0, CAST(7 * id % 3000 AS DECIMAL(18, 6))) AS ts", "id % 300 AS user_id", "'view' AS event_type", "1D AS value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    path = f"file://{tmp_path}/files"
+    monkeypatch.setattr(more, "folder", lambda _: path)
+    got = more.src4(spark, str(tmp_path)).collect()
+    assert sorted((r.episode_id, r.frame_idx) for r in got) == [(k, n) for k in range(300) for n in range(10)]
+    files = spark.read.parquet(path).withColumn("file", F.input_file_name())
+    assert len(list((tmp_path / "files").rglob("*.parquet"))) <= 20 and files.groupBy("episode_id").agg(F.count_distinct("file").alias("n")).where("n > 1").isEmpty()
+    clips = spark.range(300).selectExpr("id AS episode_id", "0 AS start", "IF(id = 7, 11, 10) AS frames")
+    with pytest.raises(ValueError, match="more or fewer"):
+        episodes.clip_times(files, clips, "time")

@@ -100,8 +100,10 @@ def clip_times(files: DataFrame, clips: DataFrame, column: str = "timestamp") ->
     real = F.coalesce(~F.isnan("__t") & (F.abs("__t") < float("inf")), F.lit(False))
     got = times.groupBy(F.col("episode_id").alias("__e")).agg(F.count("*").alias("n"), F.count_if(~real).alias("unreal"))
     both = clips.join(got, F.col("episode_id") == F.col("__e"), "full")
-    fail_on(both.where(~F.coalesce(F.col("n"), F.lit(0)).eqNullSafe(F.coalesce(F.col("frames"), F.lit(-1)))), "a clip with more or fewer times than frames")
-    fail_on(both.where("unreal > 0"), "a time that isn't finite")
+    uneven = ~F.coalesce(F.col("n"), F.lit(0)).eqNullSafe(F.coalesce(F.col("frames"), F.lit(-1)))
+    wrong = both.withColumn("wrong", F.when(uneven, "a clip with more or fewer times than frames").when(F.col("unreal") > 0, "a time that isn't finite")).where("wrong IS NOT NULL")
+    if bad := wrong.orderBy("wrong").limit(3).collect():  # one pass for both
+        raise ValueError(f"{bad[0]['wrong']}: {bad}")
     own = clips.select(F.col("episode_id").alias("__e"), "start")
     return times.join(own, F.col("episode_id") == F.col("__e")).select("episode_id", "frame_idx", (F.col("__t") + F.col("start")).alias("timestamp"))
 
