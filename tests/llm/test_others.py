@@ -278,6 +278,43 @@ def test_chroma_aligns_long_recordings():
     assert errors[0] == chroma.bit_errors(a[300:5900], part) and 0.14 < errors[0] < 0.16
 
 
+def test_chroma_correlation_equals_the_histogram_in_less_time(monkeypatch):
+    """Fingerprints of all lengths, constant and random bits, noisy pieces with errors about the limit, queries and targets in several blocks."""
+    import time
+
+    r = np.random.default_rng(21)
+    songs = [r.integers(0, 2**24, int(n)) for n in (1, 2, 9, 15, 16, 17, 40, 62, 62, 100, 255, 256)]
+
+    def noisy(x, share):
+        return x ^ ((r.random((len(x), 24)) < share) << np.arange(24)).sum(axis=1)
+
+    targets = [noisy(x[a:b], share) for x in songs for a, b in ((0, None), (3, -2), (None, 20)) for share in (0.0, 0.15, 0.19, 0.21)]
+    targets += [np.zeros(n, np.int64) for n in (5, 30, 200)] + [np.full(70, 2**24 - 1), np.zeros(0, np.int64)] + [r.integers(0, 2**24, 300)]
+    queries = [*songs, *(noisy(x, 0.1) for x in songs), np.zeros(40, np.int64), np.zeros(0, np.int64), targets[-1]]
+
+    def rows():
+        return sorted(zip(*(x.tolist() for x in chroma.align(queries, targets))))
+
+    got = rows()
+    monkeypatch.setattr(chroma, "ASKED", 3)
+    monkeypatch.setattr(chroma, "TARGETS", 7)
+    blocks = rows()
+    monkeypatch.setattr(chroma, "LONG", 0)
+    monkeypatch.setattr(chroma, "BINS", 500)
+    assert got == blocks == rows() and len(got) > 100
+    monkeypatch.undo()
+    many, asked, took = [r.integers(0, 2**24, 62) for _ in range(2000)], [r.integers(0, 2**24, 62) for _ in range(200)], []
+    for long in (chroma.LONG, 0):
+        monkeypatch.setattr(chroma, "LONG", long)
+        tries = []
+        for _ in range(3):
+            began = time.perf_counter()
+            chroma.align(asked, many)
+            tries.append(time.perf_counter() - began)
+        took.append(min(tries))
+    assert took[0] < took[1] / 1.5
+
+
 def test_chroma_aligns_within_bounds_of_bins_and_frames(monkeypatch):
     r = np.random.default_rng(10)
     prints = [r.integers(0, 4, n) for n in (30, 40, 1, 16, 17, 90)]

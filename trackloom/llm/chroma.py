@@ -2,8 +2,8 @@
 
 PCM is cut into overlapping frames; each frame's spectrum is folded into twelve pitch classes. Filters over the
 chroma image, evaluated on its integral image, compare sums of rectangles; each gives two bits, and a frame's bits make one
-packed integer. Two recordings are aligned by a histogram of the offsets at which slices of their integers agree, and judged by the share of
-unequal bits at the best of the offsets that have enough votes.
+packed integer. Two recordings are aligned at the offsets at which enough of their bits, or of slices of their integers, agree, and judged by the share of
+unequal bits at the best of these.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ SLICES = BITS // SLICE
 #: Largest share of unequal bits of a match, least frames of overlap.
 MAX_BIT_ERRORS, MIN_OVERLAP = 0.20, 16
 #: Queries and classes that a task compares; offsets in histograms, and frames whose bits are compared, at once.
-QUERY_BLOCK, BUCKET, BINS, FRAMES = 1024, 2000, 1 << 17, 1 << 21
+QUERY_BLOCK, BUCKET, BINS, FRAMES = 4096, 2000, 1 << 17, 1 << 21
+#: Frames up to which fingerprints are correlated by their spectra; queries and targets at once.
+LONG, ASKED, TARGETS = 256, 32, 2048
 NOTES = np.array([220.0 * 2 ** (k / 12) for k in range(24)])
 
 
@@ -136,44 +138,128 @@ def _unequal(query: np.ndarray, frames: np.ndarray, at: np.ndarray, start: np.nd
     return out
 
 
+def _by_histogram(queries: list[np.ndarray], targets: list[np.ndarray], some: np.ndarray, there: np.ndarray) -> Iterator[tuple]:
+    """What align() gives, of queries ``some`` of one length, query by query; a histogram counts equal slices of bits by offset.
+
+    Among n frames that match, at most MAX_BIT_ERRORS of the bits differ and spoil as many slices, so that a match has at least the other slices' votes: bit errors
+    are compared at the offsets that have them, and no match is lost.
+    """
+    m = len(queries[some[0]])
+    sizes = np.array([len(targets[k]) for k in there], np.int64) + m - 1
+    part = np.cumsum(sizes) // BINS
+    for number in np.unique(part).tolist():
+        own = there[part == number]
+        lengths = np.array([len(targets[k]) for k in own], np.int64)
+        frames = np.concatenate([targets[k] for k in own])
+        first = np.cumsum(lengths) - lengths
+        target, offset, start, overlap = _overlaps(m, lengths)
+        place = np.repeat(np.cumsum(lengths + m - 1) - m, lengths) - (np.arange(len(frames)) - np.repeat(first, lengths))
+        held = np.zeros((SLICES << SLICE, len(overlap)), np.uint8)
+        for s in range(SLICES):
+            held[s << SLICE | frames >> SLICE * s & 2**SLICE - 1, place] = 1
+        need = np.where(overlap >= np.minimum(MIN_OVERLAP, np.minimum(m, lengths))[target], SLICES * overlap - _most(overlap), SLICES * m + 1)
+        for q in some.tolist():
+            at = np.flatnonzero(_histogram(queries[q], held) >= need)
+            unequal = _unequal(queries[q], frames, first[target[at]] + start[at] - offset[at], start[at], overlap[at])
+            yield _best(np.full(len(at), q), own[target[at]], offset[at], overlap[at], unequal)
+
+
+def _most(overlap: np.ndarray) -> np.ndarray:
+    """Unequal bits that a match of so many frames may have."""
+    return np.floor(MAX_BIT_ERRORS * (BITS * overlap) + 1e-9).astype(np.int64)
+
+
+def _best(q: np.ndarray, target: np.ndarray, offset: np.ndarray, overlap: np.ndarray, unequal: np.ndarray) -> tuple:
+    """(query, target, offset, overlap, bit errors) at the best offset of each pair, of offsets with so many unequal bits."""
+    good = unequal <= _most(overlap)
+    q, target, offset, overlap, share = q[good], target[good], offset[good], overlap[good], unequal[good] / (BITS * overlap[good])
+    order = np.lexsort((offset, -overlap, share, target, q))
+    first = (np.diff(q[order], prepend=-1) != 0) | (np.diff(target[order], prepend=-1) != 0)
+    return tuple(x[order[first]] for x in (q, target, offset, overlap, share))
+
+
+def _spectra(prints: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Real and imaginary parts (frequency, fingerprint, bit) of the bits, as 1 and -1, over n frames, of which those after a fingerprint's end are 0."""
+    size, f = np.array([len(x) for x in prints]), n // 2 + 1
+    padded = np.zeros((len(prints), int(size.max())), np.int64)
+    there = np.arange(padded.shape[1]) < size[:, None]
+    padded[there] = np.concatenate(prints)
+    signs = np.where(there[:, None, :], 2 * (padded[:, None, :] >> np.arange(BITS)[:, None] & 1) - 1, 0).astype(np.float32)
+    angle = 2 * np.pi / n * (np.outer(np.arange(padded.shape[1]), np.arange(f)) % n)
+    waves = np.concatenate([np.cos(angle), -np.sin(angle)], axis=1).astype(np.float32)
+    out = (signs.reshape(-1, padded.shape[1]) @ waves).reshape(len(prints), BITS, 2 * f).transpose(2, 0, 1)
+    return out[:f], out[f:]
+
+
+def _by_spectra(queries: list[np.ndarray], targets: list[np.ndarray], some: np.ndarray, there: np.ndarray) -> Iterator[tuple]:
+    """What align() gives, of queries ``some`` of one length, block by block: equal less unequal bits at every offset are a correlation, and many of these are a product of matrices.
+
+    The products only choose offsets, a bit more than may match; their bits are compared as integers.
+    """
+    m = len(queries[some[0]])
+    size = np.array([len(targets[k]) for k in there], np.int64)
+    by_size = np.argsort(size, kind="stable")
+    room = {}
+    for a in range(0, len(there), TARGETS):
+        own, lengths = there[by_size[a : a + TARGETS]], size[by_size[a : a + TARGETS]]
+        least = np.minimum(MIN_OVERLAP, np.minimum(m, lengths))
+        frames, first = np.concatenate([targets[k] for k in own]), np.cumsum(lengths) - lengths
+        # offsets that overlap by fewer frames may fall together
+        n, far = int(m + lengths.max() - least.min()), int(max(m, lengths.max()) - least.min())
+        real, imaginary = _spectra([targets[k] for k in own], n)
+        held = np.ascontiguousarray(np.concatenate([real, imaginary], axis=2).transpose(0, 2, 1))
+        shift = np.arange(far + 1)
+        angle = 2 * np.pi / n * (np.outer(shift, np.arange(n // 2 + 1)) % n)
+        weight = np.where((np.arange(n // 2 + 1) == 0) | (2 * np.arange(n // 2 + 1) == n), 1, 2) / n
+        even, odd = (np.cos(angle) * weight).astype(np.float32), (np.sin(angle) * weight).astype(np.float32)
+        need = []
+        for sign in (1, -1):
+            offset = sign * shift[:, None]
+            overlap = np.minimum(m, lengths + offset) - np.maximum(offset, 0)
+            need.append(np.where(overlap >= least, BITS * overlap - 2 * _most(np.maximum(overlap, 0)) - 1, 2 * BITS * m).astype(np.float32)[:, None, :])
+        for b in range(0, len(some), ASKED):
+            block = some[b : b + ASKED]
+            shape = (len(block), len(own))
+            real, imaginary = _spectra([queries[k] for k in block], n)
+            if room.get("of") != (shape, n, far):
+                room = {"of": (shape, n, far), "f": np.empty((2, n // 2 + 1, *shape), np.float32), "t": np.empty((3, far + 1, shape[0] * shape[1]), np.float32)}
+            f, t = room["f"], room["t"]
+            np.matmul(np.concatenate([real, imaginary], axis=2), held, out=f[0])
+            np.matmul(np.concatenate([imaginary, -real], axis=2), held, out=f[1])
+            np.matmul(even, f[0].reshape(n // 2 + 1, -1), out=t[0])
+            np.matmul(odd, f[1].reshape(n // 2 + 1, -1), out=t[1])
+            found = []
+            for sign, put, least_sum in ((1, np.subtract, need[0]), (-1, np.add, need[1])):
+                put(t[0], t[1], out=t[2])
+                at = np.flatnonzero(t[2].reshape(far + 1, *shape) >= least_sum)
+                d, pair = np.divmod(at, shape[0] * shape[1])
+                found.append((sign * d, pair)) if sign > 0 else found.append((-d[d > 0], pair[d > 0]))
+            offset, pair = (np.concatenate(x) for x in zip(*found))
+            q, target = np.divmod(pair, shape[1])
+            start = np.maximum(offset, 0)
+            overlap = np.minimum(m, lengths[target] + offset) - start
+            unequal = _unequal(np.concatenate([queries[k] for k in block]), frames, first[target] + start - offset, q * m + start, overlap)
+            yield _best(block[q], own[target], offset, overlap, unequal)
+
+
 def align(queries: list[np.ndarray], targets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query, target, offset, overlap, bit errors), arrays with the best offset of each pair that matches.
 
-    Frame t of a target lies at t + offset of the query. A histogram counts equal slices of bits by offset. Among n frames that
-    match, at most MAX_BIT_ERRORS of the bits differ and spoil as many slices, so that a match has at least the other slices' votes: bit errors
-    are compared at the offsets that have them, and no match is lost. An overlap has MIN_OVERLAP frames or the shorter fingerprint's;
+    Frame t of a target lies at t + offset of the query. All offsets are looked at: of fingerprints up to LONG frames by the correlation of their bits, of longer ones by a histogram of
+    offsets; bit errors are compared at those that either leaves, and no match is lost. An overlap has MIN_OVERLAP frames or the shorter fingerprint's;
     the least share of unequal bits wins, then the longest overlap, then the least offset.
     """
     kinds = (np.int64, np.int64, np.int32, np.int32, np.float64)
     out = [tuple(np.zeros(0, kind) for kind in kinds)]
-    asked = np.array([len(x) for x in queries], np.int64)
-    there = np.flatnonzero([len(x) for x in targets])
+    asked, size = (np.array([len(x) for x in side], np.int64) for side in (queries, targets))
     for m in np.unique(asked[asked > 0]).tolist():
-        sizes = np.array([len(targets[k]) for k in there], np.int64) + m - 1
-        part = np.cumsum(sizes) // BINS
-        for number in np.unique(part).tolist():
-            own = there[part == number]
-            lengths = np.array([len(targets[k]) for k in own], np.int64)
-            frames = np.concatenate([targets[k] for k in own])
-            first = np.cumsum(lengths) - lengths
-            target, offset, start, overlap = _overlaps(m, lengths)
-            place = np.repeat(np.cumsum(lengths + m - 1) - m, lengths) - (np.arange(len(frames)) - np.repeat(first, lengths))
-            held = np.zeros((SLICES << SLICE, len(overlap)), np.uint8)
-            for s in range(SLICES):
-                held[s << SLICE | frames >> SLICE * s & 2**SLICE - 1, place] = 1
-            bits = BITS * overlap
-            most = np.floor(MAX_BIT_ERRORS * bits + 1e-9).astype(np.int64)
-            need = np.where(overlap >= np.minimum(MIN_OVERLAP, np.minimum(m, lengths))[target], SLICES * overlap - most, SLICES * m + 1)
-            for q in np.flatnonzero(asked == m).tolist():
-                at = np.flatnonzero(_histogram(queries[q], held) >= need)
-                unequal = _unequal(queries[q], frames, first[target[at]] + start[at] - offset[at], start[at], overlap[at])
-                good = unequal <= most[at]
-                at, share = at[good], unequal[good] / bits[at[good]]
-                order = np.lexsort((offset[at], -overlap[at], share, target[at]))
-                at, share = at[order], share[order]
-                best = np.flatnonzero(np.diff(target[at], prepend=-1))
-                at, share = at[best], share[best]
-                out.append((np.full(len(at), q), own[target[at]], offset[at].astype(np.int32), overlap[at].astype(np.int32), share))
+        some = np.flatnonzero(asked == m)
+        short = np.flatnonzero((size > 0) & (size <= LONG)) if m <= LONG else np.zeros(0, np.int64)
+        rest = np.flatnonzero(size > (LONG if m <= LONG else 0))
+        if len(short):
+            out += _by_spectra(queries, targets, some, short)
+        if len(rest):
+            out += _by_histogram(queries, targets, some, rest)
     return tuple(np.concatenate(x).astype(kind) for x, kind in zip(zip(*out), kinds))
 
 
